@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from ..queries import gather
 
-MODULES = ["same_text"]
+MODULES = ["same_text", "link_names"]
 QUERIES, SQL = gather(MODULES, __package__)
