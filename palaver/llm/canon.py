@@ -27,7 +27,7 @@ INVISIBLE = {
     for a, b in ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0000, 0xE0FFF))
     for c in range(a, b + 1)
 }
-_SPACES = "               　"
+_SPACES = "\u00a0 \u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f　"
 _LOOKS = dict(zip(_LATIN_LIKE, _LATIN, strict=True)) | dict(zip(_KANA_LIKE, _KANA, strict=True)) | dict.fromkeys(_HYPHEN_LIKE, "-") | {"〜": "~"}
 
 
@@ -84,7 +84,7 @@ def _may_join(ch: str) -> bool:
             d = unicodedata.decomposition(chr(c))
             if d and not d.startswith("<") and " " in d and unicodedata.is_normalized("NFC", chr(c)):
                 _JOINERS.add(chr(int(d.split(" ")[1], 16)))
-        _JOINERS.update("़়਼଼゙゚")
+        _JOINERS.update("़\u3099\u309a়਼଼")
     return ch in _JOINERS
 
 
@@ -152,7 +152,7 @@ _ONE = {c: v for c, v in KEY_MAP.items() if len(v) == 1 and chr(c) not in _KANA_
 _DROP = {c: v for c, v in KEY_MAP.items() if len(v) != 1}
 _MOVES = re.compile("[" + _ranges(sorted(c for c in _DROP if c < 0x10000)) + "\u0300-\u036f\uff9e\uff9f\u3099\u309a]")
 _ALL = _ONE | _DROP
-_CLUSTER = re.compile("[\\s\\S][̀-ͯﾞﾟ़゙゚]*")
+_CLUSTER = re.compile("[\\s\\S][\u0300-\u036f\uff9e\uff9f\u3099\u309a़]*")
 
 
 def aligned(text: str) -> tuple[str, list[int] | None]:

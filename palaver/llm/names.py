@@ -26,7 +26,7 @@ NICKNAMES = {
 
 _SEP = re.compile(r"\s*(?:[&/;、+·・]|,\s*(?=[^,]+,)|\band\b|\baur\b|और|及び|および)\s*|\s+と\s+|\n", re.I)
 _BRACKET = re.compile(r"[(\[【（〔][^)\]】）〕]*[)\]】）〕]|[\[(【].*$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[ऀ-ॿ]+")
+_WORD = re.compile(r"[ऀ-ॣ॰-ॿ]+|(?:(?![ऀ-ॿ])[^\W\d_])+(?:['’][^\W\d_]+)?")
 _HON = re.compile(r"(?:(?<=\w)[-\s]+(?:" + "|".join(HONORIFICS) + r")\b\.?)+\s*$", re.I)
 _HON_CJK = re.compile(r"\s*(?:" + "|".join(HONORIFICS_CJK) + r")\s*$")
 _HON_DEVA = re.compile(r"\s+(?:" + "|".join(HONORIFICS_DEVA) + r")\s*$")
