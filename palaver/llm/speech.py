@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 # Annotations of sounds that stand in round brackets.
 SOUNDS = (
     "laughs?|laughter|laughing|chuckles?|coughs?|coughing|sighs?|sneezes?|silence|pause|music|noise|static|applause|clapping|inaudible|unintelligible|crosstalk|typing|beep|whispers?|"
@@ -33,9 +31,3 @@ STAMP_FIRST = r"^\s*\[?(" + CLOCK + r")\]?\s+(" + NAME + r")\s*(?::|(?<=\s)-(?=\
 LABEL_FIRST = r"^\s*(" + NAME + r")\s*(?:\((" + CLOCK + r")\)\s*)?:(?!//)\s*(?:\[(" + CLOCK + r")\])?(.*)$"
 # Lines of WebVTT that are no speech.
 VTT_HEAD = r"^\s*(?:WEBVTT.*|NOTE(?:\s.*)?|STYLE|REGION)$"
-
-
-def python(pattern: str) -> re.Pattern:
-    """One of the patterns above for Python, whose re has no \\p classes: letters, marks and digits are \\w and the marks of the scripts dealt with."""
-    p = pattern.replace(r"\p{L}\p{M}\p{N}", "\\w\\u0300-\\u036f\\u0900-\\u0963").replace(r"[\p{L}\p{M}]", "[^\\W\\d_]|[\\u0300-\\u036f\\u0900-\\u0963]")
-    return re.compile(re.sub(r"\((\?![^()]*\[\^\\W\\d_\]\|[^()]*)\)", r"(\1)", p))
