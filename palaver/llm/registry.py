@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from ..queries import gather
 
-MODULES = ["same_text", "link_names", "turns", "sentences"]
+MODULES = ["same_text", "link_names", "turns", "sentences", "languages"]
 QUERIES, SQL = gather(MODULES, __package__)

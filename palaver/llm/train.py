@@ -93,6 +93,81 @@ def train_sentences(spark: SparkSession, folder: str) -> None:
     models().joinpath(MODEL).write_text(json.dumps(w, ensure_ascii=False, indent=0), "utf-8")
 
 
+#: Most documents that the language classifiers are fitted on, and lines of each class.
+LANGUAGE_TEXTS, LANGUAGE_LINES = 4000, 6000
+
+
+def language_rows(docs: list) -> list[tuple[str, int]]:
+    """(line, class) of documents with a label; the script decides where it can, the label between the languages written in Latin letters."""
+    import re
+
+    from .canon import aligned
+    from .languages import CLASSES, _bare
+    from .lines import blank_notes, lines
+
+    rows: list[tuple[str, int]] = []
+    have = dict.fromkeys(CLASSES, 0)
+    for d in docs:
+        folded, _ = aligned(d.text)
+        for x in lines(folded):
+            s = _bare(blank_notes(folded[x.start : x.end]))
+            kana, deva, latin = (len(re.findall(p, s)) for p in ("[ぁ-ゟ]", "[ऀ-ॣ]", "[a-z]"))
+            cls = "ja" if kana > 5 else "hi-Deva" if deva > 10 else {"en": "en", "hi": "hi-Latn"}.get(d.lang) if latin > 20 else None
+            if cls and x.spoken and have[cls] < LANGUAGE_LINES:
+                have[cls] += 1
+                rows.append((s, CLASSES.index(cls)))
+                words = s.split()
+                if len(words) > 8 and have[cls] % 3 == 0:  # pieces, as folded lines are
+                    rows.append((" ".join(words[-4:]), CLASSES.index(cls)))
+    return rows
+
+
+def train_languages(spark: SparkSession, folder: str) -> None:
+    import random
+
+    import numpy as np
+
+    from .languages import _TOKEN, CLASSES, CODE, MODEL, Model, classify, grams
+    from .sentences import models
+
+    docs = [r for r in bounded(spark, folder, "documents", "doc_id", ["text", "lang"], LANGUAGE_TEXTS) if r.text]
+    rows = language_rows(docs)
+    rng = random.Random(5)
+    rng.shuffle(rows)
+    cut = len(rows) * 9 // 10
+    seen: dict[str, int] = {}
+    made = [[g for w in _TOKEN.findall(t.lower()) for g in grams(w)] for t, _ in rows]
+    for f in made[:cut]:
+        for x in set(f):
+            seen[x] = seen.get(x, 0) + 1
+    vocab = {x: i for i, (x, n) in enumerate(sorted(seen.items())) if n >= 12}
+    vocab = {x: i for i, x in enumerate(vocab)}
+    w, g, b = np.zeros((len(vocab), CODE.shape[1])), np.full((len(vocab), CODE.shape[1]), 1e-3), np.zeros(CODE.shape[1])
+    scale = 8.0
+    data = [(np.array([vocab[x] for x in f if x in vocab], dtype=int), len(f), CODE[y]) for f, (_, y) in zip(made, rows, strict=True)]
+    for _ in range(4):
+        order = list(range(cut))
+        rng.shuffle(order)
+        for i in order:
+            f, n, code = data[i]
+            if not n:
+                continue
+            z = (w[f].sum(axis=0) / n + b) * scale
+            e = -code / (1 + np.exp(code * z))
+            u, c = np.unique(f, return_counts=True)
+            d = e[None] * (c / n)[:, None] * scale
+            g[u] += d * d
+            w[u] -= 0.3 * d / np.sqrt(g[u])
+            b -= 0.002 * e
+    big = np.abs(w).max(axis=1)
+    keep = [x for x, i in vocab.items() if big[i] > 0.25]
+    model = Model({x: [round(float(v), 2) for v in w[vocab[x]]] for x in keep}, [round(float(v), 3) for v in b], scale)
+    got = classify(model, [t for t, _ in rows[cut:]])
+    wrong = sum(c[0] != CLASSES[y] for c, (_, y) in zip(got, rows[cut:], strict=True))
+    print(f"languages: {len(rows)} lines, {len(keep)} n-grams of {len(vocab)}, held-out errors {wrong} of {len(rows) - cut}")
+    models().joinpath(MODEL).write_text(json.dumps({"bias": [round(float(v), 3) for v in b], "scale": scale, "weights": model.w}, ensure_ascii=False, separators=(",", ":")), "utf-8")
+
+
 if __name__ == "__main__":
     s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
     for name in sys.argv[2:]:
