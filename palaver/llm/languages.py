@@ -29,7 +29,7 @@ MIXED_SHARE = (1, 5)
 _TOKEN = re.compile(r"\n|[ऀ-ॣ]+|[ぁ-ゟ]{1,4}|[゠-ヿ]{1,5}|[㐀-鿿々]{1,2}|[^\W\d_぀-ヿ㐀-鿿ऀ-ॣ]+")
 _ADDRESS = re.compile(r"[!-~]*@[!-~]*")
 #: Capital words within a sentence: names and loanwords, which don't count.
-_PROPER = re.compile(r"(?<=[a-z0-9,] )\"?[A-Z][\w'-]*(?:,? (?:[0-9]+[A-Z]?,? )*[A-Z][\w'-]*)*")
+_PROPER = re.compile(r"(?<=[a-z0-9,] )\"?[A-Z][A-Za-zÀ-ɏ'-]*(?:,? (?:[0-9]+[A-Z]?,? )*[A-Z][A-Za-zÀ-ɏ'-]*)*")
 _OPENER = re.compile(speech.OPENERS, re.I)
 
 
