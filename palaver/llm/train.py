@@ -168,6 +168,149 @@ def train_languages(spark: SparkSession, folder: str) -> None:
     models().joinpath(MODEL).write_text(json.dumps({"bias": [round(float(v), 3) for v in b], "scale": scale, "weights": model.w}, ensure_ascii=False, separators=(",", ":")), "utf-8")
 
 
+#: Most transcripts that the trees are fitted on.
+PII_TEXTS = 6000
+
+
+# Words beside a number or place that make its nature sure; everything else is left to the trees.
+ORDER_CUES = ("order", "part", "room", "invoice", "ticket", "注文", "案件", "部品番号", "आदेश", "क्र")
+ID_CUES = ("visa", "passport", "badge", "identity", "licence number", "pehchaan", "aadhaar", "पहचान", "आधार", "入館", "申請書", "身分", "免許", "旅券", "マイナンバー")
+PHONE_CUES = ("direct line", "call me", "phone", "mobile", "desk moved to", "number hai", "mera number", "मेरा नंबर", "फ़ोन", "直通", "電話", "携帯", "fax", "dial")
+PLACE_CUES = ("marg,", "road,", "street,", "lane, ", "avenue", "-cho", "sector", "मार्ग", "गली", "सेक्टर", "丁目", "番地", "県", "都", "府", "市", "〒")
+
+
+def _sure_kind(s: str, c, held: set[str]) -> int | None:
+    """Label of a candidate that isn't a name, where cues, format or an earlier masker's mapping make it sure."""
+    import re
+
+    from .pii import KINDS
+
+    t = s[c.start : c.end]
+    kind = KINDS[c.kind]
+    known = re.sub(r"\s+", " ", t).strip(" 。.") in held
+    if kind == "email":
+        return 1 if known or re.search(r"@|\[at\]", t) or " dot " in t.lower() else 0
+    if kind == "address":
+        return int(known or sum(x in t.lower() for x in PLACE_CUES) > 0)
+    near = s[max(0, c.start - 34) : c.start].lower()
+    at = {k: max((near.rfind(x) for x in cues), default=-1) for k, cues in (("order", ORDER_CUES), ("id_number", ID_CUES), ("phone", PHONE_CUES))}
+    nearest = max(at, key=at.__getitem__)
+    if at[nearest] >= 0:
+        return int(nearest == kind)
+    if known:
+        digits = sum(x.isdigit() for x in t)
+        tel = t[0] in "+(" or t[0] == "0" and digits in (10, 11)
+        return int(tel == (kind == "phone"))
+    return None
+
+
+def pii_rows(texts: list, names: set[str]) -> list[tuple]:
+    """(piece of speech, candidate, label). A candidate for a name is one if all its words are words of registered persons; the other kinds are labelled by sure cues and by an earlier masker's mapping of the request."""
+    import re
+
+    from .canon import aligned, visual_key
+    from .names import plain
+    from .pii import KINDS, spans
+    from .sentences import joined, units
+
+    rows = []
+    for r in texts:
+        folded, _ = aligned(r.transcript)
+        held = {re.sub(r"\s+", " ", visual_key(v)).strip(" 。.") for v in (r.mapping or {}).values() if v}
+        for u in units(folded):
+            s, _ = joined(folded, u)
+            got = set(spans(s))
+            places = [c for c in got if c.kind == 3 and _sure_kind(s, c, held)]
+            got = {c for c in got if c.kind != 4 or all(c.end <= p.start or p.end <= c.start for p in places)}
+            good = {c for c in got if c.kind == 4 and all(plain(w) in names for w in s[c.start : c.end].split())}
+            for c in got:
+                t = s[c.start : c.end]
+                if KINDS[c.kind] == "name":
+                    inner = any(g != c and g.start <= c.start and c.end <= g.end for g in good)
+                    half = c not in good and any(plain(w) in names for w in t.split())
+                    y = int(c in good and not inner)
+                    if not y and not inner and (re.match(r"様|さん|氏|部長| ji\b| जी", s[c.end : c.end + 4]) or re.search(r"(?:Dr|Mr|Ms|डॉ)\. $", s[max(0, c.start - 5) : c.start])):
+                        continue  # a person who isn't registered, most likely
+                    if half and not inner and not any(c.start <= g.start and g.end <= c.end for g in good):
+                        continue
+                else:
+                    y = _sure_kind(s, c, held)
+                    if y is None:
+                        continue
+                rows.append((s, c, y))
+    return rows
+
+
+def train_pii(spark: SparkSession, folder: str) -> None:
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    from . import boosting
+    from .canon import visual_key
+    from .names import plain
+    from .pii import KINDS, MODEL, Vocabulary, context, features
+    from .sentences import models
+
+    req = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select("request_id", "transcript").dropDuplicates(["request_id"])
+    masks = spark.read.parquet(f"{folder}/pii_masks.parquet").select("request_id", "mapping").dropDuplicates(["request_id"])
+    texts = req.join(masks, "request_id", "left").orderBy(F.xxhash64(F.lit("fit"), "request_id")).limit(PII_TEXTS).collect()
+    names: set[str] = set()
+    for r in spark.read.parquet(f"{folder}/people.parquet").select("full_name", "name_native").limit(5000).collect():
+        for x in (r.full_name, r.name_native):
+            w = re.findall(r"\S+", visual_key(x or ""))
+            names |= {plain(i) for i in w} | ({"".join(w)} if x is r.name_native else set())
+    rows = pii_rows(texts, names)
+    cut = len(rows) * 85 // 100
+    letters: Counter = Counter()
+    other: Counter = Counter()
+    odds: dict[str, dict[str, int]] = {}
+    by: dict[str, list[Counter]] = {}
+    words = {(w, int(plain(w) in names)) for s, c, _ in rows[:cut] if c.kind == 4 for w in s[c.start : c.end].split()}
+    words |= {(w, 1) for w in names if w}
+    for w, y in words:
+        w = f"^{w.lower()}$"
+        (letters if y else other).update({w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)})
+    a, b = sum(letters.values()) + 1, sum(other.values()) + 1
+    like = {g: round(math.log((letters[g] + 0.5) / a) - math.log((other[g] + 0.5) / b), 2) for g in letters | other if letters[g] + other[g] >= 3}
+    base = {k: [1, 1] for k in range(5)}
+    for s, c, y in rows[:cut]:
+        one, two, nxt, _ = context(s, c.start, c.end)
+        base[c.kind][y] += 1
+        for slot, w in ((f"{KINDS[c.kind]}-1", one), (f"{KINDS[c.kind]}-2", two), (f"{KINDS[c.kind]}+1", nxt)):
+            by.setdefault(slot, [Counter(), Counter()])[y][w] += 1
+    for slot, (no, yes) in by.items():
+        k = next(i for i, x in enumerate(KINDS) if slot[: len(x)] == x)
+        prior = base[k][1] / sum(base[k])
+        odds[slot] = {}
+        for w in no | yes:
+            n = no[w] + yes[w]
+            if n >= 6:
+                p = (yes[w] + 2 * prior) / (n + 2)
+                z = math.log(p / (1 - p)) - math.log(prior / (1 - prior))
+                q = max(0, min(8, round(z / 0.7 + 4)))
+                if q != 4:
+                    odds[slot][w] = q
+    v = Vocabulary(odds, like)
+    trees, least = {}, {}
+    for k, kind in enumerate(KINDS):
+        x = [features(s, c, v) for s, c, _ in rows if c.kind == k]
+        y = np.array([y for _, c, y in rows if c.kind == k], float)
+        mine = np.array(x, dtype=int)
+        n = int(len(y) * 0.85)
+        m = boosting.fit(mine[:n], y[:n], rounds=60 if kind == "name" else 30)
+        p = boosting.probabilities(m, mine[n:])
+        # Of what is personal, the labels hold a share only: half of the mean score of the labelled ones is the even point.
+        share = float(p[y[n:] > 0].mean()) if y[n:].any() else 1.0
+        least[kind] = round(share / 2, 4)
+        trees[kind] = m
+        got, true = p >= least[kind], y[n:] > 0
+        print(f"pii {kind}: {len(y)} candidates, {int(y.sum())} labelled; held out: {int(got.sum())} selected, {int((got & true).sum())} of {int(true.sum())} labelled; threshold {least[kind]}")
+    models().joinpath(MODEL).write_text(json.dumps({"thresholds": least, "letters": like, "odds": odds, "trees": trees}, ensure_ascii=False, separators=(",", ":")), "utf-8")
+
+
 if __name__ == "__main__":
     s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").getOrCreate()
     for name in sys.argv[2:]:
