@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES = ["operators.schema_drift"]
 
 
 def gather(modules: list[str], package: str) -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
