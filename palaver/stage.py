@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,9 +23,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, so that later steps read it instead of computing it again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written as a Parquet table in the shared checkpoint folder, so that later steps read it instead of computing it again. The tables go when the session's Python process ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/palaver-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the session is gone already; the folder is the cluster's to clear
+        return
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has at most that many rows: the check before a broadcast."""
+    return df.limit(most + 1).count() <= most
 
 
 def ship(spark: SparkSession) -> None:
