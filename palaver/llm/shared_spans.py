@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..stage import cut
+from ..stage import cut, few
 from . import frames
 
 LEAST, GRAM, MANY = 200, 100, 48
+#: Most rows of a side that is broadcast (about 20 bytes each).
+BROADCAST = 400_000
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -195,6 +197,11 @@ def _matches():
 _SPAN = [("doc_a", pa.int64()), ("start_a", pa.int64()), ("doc_b", pa.int64()), ("start_b", pa.int64()), ("end_b", pa.int64())]
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST rows; the join shuffles otherwise."""
+    return F.broadcast(df) if few(df, BROADCAST) else df
+
+
 def shared_spans(docs: DataFrame, both: bool = False) -> DataFrame:
     """doc_a, start_a, doc_b, start_b, end_b: maximal spans of doc_b (positions from 0, end excluded) that stand in doc_a too, at start_a.
 
@@ -203,12 +210,13 @@ def shared_spans(docs: DataFrame, both: bool = False) -> DataFrame:
     """
     d = docs.where(f"doc_id IS NOT NULL AND length(text) >= {LEAST}").select("doc_id", "text")
     grams = cut(frames.rows_out(d, _grams, "doc_id bigint, gram bigint, pos int", [("doc_id", pa.int64()), ("gram", pa.int64()), ("pos", pa.int32())]))
-    held = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("gram", (F.col("n") > MANY).alias("many"))
-    where = grams.join(held, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "many")).alias("found"))
-    texts = d.join(where, "doc_id")
-    few = texts.select("doc_id", "text", F.filter("found", lambda x: ~x["many"]).alias("found")).where(F.size("found") > 0)
+    held = cut(grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("gram", (F.col("n") > MANY).alias("many")))
+    shared = cut(grams.join(_small(held), "gram"))
+    where = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "gram", "many")).alias("found"))
+    texts = d.join(F.broadcast(where) if few(shared, BROADCAST) else where, "doc_id")
+    rare = texts.select("doc_id", "text", F.filter("found", lambda x: ~x["many"]).alias("found")).where(F.size("found") > 0)
     kinds = [("doc_id", pa.int64()), ("at", pa.int64()), ("gram", pa.int64()), ("piece", pa.string())]
-    pieces = cut(frames.rows_out(few, _pieces, "doc_id bigint, at bigint, gram bigint, piece string", kinds))
+    pieces = cut(frames.rows_out(rare, _pieces, "doc_id bigint, at bigint, gram bigint, piece string", kinds))
     g = pieces.select("doc_id", "at", "gram")
     a, b = (g.select(F.col("doc_id").alias(f"doc_{x}"), F.col("at").alias(f"at_{x}"), "gram") for x in "ab")
     pairs = a.join(b, "gram").where("doc_a <> doc_b" if both else "doc_a < doc_b").select("doc_a", "at_a", "doc_b", "at_b").distinct()
