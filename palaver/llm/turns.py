@@ -7,7 +7,7 @@ lie over one hash partitioning by record; a record is one transcript, so no wind
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,38 +20,45 @@ _THIN = ":()[]-----0123456789<>      "
 _HIDDEN = r"[\u00ad\u200b-\u200f\u2060-\u206f\ufeff\ufe00-\ufe0f]"
 
 
-def _field(c: Column, pattern: str, group: int) -> Column:
-    """The group, trimmed; null where the pattern or the group doesn't match."""
-    return F.nullif(F.trim(F.regexp_extract(c, pattern, group)), F.lit(""))
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
-    """record_id, account_id, line_no, raw, label, stamp (seconds), said (text without label and notes), spoken, by line of each transcript.
+    """record_id, account_id, line_no, label, stamp (seconds), said (text without label and notes), spoken, by line of each transcript.
 
-    docs has record_id, account_id, transcript. Nulls give no line. Of several rows of one record the one with the least text counts, once.
+    docs has record_id, account_id, transcript. Nulls give no line. Of several rows of one record the one with the least hash of its text counts, once.
+    Each line is matched once: the match is rewritten as stamp, label and text with marks between, which are then split.
     """
-    d = docs.where("record_id IS NOT NULL AND transcript IS NOT NULL").select("record_id", "account_id", F.struct(F.xxhash64("transcript").alias("h"), F.monotonically_increasing_id().alias("i")).alias("version"), F.split("transcript", r"\r\n|\n|\r").alias("ls"))
-    e = d.select("record_id", "account_id", "version", F.posexplode("ls").alias("at", "raw"))
-    x = F.translate(F.regexp_replace("raw", _HIDDEN, ""), _WIDE, _THIN)
-    e = e.withColumn("x", x)
+    d = docs.where("record_id IS NOT NULL AND transcript IS NOT NULL").select(
+        "record_id", "account_id", F.struct(F.xxhash64("transcript").alias("h"), F.monotonically_increasing_id().alias("i")).alias("version"),
+        F.split(F.translate(F.when(F.col("transcript").rlike(_HIDDEN), F.regexp_replace("transcript", _HIDDEN, "")).otherwise(F.col("transcript")), _WIDE, _THIN), r"\r\n|\n|\r").alias("ls"),
+    )
+    e = d.select("record_id", "account_id", "version", F.posexplode("ls").alias("at", "x"))
     x = F.col("x")
-    cue, voice = _field(x, speech.CUE, 1), _field(x, speech.VOICE, 1)
-    head = x.rlike(speech.VTT_HEAD) | cue.isNotNull()
-    s_label, l_label = _field(x, speech.STAMP_FIRST, 2), _field(x, speech.LABEL_FIRST, 1)
-    label = F.when(head, None).otherwise(F.coalesce(voice, s_label, l_label))
-    clock = F.coalesce(cue, F.when(voice.isNull(), F.when(s_label.isNotNull(), _field(x, speech.STAMP_FIRST, 1)).when(l_label.isNotNull(), F.coalesce(_field(x, speech.LABEL_FIRST, 2), _field(x, speech.LABEL_FIRST, 3)))))
-    text = (
-        F.when(head, F.lit(""))
-        .when(voice.isNotNull(), F.regexp_extract(x, speech.VOICE, 2))
-        .when(s_label.isNotNull(), F.regexp_extract(x, speech.STAMP_FIRST, 3))
-        .when(l_label.isNotNull(), F.regexp_extract(x, speech.LABEL_FIRST, 4))
-        .otherwise(x)
+    # A label ends in a colon or in a dash between blanks; a voice tag and a cue hold ">".
+    may = F.locate(":", x).between(1, 110) | F.contains(x, F.lit(">"))
+    cut_up = (
+        F.when(~may, F.concat(F.lit("\x01\x01"), x))
+        .when(F.contains(x, F.lit(">")) & x.rlike(speech.CUE), F.regexp_replace(x, speech.CUE, "$1\x01\x01\x02"))
+        .when(F.contains(x, F.lit("<v")), F.regexp_replace(x, speech.VOICE, "\x01$1\x01$2"))
+        .otherwise(F.regexp_replace(F.regexp_replace(x, speech.STAMP_FIRST, "$1\x01$2\x01$3"), speech.LABEL_FIRST, "$2$3\x01$1\x01$4"))
     )
-    said = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "</?v[^>]*>", ""), speech.NOTE, " "), r"\s+", " "))
+    parts = F.split(F.col("y"), "\x01", 3)
+    e = e.select("record_id", "account_id", "version", (F.col("at") + 1).alias("line_no"), cut_up.alias("y")).withColumn("p", parts)
+    plain = F.size("p") < 3
+    text = F.when(plain, F.col("y")).otherwise(F.col("p")[2])
+    e = e.select(
+        "record_id", "account_id", "version", "line_no", F.when(~plain, F.nullif(F.trim(F.col("p")[0]), F.lit(""))).alias("clock"), F.when(~plain, F.nullif(F.trim(F.col("p")[1]), F.lit(""))).alias("label"),
+        text.startswith("\x02").alias("cue"), text.alias("text"),
+    )
+    head = F.col("cue") | (F.length("text") < 200) & F.col("text").rlike(speech.VTT_HEAD)
+    tagged = F.when(F.contains("text", F.lit("</v")), F.regexp_replace("text", "</?v[^>]*>", "")).otherwise(F.col("text"))
+    noted = F.when(tagged.rlike(_MAY_NOTE), F.regexp_replace(tagged, speech.NOTE, " ")).otherwise(tagged)
+    e = e.select("record_id", "account_id", "version", "line_no", "clock", "label", "cue", F.when(head, F.lit("")).otherwise(noted).alias("said"))
     parts = F.split(F.regexp_replace("clock", "[.,].*$", ""), ":")
     sec = F.aggregate(parts, F.lit(0), lambda a, b: a * 60 + b.cast("int")) + F.coalesce(F.concat(F.lit("0."), F.nullif(F.regexp_extract("clock", "[.,](\\d+)$", 1), F.lit(""))).cast("double"), F.lit(0.0))
-    e = e.select("record_id", "account_id", "version", (F.col("at") + 1).alias("line_no"), "raw", label.alias("label"), clock.alias("clock"), cue.isNotNull().alias("cue"), said.alias("said"))
-    return e.select("record_id", "account_id", "version", "line_no", "raw", "label", sec.alias("stamp"), "cue", "said", (~F.col("said").rlike(speech.FILLER_LINE)).alias("spoken"))
+    spoken = ~F.col("said").rlike(speech.FILLER_LINE)
+    return e.select("record_id", "account_id", "version", "line_no", "label", sec.alias("stamp"), "cue", F.trim(F.regexp_replace("said", r"\s+", " ")).alias("said"), spoken.alias("spoken"))
+
+
+_MAY_NOTE = r"[\[【♪*<(]|--"
 
 
 def units_of(docs: DataFrame) -> DataFrame:
