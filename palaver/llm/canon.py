@@ -154,11 +154,19 @@ _MOVES = re.compile("[" + _ranges(sorted(c for c in _DROP if c < 0x10000)) + "\u
 _ALL = _ONE | _DROP
 _CLUSTER = re.compile("[\\s\\S][\u0300-\u036f\uff9e\uff9f\u3099\u309a़]*")
 
+_SINGLE = re.compile("[" + _ranges(sorted(c for c in _ONE if c < 0x10000 and chr(c) != _ONE[c])) + "]")
+
+
+def _single(m: re.Match) -> str:
+    return _ONE[ord(m.group())]
+
 
 def aligned(text: str) -> tuple[str, list[int] | None]:
     """text folded for matching, and for each character of it the position in text (from 0) of its last code point; None: the positions are the same."""
+    if text.isascii():
+        return text, None
     if not _MOVES.search(text):
-        return text.translate(_ONE), None
+        return _SINGLE.sub(_single, text), None
     out: list[str] = []
     at: list[int] = []
     for m in _CLUSTER.finditer(text):

@@ -73,17 +73,18 @@ class Model:
         starts, flat = [], []
         for t in texts:
             starts.append(len(flat))
-            for w in _TOKEN.findall(t.lower()):
-                i = get(w)
-                flat.append(self._word(w) if i is None else i)
-        del ids
+            words = _TOKEN.findall(t.lower())
+            row = [get(w, -1) for w in words]
+            if -1 in row:
+                row = [ids[w] if w in ids else self._word(w) for w in words]
+            flat += row
         bounds = [*starts, len(flat)]
         total = np.zeros((len(texts), self.sums.shape[1]))
         if flat:
             run = np.vstack([np.zeros((1, self.sums.shape[1])), np.cumsum(self.sums[flat], axis=0)])
             total = run[bounds[1:]] - run[bounds[:-1]]
         n = np.maximum(total[:, -1:], 1.0)
-        margins = (total[:, :-1] / n * 1.0 + self.bias) * self.scale
+        margins = (total[:, :-1] / n + self.bias) * self.scale
         return np.logaddexp(0, -margins[:, None, :] * CODE[None]).sum(axis=2), total[:, -1]
 
 
@@ -92,12 +93,9 @@ def classify(model: Model, texts: list[str]) -> list[tuple[str, float, bool, flo
     if not texts:
         return []
     loss, n = model.lines(texts)
-    out = []
-    for row, seen in zip(loss, n, strict=True):
-        best, second = np.argsort(row)[:2]
-        p = np.exp(row.min() - row)
-        out.append((CLASSES[best], float(p.max() / p.sum()), bool(row[second] - row[best] < NEAR), float(seen)))
-    return out
+    order = np.sort(loss, axis=1)
+    conf = 1 / np.exp(order[:, :1] - order).sum(axis=1)
+    return [(CLASSES[b], c, u, s) for b, c, u, s in zip(loss.argmin(axis=1).tolist(), conf.tolist(), (order[:, 1] - order[:, 0] < NEAR).tolist(), n.tolist(), strict=True)]
 
 
 def _bare(text: str) -> str:

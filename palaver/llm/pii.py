@@ -134,6 +134,7 @@ class Vocabulary:
     def __init__(self, odds: dict[str, dict[str, int]], letters: dict[str, float]):
         self.odds, self.letters = odds, letters
         self.cache: dict[str, int] = {}
+        self.slots = [tuple(odds.get(f"{k}{at}", {}) for at in ("-1", "-2", "+1")) for k in KINDS]
 
     def name_like(self, word: str) -> int:
         """0 to 8: how much the letters of a word read as a name."""
@@ -147,19 +148,16 @@ class Vocabulary:
             self.cache[word] = got
         return got
 
-    def bin(self, slot: str, word: str) -> int:
-        return self.odds.get(slot, {}).get(word, 4)
-
 
 def features(s: str, c: Span, v: Vocabulary) -> tuple[int, ...]:
     """Small integers: format and context of a candidate."""
     text = s[c.start : c.end]
     one, two, nxt, first = context(s, c.start, c.end)
-    k = KINDS[c.kind]
-    ctx = (v.bin(f"{k}-1", one), v.bin(f"{k}-2", two), v.bin(f"{k}+1", nxt), int(first))
+    a, b, d = v.slots[c.kind]
+    ctx = (a.get(one, 4), b.get(two, 4), d.get(nxt, 4), int(first))
     if c.kind == 4:
-        words = text.split()
-        likes = [v.name_like(w) for w in words]
+        words = [text] if text.isalpha() else text.split()
+        likes = [v.cache[w] if w in v.cache else v.name_like(w) for w in words]
         left = s[c.start - 1 : c.start] if c.start else ""
         wider = int(s[c.end : c.end + 1] in " \n" and s[c.end + 1 : c.end + 2].isupper()) + 2 * int(one[:1].isalpha() and s[max(0, c.start - 1 - len(one)) : c.start][:1].isupper())
         script = 0 if text[0] < "ɐ" else 1 if "ऀ" <= text[0] <= "ॿ" else 2
