@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.schema_drift"]
+from .stage import ship
+
+MODULES = ["operators.schema_drift", "operators.signals", "operators.texts", "sources.transcripts", "operators.privacy", "operators.people", "operators.dynamics"]
+
+
+def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return f(spark, folder)
+
+    return run
 
 
 def gather(modules: list[str], package: str) -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
@@ -16,6 +28,6 @@ def gather(modules: list[str], package: str) -> tuple[dict[str, Callable[[SparkS
     sql: dict[str, str] = {}
     for name in modules:
         m = import_module(f".{name}", package)
-        queries |= m.QUERIES
+        queries |= {k: _shipped(f) for k, f in m.QUERIES.items()}
         sql |= m.SQL
     return queries, sql
