@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .stage import ship
 
-MODULES = ["operators.schema_drift", "operators.signals", "operators.texts", "sources.transcripts", "operators.privacy", "operators.people", "operators.dynamics"]
+MODULES = ["operators.schema_drift", "operators.signals", "operators.texts", "sources.transcripts", "operators.privacy", "operators.people", "operators.dynamics", "operators.grounding", "operators.evaluation", "operators.retrieval"]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
