@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_id
 
-#: Query vectors that one pass over the store carries to its tasks.
+#: Query vectors that one pass over the store carries to its tasks, about; they are dealt to passes by hash.
 BLOCK = 4096
 
 
@@ -24,16 +24,14 @@ def topk(store: DataFrame, queries: DataFrame, k: int, least: float | None = Non
     to the lower vec_id; null, empty and zero vectors match nothing.
     """
     cols = ["query_id", "embedding", *([same] if same else [])]
-    q = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select(*cols).withColumn("b", F.row_number().over(W.orderBy("query_id")))
+    q = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select(*cols)
+    blocks = -(-q.count() // BLOCK)
     out = None
-    done = 0
-    while True:
-        rows = q.where((F.col("b") > done) & (F.col("b") <= done + BLOCK)).collect()
-        if not rows:
-            break
-        found = _block(store, rows, k, same)
-        out = found if out is None else out.union(found)
-        done += BLOCK
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if rows:
+            found = _block(store, rows, k, same)
+            out = found if out is None else out.union(found)
     if out is None:
         return store.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, place int")
     w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")

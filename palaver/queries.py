@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .stage import ship
 
-MODULES = ["operators.schema_drift", "operators.signals", "operators.texts", "sources.transcripts", "operators.privacy", "operators.people", "operators.dynamics", "operators.grounding", "operators.evaluation", "operators.retrieval"]
+MODULES = [
+    "plans.pipeline", "operators.signals", "operators.texts", "sources.transcripts", "operators.privacy", "operators.people", "operators.dynamics", "operators.grounding", "operators.evaluation",
+    "operators.retrieval", "operators.logs", "operators.results", "operators.reports", "operators.schema_drift",
+]
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
