@@ -24,7 +24,8 @@ def normal_name(c: Column, anchored: bool = False) -> Column:
     return F.when(F.lower(n).isin(*lexicon.ROLE_ONLY), "").otherwise(n)
 
 
-_ANY_LABEL = r"(?:\[\d{2}:\d{2}(?::\d{2})?\]\s*)?([^\n:：\[\]]+)\s*[:：]"
+# A run is taken from its first character only and never given back, so a long line without a colon is read once.
+_ANY_LABEL = r"(?<![^\n:：\[\]])([^\n:：\[\]]++)[:：]"
 
 
 def speakers(df: DataFrame) -> DataFrame:
@@ -39,10 +40,9 @@ def role(c: Column) -> Column:
     inside = F.regexp_extract(c, r"[\(（【]([^\)）】]*)[\)）】]", 1)
 
     def candidates(t: Column, bracket: bool) -> Column:
-        ja = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(r).alias("rank")) for w, r in lexicon.RANK_JA))
-        en = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(r).alias("rank")) for w, r in lexicon.RANK_EN))
-        hit = F.concat(F.filter(ja, lambda x: F.contains(t, x["w"])), F.filter(en, lambda x: F.regexp_like(F.lower(t), F.concat(F.lit(r"\b"), x["w"], F.lit(r"\b")))))
-        return F.transform(hit, lambda x: F.struct((F.trim(t) if bracket else x["w"]).alias("role"), x["rank"].alias("rank")))
+        low = F.lower(t)
+        hit = [(F.contains(t, F.lit(w)), w, r) for w, r in lexicon.RANK_JA] + [(low.rlike(rf"\b{w}\b"), w, r) for w, r in lexicon.RANK_EN]
+        return F.array_compact(F.array(*(F.when(has, F.struct((F.trim(t) if bracket else F.lit(w)).alias("role"), F.lit(r).alias("rank"))) for has, w, r in hit)))
 
     every = F.concat(candidates(inside, True), candidates(c, False))
     none = F.struct(F.lit("").alias("role"), F.lit(0).alias("rank"))

@@ -52,10 +52,19 @@ def _literal(entries) -> Column:
     return F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("kind"), F.lit(t).alias("tier"), F.lit(c).alias("ci"), F.lit(v).alias("confidence")) for p, k, t, c, v in entries))
 
 
+def _once(c: Column, f) -> Column:
+    """f of a struct of the text and its lower case, both bound once, so that the lower case isn't made again for each phrase."""
+    t = F.coalesce(c, F.lit(""))
+    return F.get(F.transform(F.array(F.struct(F.lower(t).alias("low"), t.alias("text"))), f), F.lit(0))
+
+
+def _held(phrases: tuple[str, ...]):
+    return lambda t: F.filter(F.array(*map(F.lit, phrases)), lambda e: F.contains(t["text"], e))
+
+
 def scan(c: Column, entries) -> Column:
-    """The entries that a text holds, in the order of the list. Null gives null, the empty text none."""
-    low = F.lower(c)
-    return F.filter(_literal(entries), lambda e: F.when(e["ci"], F.contains(low, e["phrase"])).otherwise(F.contains(c, e["phrase"])))
+    """The entries that a text holds, in the order of the list. Null counts as empty, and the empty text holds none."""
+    return _once(c, lambda t: F.filter(_literal(entries), lambda e: F.when(e["ci"], F.contains(t["low"], e["phrase"])).otherwise(F.contains(t["text"], e["phrase"]))))
 
 
 _LABEL = r"^\*?\*?([^:*\[\]【】\n]{1,50}?)\*?\*?\s*[：:]\s*"
@@ -114,7 +123,7 @@ def english(df: DataFrame) -> DataFrame:
         d = d.withColumn(f"{k.lower()}_n", _count("_s", "tier", k))
     h, m, lo = F.col("high_n"), F.col("medium_n"), F.col("low_n")
     level = F.when((F.col("escalation_n") > 0) | (h >= 2), "HIGH").when((h >= 1) | (m >= 3), "MEDIUM").when((m >= 1) | (lo >= 3), "LOW").when(F.size("_s") > 0, "MINIMAL").otherwise("NONE")
-    weak, strong = (F.size(F.filter(F.array(*map(F.lit, p)), lambda e: F.contains(low, e))) for p in (x.WEAK_COMMITMENT, x.STRONG_COMMITMENT))
+    weak, strong = (F.size(_once(low, _held(p))) for p in (x.WEAK_COMMITMENT, x.STRONG_COMMITMENT))
     d = d.withColumn("friction_level", level).withColumn("weak_n", weak).withColumn("strong_n", strong)
     return d.withColumn("commitment", F.when(F.col("strong_n") > F.col("weak_n"), "STRONG").when(F.col("weak_n") > 0, "WEAK").otherwise("MODERATE")).drop("_s")
 
@@ -122,9 +131,8 @@ def english(df: DataFrame) -> DataFrame:
 def hindi(df: DataFrame) -> DataFrame:
     """Hindi indirection by category (Latin letters without case, else Devanagari), its risk level, and formality."""
     c = F.coalesce("transcript", F.lit(""))
-    low = F.lower(c)
     lit = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(cat).alias("kind"), F.lit(sev).alias("tier")) for p, d, cat, sev, _ in HINDI))
-    d = df.withColumn("_s", F.filter(lit, lambda e: F.contains(low, e["p"]) | F.contains(c, e["d"])))
+    d = df.withColumn("_s", _once(c, lambda t: F.filter(lit, lambda e: F.contains(t["low"], e["p"]) | F.contains(t["text"], e["d"]))))
     d = d.withColumn("hindi_n", F.size("_s"))
     for k in sorted({e[2] for e in HINDI}):
         d = d.withColumn(f"{k.lower()}_n", _count("_s", "kind", k))
