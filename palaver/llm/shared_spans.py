@@ -228,12 +228,13 @@ def shared_spans(docs: DataFrame, both: bool = False) -> DataFrame:
     hot = texts.select("doc_id", "text", F.filter("found", lambda x: x["many"]).alias("found")).where(F.size("found") > 0)
     w = cut(frames.rows_out(hot, _windows, "doc_id bigint, h bigint, h2 bigint, at bigint", [("doc_id", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("at", pa.int64())]))
     more = w.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h", "h2")
-    w = w.join(more, ["h", "h2"]).groupBy("h", "h2", "doc_id").agg(F.min("at").alias("at"))
+    w = w.join(more, ["h", "h2"])
     if both:  # what is shared is enough: one partner stands for all
         first = w.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.max(F.struct("doc_id", "at")).alias("y"))
         wb = w.join(first, ["h", "h2"]).withColumn("o", F.when(F.col("doc_id") == F.col("x.doc_id"), F.col("y")).otherwise(F.col("x")))
         exact = wb.select(F.col("o.doc_id").alias("doc_a"), F.col("o.at").alias("start_a"), F.col("doc_id").alias("doc_b"), F.col("at").alias("start_b"), (F.col("at") + LEAST).alias("end_b"))
     else:
+        w = w.groupBy("h", "h2", "doc_id").agg(F.min("at").alias("at"))
         wa, wb = (w.select("h", "h2", F.col("doc_id").alias(f"doc_{x}"), F.col("at").alias(f"start_{x}")) for x in "ab")
         exact = wa.join(wb, ["h", "h2"]).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.min("start_a").alias("start_a"), F.min("start_b").alias("start_b"))
         exact = exact.select("doc_a", "start_a", "doc_b", "start_b", (F.col("start_b") + LEAST).alias("end_b"))
