@@ -38,7 +38,7 @@ _JA_ADDRESS = re.compile(
 _HI_ADDRESS = re.compile(r"(?:(?:फ्लैट|मकान|प्लॉट|यूनिट|घर)(?: नं\.?| संख्या)? ?[0-9०-९]+[A-Zक-ह]?, ?)?[0-9०-९]{1,4} [ऀ-ॣ]+(?: [ऀ-ॣ]+)?(?:, ?(?:सेक्टर [0-9०-९]+|[ऀ-ॣ]+(?: [ऀ-ॣ]+)?(?: ?[0-9]{6})?))+")
 _LATIN_NAME = re.compile(r"(?<![A-Za-zÀ-ɏ@.\d_-])" + _CAP.replace("(?:-[a-z]{2,4})?", "") + r"(?:[ \n]" + _CAP.replace("(?:-[a-z]{2,4})?", "") + r")*")
 _HONOR = "様|さん|氏|くん|君|殿|先生|部長|課長|係長|主任|社長|専務|常務|会長"
-_JA_NAME = re.compile(r"(?<![" + _JA + r"ァ-ヺー])((?:[" + _JA + r"]{1,4}[ \n]?[" + _JA + r"]{1,4}|[" + _JA + r"]{1,6}|[ァ-ヺー]{2,10}))(?=" + _HONOR + ")")
+_JA_NAME = re.compile(r"(?<![" + _JA + r"ァ-ヺー])((?:[" + _JA + r"]{1,4}[ \n]?[" + _JA + r"]{1,4}|[" + _JA + r"]{1,6}|[ァ-ヺー]{2,10}))(?<![仕同模多異有])(?=" + _HONOR + ")")
 _HI_WORD = r"(?!(?:ने|को|का|की|के|जी|से|में|पर|और|है|हैं)(?![ऀ-ॣ]))[ऀ-ॣ]{2,}"
 _HI_PAIR = _HI_WORD + r"(?:[ \n]" + _HI_WORD + r")?"
 _HI_NAME = re.compile(r"(?<![ऀ-ॣ])" + _HI_PAIR + r"(?=[ \n](?:जी|साहब|सर|भाई|मैडम)(?![ऀ-ॣ]))|(?<=डॉ\.[ \n])" + _HI_PAIR + r"|(?<=श्री[ \n])" + _HI_PAIR + r"|(?<=क्या[ \n])" + _HI_PAIR + r"(?=[ \n][0-9])|(?<![ऀ-ॣ])" + _HI_PAIR + r"(?=[ \n]ने(?![ऀ-ॣ]))")
@@ -46,6 +46,7 @@ _BEFORE = re.compile(r"(?:[A-Za-zÀ-ɏ']+\.?|[ऀ-ॣ]+\.?|[" + _JA + r"]+|[ぁ-
 _AFTER = re.compile(r"\s*([A-Za-zÀ-ɏ']+|[ऀ-ॣ]+|[" + _JA + r"]{1,2}|[ぁ-ゟ]{1,2}|[0-9]|[^\s\w])")
 
 
+_TITLE = re.compile(r"(?:Dr|Mr|Ms|Mrs|Prof|डॉ|श्री|e\.g|vs|approx|No)\.$")
 _AT = re.compile(r"[\[(] ?at ?[\])]", re.I)
 _LONG = re.compile(r"\d[ .()-]{0,2}\d{3}")
 _PLACE = re.compile(r"\d[A-Z]? [A-ZÀ-Þ]")
@@ -108,9 +109,9 @@ def context(s: str, start: int, end: int) -> tuple[str, str, str, bool]:
     """(word before, word before that, word behind, at the start of a sentence), in lower case. Between blanks a word is what stands there; in scripts without blanks a run of one kind of character."""
     before = s[max(0, start - 28) : start]
     tail = before.rstrip()
-    first = not tail or tail[-1] in ".!?。！？।|」\"" or "\n" in before[len(tail) :]
-    if not tail:
-        one = two = ""
+    first = not tail or tail[-1] in "!?。！？।|」\"" or tail[-1] == "." and not _TITLE.search(tail)
+    if not tail or first:
+        one = two = ""  # another sentence says nothing about this one
     elif tail[-1] > "\u2fff":
         m = _BEFORE.search(tail, max(0, len(tail) - 8))
         one = m.group() if m else ""
@@ -120,6 +121,8 @@ def context(s: str, start: int, end: int) -> tuple[str, str, str, bool]:
     else:
         words = tail.lower().replace(",", " ").replace("…", " ").split() or [""]
         one, two = words[-1], words[-2] if len(words) > 1 else ""
+        if two[-1:] in (".", "!", "?", "।", "|", '"'):
+            two = ""
     m = _AFTER.match(s, end, end + 20)
     return one, two, m.group(1).lower() if m else "", first
 
@@ -161,7 +164,7 @@ def features(s: str, c: Span, v: Vocabulary) -> tuple[int, ...]:
         left = s[c.start - 1 : c.start] if c.start else ""
         wider = int(s[c.end : c.end + 1] in " \n" and s[c.end + 1 : c.end + 2].isupper()) + 2 * int(one[:1].isalpha() and s[max(0, c.start - 1 - len(one)) : c.start][:1].isupper())
         script = 0 if text[0] < "ɐ" else 1 if "ऀ" <= text[0] <= "ॿ" else 2
-        return (*ctx, len(words), min(likes), max(likes), likes[-1], wider, script, min(len(text), 20), int(left in "\"「(（"), int(s[c.end : c.end + 1] in "様さ氏部課君殿先主"))
+        return (*ctx, len(words), min(likes), max(likes), wider, script, int(left in "\"「(（"), int(s[c.end : c.end + 1] in "様さ氏部課君殿先主"))
     n = sum(x.isdigit() for x in text)
     letters = sum(x.isalpha() for x in text)
     groups = re.findall(r"\d+", text)
@@ -194,7 +197,7 @@ class Finder:
 
     def find(self, s: str) -> list[Span]:
         """Selected spans, in order: those that reach their kind's threshold; of overlapping ones formats before names, then the surest, then the longest."""
-        made = [(c.kind == 4, -round(min(p, 1.5), 1), c.start - c.end, c) for c in set(spans(s)) if (p := self.score(s, c)) >= 1]
+        made = [(c.kind == 4, -round(p, 2), c.start - c.end, c) for c in set(spans(s)) if (p := self.score(s, c)) >= 1]
         taken: list[Span] = []
         for *_, c in sorted(made):
             if all(c.end <= t.start or c.start >= t.end for t in taken):
