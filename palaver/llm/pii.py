@@ -67,9 +67,13 @@ def spans(s: str) -> Iterator[Span]:
     if "@" in s or _AT.search(s):
         for m in _EMAIL.finditer(s):
             yield Span(m.start(), m.end(), 0)
+            if m.group().count(".") > 1:
+                yield Span(m.start(), s.rindex(".", m.start(), m.end()), 0)
     if " dot " in s or " DOT " in s:
         for m in _SAID_EMAIL.finditer(s):
             yield Span(m.start(), m.end(), 0)
+            if m.group().lower().count(" dot ") > 1:
+                yield Span(m.start(), m.start() + m.group().lower().rindex(" dot "), 0)
     if _LONG.search(s):
         for m in _DIGITS.finditer(s):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 14:

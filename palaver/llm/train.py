@@ -189,6 +189,8 @@ def _sure_kind(s: str, c, held: set[str]) -> int | None:
     kind = KINDS[c.kind]
     known = re.sub(r"\s+", " ", t).strip(" 。.") in held
     if kind == "email":
+        if re.match(r"\.[A-Za-z0-9]|\s?(?:dot|\[dot\]) ", s[c.end : c.end + 8], re.I):
+            return 0  # cut short
         return 1 if known or re.search(r"@|\[at\]", t) or " dot " in t.lower() else 0
     if kind == "address":
         return int(known or sum(x in t.lower() for x in PLACE_CUES) > 0)
