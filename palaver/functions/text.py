@@ -245,3 +245,33 @@ def rouge1(a: Column, b: Column) -> Column:
 
 def literal_map(pairs) -> Column:
     return F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in pairs)))
+
+
+# Stop words of the similarity of two Japanese or English texts.
+_SIMILAR_STOPS = ("の", "は", "が", "を", "に", "で", "と", "も", "か", "な", "て", "し", "た", "です", "ます", "する", "いる", "ある", "こと", "ため", "the", "a", "an", "is", "are", "to", "of", "and", "or", "in")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """F1 of the tokens of two texts without stop words, to three places; 0 where one has none."""
+    stops = F.array(*map(F.lit, _SIMILAR_STOPS))
+    return rouge1(F.array_except(F.array_distinct(ja_tokens(a)), stops), F.array_except(F.array_distinct(ja_tokens(b)), stops))
+
+
+def context_of(c: Column, phrase: Column, window: int = 100, kept: int = 120) -> Column:
+    """The text around the first hit of a phrase, whatever its case: `window` characters on either side, stripped, the first `kept`; null without a hit."""
+    at = F.position(F.lower(phrase), F.lower(c))
+    start = F.greatest(at - window, F.lit(1))
+    return F.when(at > 0, F.substring(strip(F.substr(c, start, at + F.length(phrase) + window - start)), 1, kept))
+
+
+def speaker_before(c: Column, phrase: Column) -> Column:
+    """The last word before a colon that stands before the first hit of a phrase and is no number, else Unknown."""
+    at = F.position(F.lower(phrase), F.lower(c))
+    names = F.filter(F.regexp_extract_all(F.substr(c, F.lit(1), F.greatest(at - 1, F.lit(0))), F.lit(r"([^\s\[\]:：\n]{2,30})\s*[:：]")), lambda n: ~n.rlike(r"^\d+$"))
+    return F.when((at > 0) & (F.size(names) > 0), F.element_at(names, -1)).otherwise("Unknown")
+
+
+def failure_class(c: Column) -> Column:
+    """What kind of failure an error text tells of."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(low == "", "none").when(low.rlike("rate|limit|quota|429"), "rate_limit").when(low.rlike("time ?out|timed"), "timeout").when(low.rlike("auth|key|401|403"), "auth").otherwise("other")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions.text import clock, strip, topic_terms
 from ..sources.seed import MEETINGS, meetings
-from .people import normal_name, role_hints
+from .people import name_sql, normal_name, role_hints, strip_sql
 
 _LINE = r"^(?:\[\d{2}:\d{2}(?::\d{2})?\]\s*)?([^\n:：\[\]]+)\s*[:：]\s*(.*)$"
 
@@ -122,5 +122,12 @@ def q_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"turns_parsed": q_turns, "topic_stalls": q_stalls, "senior_silence": q_silence, "closing_summarizer": q_closing, "talk_time_from_clock": q_talk, "talk_share_chars": q_shares}
-SQL: dict[str, str] = {}
-del MEETINGS
+_P = "'^(?:\\[\\d{2}:\\d{2}(?::\\d{2})?\\]\\s*)?([^\\n:：\\[\\]]+)\\s*[:：]\\s*(.*)$'"
+_TURNS = f"""(SELECT meeting_id, turn - 1 AS turn_idx, max(CASE WHEN new THEN name END) AS speaker, string_agg(said, ' ' ORDER BY pos) AS text FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY meeting_id ORDER BY pos) AS turn FROM (
+ SELECT meeting_id, pos, name, label <> '' AND NOT regexp_matches(label, '^[0-9]+$') AND name <> '' AS new, CASE WHEN label <> '' AND NOT regexp_matches(label, '^[0-9]+$') THEN said ELSE line END AS said
+ FROM (SELECT *, {name_sql("label")} AS name FROM (SELECT meeting_id, pos, line, {strip_sql(f"regexp_extract(line, {_P}, 1)")} AS label, {strip_sql(f"regexp_extract(line, {_P}, 2)")} AS said FROM (
+ SELECT meeting_id, pos, {strip_sql("line")} AS line FROM (SELECT meeting_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT meeting_id, string_split(transcript, chr(10)) AS l FROM {MEETINGS}))) WHERE line <> '')))) WHERE turn > 0 GROUP BY meeting_id, turn)"""
+SQL = {
+    "turns_parsed": f"SELECT meeting_id, count(*) AS turns, count(DISTINCT speaker) AS speakers, sum(length(text)) AS chars FROM {_TURNS} GROUP BY meeting_id",
+    "talk_share_chars": f"SELECT *, sum(chars) OVER (PARTITION BY meeting_id) AS total FROM (SELECT meeting_id, speaker, sum(length(text)) AS chars, count(*) AS turns FROM {_TURNS} GROUP BY meeting_id, speaker)",
+}

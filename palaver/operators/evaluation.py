@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import code_switches, grade, ja_tokens, keigo_expected, names_match, rouge1
-from .signals import nemawashi
+from .signals import REJECTIONS, nemawashi, scan
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -92,10 +92,24 @@ def sentiment_scores(pred: DataFrame, ref: DataFrame) -> DataFrame:
     return g.withColumn("grade", grade(F.col("soft_accuracy")))
 
 
-def japan_check(meetings: DataFrame) -> DataFrame:
-    """meeting_id, keigo_expected, code_switch_count, nemawashi_found from the text, to hold against predictions."""
+def japan_check(meetings: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """meeting_id, keigo_expected, code_switch_count, nemawashi_found from the text; with predictions (meeting_id, keigo, signals, switches) also precision and recall of signals, a keigo grade and the difference of switches.
+
+    A signal is right where it holds a found phrase or lies in one; where none is right, the found phrases themselves get the credit.
+    """
     t = F.col("transcript")
-    return meetings.select("meeting_id", keigo_expected(t).alias("keigo_expected"), code_switches(t).alias("code_switch_count"), F.size(nemawashi(t)).alias("nemawashi_found"))
+    found = F.concat(F.transform(scan(t, [e for e in REJECTIONS if e[2] in "HML"]), lambda e: e["phrase"]))
+    d = meetings.select("meeting_id", keigo_expected(t).alias("keigo_expected"), code_switches(t).alias("code_switch_count"), F.size(nemawashi(t)).alias("nemawashi_found"), F.when(F.size(found) > 0, found).otherwise(nemawashi(t)).alias("detected"))
+    if predicted is None:
+        return d.drop("detected")
+    d = d.join(predicted.select("meeting_id", "keigo", F.coalesce("signals", F.array().cast("array<string>")).alias("signals"), "switches"), "meeting_id", "left")
+    right = F.filter("signals", lambda s: F.exists("detected", lambda x: F.contains(s, x) | F.contains(x, s)))
+    d = d.withColumn("right", F.when((F.size(right) == 0) & (F.size("detected") > 0), F.col("detected")).otherwise(right))
+    n, s, f = F.size("right"), F.size("signals"), F.size("detected")
+    d = d.withColumn("precision", F.when(s > 0, F.bround(n / s, 3)).when(f > 0, 1.0).otherwise(0.0)).withColumn("recall", F.when(f > 0, F.bround(n / f, 3)).otherwise(1.0))
+    near = ((F.col("keigo_expected") == "high") & F.col("keigo").isin("high", "medium")) | ((F.col("keigo_expected") == "medium") & F.col("keigo").isin("high", "medium", "low")) | ((F.col("keigo_expected") == "low") & F.col("keigo").isin("medium", "low"))
+    d = d.withColumn("keigo_grade", F.when(F.col("keigo") == F.col("keigo_expected"), "PASS").when(near, "PARTIAL").otherwise("FAIL")).withColumn("switch_difference", F.abs(F.coalesce("switches", F.lit(0)) - F.col("code_switch_count")))
+    return d.withColumn("grade", grade(F.col("recall"))).drop("detected", "right", "signals", "keigo", "switches")
 
 
 def overall(summary: DataFrame, actions: DataFrame, sentiment: DataFrame, risk: DataFrame | None = None) -> DataFrame:

@@ -110,9 +110,25 @@ def q_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"speaker_names": q_speakers, "role_hints": q_roles, "unified_owners": q_unified, "surname_dictionary": q_surnames, "senior_by_account": q_titles}
+_WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def name_sql(c: str) -> str:
+    """normal_name in SQL."""
+    n = f"regexp_replace(regexp_replace({strip_sql(c)}, '^([^(]*?){_WS}*\\)$', '\\1'), '^\\({_WS}*([^)]*)$', '\\1')"
+    n = f"regexp_replace(regexp_replace({n}, '{_WS}*\\([^)]*\\)', '', 'g'), '{_WS}*【[^】]*】', '', 'g')"
+    n = strip_sql(f"regexp_replace({n}, '(?i){_WS}*(?:{_ROLE}){_WS}*', '', 'g')")
+    return f"CASE WHEN lower({n}) IN (" + ", ".join("'" + r + "'" for r in lexicon.ROLE_ONLY) + f") THEN '' ELSE {n} END"
+
+
 _RANK = "greatest(" + ", ".join([f"CASE WHEN contains(job_title, '{w}') THEN {r} ELSE 0 END" for w, r in lexicon.RANK_JA] + [rf"CASE WHEN regexp_matches(lower(job_title), '\b{w}\b') THEN {r} ELSE 0 END" for w, r in lexicon.RANK_EN]) + ")"
 SQL = {
+    "speaker_names": f"""SELECT meeting_id, speaker, max_by(raw, pos) AS raw_label, count(*) AS turns FROM (SELECT meeting_id, pos, raw, {name_sql("raw")} AS speaker FROM (SELECT meeting_id, pos, {strip_sql("raw")} AS raw FROM (
+ SELECT meeting_id, unnest(r) AS raw, generate_subscripts(r, 1) AS pos FROM (SELECT meeting_id, regexp_extract_all(transcript, '(?:\\[\\d{{2}}:\\d{{2}}(?::\\d{{2}})?\\]\\s*)?([^\\n:：\\[\\]]+)[:：]', 1) AS r FROM {MEETINGS}))) WHERE NOT regexp_matches(raw, '^[0-9]+$')) WHERE length(speaker) >= 2 GROUP BY meeting_id, speaker""",
     "surname_dictionary": f"SELECT length(kanji) AS characters, count(*) AS names, min(romaji) AS first FROM {rows(lexicon.SURNAMES, 's(romaji, kanji)')} GROUP BY 1",
     "senior_by_account": f"SELECT account_id, person_id, rank FROM (SELECT account_id, person_id, {_RANK} AS rank, row_number() OVER (PARTITION BY account_id ORDER BY {_RANK} DESC, person_id) AS n FROM people WHERE job_title IS NOT NULL) WHERE n = 1",
 }
-del MEETINGS

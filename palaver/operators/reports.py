@@ -89,6 +89,18 @@ def minutes_text(m: str) -> Column:
     return _lines(F.concat(F.lit("# "), p["title"]), F.concat(F.lit("日時: "), p["held_at"]), F.lit("## 出席者"), item(p["attendees"]), F.lit("## 議題"), item(p["topics"]), F.lit("## 決定事項"), item(p["decisions"]), F.lit("## アクションアイテム"), F.array_join(acts, "\n"))
 
 
+def cultural_report(df: DataFrame) -> DataFrame:
+    """meeting_id, report (Markdown) of rows (meeting_id, title, risk_level, signals as text, decisions, chain, closing_speaker, pivots, stalls): the cultural reading of a meeting; sections without content say so."""
+    none = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    item = lambda c, empty: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(empty)
+    chain = F.transform(F.coalesce("chain", F.array().cast("array<struct<approver:string,role:string>>")), lambda x: F.concat(x["approver"], F.when(_or(x["role"], "") != "", F.concat(F.lit(" ("), x["role"], F.lit(")"))).otherwise("")))
+    close = F.when(F.col("closing_speaker").isNotNull(), F.concat(F.lit("- "), F.col("closing_speaker"))).otherwise("- None detected")
+    return df.select("meeting_id", _lines(
+        F.concat(F.lit("# "), _or(F.col("title"), "会議")), F.concat(F.lit("Soft rejection risk: "), _or(F.col("risk_level"), "NONE")), F.lit("## Signals"), item(none("signals"), "- None detected"), F.lit("## Decisions"), item(none("decisions"), "- None recorded"),
+        F.lit("## Approval chain"), item(chain, "- 未指定 / Unassigned"), F.lit("## Closing"), close, F.concat(F.lit("Silences: "), _or(F.col("pivots").cast("string"), "0"), F.lit("; stalls: "), _or(F.col("stalls").cast("string"), "0")),
+    ).alias("report"))
+
+
 def slide_plan(df: DataFrame) -> DataFrame:
     """meeting_id, slide_number, slide_type, title, bullets of rows (meeting_id, summary, decisions, actions as text, signals as text, watch as text); slides without content are left out and the rest numbered."""
     empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
@@ -163,5 +175,19 @@ def q_chain(spark: SparkSession, folder: str) -> DataFrame:
     return approval_chain(p.select("meeting_id", "speaker", "h.role", "h.rank")).select("meeting_id", F.size("chain").alias("steps"), F.col("chain")[0]["approver"].alias("top"))
 
 
-QUERIES = {"text_notes": q_notes, "markdown_notes": q_markdown, "formal_minutes": q_minutes, "slide_plan": q_slides, "export_bundle": q_bundle, "approval_chain": q_chain}
+def q_cultural(spark: SparkSession, folder: str) -> DataFrame:
+    from ..sources.seed import meetings
+    from . import dynamics, signals
+    from .people import role_hints
+
+    m = meetings(spark, folder)
+    t, h = dynamics.turns(m), role_hints(m)
+    s = signals.signals(m).groupBy("meeting_id").agg(F.array_sort(F.collect_set(F.concat("speaker", F.lit(": "), "phrase"))).alias("signals"))
+    n = lambda d, c: d.groupBy("meeting_id").agg(F.count("*").alias(c))
+    d = signals.risk(m).select("meeting_id", "risk_level").join(s, "meeting_id", "left").join(approval_chain(h), "meeting_id", "left")
+    d = d.join(dynamics.closing_summarizer(t, h).select("meeting_id", F.col("speaker").alias("closing_speaker")), "meeting_id", "left").join(n(dynamics.senior_silence(t, h), "pivots"), "meeting_id", "left").join(n(dynamics.topic_stalls(t), "stalls"), "meeting_id", "left")
+    return cultural_report(d.withColumn("title", F.lit(None).cast("string")).withColumn("decisions", F.array().cast("array<string>")))
+
+
+QUERIES = {"cultural_report": q_cultural, "text_notes": q_notes, "markdown_notes": q_markdown, "formal_minutes": q_minutes, "slide_plan": q_slides, "export_bundle": q_bundle, "approval_chain": q_chain}
 SQL = {"export_bundle": "SELECT job_id, 3 AS keys FROM (SELECT DISTINCT job_id, language, transcript, result FROM analysis_jobs WHERE result IS NOT NULL)"}

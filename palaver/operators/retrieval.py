@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_id
+from ..functions.text import pseudo_embedding, safe_id
 
 #: Query vectors that one pass over the store carries to its tasks, about; they are dealt to passes by hash.
 BLOCK = 4096
@@ -101,6 +101,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     return cache_latest(old.unionByName(new, allowMissingColumns=True), key, at)
 
 
+def meeting_rows(analysed: DataFrame, at) -> DataFrame:
+    """Rows of the meeting store from analysed meetings (meeting_id, transcript, summary, language, risk_level, risk_label, keigo, speakers, actions): document, pseudo-embedding and metadata. Upsert them by meeting_id and date."""
+    doc = F.concat(F.col("transcript"), F.lit("\n\nSUMMARY: "), F.coalesce(F.array_join("summary", " "), F.lit("")))
+    return analysed.select(
+        "meeting_id", doc.alias("document"), pseudo_embedding(doc).alias("embedding"), at.alias("date"), "language", F.coalesce("risk_level", F.lit("NONE")).alias("soft_risk"), F.coalesce("risk_label", F.lit("UNKNOWN")).alias("halluc_risk"),
+        F.coalesce("keigo", F.lit("unknown")).alias("keigo_level"), F.coalesce("speakers", F.lit(0)).alias("speaker_count"), F.coalesce("actions", F.lit(0)).alias("action_count"), F.length("transcript").alias("char_length"),
+    )
+
+
+def excerpt(document):
+    """The first 300 characters before the summary."""
+    return F.substring(F.split(document, "\n\nSUMMARY:")[0], 1, 300)
+
+
+def vector_rows(results: DataFrame, at) -> DataFrame:
+    """Rows of the semantic cache from results (user_id, language, masked, result): the first 2000 characters of the masked text, its digest as id."""
+    return results.select(F.substring(F.regexp_replace("user_id", "[^a-zA-Z0-9_-]", "_"), 1, 40).alias("user_id"), "language", F.md5("masked").alias("doc_id"), F.substring("masked", 1, 2000).alias("document"), pseudo_embedding(F.substring("masked", 1, 2000)).alias("embedding"), "result", at.alias("stored_at"))
+
+
+def purge(entries: DataFrame, user: str | None = None) -> DataFrame:
+    """What is left of a cache after clearing one user's entries, or all."""
+    return entries.limit(0) if user is None else entries.where(F.col("user_id") != user)
+
+
 def users(seen: DataFrame) -> DataFrame:
     """user_id, first_seen, last_seen, visits of visits (user_id, seen_at): what is known of a user stays as first seen, only the last visit moves."""
     return seen.where("user_id IS NOT NULL").groupBy("user_id").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("visits"))
@@ -154,11 +178,22 @@ def q_cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     return j.groupBy(safe_id(F.col("account_id").cast("string"), 64).alias("user_dir")).agg(F.count("*").alias("entries"), F.sum(F.length("result")).alias("chars"))
 
 
-QUERIES = {"cosine_topk": q_topk, "cosine_topk_filtered": q_topk_label, "semantic_cache_hits": q_semantic_cache, "exact_cache_hits": q_exact_cache, "user_upserts": q_users, "session_history": q_history, "cache_stats": q_cache_stats}
+def q_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the meeting store of every request: sizes and metadata."""
+    r = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "transcript", "language").distinct()
+    n = F.lit(None).cast("string")
+    m = meeting_rows(r.withColumn("summary", F.array(F.lit("none"))).withColumn("risk_level", n).withColumn("risk_label", n).withColumn("keigo", n).withColumn("speakers", F.lit(None).cast("int")).withColumn("actions", F.lit(None).cast("int")), F.timestamp_seconds(F.lit(0)))
+    return m.select("meeting_id", "char_length", "soft_risk", "halluc_risk", F.length("document").alias("doc_chars"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("embedding_sum"), F.length(excerpt(F.col("document"))).alias("excerpt_chars"))
+
+
+QUERIES = {"meeting_store_rows": q_store, "cosine_topk": q_topk, "cosine_topk_filtered": q_topk_label, "semantic_cache_hits": q_semantic_cache, "exact_cache_hits": q_exact_cache, "user_upserts": q_users, "session_history": q_history, "cache_stats": q_cache_stats}
 _D = "CAST(embedding AS DOUBLE[])"
 _RANK = f"""SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS place
  FROM embeddings q JOIN embeddings e ON"""
 SQL = {
+    "meeting_store_rows": """SELECT meeting_id, length(transcript) AS char_length, 'NONE' AS soft_risk, 'UNKNOWN' AS halluc_risk, length(transcript) + 15 AS doc_chars,
+ round(list_sum(list_transform(string_split(left(transcript || chr(10) || chr(10) || 'SUMMARY: none', 384), ''), lambda c: unicode(c) / 1000.0)), 3) AS embedding_sum, least(300, length(string_split(transcript, chr(10) || chr(10) || 'SUMMARY:')[1])) AS excerpt_chars
+ FROM (SELECT DISTINCT request_id AS meeting_id, transcript, language FROM analyze_requests WHERE transcript IS NOT NULL)""",
     "cosine_topk": f"SELECT query_id, vec_id, place, round(s, 6) AS similarity FROM ({_RANK} TRUE WHERE q.vec_id % 20 = 0) WHERE place <= 5",
     "cosine_topk_filtered": f"SELECT query_id, vec_id, place FROM ({_RANK} q.label = e.label WHERE q.vec_id % 20 = 0) WHERE place <= 3",
     "semantic_cache_hits": f"SELECT query_id, vec_id FROM ({_RANK} e.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0) WHERE place = 1 AND s >= 0.2",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as x
+from ..functions.text import context_of, speaker_before
 from ..sources.seed import MEETINGS, meetings, rows, text
 
 #: (kind, tier, phrases, ignoring case, confidence)
@@ -192,6 +193,13 @@ def q_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return listing(spark).groupBy("kind", "tier").agg(F.count("*").alias("phrases"), F.max("confidence").alias("top_confidence"))
 
 
+def q_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """English friction phrases with the text around their first hit and the speaker before it."""
+    m = meetings(spark, folder)
+    e = m.select("meeting_id", "transcript", F.explode(scan(F.lower("transcript"), ENGLISH)).alias("s"))
+    return e.select("meeting_id", "s.phrase", F.length(context_of(F.col("transcript"), F.col("s.phrase"))).alias("context_chars"), speaker_before(F.col("transcript"), F.col("s.phrase")).alias("speaker"))
+
+
 def q_nemawashi(spark: SparkSession, folder: str) -> DataFrame:
     m = meetings(spark, folder)
     return m.select("meeting_id", F.size(nemawashi(F.col("transcript"))).alias("keywords"), F.size(nemawashi_roots(F.col("transcript"))).alias("roots"))
@@ -229,7 +237,7 @@ def _sum(phrases, what: str) -> str:
 
 QUERIES = {
     "signal_rows": q_signal_rows, "deal_signals": q_deal_signals, "risk_tiers": q_risk, "meeting_verdict": q_verdict, "english_friction": q_english, "hindi_signals": q_hindi,
-    "lexicon_listing": q_lexicon, "nemawashi_signals": q_nemawashi,
+    "phrase_contexts": q_contexts, "lexicon_listing": q_lexicon, "nemawashi_signals": q_nemawashi,
 }
 SQL = {
     "signal_rows": f"SELECT meeting_id, phrase, kind, tier, CAST(confidence AS DOUBLE) AS confidence, {_SPEAKER_SQL} AS speaker FROM ({_hits(REJECTIONS)})",

@@ -77,12 +77,30 @@ def _hits(phrases: tuple[str, ...]) -> str:
     return "(" + " + ".join(f"CAST(contains(transcript, {lit(p)}) AS INT)" for p in phrases) + ")"
 
 
+def q_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of failure of jobs."""
+    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").select("job_id", "error").distinct()
+    return j.groupBy(text.failure_class(F.col("error")).alias("kind")).agg(F.count("*").alias("jobs"))
+
+
 QUERIES = {
-    "language_detect": q_language, "prompt_budgets": q_budgets, "clean_text_lengths": q_clean, "speaker_labels": q_labels, "ja_tokens": q_tokens, "code_switches": q_switches, "keigo_levels": q_keigo,
+    "failure_classes": q_failures, "language_detect": q_language, "prompt_budgets": q_budgets, "clean_text_lengths": q_clean, "speaker_labels": q_labels, "ja_tokens": q_tokens, "code_switches": q_switches, "keigo_levels": q_keigo,
     "fuzzy_name_matches": q_names, "exact_cache_keys": q_cache_keys,
 }
+def _fuzzy(c: str) -> str:
+    out = f"lower(trim({c}, ' ' || chr(9) || chr(12288)))"
+    for w in ("さん", "様", "くん", "ちゃん", "先生", "部長", "課長", "san", "-san"):
+        out = f"replace({out}, '{w}', '')"
+    return f"regexp_replace({out}, '[\\s\\x{{a0}}\\x{{3000}}_-]', '', 'g')"
+
+
+_FUZZY = f"""SELECT a.account_id, a.owner, count(p.full_name) AS matches FROM (SELECT DISTINCT account_id, owner, {_fuzzy("owner")} AS x FROM action_items WHERE owner IS NOT NULL AND account_id IS NOT NULL) a
+ LEFT JOIN (SELECT account_id, full_name, {_fuzzy("full_name")} AS y FROM people) p ON p.account_id = a.account_id AND x <> '' AND y <> '' AND (x = y OR contains(x, y) OR contains(y, x) OR length(x) >= 3 AND length(y) >= 3 AND left(x, 3) = left(y, 3)) GROUP BY a.account_id, a.owner"""
 _JC = "[\\x{3040}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{4e00}-\\x{9fff}]"
 SQL = {
+    "failure_classes": """SELECT kind, count(*) AS jobs FROM (SELECT CASE WHEN coalesce(error, '') = '' THEN 'none' WHEN regexp_matches(lower(error), 'rate|limit|quota|429') THEN 'rate_limit' WHEN regexp_matches(lower(error), 'time ?out|timed') THEN 'timeout'
+ WHEN regexp_matches(lower(error), 'auth|key|401|403') THEN 'auth' ELSE 'other' END AS kind FROM (SELECT DISTINCT job_id, error FROM analysis_jobs)) GROUP BY kind""",
+    "fuzzy_name_matches": _FUZZY,
     "language_detect": f"SELECT meeting_id, language, CASE language WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' ELSE 'Mixed (JA/EN)' END AS display_name, {_FLAGS} FROM (SELECT meeting_id, {_LANG} AS language FROM {MEETINGS})",
     "prompt_budgets": f"""SELECT meeting_id, n AS words, CASE WHEN n < 200 THEN 3 WHEN n < 600 THEN 5 WHEN n < 1200 THEN 7 ELSE 8 END AS bullets, CASE WHEN n < 300 THEN 1500 WHEN n < 800 THEN 2000 WHEN n < 2000 THEN 2500 ELSE 3000 END AS max_tokens,
   hinglish, regexp_matches(transcript, '[\\x{{3040}}-\\x{{9fff}}]') OR lang IN ('ja', 'mixed') OR hinglish OR n > 600 AS large_model, CASE WHEN n > 100 THEN 107 ELSE n END AS kept_words
