@@ -63,5 +63,20 @@ def p1_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_text(frames.read(spark, folder, "analyze_requests", ["request_id", "transcript"]), "request_id", "transcript")
 
 
+def _sql() -> str:
+    """The pairs by whole-text normalisation: what the segments must come to. Maps of one code point, the Latin ligatures and the invisible ones."""
+    from .canon import KEY_MAP
+
+    lit = lambda t: "'" + t.replace("'", "''") + "'"
+    one = {c: v for c, v in KEY_MAP.items() if len(v) == 1 and c < 0x10000}
+    gone = "".join(f"\\x{{{c:x}}}" for c, v in KEY_MAP.items() if v == "" and c < 0x10000)
+    key = f"regexp_replace(transcript, '[{gone}]', '', 'g')"
+    for c in range(0xFB00, 0xFB07):
+        key = f"replace({key}, {lit(chr(c))}, {lit(KEY_MAP[c])})"
+    key = f"nfc_normalize(translate({key}, {lit(''.join(map(chr, one)))}, {lit(''.join(one.values()))}))"
+    return f"""WITH k AS (SELECT DISTINCT request_id, transcript, {key} AS v FROM analyze_requests WHERE request_id IS NOT NULL AND transcript IS NOT NULL)
+ SELECT DISTINCT a.request_id AS request_id_a, b.request_id AS request_id_b FROM k a JOIN k b ON a.v = b.v AND a.request_id < b.request_id AND a.transcript <> b.transcript"""
+
+
 QUERIES = {"p1_found": p1_found, "p1_canonical_text": p1_canonical}
-SQL: dict[str, str] = {}
+SQL = {"p1_found": _sql()}

@@ -279,4 +279,7 @@ def p10_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_shared_parts": p10_shared_parts}
-SQL: dict[str, str] = {}
+SQL = {
+    "p10_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+ m AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT * FROM g SEMI JOIN m USING (h)) a JOIN (SELECT * FROM g SEMI JOIN m USING (h)) b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}
