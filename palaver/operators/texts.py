@@ -9,45 +9,42 @@ from ..functions import lexicon, text
 from ..sources.seed import MEETINGS, meetings
 from ..sources.seed import text as lit
 
-T = F.col("transcript")
-
-
 def q_language(spark: SparkSession, folder: str) -> DataFrame:
-    m = meetings(spark, folder).select("meeting_id", text.language(T).alias("language"))
+    m = meetings(spark, folder).select("meeting_id", text.language(F.col("transcript")).alias("language"))
     return m.select("meeting_id", "language", text.language_name(F.col("language")).alias("display_name"), *(text.features(F.col("language"))[n].alias(n) for n in lexicon.FEATURE_NAMES))
 
 
 def q_budgets(spark: SparkSession, folder: str) -> DataFrame:
-    m = meetings(spark, folder).withColumn("lang", text.language(T))
+    m = meetings(spark, folder).withColumn("lang", text.language(F.col("transcript")))
     return m.select(
-        "meeting_id", F.size(text.words(T)).alias("words"), text.summary_bullets(T).alias("bullets"), text.token_budget(T).alias("max_tokens"), text.hinglish(T).alias("hinglish"),
-        text.large_model(T, F.col("lang")).alias("large_model"), F.size(text.words(text.truncated(T, 100))).alias("kept_words"),
+        "meeting_id", F.size(text.words(F.col("transcript"))).alias("words"), text.summary_bullets(F.col("transcript")).alias("bullets"), text.token_budget(F.col("transcript")).alias("max_tokens"), text.hinglish(F.col("transcript")).alias("hinglish"),
+        text.large_model(F.col("transcript"), F.col("lang")).alias("large_model"), F.size(text.words(text.truncated(F.col("transcript"), 100))).alias("kept_words"),
     )
 
 
 def q_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of both job tables cleaned: lengths before and after."""
     j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL").select("job_id", "transcript").distinct()
-    c = text.clean(T)
+    c = text.clean(F.col("transcript"))
     return j.select("job_id", F.length("transcript").alias("chars"), F.length(c).alias("clean_chars"), F.size(F.split(c, "\n")).alias("lines"))
 
 
 def q_labels(spark: SparkSession, folder: str) -> DataFrame:
     m = meetings(spark, folder)
-    return m.select("meeting_id", text.has_labels(T).alias("has_labels"), text.speaker_hint(T).alias("hint"), text.degenerate(T).alias("degenerate"), F.length(text.joined_labels(T)).alias("joined_chars"), F.length(text.labelled(T)).alias("labelled_chars"))
+    return m.select("meeting_id", text.has_labels(F.col("transcript")).alias("has_labels"), text.speaker_hint(F.col("transcript")).alias("hint"), text.degenerate(F.col("transcript")).alias("degenerate"), F.length(text.joined_labels(F.col("transcript"))).alias("joined_chars"), F.length(text.labelled(F.col("transcript"))).alias("labelled_chars"))
 
 
 def q_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    m = meetings(spark, folder).select("meeting_id", text.ja_tokens(T).alias("t"), text.topic_terms(T).alias("terms"))
+    m = meetings(spark, folder).select("meeting_id", text.ja_tokens(F.col("transcript")).alias("t"), text.topic_terms(F.col("transcript")).alias("terms"))
     return m.select("meeting_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"), F.size("terms").alias("topic_terms"))
 
 
 def q_switches(spark: SparkSession, folder: str) -> DataFrame:
-    return meetings(spark, folder).select("meeting_id", text.code_switches(T).alias("switches"))
+    return meetings(spark, folder).select("meeting_id", text.code_switches(F.col("transcript")).alias("switches"))
 
 
 def q_keigo(spark: SparkSession, folder: str) -> DataFrame:
-    return meetings(spark, folder).select("meeting_id", text.keigo(T).alias("keigo"), text.keigo_expected(T).alias("expected"))
+    return meetings(spark, folder).select("meeting_id", text.keigo(F.col("transcript")).alias("keigo"), text.keigo_expected(F.col("transcript")).alias("expected"))
 
 
 def q_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +58,7 @@ def q_names(spark: SparkSession, folder: str) -> DataFrame:
 def q_cache_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of the exact cache: md5 of language and stripped text, and the safe id of the job."""
     j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL").select("job_id", "language", "transcript").distinct()
-    return j.select("job_id", F.md5(F.concat(F.coalesce("language", F.lit("en")), F.lit("::"), F.regexp_replace(T, r"^[ \n\r\t]+|[ \n\r\t]+$", ""))).alias("cache_key"), text.safe_id(F.col("job_id"), 40).alias("safe_id"))
+    return j.select("job_id", F.md5(F.concat(F.coalesce("language", F.lit("en")), F.lit("::"), F.regexp_replace(F.col("transcript"), r"^[ \n\r\t]+|[ \n\r\t]+$", ""))).alias("cache_key"), text.safe_id(F.col("job_id"), 40).alias("safe_id"))
 
 
 _JP = "[\\x{3000}-\\x{303f}\\x{3040}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{4e00}-\\x{9fff}\\x{ff00}-\\x{ffef}]"
