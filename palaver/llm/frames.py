@@ -44,5 +44,5 @@ def _pack(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.R
 
 
 def distinct_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """df without nulls and without repeated rows of one key and text. A hot text is reduced before the shuffle; the shuffle carries a digest, not the text."""
+    """df without nulls and without repeated rows of one key and text. Repeats within a task are dropped before the shuffle, which carries the texts."""
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).dropDuplicates([key, text])

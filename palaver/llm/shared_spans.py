@@ -12,6 +12,7 @@ A gram kept by more than MANY documents isn't paired: its occurrences are joined
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from ..stage import cut, few
 from . import frames
 
 LEAST, GRAM, MANY = 200, 100, 48
+#: Longest passage of one automaton; a longer one is cut into pieces that overlap by LEAST - 1.
+PIECE = 8_000
 #: Most rows of a side that is broadcast (about 20 bytes each).
 BROADCAST = 400_000
 _B = 0x9E3779B97F4A7C15
@@ -141,16 +144,22 @@ def _grams():
     return f
 
 
-def _pieces():
+def _pieces(most: int):
     def f(doc, text, found):
         """One row for each gram of each passage: the passage's place and, on its first row, its text."""
         out = []
         start = end = None
-        grams: list[int] = []
+        grams: list[tuple[int, int]] = []
 
         def close():
-            piece = text[start:end]
-            out.extend((doc, start, g, piece if i == 0 else None) for i, g in enumerate(dict.fromkeys(grams)))
+            a = start
+            while True:
+                b = min(a + most, end)
+                inside = dict.fromkeys(g for p, g in grams if a <= p and p + GRAM <= b)
+                out.extend((doc, a, g, text[a:b] if i == 0 else None) for i, g in enumerate(inside))
+                if b == end:
+                    break
+                a = b - LEAST + 1  # every window of LEAST characters lies in one piece
 
         for p, g in sorted((x["pos"], x["gram"]) for x in found):
             a, b = max(0, p + GRAM - LEAST), min(len(text), p + LEAST)
@@ -160,7 +169,7 @@ def _pieces():
                 if end is not None:
                     close()
                 start, end, grams = a, b, []
-            grams.append(g)
+            grams.append((p, g))
         if end is not None:
             close()
         return out
@@ -206,7 +215,8 @@ def shared_spans(docs: DataFrame, both: bool = False) -> DataFrame:
     """doc_a, start_a, doc_b, start_b, end_b: maximal spans of doc_b (positions from 0, end excluded) that stand in doc_a too, at start_a.
 
     docs has doc_id (unique) and text; nulls and texts under LEAST characters take no part. both: each pair in both orders, so that doc_b's
-    spans cover all that any other document holds; else doc_a < doc_b only, which is enough for the pairs.
+    spans cover all that any other document holds; else doc_a < doc_b only, which is enough for the pairs. Spans end where a piece of PIECE
+    characters ends; what they cover together is exact.
     """
     d = docs.where(f"doc_id IS NOT NULL AND length(text) >= {LEAST}").select("doc_id", "text")
     grams = cut(frames.rows_out(d, _grams, "doc_id bigint, gram bigint, pos int", [("doc_id", pa.int64()), ("gram", pa.int64()), ("pos", pa.int32())]))
@@ -216,7 +226,7 @@ def shared_spans(docs: DataFrame, both: bool = False) -> DataFrame:
     texts = d.join(F.broadcast(where) if few(shared, BROADCAST) else where, "doc_id")
     rare = texts.select("doc_id", "text", F.filter("found", lambda x: ~x["many"]).alias("found")).where(F.size("found") > 0)
     kinds = [("doc_id", pa.int64()), ("at", pa.int64()), ("gram", pa.int64()), ("piece", pa.string())]
-    pieces = cut(frames.rows_out(rare, _pieces, "doc_id bigint, at bigint, gram bigint, piece string", kinds))
+    pieces = cut(frames.rows_out(rare, partial(_pieces, PIECE), "doc_id bigint, at bigint, gram bigint, piece string", kinds))
     g = pieces.select("doc_id", "at", "gram")
     a, b = (g.select(F.col("doc_id").alias(f"doc_{x}"), F.col("at").alias(f"at_{x}"), "gram") for x in "ab")
     pairs = a.join(b, "gram").where("doc_a <> doc_b" if both else "doc_a < doc_b").select("doc_a", "at_a", "doc_b", "at_b").distinct()

@@ -61,8 +61,9 @@ def test_shared_pairs_brute_force(spark, monkeypatch):
     texts = corpus()
     d = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, gram long")
     want = brute(texts, 200)
-    for many in (48, 4):  # the second sends the hot grams the other way
+    for many, piece in ((48, 8000), (4, 8000), (48, 320)):  # the second sends the hot grams the other way, the third cuts passages
         monkeypatch.setattr(ss, "MANY", many)
+        monkeypatch.setattr(ss, "PIECE", piece)
         assert {tuple(r) for r in ss.shared_pairs(d).collect()} == want
     parts = {r.doc_id: r for r in ss.shared_parts(d).collect()}
     assert len(parts) == len(texts) and parts[104].shared_part == 0 and parts[100].shared_part == 1.0 and parts[103].n_chars == 0
