@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import dynamics, privacy, results, signals
 from ..operators.people import role_hints
 from ..sources.seed import meetings
+from ..stage import cut
 
 
 def analyze(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
@@ -25,8 +26,9 @@ def analyze(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
         a = answers.select("meeting_id", results.parse(F.col("raw_json")).alias("a"))
         base = base.join(a, "meeting_id", "left").withColumn("s", results.stand_in(F.col("transcript")))
         base = base.withColumn("r", F.when(F.col("a").isNotNull(), results.filled("a")).otherwise(results.filled("s"))).drop("a", "s")
-    t = dynamics.turns(c)
-    hints = role_hints(c)
+    # Read by several stages each, so written once.
+    t = cut(dynamics.turns(c))
+    hints = cut(role_hints(c))
     n = t.groupBy("meeting_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"))
     events = dynamics.topic_stalls(t).select("meeting_id").union(dynamics.senior_silence(t, hints).select("meeting_id")).groupBy("meeting_id").agg(F.count("*").alias("events"))
     close = dynamics.closing_summarizer(t, hints).select("meeting_id", F.col("speaker").alias("closing_speaker"))
