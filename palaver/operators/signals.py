@@ -54,9 +54,10 @@ def _literal(entries) -> Column:
 
 
 def _once(c: Column, f) -> Column:
-    """f of a struct of the text and its lower case, both bound once, so that the lower case isn't made again for each phrase."""
+    """f of a struct of the text, its lower case and the scripts in it, bound once, so that they aren't made again for each phrase."""
     t = F.coalesce(c, F.lit(""))
-    return F.get(F.transform(F.array(F.struct(F.lower(t).alias("low"), t.alias("text"))), f), F.lit(0))
+    bound = F.struct(F.lower(t).alias("low"), t.alias("text"), t.rlike("[A-Za-z]").alias("latin"), t.rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff]").alias("ja"))
+    return F.get(F.transform(F.array(bound), f), F.lit(0))
 
 
 def _held(phrases: tuple[str, ...]):
@@ -65,7 +66,8 @@ def _held(phrases: tuple[str, ...]):
 
 def scan(c: Column, entries) -> Column:
     """The entries that a text holds, in the order of the list. Null counts as empty, and the empty text holds none."""
-    return _once(c, lambda t: F.filter(_literal(entries), lambda e: F.when(e["ci"], F.contains(t["low"], e["phrase"])).otherwise(F.contains(t["text"], e["phrase"]))))
+    # A phrase without regard to case has Latin letters, any other is Japanese: a text without the script needs no search.
+    return _once(c, lambda t: F.filter(_literal(entries), lambda e: F.when(e["ci"], t["latin"] & F.contains(t["low"], e["phrase"])).otherwise(t["ja"] & F.contains(t["text"], e["phrase"]))))
 
 
 _LABEL = r"^\*?\*?([^:*\[\]【】\n]{1,50}?)\*?\*?\s*[：:]\s*"

@@ -31,6 +31,13 @@ def test_list_sizes():
     assert len(lexicon.GROUNDING_STOPS) == 63 and len(lexicon.NOT_SPEAKERS) == 57 and len(lexicon.SURNAMES) == 108
 
 
+def test_phrases_have_the_script_that_the_scan_asks_for():
+    import re
+
+    for phrase, _, _, ci, _ in signals.lexicon_rows():
+        assert re.search("[A-Za-z]" if ci else "[\u3040-\u30ff\u4e00-\u9fff]", phrase), phrase
+
+
 def test_null_empty_and_clashing_columns(spark):
     d = spark.createDataFrame([("a", None, 1), ("b", "", 2), ("c", "x" * 100_000 + " decided to end", 3)], "meeting_id string, transcript string, verdict_note int")
     got = {r.meeting_id: r.verdict for r in signals.outcome(d).collect()}
