@@ -159,12 +159,20 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(words(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", "")))
 
 
-def word_overlap(a: Column, b: Column) -> Column:
-    """Common words by the larger number of words; 0 where either has none."""
-    x, y = (F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"(?U)(\w+)"))) for t in (a, b))
+def word_list(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)")))
+
+
+def list_overlap(x: Column, y: Column) -> Column:
+    """Common words of two word lists by the larger number of words; 0 where either has none."""
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
 
 
+def word_overlap(a: Column, b: Column) -> Column:
+    """list_overlap of two texts."""
+    return list_overlap(word_list(a), word_list(b))
+
+
 def topic_terms(c: Column) -> Column:
     """Kanji runs, katakana runs and Latin words of four letters, without stop words."""
     got = F.concat(F.regexp_extract_all(c, F.lit("([\\u4e00-\\u9fff]{2,})")), F.regexp_extract_all(c, F.lit("([\\u30a0-\\u30ff]{2,})")), F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z]{4,})")), F.lower))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import clock, strip, topic_terms
+from ..functions.text import clock, strip, topic_terms, words
 from ..sources.seed import MEETINGS, meetings
 from .people import name_sql, normal_name, role_hints, strip_sql
 
@@ -75,8 +75,8 @@ _CLOCKED = r"(?m)^([A-Za-z぀-鿿][^\n:：]{0,30}?)\s*[:：]\s*(?:\[?(\d{1,2}:\d
 _EXPORT = r"(?mi)^([A-Za-z][A-Za-z\s\.]{1,35}?)\s+(?:\([^)]+\)\s+)?(\d{1,2}:\d{2}\s*[AP]M)\s*$"
 
 
-def talk_time(df: DataFrame) -> DataFrame:
-    """meeting_id, name, weight, talk_time_pct from clock stamps: a turn weighs 1 within a minute of the one before, .5 within five, else .01; midnight is passed. Under two stamped turns there is no row. The first name takes what rounding leaves."""
+def talk_weights(df: DataFrame) -> DataFrame:
+    """meeting_id, name, weight, pos of the first turn from clock stamps: a turn weighs 1 within a minute of the one before, .5 within five, else .01; midnight is passed. Under two stamped turns there is no row."""
     pick = lambda p, i: F.regexp_extract_all("transcript", F.lit(p), i)
     pairs = lambda p: F.arrays_zip(pick(p, F.lit(1)).alias("name"), pick(p, F.lit(2)).alias("at"))
     export = F.filter(pairs(_EXPORT), lambda x: ~F.contains(F.lower(x["name"]), F.lit("view")))
@@ -85,13 +85,31 @@ def talk_time(df: DataFrame) -> DataFrame:
     w = W.partitionBy("meeting_id").orderBy("pos")
     gap = F.pmod(F.col("sec") - F.lag("sec").over(w), F.lit(86400))
     e = e.withColumn("weight", F.when(gap.isNull(), 1.0).when(gap <= 60, 1.0).when(gap <= 300, 0.5).otherwise(0.01)).withColumn("n", F.count("*").over(W.partitionBy("meeting_id"))).where("n >= 2")
-    g = e.groupBy("meeting_id", "name").agg(F.sum("weight").alias("weight"), F.min("pos").alias("pos"))
+    return e.groupBy("meeting_id", "name").agg(F.sum("weight").alias("weight"), F.min("pos").alias("pos"))
+
+
+def talk_time(df: DataFrame) -> DataFrame:
+    """meeting_id, name, weight, talk_time_pct: talk_weights as shares of 100. The first name takes what rounding leaves."""
+    g = talk_weights(df)
     every = W.partitionBy("meeting_id")
     g = g.withColumn("pct", F.bround(F.col("weight") * 100 / F.sum("weight").over(every)).cast("int"))
     rest = 100 - F.sum("pct").over(every)
     return g.select("meeting_id", "name", "weight", (F.col("pct") + F.when(F.row_number().over(every.orderBy("pos")) == 1, rest).otherwise(0)).cast("int").alias("talk_time_pct"))
 
 
+def weighed(speakers: Column, weights: Column) -> Column:
+    """Result speakers (structs with name, talk_time_pct) with the shares of the clock: a speaker takes the weight of the first name (weights: name, weight in order of first turn) that has theirs as a word or is theirs. Where no weight matches they stay; the first takes what rounding leaves."""
+    low = lambda s: F.lower(strip(F.coalesce(s["name"], F.lit(""))))
+    hit = lambda s: F.coalesce(F.get(F.filter(weights, lambda w: F.array_contains(words(F.lower(w["name"])), low(s)) | (F.lower(w["name"]) == low(s))), F.lit(0))["weight"], F.lit(0.0))
+    add = lambda a, of, zero: F.aggregate(a, F.lit(zero), lambda t, x: t + of(x))
+    raw = F.transform(speakers, lambda s: F.struct(s.alias("s"), hit(s).alias("w")))
+    # A name that is listed twice counts once in the total.
+    total = lambda a: add(F.array_distinct(F.transform(a, lambda x: F.struct(x["s"]["name"].alias("name"), x["w"].alias("w")))), lambda x: x["w"], 0.0)
+    one = F.transform(F.array(F.struct(raw.alias("raw"), total(raw).alias("total"))), lambda o: F.transform(o["raw"], lambda x: x["s"].withField("talk_time_pct", F.bround(x["w"] * 100 / o["total"]).cast("int"))))
+    rest = F.transform(one, lambda a: F.transform(a, lambda s, i: s.withField("talk_time_pct", s["talk_time_pct"] + F.when(i == 0, 100 - add(a, lambda x: x["talk_time_pct"], 0)).otherwise(0))))[0]
+    return F.when(F.coalesce(total(raw), F.lit(0.0)) > 0, rest).otherwise(speakers)
+
+
 def q_turns(spark: SparkSession, folder: str) -> DataFrame:
     t = turns(meetings(spark, folder))
     return t.groupBy("meeting_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"), F.sum(F.length("text")).alias("chars"))

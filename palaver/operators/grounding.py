@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import ja_tokens, word_overlap
+from ..functions.text import ja_tokens, list_overlap, word_list, word_overlap
 from ..sources.seed import text as lit
 
 #: Under these overlaps a claim is flagged.
@@ -62,6 +62,28 @@ def risk(*checked: DataFrame) -> DataFrame:
     return g.withColumn("overall_hallucination_risk", r).withColumn("risk_label", F.when(r < 0.15, "LOW").when(r < 0.35, "MEDIUM").otherwise("HIGH"))
 
 
+def risk_label(r: Column) -> Column:
+    return F.when(r < 0.15, "LOW").when(r < 0.35, "MEDIUM").when(r.isNotNull(), "HIGH")
+
+
+def verify(r: Column, transcript: Column) -> Column:
+    """Struct of task_low (by action item), flagged_total, total_claims of a result struct over its own transcript: verify_actions and verify_claims within the row, for action items, bullets and the speakers of the moods. An empty transcript flags nothing."""
+    low = lambda claims, least: lambda source: F.transform(claims, lambda c: (transcript != "") & (overlap(c, source) < least))
+    tasks, points, moods = low(F.transform(r["action_items"], lambda i: i["task"]), TASK), low(r["summary"], BULLET), low(F.transform(r["sentiment"], lambda i: i["speaker"]), SPEAKER)
+    # An array of one, so that the tokens of a transcript are made once.
+    f = F.transform(F.array(source_tokens(transcript)), lambda s: F.struct(tasks(s).alias("tasks"), points(s).alias("points"), moods(s).alias("moods")))
+    yes = lambda a: F.size(F.filter(a, lambda x: x))
+    return F.transform(f, lambda x: F.struct(x["tasks"].alias("task_low"), (yes(x["tasks"]) + yes(x["points"]) + yes(x["moods"])).alias("flagged_total"), (F.size(x["tasks"]) + F.size(x["points"]) + F.size(x["moods"])).alias("total_claims")))[0]
+
+
+def rescued(task: Column, transcript: Column, least: float = 0.35) -> Column:
+    """Whether a sentence of the transcript is so like the task that its flag is cleared: rescue within the row. An empty task and one that begins with a warning sign aren't looked at."""
+    sentences = F.transform(F.split(transcript, "[.!?。！？\\n]+"), word_list)
+    # An array of one, so that the task's words are made once.
+    like = F.exists(F.array(word_list(task)), lambda x: F.exists(sentences, lambda y: list_overlap(x, y) >= least))
+    return (F.coalesce(task, F.lit("")) != "") & ~task.startswith("⚠️") & like
+
+
 def rescue(items: DataFrame, meetings: DataFrame, least: float = 0.35) -> DataFrame:
     """Flagged items (meeting_id, item_id, task) with the best similarity to a sentence of the meeting; from `least` on the flag is cleared. Similarity is word overlap where no embedding is supplied."""
     s = meetings.repartition("meeting_id").select("meeting_id", F.explode(F.filter(F.split("transcript", "[.!?。！？\\n]+"), lambda x: F.trim(x) != "")).alias("sentence"))

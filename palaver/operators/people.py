@@ -77,6 +77,22 @@ def unify(spoken: DataFrame, known: DataFrame) -> DataFrame:
     return g.select("meeting_id", "pos", F.col("matched").alias("name"), "talk_time_pct")
 
 
+def result_names(r: Column) -> Column:
+    """The names of a result struct that are unified: speakers, moods, owners who are somebody."""
+    owners = F.filter(F.transform(r["action_items"], lambda i: i["owner"]), lambda n: (n != "") & ~F.lower(n).isin(*NOBODY))
+    return F.array_distinct(F.concat(F.transform(r["speakers"], lambda s: s["name"]), F.transform(r["sentiment"], lambda s: s["speaker"]), owners))
+
+
+def unified(r: Column, names: Column) -> Column:
+    """The result struct under the names of the map names (name -> matched): moods and owners renamed, speakers renamed and those of one name merged, talk time summed."""
+    named = lambda n: F.coalesce(names[n], n)
+    owner = lambda n: F.when(F.lower(n).isin(*NOBODY), n).otherwise(named(n))
+    sp = F.transform(r["speakers"], lambda s: s.withField("name", named(s["name"])))
+    own = lambda a, n: F.filter(a, lambda s: s["name"].eqNullSafe(n))
+    one = F.transform(F.array(sp), lambda a: F.transform(F.array_distinct(F.transform(a, lambda s: s["name"])), lambda n: own(a, n)[0].withField("talk_time_pct", F.aggregate(own(a, n), F.lit(0), lambda t, s: t + F.coalesce(s["talk_time_pct"], F.lit(0))))))[0]
+    return r.withField("speakers", one).withField("sentiment", F.transform(r["sentiment"], lambda s: s.withField("speaker", named(s["speaker"])))).withField("action_items", F.transform(r["action_items"], lambda i: i.withField("owner", owner(i["owner"]))))
+
+
 def q_speakers(spark: SparkSession, folder: str) -> DataFrame:
     return speakers(meetings(spark, folder)).select("meeting_id", "speaker", "raw_label", "turns")
 

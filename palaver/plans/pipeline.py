@@ -6,39 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dynamics, privacy, results, signals
-from ..operators.people import role_hints
+from ..operators import dynamics, grounding, people, privacy, results, signals
 from ..sources.seed import meetings
 from ..stage import cut
 
 
 def analyze(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """meeting_id with language, counts of personal data, risk, verdict, register, code switches, turns, structural events, status and health.
+    """meeting_id with language, counts of personal data, risk, verdict, register, code switches, turns, structural events, talk time, grounding, status and health.
 
-    m has meeting_id and transcript, one row a meeting. answers (meeting_id, raw_json) are model answers; without one a meeting gets the
-    stand-in extraction. Scans are within the row; turns, hints and events are one shuffle by meeting each, joined to the meetings from the left.
+    m has meeting_id and transcript, one row a meeting. answers (meeting_id, raw_json) are model answers to the masked text; their placeholders
+    are put back. Without one a meeting gets the stand-in extraction. Names are unified and talk time is taken from the clock before the claims
+    are held against the transcript. Scans and grounding are within the row; turns, hints, events, weights and names are one shuffle by meeting
+    each, joined to the meetings from the left.
     """
-    c = m.withColumn("transcript", text.joined_labels(F.col("transcript")))
+    c = cut(m.withColumn("transcript", text.joined_labels(text.clean(F.col("transcript")))))
     base = privacy.counts(signals.outcome(c)).withColumn("language", text.language(F.col("transcript"))).withColumn("keigo", text.keigo(F.col("transcript"))).withColumn("code_switches", text.code_switches(F.col("transcript")))
     if answers is None:
-        base = base.withColumn("r", results.stand_in(F.col("transcript")))
+        base = base.withColumn("s", results.stand_in(F.col("transcript"))).withColumn("r", results.filled("s")).drop("s")
     else:
-        a = answers.select("meeting_id", results.parse(F.col("raw_json")).alias("a"))
+        a = answers.join(c, "meeting_id").withColumn("m", privacy.mask("transcript")["mapping"])
+        a = a.select("meeting_id", results.parse(privacy.restore_json("raw_json", "m")).alias("a"))
         base = base.join(a, "meeting_id", "left").withColumn("s", results.stand_in(F.col("transcript")))
         base = base.withColumn("r", F.when(F.col("a").isNotNull(), results.filled("a")).otherwise(results.filled("s"))).drop("a", "s")
+    r = F.col("r")
+    weights = dynamics.talk_weights(c).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "weight"))).alias("weights"))
+    said = base.select("meeting_id", F.explode(people.result_names(r)).alias("name"))
+    names = people.best_match(said, people.speakers(c)).groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "matched"))).alias("names"))
+    base = base.join(weights, "meeting_id", "left").join(names, "meeting_id", "left")
+    base = base.withColumn("r", r.withField("speakers", dynamics.weighed(r["speakers"], F.coalesce("weights", F.array().cast("array<struct<pos:int,name:string,weight:double>>"))))).withColumn("r", people.unified(r, F.coalesce("names", F.create_map().cast("map<string,string>"))))
+    base = base.withColumn("v", grounding.verify(r, F.col("transcript"))).withColumn("items", F.zip_with("r.action_items", "v.task_low", lambda i, low: F.struct(i["owner"].alias("owner"), i["deadline"].alias("deadline"), (low & ~grounding.rescued(i["task"], F.col("transcript"))).alias("flag"))))
+    base = base.withColumn("hallucination_risk", F.bround(F.col("v.flagged_total") / F.greatest("v.total_claims", F.lit(1)), 3)).drop("weights", "names")
     # Read by several stages each, so written once.
     t = cut(dynamics.turns(c))
-    hints = cut(role_hints(c))
+    hints = cut(people.role_hints(c))
     n = t.groupBy("meeting_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"))
     events = dynamics.topic_stalls(t).select("meeting_id").union(dynamics.senior_silence(t, hints).select("meeting_id")).groupBy("meeting_id").agg(F.count("*").alias("events"))
     close = dynamics.closing_summarizer(t, hints).select("meeting_id", F.col("speaker").alias("closing_speaker"))
     d = base.join(n, "meeting_id", "left").join(events, "meeting_id", "left").join(close, "meeting_id", "left").na.fill(0, ["turns", "speakers", "events"])
     d = d.withColumn("status_flag", results.status(F.col("risk_level"), F.col("events"), strict=True))
-    d = d.withColumn("sentiment", F.transform("r.sentiment", lambda s: s["score"])).withColumn("items", F.transform("r.action_items", lambda i: F.struct(i["owner"].alias("owner"), i["deadline"].alias("deadline"), F.lit(False).alias("flag"))))
-    d = results.health(d.withColumn("terminated", F.col("termination_n") > 0).withColumn("gate", F.col("gate_n") > 0).withColumn("hallucination_risk", F.lit(0.0)))
+    d = d.withColumn("sentiment", F.transform("r.sentiment", lambda s: s["score"]))
+    d = results.health(d.withColumn("terminated", F.col("termination_n") > 0).withColumn("gate", F.col("gate_n") > 0))
     return d.select(
         "meeting_id", "language", "emails", "jp_phones", "intl_phones", "risk_level", "verdict", "total_signals", "keigo", "code_switches", "turns", "speakers", "events", "closing_speaker", "status_flag", "health_score", "health_label",
-        F.col("r.meeting_title").alias("meeting_title"),
+        F.col("r.meeting_title").alias("meeting_title"), "hallucination_risk", F.when(F.col("transcript") != "", grounding.risk_label(F.col("hallucination_risk"))).otherwise("UNKNOWN").alias("risk_label"),
+        F.size(F.filter("items", lambda i: i["flag"])).alias("actions_flagged"), F.transform("r.speakers", lambda s: F.struct(s["name"].alias("name"), s["talk_time_pct"].alias("talk_time_pct"))).alias("talk_time"),
     )
 
 

@@ -149,6 +149,41 @@ def test_pipeline_keeps_every_meeting(spark):
     assert pipeline.analyze(seed(spark), answers).where("meeting_id = 'S01'").first().meeting_title == "T"
 
 
+def test_pipeline_grounds_answers(spark):
+    """Claims that don't stand on the transcript cost health; names are unified, placeholders put back and talk time taken from the clock, by the names of the answer as the reference does."""
+    t = "Mori: [10:00] send the revised quote by Friday\n田中: [10:00:30] yes\nMori: [10:03] so\nAbe: [10:20] bye"
+    m = spark.createDataFrame([(i, t) for i in ("good", "bad", "alone")] + [("empty", "")], "meeting_id string, transcript string")
+    held = {v: k for k, v in privacy.mask_text(t)[1].items()}
+
+    def answer(task, bullet, *who):
+        return json.dumps({"summary": [bullet], "action_items": [{"task": task, "owner": who[0], "deadline": "Friday"}], "sentiment": [{"speaker": w, "score": "neutral"} for w in who], "speakers": [{"name": w, "talk_time_pct": 50} for w in who]})
+
+    a = [("good", answer("send the revised quote", "Mori will send the quote", held["Mori"], "Tanaka")), ("bad", answer("purchase office chairs", "Everybody praised unrelated furniture", "Ghost", "Phantom")), ("empty", answer("x", "y", "Ghost"))]
+    got = {r.meeting_id: r for r in pipeline.analyze(m, spark.createDataFrame(a, "meeting_id string, raw_json string")).collect()}
+    good, bad = got["good"], got["bad"]
+    assert (good.hallucination_risk, good.risk_label, good.actions_flagged) == (0.0, "LOW", 0) and [tuple(x) for x in good.talk_time] == [("Mori", 100), ("田中", 0)]
+    assert (bad.hallucination_risk, bad.risk_label, bad.actions_flagged) == (1.0, "HIGH", 1) and [tuple(x) for x in bad.talk_time] == [("Ghost", 50), ("Phantom", 50)]
+    assert good.health_score - bad.health_score == 20 + 25
+    assert (got["empty"].hallucination_risk, got["empty"].risk_label, got["empty"].actions_flagged) == (0.0, "UNKNOWN", 0)
+    assert got["alone"].hallucination_risk > 0 and got["alone"].actions_flagged == 1
+
+
+def test_grounding_within_the_row(spark):
+    """verify and rescued say what verify_actions, verify_claims and rescue say over tables."""
+    t = "Tanaka: send the revised quote by Friday\nSato: ok. 見積書を金曜日までに送ります"
+    m = spark.createDataFrame([("m", t)], "meeting_id string, transcript string")
+    tasks, points, who = ["send the revised quote", "buy office chairs", "見積書を送る", "the of", "ok", "", None], ["the quote is due by Friday", "nothing of the sort happened yesterday evening", ""], ["Tanaka", "Ghost"]
+    raw = json.dumps({"action_items": [{"task": x} for x in tasks], "summary": points, "sentiment": [{"speaker": w} for w in who]})
+    r = m.withColumn("r", results.parse(F.lit(raw))).withColumn("v", grounding.verify(F.col("r"), F.col("transcript")))
+    r = r.select("v.*", F.transform("r.action_items", lambda i: grounding.rescued(i["task"], F.col("transcript"))).alias("saved")).first()
+    table = lambda name, xs: spark.createDataFrame([("m", f"{i:02}", x) for i, x in enumerate(xs)], f"meeting_id string, {name} string, x string")
+    acts = grounding.verify_actions(table("item_id", tasks).select("meeting_id", "item_id", F.col("x").alias("task"), F.lit("").alias("owner"), F.lit("").alias("deadline")), m)
+    claims = [grounding.verify_claims(table("claim_id", xs).withColumnRenamed("x", "claim"), m, least) for xs, least in ((points, grounding.BULLET), (who, grounding.SPEAKER))]
+    want = grounding.risk(acts, *claims).first()
+    assert list(r.task_low) == [x.hallucination_flag for x in acts.orderBy("item_id").collect()] and (r.flagged_total, r.total_claims) == (want.flagged_total, want.total_claims)
+    assert list(r.saved) == [x.rescued for x in grounding.rescue(acts.select("meeting_id", "item_id", "task"), m).orderBy("item_id").collect()]
+
+
 def _drift(spark, files):
     rows = [(1, seq, n, x) for seq, lines in files for n, x in enumerate(lines, 1)]
     d = spark.createDataFrame(rows, "stream_id long, file_seq int, line_no int, line string")
