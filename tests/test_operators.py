@@ -108,6 +108,20 @@ def test_topk_brute_force(spark):
     assert retrieval.topk(store.limit(0), q.limit(0), 3).count() == 0
 
 
+def test_semantic_cache_searches_every_row(spark, tmp_path):
+    """The nearest other vector counts though it is itself a query; by default from .92 on."""
+    angle = {0: 0.0, 20: 0.1, 40: 1.0, 3: 0.5, 7: 2.0, 60: 0.0}
+    rows = [(i, [math.cos(a), math.sin(a)], "x") for i, a in angle.items()]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    store.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {}
+    for i in (0, 20, 40, 60):
+        want[i] = min((round(-math.cos(angle[i] - a), 12), j) for j, a in angle.items() if j != i)
+    assert {r.query_id: r.vec_id for r in retrieval.q_semantic_cache(spark, str(tmp_path)).collect()} == {i: j for i, (_, j) in want.items()}
+    q = store.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    assert {r.query_id for r in retrieval.nearest_other(store, q).collect()} == {i for i, (s, _) in want.items() if -s >= 0.92}
+
+
 def test_cache_ttl_and_last_write(spark):
     e = spark.createDataFrame([("k", "2025-01-01 00:00:00", "old"), ("k", "2025-01-02 00:00:00", "new"), ("z", "2024-01-01 00:00:00", "stale")], "k string, at string, v string").withColumn("at", F.to_timestamp("at"))
     a = spark.createDataFrame([("k",), ("z",), ("none",)], "k string")
