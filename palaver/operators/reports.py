@@ -10,7 +10,7 @@ from ..functions.text import bullets
 from .people import role
 
 
-#: Items of one kind that a report of one meeting lists; beside it stands the number of all.
+#: Items of one kind on a page of a report; a meeting has as many pages as its items need.
 SHOWN = 200
 
 
@@ -66,8 +66,9 @@ def approval_chain(hints: DataFrame) -> DataFrame:
     return g.select("meeting_id", F.transform(F.array_sort("c"), lambda x: F.struct(x["speaker"].alias("approver"), x["role"].alias("role"))).alias("chain"))
 
 
-def minutes(c: str, at: Column) -> Column:
-    """A result struct as a plan of formal minutes; what is missing gets the customary words. at replaces the clock."""
+def minutes(c: str, at: Column, more_decisions: Column | None = None, more_actions: Column | None = None) -> Column:
+    """A result struct as a plan of formal minutes; what is missing gets the customary words, unless another page has it. at replaces the clock."""
+    here = lambda more, words: words if more is None else F.when(more, F.slice(words, 1, 0)).otherwise(words)
     r = F.col(c)
     who = F.transform(r["speakers"], lambda s: F.concat(_or(s["name"], "不明"), F.when(s["talk_time_pct"] > 0, F.concat(F.lit(" — 発言比率 "), s["talk_time_pct"].cast("string"), F.lit("%"))).otherwise("")))
     topics = F.filter(r["summary"], lambda b: F.length(F.trim(b)) > 4)
@@ -76,15 +77,15 @@ def minutes(c: str, at: Column) -> Column:
     none = F.array(F.struct(F.lit("アクションアイテムなし / No action items recorded").alias("task"), F.lit("—").alias("owner"), F.lit("—").alias("deadline")))
     return F.struct(
         _or(F.nullif(r["meeting_title"], F.lit("")), "会議議事録").alias("title"), F.date_format(at, "yyyy年MM月dd日 HH:mm").alias("held_at"), F.when(F.size(who) > 0, who).otherwise(F.array(F.lit("出席者情報なし / Not identified"))).alias("attendees"),
-        F.when(F.size(topics) > 0, topics).otherwise(F.array(fallback)).alias("topics"), F.when(F.size(r["key_decisions"]) > 0, r["key_decisions"]).otherwise(F.array(F.lit("明示的な決定事項なし / No explicit decisions recorded"))).alias("decisions"),
-        F.when(F.size(acts) > 0, acts).otherwise(none).alias("actions"),
+        F.when(F.size(topics) > 0, topics).otherwise(F.array(fallback)).alias("topics"), F.when(F.size(r["key_decisions"]) > 0, r["key_decisions"]).otherwise(here(more_decisions, F.array(F.lit("明示的な決定事項なし / No explicit decisions recorded")))).alias("decisions"),
+        F.when(F.size(acts) > 0, acts).otherwise(here(more_actions, none)).alias("actions"),
     )
 
 
-def minutes_text(m: str) -> Column:
-    """The plan of minutes as Markdown."""
-    p = F.col(m)
-    acts = F.transform(p["actions"], lambda a, i: F.concat(F.lit("| "), (i + 1).cast("string"), F.lit(" | "), a["task"], F.lit(" | "), a["owner"], F.lit(" | "), a["deadline"], F.lit(" |")))
+def minutes_text(m: str, before: Column | None = None) -> Column:
+    """The plan of minutes as Markdown; before: how many actions earlier pages have."""
+    p, start = F.col(m), F.lit(0) if before is None else before
+    acts = F.transform(p["actions"], lambda a, i: F.concat(F.lit("| "), (start + i + 1).cast("string"), F.lit(" | "), a["task"], F.lit(" | "), a["owner"], F.lit(" | "), a["deadline"], F.lit(" |")))
     item = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")
     return _lines(F.concat(F.lit("# "), p["title"]), F.concat(F.lit("日時: "), p["held_at"]), F.lit("## 出席者"), item(p["attendees"]), F.lit("## 議題"), item(p["topics"]), F.lit("## 決定事項"), item(p["decisions"]), F.lit("## アクションアイテム"), F.array_join(acts, "\n"))
 
@@ -125,16 +126,21 @@ def rag_prompt(found: DataFrame) -> DataFrame:
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests as result structs, made of the item tables; items of a request in the order of their id, SHOWN at most, with the numbers of all."""
+    """Requests as result structs, made of the item tables, in pages of SHOWN items of a kind in the order of their id, with the numbers of all; tasks_n counts the actions with a task, tasks_before those of earlier pages."""
+    every, line = W.partitionBy("request_id"), W.partitionBy("request_id").orderBy("item_id")
+    page = (F.floor((F.row_number().over(line) - 1) / SHOWN) + 1).cast("int")
+    has = (F.coalesce("task", F.lit("")) != "").cast("int")
     a = spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL").select("request_id", "item_id", "task", "owner", "deadline", "flag").distinct()
-    w = W.partitionBy("request_id").orderBy("item_id")
-    a = a.withColumn("n", F.row_number().over(w)).groupBy("request_id").agg(F.count("*").alias("actions_n"), F.array_sort(F.collect_list(F.when(F.col("n") <= SHOWN, F.struct("item_id", "task", "owner", "deadline", "flag")))).alias("action_items"))
+    a = a.withColumn("page", page).withColumn("has", has).withColumn("before", F.sum("has").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("has")).withColumn("n", F.count("*").over(every)).withColumn("t", F.sum("has").over(every))
+    a = a.groupBy("request_id", "page").agg(F.first("n").alias("actions_n"), F.first("t").alias("tasks_n"), F.min("before").alias("tasks_before"), F.array_sort(F.collect_list(F.struct("item_id", "task", "owner", "deadline", "flag"))).alias("action_items"))
     c = spark.read.parquet(f"{folder}/commitment_items.parquet").where("request_id IS NOT NULL").select("request_id", "item_id", "text").distinct()
-    c = c.withColumn("n", F.row_number().over(w)).groupBy("request_id").agg(F.count("*").alias("decisions_n"), F.array_sort(F.collect_list(F.when(F.col("n") <= SHOWN, F.struct("item_id", "text")))).alias("c"))
-    j = a.join(c, "request_id", "full")
+    c = c.withColumn("page", page).withColumn("n", F.count("*").over(every)).groupBy("request_id", "page").agg(F.first("n").alias("decisions_n"), F.array_sort(F.collect_list(F.struct("item_id", "text"))).alias("c"))
+    # A page that only one kind reaches has the other's numbers from the pages before.
+    j = a.join(c, ["request_id", "page"], "full")
+    of_all = lambda n: F.coalesce(F.max(n).over(every), F.lit(0)).alias(n)
     none = F.array().cast("array<string>")
     return j.select(
-        F.col("request_id").alias("meeting_id"), F.coalesce("actions_n", F.lit(0)).alias("actions_n"), F.coalesce("decisions_n", F.lit(0)).alias("decisions_n"),
+        F.col("request_id").alias("meeting_id"), "page", F.max("page").over(every).alias("pages"), of_all("actions_n"), of_all("decisions_n"), of_all("tasks_n"), F.coalesce("tasks_before", F.lit(0)).alias("tasks_before"),
         F.struct(
             F.lit("").alias("meeting_title"), F.lit("").alias("full_summary"), none.alias("summary"), F.coalesce(F.transform("c", lambda x: x["text"]), none).alias("key_decisions"),
             F.coalesce("action_items", F.array().cast("array<struct<item_id:string,task:string,owner:string,deadline:string,flag:boolean>>")).alias("action_items"),
@@ -144,22 +150,22 @@ def _results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_notes(spark: SparkSession, folder: str) -> DataFrame:
-    return _results(spark, folder).select("meeting_id", "actions_n", "decisions_n", text_notes("r").alias("notes"))
+    return _results(spark, folder).select("meeting_id", "page", "pages", "actions_n", "decisions_n", text_notes("r").alias("notes"))
 
 
 def q_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return _results(spark, folder).select("meeting_id", markdown_notes("r").alias("notes"))
+    return _results(spark, folder).select("meeting_id", "page", "pages", "actions_n", "decisions_n", markdown_notes("r").alias("notes"))
 
 
 def q_minutes(spark: SparkSession, folder: str) -> DataFrame:
-    m = _results(spark, folder).select("meeting_id", minutes("r", F.timestamp_seconds(F.lit(0))).alias("m"))
-    return m.select("meeting_id", minutes_text("m").alias("minutes"))
+    m = _results(spark, folder).withColumn("m", minutes("r", F.timestamp_seconds(F.lit(0)), (F.col("decisions_n") > 0) | (F.col("page") > 1), (F.col("tasks_n") > 0) | (F.col("page") > 1)))
+    return m.select("meeting_id", "page", "pages", "actions_n", "decisions_n", minutes_text("m", F.col("tasks_before")).alias("minutes"))
 
 
 def q_slides(spark: SparkSession, folder: str) -> DataFrame:
     acts = F.transform("r.action_items", lambda i: F.concat(_or(i["task"], ""), F.lit(" (Owner: "), _or(i["owner"], "TBD"), F.lit(", Due: "), _or(i["deadline"], "TBD"), F.lit(")")))
     none = F.array().cast("array<string>")
-    d = _results(spark, folder).select("meeting_id", F.col("r.summary").alias("summary"), F.col("r.key_decisions").alias("decisions"), acts.alias("actions"), none.alias("signals"), none.alias("watch"))
+    d = _results(spark, folder).where("page = 1").select("meeting_id", F.col("r.summary").alias("summary"), F.col("r.key_decisions").alias("decisions"), acts.alias("actions"), none.alias("signals"), none.alias("watch"))
     return slide_plan(d).select("meeting_id", "slide_number", "slide_type", F.size("bullets").alias("bullets"))
 
 

@@ -156,6 +156,28 @@ def test_results_and_reports(spark):
     assert [r.slide_type for r in reports.slide_plan(d).orderBy("slide_number").collect()] == ["cover", "bottom_line", "decisions", "risk_watch", "closing"]
 
 
+def test_reports_list_every_item(spark, tmp_path):
+    """A meeting with more items than a page holds has them all, on pages numbered through."""
+    n = 2 * reports.SHOWN + 7
+    acts = [("big", f"a{i:05}", f"<task {i}>" if i % 5 else None, "Mori", "Friday", False) for i in range(n)] + [("small", "a", "<one>", None, None, True)]
+    spark.createDataFrame(acts, "request_id string, item_id string, task string, owner string, deadline string, flag boolean").write.parquet(str(tmp_path / "action_items.parquet"))
+    said = [("big", f"c{i:05}", f"<decision {i}>") for i in range(reports.SHOWN + 1)]
+    spark.createDataFrame(said, "request_id string, item_id string, text string").write.parquet(str(tmp_path / "commitment_items.parquet"))
+    f = str(tmp_path)
+    notes, md, formal = ({(r.meeting_id, r.page): r for r in q(spark, f).collect()} for q in (reports.q_notes, reports.q_markdown, reports.q_minutes))
+    for got in (notes, md, formal):
+        assert sorted(got) == [("big", 1), ("big", 2), ("big", 3), ("small", 1)]
+        assert {(r.pages, r.actions_n, r.decisions_n) for r in got.values() if r.meeting_id == "big"} == {(3, n, reports.SHOWN + 1)}
+    text = lambda got, c: "".join(got["big", p][c] for p in (1, 2, 3))
+    for t in (text(notes, "notes"), text(md, "notes"), text(formal, "minutes")):
+        assert all(t.count(x[2]) == 1 for x in acts[:n] if x[2])
+    t = text(formal, "minutes")
+    assert all(t.count(x[2]) == 1 for x in said) and "No explicit decisions" not in t and "No action items" not in t
+    rows = [x.split(" | ") for x in t.split("\n") if x.startswith("| ") or "## アクションアイテム" in x and " | " in x]
+    assert [int(x[0].strip("| ")) for x in rows] == list(range(1, len(rows) + 1)) and len(rows) == sum(bool(x[2]) for x in acts[:n])
+    assert "No explicit decisions" in formal["small", 1].minutes and reports.q_slides(spark, f).where("meeting_id = 'big'").where("slide_number = 1").count() == 1
+
+
 def test_pipeline_keeps_every_meeting(spark):
     out = pipeline.analyze(seed(spark))
     assert out.count() == seed(spark).count() and out.where("health_score IS NULL OR verdict IS NULL").count() == 0
