@@ -57,8 +57,30 @@ def direction(rows: DataFrame, group: list[str], order: list[str], value: Column
     return g.withColumn("trend", F.when(F.col("n") < 4, "stable").when(F.col("recent") > F.col("older") * 1.15, "up").when(F.col("recent") < F.col("older") * 0.85, "down").otherwise("stable"))
 
 
+#: Columns whose values are counted, and what stands for none.
+COUNTED = (("keigo_level", "unknown"), ("provider", "unknown"), ("language", "unknown"), ("hallucination_risk", "UNKNOWN"), ("soft_rejection_risk", "NONE"))
+
+
+def series(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """group, order and place with the seven series of the trend charts, a row each entry: label of its time, risk score, hallucination percentage, seconds, action items, code switches, speakers."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    w = W.partitionBy(*group).orderBy(*order)
+    return rows.select(
+        *group, *order, F.row_number().over(w).alias("place"), F.date_format(F.col("timestamp").try_cast("timestamp"), "MM/dd HH:mm").alias("label"), risk_score(F.col("soft_rejection_risk")).alias("soft_rejection_score"), F.bround(F.coalesce("hallucination_rate", F.lit(0.0)) * 100, 1).alias("hallucination_pct"),
+        F.bround(F.coalesce("duration_ms", F.lit(0.0)) / 1000, 1).alias("duration_sec"), n("action_items_total").alias("action_items"), n("code_switches").alias("code_switches"), n("speakers_detected").alias("speakers"),
+    )
+
+
+def distributions(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
+    """group, name, value, n of the five counted columns; with an order also first, when a value comes first."""
+    one = F.array(*(F.struct(F.lit(c).alias("name"), F.coalesce(c, F.lit(none)).alias("value")) for c, none in COUNTED))
+    d = rows.select(*group, F.struct(*order).alias("_at") if order else F.lit(0).alias("_at"), F.explode(one).alias("_d"))
+    g = d.groupBy(*group, F.col("_d.name").alias("name"), F.col("_d.value").alias("value")).agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    return g if order else g.drop("first")
+
+
 def trends(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """group with directions of risk, hallucination rate and duration, averages, and alerts as flags."""
+    """group with directions of risk, hallucination rate and duration, averages, percentage of HIGH, the most used provider and language (of equal ones the first seen), and alerts as flags."""
     out = None
     for name, value in (("soft_rejection", risk_score(F.col("soft_rejection_risk"))), ("hallucination", F.col("hallucination_rate") * 100), ("duration", F.col("duration_ms") / 1000)):
         t = direction(rows, group, order, value).select(*group, F.col("trend").alias(f"{name}_trend"))
@@ -68,7 +90,11 @@ def trends(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
         F.avg("code_switches").alias("avg_code_switches"), F.sum((F.col("soft_rejection_risk") == "HIGH").cast("int")).alias("high_n"), F.sum(F.contains("provider", F.lit("mock")).cast("int")).alias("mock_n"),
         F.min("timestamp").alias("first_date"), F.max("timestamp").alias("last_date"),
     )
-    d = a.join(out, group, "left")
+    place = F.row_number().over(W.partitionBy(*group, "name").orderBy(F.col("n").desc(), "first"))
+    top = distributions(rows, group, *order).where(F.col("name").isin("provider", "language")).withColumn("place", place).where("place = 1")
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    top = top.groupBy(*group).agg(of("provider").alias("most_used_provider"), of("language").alias("most_common_language"))
+    d = a.withColumn("high_soft_rejection_pct", F.bround(F.coalesce("high_n", F.lit(0)) / F.col("total") * 100, 1)).join(out, group, "left").join(top, group, "left")
     return d.withColumn("soft_rejection_alert", (F.col("soft_rejection_trend") == "up") | (F.col("high_n") >= 2)).withColumn("hallucination_alert", (F.col("avg_hallucination_pct") > 30) | (F.col("hallucination_trend") == "up")).withColumn("mock_alert", F.col("mock_n") / F.col("total") > 0.5)
 
 
@@ -112,13 +138,21 @@ def q_audit_trends(spark: SparkSession, folder: str) -> DataFrame:
     return trends(_audit(spark, folder), ["stream_id"], ["timestamp", "file_seq", "line_no"])
 
 
+def q_audit_series(spark: SparkSession, folder: str) -> DataFrame:
+    return series(_audit(spark, folder), ["stream_id"], ["timestamp", "file_seq", "line_no"])
+
+
+def q_audit_distributions(spark: SparkSession, folder: str) -> DataFrame:
+    return distributions(_audit(spark, folder), ["stream_id"])
+
+
 def q_jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of jobs by account and state, with the mean duration."""
     j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").select("job_id", "account_id", "status", "duration_ms").distinct()
     return j.groupBy("account_id").agg(F.count("*").alias("jobs"), *(F.sum((F.col("status") == s).cast("int")).alias(s) for s in ("queued", "running", "done", "failed")), F.round(F.avg("duration_ms"), 3).alias("avg_ms"))
 
 
-QUERIES = {"log_stats": q_stats, "log_breakdown": q_breakdown, "trend_direction": q_direction, "daily_distribution": q_daily, "recent_entries": q_last, "audit_log_stats": q_audit_stats, "audit_log_trends": q_audit_trends, "queue_stats": q_jobs}
+QUERIES = {"log_stats": q_stats, "log_breakdown": q_breakdown, "trend_direction": q_direction, "daily_distribution": q_daily, "recent_entries": q_last, "audit_log_stats": q_audit_stats, "audit_log_trends": q_audit_trends, "audit_log_series": q_audit_series, "audit_log_distributions": q_audit_distributions, "queue_stats": q_jobs}
 SQL = {
     "log_stats": "SELECT count(*) AS total, round(avg(value), 4) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events",
     "log_breakdown": "SELECT coalesce(event_type, 'unknown') AS value, count(*) AS n FROM events GROUP BY 1",

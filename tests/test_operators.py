@@ -135,6 +135,29 @@ def test_trend(spark):
     assert {r.g: r.trend for r in logs.direction(d, ["g"], ["i"], F.col("v")).collect()} == {"u": "up", "s": "stable", "few": "stable", "five": "down"}
 
 
+def test_trend_pack(spark):
+    rows = [("s", f"2025-01-0{i}T09:30:00", i, p, lang, k, r, soft, 0.125, 1500.0, 2, 3, i, "x") for i, (p, lang, k, r, soft) in enumerate([("mock", "ja", "high", "LOW", "HIGH"), ("groq", None, "low", None, "NONE"), ("groq", "en", None, "LOW", None), ("mock", "ja", "high", "HIGH", "HIGH")], 1)]
+    d = spark.createDataFrame(rows, "g string, timestamp string, i int, provider string, language string, keigo_level string, hallucination_risk string, soft_rejection_risk string, hallucination_rate double, duration_ms double, action_items_total int, code_switches int, speakers_detected int, error string")
+    t = logs.trends(d, ["g"], ["timestamp", "i"]).first()
+    assert (t.most_used_provider, t.most_common_language, t.high_soft_rejection_pct) == ("mock", "ja", 50.0)
+    got = {(r.name, r.value): r.n for r in logs.distributions(d, ["g"]).collect()}
+    assert got == {
+        ("provider", "mock"): 2, ("provider", "groq"): 2, ("language", "ja"): 2, ("language", "en"): 1, ("language", "unknown"): 1, ("keigo_level", "high"): 2, ("keigo_level", "low"): 1, ("keigo_level", "unknown"): 1,
+        ("hallucination_risk", "LOW"): 2, ("hallucination_risk", "UNKNOWN"): 1, ("hallucination_risk", "HIGH"): 1, ("soft_rejection_risk", "HIGH"): 2, ("soft_rejection_risk", "NONE"): 2,
+    }
+    s = logs.series(d, ["g"], ["timestamp", "i"]).orderBy("place").collect()
+    assert [tuple(r)[3:] for r in s] == [(i, f"01/0{i} 09:30", x, 12.5, 1.5, 2, 3, i) for i, x in ((1, 4), (2, 0), (3, 0), (4, 4))]
+
+
+def test_talk_time_by_a_word_of_the_name(spark):
+    """A result speaker takes the clock's weight of the first name that has theirs as a word; the first speaker takes what rounding leaves."""
+    t = "Hiro Tanaka: [10:00] a\nSato: [10:00:30] b\nYuki Tanaka: [10:20] c\nSato: [10:21] d"
+    w = dynamics.talk_weights(spark.createDataFrame([("m", t)], "meeting_id string, transcript string")).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "weight"))).alias("w"))
+    for names, want in ((["tanaka", "Sato", "Kim"], [33, 67, 0]), (["Kim"], [9]), (["Yuki Tanaka", "SATO "], [0, 100])):
+        sp = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(9).alias("talk_time_pct")) for n in names))
+        assert [x.talk_time_pct for x in w.select(dynamics.weighed(sp, F.col("w")).alias("s")).first().s] == want
+
+
 def test_log_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "log"
     folder.mkdir()
