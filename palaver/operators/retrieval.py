@@ -23,7 +23,7 @@ def topk(store: DataFrame, queries: DataFrame, k: int, least: float | None = Non
 
     Queries go through the store in blocks of BLOCK vectors, so what reaches the driver and the tasks is bounded; each task keeps its k best,
     and only those are shuffled. same: a column that must be equal, applied before the cosine. least is applied after the cut at k. Ties go
-    to the lower vec_id; null, empty and zero vectors match nothing.
+    to the lower vec_id; null, empty and zero vectors match nothing, and vectors meet only those of their own length.
     """
     cols = ["query_id", "embedding", *([same] if same else [])]
     q = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select(*cols)
@@ -42,37 +42,44 @@ def topk(store: DataFrame, queries: DataFrame, k: int, least: float | None = Non
 
 
 def _block(store: DataFrame, rows: list, k: int, same: str | None) -> DataFrame:
-    size = len(rows[0].embedding)
-    m = np.array([r.embedding for r in rows if len(r.embedding) == size], dtype=float)
-    norm = np.linalg.norm(m, axis=1)
-    ids = np.array([r.query_id for r in rows if len(r.embedding) == size])
-    keys = [r[same] for r in rows if len(r.embedding) == size] if same else None
-    unit = m / np.where(norm > 0, norm, 1)[:, None]
+    by_size: dict[int, list] = {}
+    for r in rows:
+        by_size.setdefault(len(r.embedding), []).append(r)
+    blocks = []
+    for size, own in by_size.items():
+        m = np.array([r.embedding for r in own], dtype=float)
+        norm = np.linalg.norm(m, axis=1)
+        blocks.append((size, [r.query_id for r in own], [r[same] for r in own] if same else None, norm, m / np.where(norm > 0, norm, 1)[:, None]))
+
+    def search(size: int, ids: list, keys: list | None, norm: np.ndarray, unit: np.ndarray, b: pa.RecordBatch, best: dict[int, list[tuple[float, int]]]) -> None:
+        """Adds the k best of the batch's rows of that length to best, by query_id."""
+        vec, emb = b.column(0).to_pylist(), b.column(1).to_pylist()
+        ok = [i for i, e in enumerate(emb) if e is not None and len(e) == size and vec[i] is not None]
+        if not ok:
+            return
+        x = np.array([emb[i] for i in ok], dtype=float)
+        n = np.linalg.norm(x, axis=1)
+        s = (x / np.where(n > 0, n, 1)[:, None]) @ unit.T
+        s[n == 0, :] = -2
+        s[:, norm == 0] = -2
+        if keys is not None:
+            have = b.column(2).to_pylist()
+            s[np.array([[have[i] != key for key in keys] for i in ok])] = -2
+        # all that reach the k-th value, so that ties are cut by id
+        for j in range(s.shape[1]):
+            col = s[:, j]
+            cut = np.partition(col, -k)[-k] if len(col) > k else -2
+            for i in np.flatnonzero((col >= cut) & (col > -2)):
+                best.setdefault(ids[j], []).append((-float(col[i]), vec[ok[i]]))
+            if ids[j] in best:
+                best[ids[j]] = sorted(best[ids[j]])[:k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[float, int]]] = {}
         for b in batches:
-            vec, emb = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = [i for i, e in enumerate(emb) if e is not None and len(e) == size and vec[i] is not None]
-            if not ok:
-                continue
-            x = np.array([emb[i] for i in ok], dtype=float)
-            n = np.linalg.norm(x, axis=1)
-            s = (x / np.where(n > 0, n, 1)[:, None]) @ unit.T
-            s[n == 0, :] = -2
-            s[:, norm == 0] = -2
-            if keys is not None:
-                have = b.column(2).to_pylist()
-                s[np.array([[have[i] != key for key in keys] for i in ok])] = -2
-            # all that reach the k-th value, so that ties are cut by id
-            for j in range(s.shape[1]):
-                col = s[:, j]
-                cut = np.partition(col, -k)[-k] if len(col) > k else -2
-                for i in np.flatnonzero((col >= cut) & (col > -2)):
-                    best.setdefault(j, []).append((-float(col[i]), vec[ok[i]]))
-                if j in best:
-                    best[j] = sorted(best[j])[:k]
-        flat = [(int(ids[j]), v, -s) for j, held in best.items() for s, v in held]
+            for block in blocks:
+                search(*block, b, best)
+        flat = [(q, v, -s) for q, held in best.items() for s, v in held]
         if flat:
             a, v, s = zip(*flat, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "similarity"])

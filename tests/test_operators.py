@@ -108,6 +108,19 @@ def test_topk_brute_force(spark):
     assert retrieval.topk(store.limit(0), q.limit(0), 3).count() == 0
 
 
+def test_topk_of_mixed_lengths(spark):
+    """Every query finds the rows of its own length, whatever stands first in the block."""
+    rows = [(i, [math.sin(i * k) for k in range(1, 3 + i % 3)], 0) for i in range(1, 31)]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for same in (None, "label"):
+        got = {}
+        for r in retrieval.topk(store, store.withColumnRenamed("vec_id", "query_id"), 3, same=same).collect():
+            got.setdefault(r.query_id, []).append((r.place, r.vec_id))
+        for i, e, _ in rows:
+            assert [v for _, v in sorted(got[i])] == [v for _, v in sorted((-round(cos(e, x), 12), v) for v, x, _ in rows if len(x) == len(e))[:3]]
+
+
 def test_semantic_cache_searches_every_row(spark, tmp_path):
     """The nearest other vector counts though it is itself a query; by default from .92 on."""
     angle = {0: 0.0, 20: 0.1, 40: 1.0, 3: 0.5, 7: 2.0, 60: 0.0}
