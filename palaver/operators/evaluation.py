@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,6 +142,20 @@ def q_scores(spark: SparkSession, folder: str) -> DataFrame:
     return overall(summary_scores(p, r), a, s).join(a.select("case_id", "matched"), "case_id")
 
 
+def q_request_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Summary and action scores of every request that has both: its action items as predictions, its commitments as references, in the order of their ids."""
+
+    def read(table: str, text: str) -> DataFrame:
+        d = spark.read.parquet(f"{folder}/{table}.parquet").where(f"request_id IS NOT NULL AND {text} IS NOT NULL").select(F.col("request_id").alias("case_id"), "item_id", F.col(text).alias("task")).distinct()
+        return d.select("case_id", (F.row_number().over(W.partitionBy("case_id").orderBy("item_id", "task")) - 1).alias("pos"), "task")
+
+    p, r = read("action_items", "task"), read("commitment_items", "text")
+    both = p.select("case_id").distinct().join(r.select("case_id").distinct(), "case_id")
+    p, r = p.join(both, "case_id", "left_semi"), r.join(both, "case_id", "left_semi")
+    s = summary_scores(p.withColumnRenamed("task", "bullet"), r.withColumnRenamed("task", "bullet"))
+    return s.join(action_scores(p, r.withColumn("extra", F.lit(False))), "case_id")
+
+
 def q_rouge(spark: SparkSession, folder: str) -> DataFrame:
     """Action items against commitments of the same request and owner: unigram overlap counts."""
     a = spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL AND task IS NOT NULL").select("request_id", "item_id", "task").distinct()
@@ -164,7 +179,7 @@ def _tok(c: str) -> str:
     return f"list_filter(list_distinct(list_concat(list_concat({k}, regexp_split_to_array(regexp_replace(lower({c}), '{_JC}', ' ', 'g'), '{_WS}+')), list_transform(range(1, len({k})), lambda i: {k}[i] || {k}[i + 1]))), lambda w: w <> '')"
 
 
-QUERIES = {"evaluation_scores": q_scores, "rouge1_counts": q_rouge, "japan_check": q_japan}
+QUERIES = {"evaluation_scores": q_scores, "request_scores": q_request_scores, "rouge1_counts": q_rouge, "japan_check": q_japan}
 SQL = {
     "rouge1_counts": f"""SELECT item_id, ref_id, len(x) AS n_pred, len(y) AS n_ref, len(list_intersect(x, y)) AS common FROM (SELECT a.item_id, c.ref_id, {_tok("a.task")} AS x, {_tok("c.ref")} AS y
  FROM (SELECT DISTINCT request_id, item_id, task FROM action_items WHERE request_id IS NOT NULL AND task IS NOT NULL) a JOIN (SELECT DISTINCT request_id, item_id AS ref_id, text AS ref FROM commitment_items WHERE request_id IS NOT NULL AND text IS NOT NULL) c USING (request_id))""",

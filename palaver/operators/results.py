@@ -70,15 +70,25 @@ def stand_in(c: Column) -> Column:
     )
 
 
+def has_owner(c: Column) -> Column:
+    return ~F.coalesce(c, F.lit("TBD")).isin("TBD", "Unknown", "")
+
+
+def has_date(c: Column) -> Column:
+    return ~F.coalesce(c, F.lit("TBD")).isin("TBD", "N/A", "")
+
+
 def health(df: DataFrame, gate_cap: bool = False) -> DataFrame:
-    """df (sentiment, items with owner, deadline, flag; risk_level, terminated, gate, hallucination_risk) with health_score and health_label. gate_cap: at most 55 behind an approval gate."""
+    """df (sentiment, items with owner, deadline, flag, or their numbers items_n, owned_n, dated_n; risk_level, terminated, gate, hallucination_risk) with health_score and health_label. gate_cap: at most 55 behind an approval gate."""
     s = F.coalesce("sentiment", F.array().cast("array<string>"))
     weight = lambda x: F.when(F.lower(x) == "positive", 1.0).when(F.lower(x) == "neutral", 0.6).when(F.lower(x) == "negative", 0.1).otherwise(0.5)
     mood = F.when(F.size(s) == 0, 15).otherwise(F.bround(F.aggregate(s, F.lit(0.0), lambda a, x: a + weight(x)) / F.size(s) * 30).cast("int"))
-    good = F.filter("items", lambda i: ~F.coalesce(i["flag"], F.lit(False)))
-    owned = F.size(F.filter(good, lambda i: ~F.coalesce(i["owner"], F.lit("TBD")).isin("TBD", "Unknown", "")))
-    dated = F.size(F.filter(good, lambda i: ~F.coalesce(i["deadline"], F.lit("TBD")).isin("TBD", "N/A", "")))
-    clear = F.when(F.coalesce(F.size("items"), F.lit(0)) <= 0, 10).otherwise(F.bround((owned + dated) / (2 * F.size("items")) * 25).cast("int"))
+    if "items" in df.columns:
+        good = F.filter("items", lambda i: ~F.coalesce(i["flag"], F.lit(False)))
+        n, owned, dated = F.coalesce(F.size("items"), F.lit(0)), F.size(F.filter(good, lambda i: has_owner(i["owner"]))), F.size(F.filter(good, lambda i: has_date(i["deadline"])))
+    else:
+        n, owned, dated = (F.coalesce(c, F.lit(0)) for c in ("items_n", "owned_n", "dated_n"))
+    clear = F.when(n <= 0, 10).otherwise(F.bround((owned + dated) / (2 * n) * 25).cast("int"))
     risk = F.lit(25)
     for word, p in RISK_POINTS:
         risk = F.when(F.col("risk_level") == word, p).otherwise(risk)
@@ -124,6 +134,20 @@ def q_health(spark: SparkSession, folder: str) -> DataFrame:
     return health(g.withColumn("gate", F.lit(False))).select("id", "health_score", "health_label")
 
 
+def q_request_health(spark: SparkSession, folder: str) -> DataFrame:
+    """Health of every request from its transcript's risk, its items and the grounding of its claims; the tables hold no moods, so these count as missing. Items are counted, not collected."""
+    from . import grounding, signals
+
+    m = grounding._requests(spark, folder)
+    a = spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "item_id", "task", "owner", "deadline", "flag").distinct()
+    good = lambda c: F.sum((c & ~F.coalesce("flag", F.lit(False))).cast("int"))
+    n = a.groupBy("meeting_id").agg(F.count("*").alias("items_n"), good(has_owner(F.col("owner"))).alias("owned_n"), good(has_date(F.col("deadline"))).alias("dated_n"))
+    h = grounding.q_risk(spark, folder).select("meeting_id", F.bround(F.col("flagged_total") / F.col("total_claims"), 3).alias("hallucination_risk"))
+    d = signals.risk(m).join(n, "meeting_id", "left").join(h, "meeting_id", "left").withColumn("sentiment", F.array().cast("array<string>"))
+    d = d.withColumn("terminated", F.col("termination_n") > 0).withColumn("gate", F.col("gate_n") > 0)
+    return health(d).select("meeting_id", "health_score", "health_label")
+
+
 def q_top(spark: SparkSession, folder: str) -> DataFrame:
     """The four gravest said-versus-meant items of each request."""
     s = spark.read.parquet(f"{folder}/said_vs_meant_items.parquet").where("request_id IS NOT NULL").select("request_id", "item_id", "severity").distinct()
@@ -145,7 +169,7 @@ def q_mock(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SEV = "CASE upper(severity) WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
-QUERIES = {"health_score": q_health, "top_signals": q_top, "result_defaults": q_answers, "mock_extraction": q_mock}
+QUERIES = {"health_score": q_health, "request_health": q_request_health, "top_signals": q_top, "result_defaults": q_answers, "mock_extraction": q_mock}
 SQL = {
     "top_signals": f"SELECT request_id, item_id, place FROM (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY {_SEV} DESC, item_id) AS place FROM (SELECT DISTINCT request_id, item_id, severity FROM said_vs_meant_items WHERE request_id IS NOT NULL)) WHERE place <= 4",
     "result_defaults": """SELECT job_id, coalesce(nullif(trim(result ->> '$.meeting_title'), ''), 'Meeting Analysis') AS meeting_title, 1 AS bullets, 0 AS actions, 'unknown' AS keigo_level FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)""",

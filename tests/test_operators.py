@@ -214,6 +214,17 @@ def test_reports_list_every_item(spark, tmp_path):
     assert "No explicit decisions" in formal["small", 1].minutes and reports.q_slides(spark, f).where("meeting_id = 'big'").where("slide_number = 1").count() == 1
 
 
+def test_health_and_scores_of_every_request(spark, tmp_path):
+    write = lambda rows, kinds, name: spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write([("a", "Mori: send the revised quote by Friday"), ("b", "Mori: send the revised quote by Friday"), ("c", "Mori: hello")], "request_id string, transcript string", "analyze_requests")
+    write([("a", "1", "send the revised quote", "Mori", "Friday", False), ("b", "1", "purchase office chairs", "Ghost", "Monday", True), ("b", "2", "send the revised quote", "TBD", "Friday", None)], "request_id string, item_id string, task string, owner string, deadline string, flag boolean", "action_items")
+    write([("a", "1", "send the revised quote")], "request_id string, item_id string, text string", "commitment_items")
+    write([("a", "1", "Mori")], "request_id string, item_id string, speaker string", "said_vs_meant_items")
+    got = {r.meeting_id: r.health_score for r in results.q_request_health(spark, str(tmp_path)).collect()}
+    assert got == {"a": 15 + 25 + 25 + 20, "b": 15 + round(1 / 4 * 25) + 25 + 10, "c": 15 + 10 + 25 + 20}
+    assert [(r.case_id, r.matched, r.f1) for r in evaluation.q_request_scores(spark, str(tmp_path)).collect()] == [("a", 1, 1.0)]
+
+
 def test_pipeline_keeps_every_meeting(spark):
     out = pipeline.analyze(seed(spark))
     assert out.count() == seed(spark).count() and out.where("health_score IS NULL OR verdict IS NULL").count() == 0
