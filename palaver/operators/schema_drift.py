@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..stage import cut
+
 # The documented columns of a log row.
 FIELDS = {
     "timestamp": "timestamp", "session_id": "string", "transcript_chars": "int", "language": "string", "provider": "string", "duration_ms": "double", "summary_bullets": "int",
@@ -37,65 +39,90 @@ def alias_map() -> dict[str, str]:
     return {f: f for f in FIELDS} | {a: f for f, names in ALIASES.items() for a in names}
 
 
+def _loose(name: str) -> str:
+    return name.lower().replace("_", "")
+
+
+def loose_map() -> dict[str, str]:
+    """The alias table by names without case and underscores, for spellings that the table doesn't list."""
+    return {_loose(k): v for k, v in alias_map().items()}
+
+
 def _canonical(name: Column) -> Column:
-    table = F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in alias_map().items())))
-    loose = F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in {k.lower().replace("_", ""): v for k, v in alias_map().items()}.items())))
+    table, loose = (F.create_map(*itertools.chain(*((F.lit(k), F.lit(v)) for k, v in m.items()))) for m in (alias_map(), loose_map()))
     return F.coalesce(table[name], loose[F.lower(F.replace(name, F.lit("_"), F.lit("")))], name)
 
 
 def _kind(v: Column) -> Column:
-    """string, number, boolean, array or object; null for a JSON null."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(s == "STRING", "string").when(s.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(s == "BOOLEAN", "boolean").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
-    )
+    """string, number, boolean, array or object by the first character of the value as JSON; null for a JSON null."""
+    c = F.substring(F.to_json(v), 1, 1)
+    return F.when(c == '"', "string").when(c == "{", "object").when(c == "[", "array").when(c.isin("t", "f"), "boolean").when(c != "n", "number")
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """stream_id, file_seq, line_no, v: v is null for lines that are no whole JSON object or are error rows."""
+    d = lines.where("stream_id IS NOT NULL AND file_seq IS NOT NULL").select("stream_id", "file_seq", "line_no", F.try_parse_json("line").alias("v"))
+    status, kind = F.try_variant_get("v", "$.status", "string"), F.try_variant_get("v", "$.error_type", "string")
+    good = F.schema_of_variant("v").startswith("OBJECT") & ~F.coalesce(status == "error", F.lit(False)) & kind.isNull()
+    return d.withColumn("v", F.when(good, F.col("v")))
 
 
 def readable(lines: DataFrame) -> DataFrame:
     """stream_id, file_seq, line_no, v: the lines that are whole JSON objects and no error rows. Null and cut-off lines are left out."""
-    v = F.try_parse_json("line")
-    d = lines.where("stream_id IS NOT NULL AND file_seq IS NOT NULL AND line IS NOT NULL").select("stream_id", "file_seq", "line_no", v.alias("v"))
-    status, kind = F.try_variant_get("v", "$.status", "string"), F.try_variant_get("v", "$.error_type", "string")
-    return d.where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT") & ~(F.coalesce(status == "error", F.lit(False)) | kind.isNotNull()))
+    return _parsed(lines).where("v IS NOT NULL")
 
 
 def catalogue(lines: DataFrame) -> DataFrame:
-    """stream_id, file_seq, field, name, kind: what each file holds, once. kind is null where all values of a name are null. The lines are reduced before the shuffle."""
-    spark = lines.sparkSession
-    rows = readable(lines).select("stream_id", "file_seq", "v")
-    top = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("stream_id", "file_seq", "key", "value")
-    inner = F.col("key").isin(*CONTAINERS)
-    flat = top.where(~inner).select("stream_id", "file_seq", F.col("key").alias("name"), _kind(F.col("value")).alias("kind"))
-    held = top.where(inner & (F.coalesce(_kind(F.col("value")), F.lit("")) == "object")).select("stream_id", "file_seq", F.col("key").alias("outer_key"), F.col("value").alias("w"))
-    deep = held.lateralJoin(spark.tvf.variant_explode(F.col("w").outer())).select("stream_id", "file_seq", F.concat_ws(".", "outer_key", "key").alias("name"), _kind(F.col("value")).alias("kind"))
-    return flat.union(deep).distinct().select("stream_id", "file_seq", _canonical(F.col("name")).alias("field"), "name", "kind")
+    """stream_id, file_seq, name, kind: what each file holds, once; a file that holds nothing readable has a row of nulls.
+
+    kind is null where a value is null. A line is read once, inner objects in the same pass, and rows are reduced before the shuffle.
+    """
+    tvf = lines.sparkSession.tvf
+    top = _parsed(lines).lateralJoin(tvf.variant_explode_outer(F.col("v").outer())).select("stream_id", "file_seq", "key", "value")
+    top = top.select("stream_id", "file_seq", F.col("key").alias("outer_key"), F.col("value").alias("whole"), F.when(F.col("key").isin(*CONTAINERS), F.col("value")).alias("w"))
+    deep = top.lateralJoin(tvf.variant_explode_outer(F.col("w").outer()))
+    inner = F.col("w").isNotNull()
+    # An element of an array has no key, so it is no field.
+    name = F.when(inner, F.concat(F.col("outer_key"), F.lit("."), F.col("key"))).otherwise(F.col("outer_key"))
+    d = deep.select("stream_id", "file_seq", name.alias("name"), _kind(F.when(inner, F.col("value")).otherwise(F.col("whole"))).alias("kind"))
+    return d.select("stream_id", "file_seq", "name", F.when(F.col("name").isNotNull(), F.col("kind")).alias("kind")).distinct()
+
+
+def _parts(seen: DataFrame) -> DataFrame:
+    """The catalogue with part, a range of consecutive files of a stream, and halo: each part also has the file before its first one, as a halo, so that every comparison stays within a part and a long stream is shared by many tasks."""
+    d = cut(cut(seen).repartitionByRange("stream_id", "file_seq").withColumn("part", F.spark_partition_id()))
+    ends = d.groupBy("stream_id", "part").agg(F.max("file_seq").alias("last"))
+    # One row for each range that a stream spans, so at most as many as there are tasks.
+    ends = ends.withColumn("file_seq", F.lag("last").over(W.partitionBy("stream_id").orderBy("part"))).where("file_seq IS NOT NULL")
+    halo = d.drop("part").join(ends.select("stream_id", "file_seq", "part"), ["stream_id", "file_seq"])
+    return d.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True)))
 
 
 def changes(lines: DataFrame) -> DataFrame:
     """stream_id, file_seq, field_name, change_kind: per file from a stream's second on, what differs from the file before.
 
-    An island of a field that starts there is `added`, one that ended in the file before is `removed`; where the field lies in both files, a
-    starting island of a name is `renamed` and one of a type is `retyped`. Files without a readable line hold nothing. An empty table gives no row.
+    lag and lead over each field's files find its islands: one that starts is `added`, one that ended in the file before is `removed`. Where
+    the field lies in both files, a name that the file before didn't use is `renamed`, and a type that it didn't have is `retyped`, if it had
+    any. Files without a readable line hold nothing. An empty table gives no row.
     """
-    files = lines.where("stream_id IS NOT NULL AND file_seq IS NOT NULL").select("stream_id", "file_seq").distinct()
-    order = W.partitionBy("stream_id").orderBy("file_seq")
-    files = files.withColumn("n", F.row_number().over(order)).withColumn("next_seq", F.lead("file_seq").over(order))
-    seen = catalogue(lines).join(files, ["stream_id", "file_seq"])
-    fields = seen.select("stream_id", "field", "n", "file_seq", "next_seq").distinct()
-    line = W.partitionBy("stream_id", "field").orderBy("n")
-    f = fields.withColumn("before", F.coalesce(F.lag("n").over(line) == F.col("n") - 1, F.lit(False))).withColumn("after", F.coalesce(F.lead("n").over(line) == F.col("n") + 1, F.lit(False)))
-    added = f.where("n > 1 AND NOT before").select("stream_id", "file_seq", "field", F.lit("added").alias("kind"))
-    removed = f.where("next_seq IS NOT NULL AND NOT after").select("stream_id", F.col("next_seq").alias("file_seq"), "field", F.lit("removed").alias("kind"))
-    both = f.where("before").select("stream_id", "file_seq", "field")
-
-    def starts(what: str, kind: str) -> DataFrame:
-        w = W.partitionBy("stream_id", "field", what).orderBy("n")
-        d = seen.where(F.col(what).isNotNull()).select("stream_id", "field", what, "n", "file_seq").distinct()
-        d = d.withColumn("before", F.coalesce(F.lag("n").over(w) == F.col("n") - 1, F.lit(False)))
-        return d.where("n > 1 AND NOT before").select("stream_id", "file_seq", "field").distinct().join(both, ["stream_id", "file_seq", "field"], "left_semi").withColumn("kind", F.lit(kind))
-
-    out = added.unionByName(removed).unionByName(starts("name", "renamed")).unionByName(starts("kind", "retyped"))
-    return out.select("stream_id", F.col("file_seq").cast("int").alias("file_seq"), F.col("field").alias("field_name"), F.col("kind").alias("change_kind"))
+    d = _parts(catalogue(lines))
+    per = d.groupBy("stream_id", "part", "halo", "file_seq", _canonical(F.col("name")).alias("field")).agg(F.collect_set("name").alias("names"), F.collect_set("kind").alias("kinds"))
+    # The rows of one file are peers: the file before is the greatest number below this one, the next the least above (a growing frame either way).
+    files, below = W.partitionBy("stream_id", "part"), (W.unboundedPreceding, -1)
+    near = per.withColumn("next", F.min("file_seq").over(files.orderBy(F.desc("file_seq")).rangeBetween(*below))).withColumn("prev", F.max("file_seq").over(files.orderBy("file_seq").rangeBetween(*below)))
+    line = W.partitionBy("stream_id", "part", "field").orderBy("file_seq")
+    f = near.where("field IS NOT NULL").withColumn("was", F.lag(F.struct("file_seq", "names", "kinds")).over(line)).withColumn("then", F.lead("file_seq").over(line))
+    held = F.coalesce(F.col("was.file_seq") == F.col("prev"), F.lit(False))
+    new = lambda c: F.size(F.array_except(c, f"was.{c}")) > 0
+    here = ~F.col("halo") & F.col("prev").isNotNull()
+    gone = F.col("next").isNotNull() & ~F.coalesce(F.col("then") == F.col("next"), F.lit(False))
+    event = lambda when, seq, kind: F.when(when, F.struct(F.col(seq).alias("file_seq"), F.lit(kind).alias("kind")))
+    events = F.array_compact(F.array(
+        event(here & ~held, "file_seq", "added"), event(gone, "next", "removed"), event(here & held & new("names"), "file_seq", "renamed"),
+        event(here & held & (F.size("was.kinds") > 0) & new("kinds"), "file_seq", "retyped"),
+    ))
+    e = f.select("stream_id", "field", F.explode(events).alias("e"))
+    return e.select("stream_id", F.col("e.file_seq").cast("int").alias("file_seq"), F.col("field").alias("field_name"), F.col("e.kind").alias("change_kind"))
 
 
 def _cast(field: str) -> Column:
@@ -141,17 +168,18 @@ def p2_log_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sql() -> str:
     pairs = ", ".join(f"('{a}', '{f}')" for a, f in alias_map().items())
+    loose = ", ".join(f"('{a}', '{f}')" for a, f in loose_map().items())
     inner = ", ".join(f"'{c}'" for c in CONTAINERS)
     return f"""
-WITH alias(name, field) AS (VALUES {pairs}),
+WITH alias(name, field) AS (VALUES {pairs}), spelt(name, field) AS (VALUES {loose}),
 ok AS (SELECT stream_id, file_seq, line FROM audit_log_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'
   AND coalesce(json_extract_string(line, '$.status'), '') <> 'error' AND json_extract_string(line, '$.error_type') IS NULL),
 top AS (SELECT stream_id, file_seq, j.key AS key, j.value AS value, j.type AS type FROM ok, json_each(ok.line) j),
 flat AS (SELECT stream_id, file_seq, key AS name, type FROM top WHERE key NOT IN ({inner})
   UNION ALL SELECT stream_id, file_seq, top.key || '.' || j.key, j.type FROM top, json_each(top.value) j WHERE top.key IN ({inner}) AND top.type = 'OBJECT'),
-seen AS (SELECT DISTINCT stream_id, file_seq, coalesce(a.field, f.name) AS field, f.name,
+seen AS (SELECT DISTINCT stream_id, file_seq, coalesce(a.field, l.field, f.name) AS field, f.name,
   CASE WHEN type = 'VARCHAR' THEN 'string' WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'array' WHEN type = 'OBJECT' THEN 'object' END AS kind
-  FROM flat f LEFT JOIN alias a ON a.name = f.name),
+  FROM flat f LEFT JOIN alias a ON a.name = f.name LEFT JOIN spelt l ON l.name = lower(replace(f.name, '_', ''))),
 files AS (SELECT stream_id, file_seq, lag(file_seq) OVER (PARTITION BY stream_id ORDER BY file_seq) AS prev FROM (SELECT DISTINCT stream_id, file_seq FROM audit_log_lines)),
 fld AS (SELECT DISTINCT stream_id, file_seq, field FROM seen),
 now AS (SELECT f.stream_id, f.file_seq, f.prev, s.field FROM files f JOIN fld s ON s.stream_id = f.stream_id AND s.file_seq = f.file_seq WHERE f.prev IS NOT NULL),
@@ -162,7 +190,8 @@ stay AS (SELECT n.stream_id, n.file_seq, n.prev, n.field FROM now n JOIN was w O
 renamed AS (SELECT DISTINCT t.stream_id, t.file_seq, t.field FROM stay t JOIN seen s ON s.stream_id = t.stream_id AND s.file_seq = t.file_seq AND s.field = t.field
   WHERE NOT EXISTS (SELECT 1 FROM seen p WHERE p.stream_id = t.stream_id AND p.file_seq = t.prev AND p.field = t.field AND p.name = s.name)),
 retyped AS (SELECT DISTINCT t.stream_id, t.file_seq, t.field FROM stay t JOIN seen s ON s.stream_id = t.stream_id AND s.file_seq = t.file_seq AND s.field = t.field AND s.kind IS NOT NULL
-  WHERE NOT EXISTS (SELECT 1 FROM seen p WHERE p.stream_id = t.stream_id AND p.file_seq = t.prev AND p.field = t.field AND p.kind = s.kind))
+  WHERE NOT EXISTS (SELECT 1 FROM seen p WHERE p.stream_id = t.stream_id AND p.file_seq = t.prev AND p.field = t.field AND p.kind = s.kind)
+  AND EXISTS (SELECT 1 FROM seen p WHERE p.stream_id = t.stream_id AND p.file_seq = t.prev AND p.field = t.field AND p.kind IS NOT NULL))
 SELECT stream_id, file_seq, field AS field_name, 'added' AS change_kind FROM added
 UNION ALL SELECT stream_id, file_seq, field, 'removed' FROM removed
 UNION ALL SELECT stream_id, file_seq, field, 'renamed' FROM renamed

@@ -288,3 +288,19 @@ def test_schema_drift(spark):
     assert rows[1, 1].keigo_level == "high" and rows[2, 1].keigo_level == "medium" and rows[4, 1].keigo_level == "low" and rows[4, 1].code_switches == 2
     empty = spark.createDataFrame([], "stream_id long, file_seq int, line_no int, line string")
     assert schema_drift.changes(empty).count() == 0 and schema_drift.log_rows(empty).count() == 0
+
+
+def test_schema_drift_of_nulls_and_long_streams(spark):
+    one = lambda files: _drift(spark, list(enumerate(files, 1)))
+    got, _ = one([['{"error": null, "a": 1}'], ['{"error": "x", "a": null}'], ['{"error": "y", "a": "t"}'], ['{"error": 5, "a": "u"}']])
+    assert got == {(4, "error", "retyped")}  # nulls have no type, so what follows them is no change of type
+    got, _ = one([['{"KEIGO": "low"}'], ['{"keigo_level": "low"}'], ["{}"], ["not json"], ['{"japan_insights": {"keigo_level": "low"}}'], ['{"japan_insights": {"keigo_level": [1]}}']])
+    assert got == {(2, "keigo_level", "renamed"), (3, "keigo_level", "removed"), (5, "keigo_level", "added"), (6, "keigo_level", "retyped")}
+    # One stream with nearly all files: its ranges lie in several parts, and what changes between two parts isn't lost.
+    files = [['{"a": 1}' if i % 3 else '{"b": "x"}'] for i in range(200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got, d = one(files)
+    assert len(set(r.part for r in schema_drift._parts(schema_drift.catalogue(d)).select("part").collect())) > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    has = lambda i: "a" if i % 3 else "b"
+    assert got == {(i + 1, f, k) for i in range(1, 200) if has(i) != has(i - 1) for f, k in ((has(i), "added"), (has(i - 1), "removed"))}
