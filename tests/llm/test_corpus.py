@@ -72,6 +72,38 @@ def test_shared_pairs_brute_force(spark, monkeypatch):
         cover = {x for i in range(len(t or "") - 199) if t[i : i + 200] in others for x in range(i, i + 200)}
         assert parts[k].shared_chars == len(cover), k
     assert ss.shared_pairs(d.limit(0)).count() == 0
+    kept = {r.doc_id: r for r in ss.without_spans(d).collect()}
+    assert len(kept) == len(texts) and kept[103].text is None and kept[104].text == ""
+    for k, t in texts.items():
+        earlier = {texts[j][i : i + 200] for j in texts if j < k and texts[j] for i in range(len(texts[j]) - 199)}
+        cover = {x for i in range(len(t or "") - 199) if t[i : i + 200] in earlier for x in range(i, i + 200)}
+        assert t is None or kept[k].text == "".join(c for i, c in enumerate(t) if i not in cover), k
+        assert kept[k].cut_out == bool(cover)
+    assert ss.without_spans(d.limit(0)).count() == 0
+
+
+def test_hot_footer(spark, monkeypatch):
+    """A footer in most documents: one class for all its windows, its pairs from blocks; every link is kept."""
+    monkeypatch.setattr(ss, "BLOCK", 50)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    footer = word(320)
+    texts = {i: word(60) + chr(0x4E00 + i) + (footer if i % 3 else word(300)) for i in range(300)}
+    shared = ss.Shared(spark.createDataFrame([*texts.items()], "doc_id long, text string"))
+    assert shared.pieces.count() == 0 and shared.classes().select("h", "h2").distinct().count() == 1
+    held = [i for i in texts if i % 3]
+    assert {tuple(r) for r in shared.pairs().collect()} == {(a, b) for a in held for b in held if a < b}
+
+
+def test_bit_set_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ss, "BITS", 1 << 10)
+    d = spark.range(50_000).withColumnRenamed("id", "doc_id")
+    bits = ss._bit_set(d.where("doc_id < 5000"), "doc_id")
+    assert bits.count() <= 16
+    assert ss._may(d, "doc_id", bits).where("doc_id < 5000").count() == 5000
+    few = ss._bit_set(d.where("doc_id < 20"), "doc_id")
+    got = {r.doc_id for r in ss._may(d, "doc_id", few).collect()}
+    assert set(range(20)) <= got and len(got) < 3000
 
 
 @settings(max_examples=100, deadline=None)
