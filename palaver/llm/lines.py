@@ -8,10 +8,10 @@ from typing import NamedTuple
 from . import speech
 
 _L = r"[\ẁ-ͯऀ-ॣ.'’·-]"
-_NAME = r"(?=[^\W\d_]|[ऀ-ॣ])" + _L + r"+(?:\s+" + _L + r"+){0,3}(?:\s*[\[(【][^\])】:0-9]{1,20}[\])】])?"
+_NAME = r"(?=[^\W\d_]|[ऀ-ॣ])" + _L + r"+(?:\s+" + _L + r"+){0,3}(?:\s*[\[(【][^\])】:0-9]+[\])】])?"
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _CUE = re.compile(r"\s*" + _CLOCK + r"\s*-->")
-_VOICE = re.compile(r"\s*<v(?:\.[\w.]+)?\s+([^>]{1,60})>")
+_VOICE = re.compile(r"\s*<v(?:\.[\w.]+)?\s+([^>]+)>")
 _STAMP_FIRST = re.compile(r"\s*\[?" + _CLOCK + r"\]?\s+(" + _NAME + r")\s*(?::|(?<=\s)-(?=\s|$))\s*")
 _LABEL_FIRST = re.compile(r"\s*(" + _NAME + r")\s*(?:\(" + _CLOCK + r"\)\s*)?:(?!//)\s*(?:\[" + _CLOCK + r"\])?\s*")
 _HEAD = re.compile(r"\s*(?:WEBVTT.*|NOTE(?:\s.*)?|STYLE|REGION)$")

@@ -8,8 +8,10 @@ SOUNDS = (
     "clears throat|door [a-z]+|phone [a-z]+|keyboard[a-z ]*|khaansi|hansi|hasi|taaliyan|shor|笑|笑い|笑い声|咳|咳払い|拍手|沈黙|無音|間|ため息|雑音|音楽|聞き取り不能|音声途切れ|"
     "हँसी|हंसी|खाँसी|खांसी|तालियाँ|तालियां|मौन|शोर|संगीत|ठहाका"
 )
+#: Sound notes, however long: text in brackets without digits, colon or address sign, between note signs or double dashes. Between stars and in
+#: angle brackets up to 24 characters are a note; more is speech that is stressed or quoted.
 NOTE = (
-    r"\[(?! ?(?:ext|at|dot) ?\])[^\[\]0-9:@]{1,30}\]|【[^】0-9:]{1,30}】|♪[^♪\n]{0,40}♪|♪+|\*[^*\n0-9]{2,24}\*|<(?!/?v\b)[a-zA-Z ]{2,24}>|\(?\(\s*(?:" + SOUNDS + r")\s*\)\)?|(?<![^\s])-{2,}[^\n-]{2,40}-{2,}(?![^\s])"
+    r"\[(?! ?(?:ext|at|dot) ?\])[^\[\]0-9:@\n]+\]|【[^】0-9:\n]+】|♪[^♪\n]*♪|♪+|\*[^*\n0-9]{2,24}\*|<(?!/?v\b)[a-zA-Z ]{2,24}>|\(?\(\s*(?:" + SOUNDS + r")\s*\)\)?|(?<![^\s])-{2,}[^\n-]{2,}-{2,}(?![^\s])"
 )
 # Words that fill a pause. Whole lines of them hold no speech.
 FILLERS = (
@@ -21,10 +23,11 @@ FILLER_LINE = r"(?i)^" + _GAP + r"(?:(?:" + "|".join(sorted(FILLERS, key=len, re
 #: Openers that don't count as words of a language (problem 4).
 OPENERS = r"(?:^|(?<=[\s.!?。！？।|\"'」]))(?:Haan woh|Achha toh|Matlab|Um+|Uh+|Er+|I mean|So, you know|you know|अच्छा तो|मतलब|वो|えーと|えっと|あのー|そのー|まあ)(?=[\s,、….]|$)[\s,、….]*"
 
-NAME = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}._'’·-]*(?:\s+[\p{L}\p{M}\p{N}._'’·-]+){0,3}(?:\s*[\[(（【][^\])）】:0-9]{1,20}[\])）】])?"
+#: A label: one to four words, of any length, and a bracket behind them. More words before a colon are speech.
+NAME = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}._'’·-]*(?:\s+[\p{L}\p{M}\p{N}._'’·-]+){0,3}(?:\s*[\[(（【][^\])）】:0-9]+[\])）】])?"
 CLOCK = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 CUE = r"^\s*(" + CLOCK + r")\s*-->.*$"
-VOICE = r"^\s*<v(?:\.[\w.]+)?\s+([^>]{1,60})>(.*)$"
+VOICE = r"^\s*<v(?:\.[\w.]+)?\s+([^>]+)>(.*)$"
 #: stamp first, label, speech after a dash or colon.
 STAMP_FIRST = r"^\s*\[?(" + CLOCK + r")\]?\s+(" + NAME + r")\s*(?::|(?<=\s)-(?=\s|$))(.*)$"
 #: label first, stamp after it in round brackets, or after the colon in square ones, or none.

@@ -32,8 +32,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
     e = d.select("record_id", "account_id", "version", F.posexplode("ls").alias("at", "x"))
     x = F.col("x")
-    # A label ends in a colon or in a dash between blanks; a voice tag and a cue hold ">".
-    may = F.locate(":", x).between(1, 110) | F.contains(x, F.lit(">"))
+    # A label ends in a colon, or has a stamp, which holds one; a voice tag and a cue hold ">".
+    may = F.contains(x, F.lit(":")) | F.contains(x, F.lit(">"))
     cut_up = (
         F.when(~may, F.concat(F.lit("\x01\x01"), x))
         .when(F.contains(x, F.lit(">")) & x.rlike(speech.CUE), F.regexp_replace(x, speech.CUE, "$1\x01\x01\x02"))
@@ -48,7 +48,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
         "record_id", "account_id", "version", "line_no", F.when(~plain, F.nullif(F.trim(F.col("p")[0]), F.lit(""))).alias("clock"), F.when(~plain, F.nullif(F.trim(F.col("p")[1]), F.lit(""))).alias("label"),
         text.startswith("\x02").alias("cue"), text.alias("text"),
     )
-    head = F.col("cue") | (F.length("text") < 200) & F.col("text").rlike(speech.VTT_HEAD)
+    head = F.col("cue") | F.col("text").rlike(speech.VTT_HEAD)
     tagged = F.when(F.contains("text", F.lit("</v")), F.regexp_replace("text", "</?v[^>]*>", "")).otherwise(F.col("text"))
     noted = F.when(tagged.rlike(_MAY_NOTE), F.regexp_replace(tagged, speech.NOTE, " ")).otherwise(tagged)
     e = e.select("record_id", "account_id", "version", "line_no", "clock", "label", "cue", F.when(head, F.lit("")).otherwise(noted).alias("said"))
@@ -61,17 +61,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
 _MAY_NOTE = r"[\[【♪*<(]|--"
 
 
-def units_of(docs: DataFrame) -> DataFrame:
-    """Labelled lines with the unlabelled speech below them: record_id, account_id, unit, label, stamp, said, spoken; in order of the lines. Speech before any label has a null label."""
+def units_of(docs: DataFrame, text: bool = True) -> DataFrame:
+    """Labelled lines with the unlabelled speech below them: record_id, account_id, unit, label, stamp, spoken and, with text, said; in order of the lines. Speech before any label has a null label.
+
+    What is shuffled are labels, stamps and marks; the speech itself only if it is asked for.
+    """
+    e = lines_of(docs).where("label IS NOT NULL OR cue OR spoken")
     rec = W.partitionBy("record_id")
-    e = lines_of(docs).withColumn("first", F.min("version").over(rec)).where("version = first")
+    e = e.select("record_id", "account_id", "version", "line_no", "label", "stamp", "cue", "spoken", *(["said"] if text else []))
+    e = e.withColumn("first", F.min("version").over(rec)).where("version = first")
     run = rec.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     e = e.withColumn("unit", F.count("label").over(run)).withColumn("cue_at", F.last(F.when(F.col("cue"), F.col("stamp")), ignorenulls=True).over(run))
     e = e.withColumn("at", F.coalesce(F.when(~F.col("cue"), F.col("stamp")), F.col("cue_at")))
-    lines = F.array_sort(F.collect_list(F.when(F.col("spoken"), F.struct("line_no", "said"))))
+    said = []
+    if text:
+        lines = F.array_sort(F.collect_list(F.when(F.col("spoken"), F.struct("line_no", "said"))))
+        said = [F.concat_ws(" ", F.transform(lines, lambda l: l["said"])).alias("said")]
     return e.groupBy("record_id", "unit").agg(
         F.first("account_id", ignorenulls=True).alias("account_id"), F.max("label").alias("label"), F.min(F.when(F.col("label").isNotNull() | (F.col("spoken") & (F.col("unit") == 0)), F.struct("line_no", "at")))["at"].alias("stamp"),
-        F.concat_ws(" ", F.transform(lines, lambda l: l["said"])).alias("said"), F.max("spoken").alias("spoken"),
+        F.max("spoken").alias("spoken"), *said,
     )
 
 
@@ -88,13 +96,13 @@ def _key():
     return f
 
 
-def turns(docs: DataFrame, people: DataFrame) -> DataFrame:
-    """record_id, turn_no, speaker_no, speaker (label of the first line), text: each run of one speaker's lines, in order.
+def turns(docs: DataFrame, people: DataFrame, text: bool = True) -> DataFrame:
+    """record_id, turn_no, speaker_no, speaker (label of the first line) and, with text, text: each run of one speaker's lines, in order.
 
     By stamp where all spoken units bear one, else as they stand. Labels that mean one registered person of the account are one speaker;
     a label that could mean several is the one of them who speaks in this transcript under a clear label, if just one does.
     """
-    units = cut(units_of(docs).where("spoken"))
+    units = cut(units_of(docs, text).where("spoken"))
     labels = units.where("label IS NOT NULL").select("account_id", F.col("label").alias("name")).distinct()
     who = resolve(labels, people).where("part = 0").select("account_id", F.col("name").alias("label"), "persons")
     keys = frames.rows_out(labels, _key, "account_id bigint, label string, own string", [("account_id", pa.int64()), ("label", pa.string()), ("own", pa.string())])
@@ -113,8 +121,8 @@ def turns(docs: DataFrame, people: DataFrame) -> DataFrame:
     u = u.withColumn("turn_no", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     u = u.withColumn("first", F.min("turn_no").over(W.partitionBy("record_id", "speaker")))
     u = u.withColumn("speaker_no", F.dense_rank().over(rec.orderBy("first")))
-    said = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda s: s["said"]))
-    return u.groupBy("record_id", "turn_no").agg(F.max("speaker_no").cast("int").alias("speaker_no"), F.min_by("label", "place").alias("speaker"), said.alias("text"))
+    said = [F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda s: s["said"])).alias("text")] if text else []
+    return u.groupBy("record_id", "turn_no").agg(F.max("speaker_no").cast("int").alias("speaker_no"), F.min_by("label", "place").alias("speaker"), *said)
 
 
 def _docs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +132,7 @@ def _docs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return turns(*_docs(spark, folder)).select("record_id", "turn_no", "speaker_no")
+    return turns(*_docs(spark, folder), text=False).select("record_id", "turn_no", "speaker_no")
 
 
 def p7_turns(spark: SparkSession, folder: str) -> DataFrame:

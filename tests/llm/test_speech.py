@@ -33,6 +33,31 @@ def test_turns(spark):
     assert got["g"] == [(1, 1, "no label here")] and got["h"] == [(1, 1, "later"), (2, 2, "tie")]
 
 
+NAME, NOTE = "Maximiliana " + "o" * 120, "[" + "a door in the hall closes slowly, twice" + "]"
+READ = [
+    # (line, label, spoken): on either side of lengths that once counted
+    ("Mori: hello", "Mori", True), (f"{NAME}: hello", NAME, True), ("Mori (head of the purchasing department): hello", "Mori (head of the purchasing department)", True), ("one two three four five: hello", None, True),
+    ("NOTE short", None, False), ("NOTE " + "x" * 300, None, False), (f"Mori: {NOTE}", "Mori", False), ("Mori: [laughs]", "Mori", False), ("Mori: -- " + "recording goes on " * 5 + "--", "Mori", False), ("Mori: ♪ " + "la " * 40 + "♪", "Mori", False), ("<v " + "Ann " * 30 + "Lee>hello</v>", ("Ann " * 30 + "Lee"), True),
+    ("Mori: " + "word " * 80 + "x: y", "Mori", True), ("word " * 80 + "x: y", None, True), ("", None, False), ("えーと…", None, False),
+]
+
+
+def test_both_readers_read_the_same_lines(spark):
+    """The SQL expressions of problem 7 and the Python reader of 3, 4 and 6, over the same lines."""
+    text = "\n".join(x for x, _, _ in READ)
+    want = [(label, spoken) for _, label, spoken in READ]
+    assert [(x.label, x.spoken) for x in lines(text)] == want
+    d = spark.createDataFrame([("a", 1, text)], "record_id string, account_id long, transcript string")
+    assert [(r.label, r.spoken) for r in turns.lines_of(d).orderBy("line_no").collect()] == want
+
+
+def test_turns_without_text_are_the_same(spark):
+    docs = spark.createDataFrame([("b", 1, VTT), ("c", None, "Mori:\nhello\n\nAbe:\n(笑)\n\nMori:\nagain\nAbe: x")], "record_id string, account_id long, transcript string")
+    people = spark.createDataFrame([], PEOPLE)
+    key = ["record_id", "turn_no", "speaker_no", "speaker"]
+    assert {tuple(r) for r in turns.turns(docs, people, text=False).select(*key).collect()} == {tuple(r) for r in turns.turns(docs, people).select(*key).collect()}
+
+
 def test_turns_of_nothing(spark):
     assert turns.turns(spark.createDataFrame([], "record_id string, account_id long, transcript string"), spark.createDataFrame([], PEOPLE)).count() == 0
 
