@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from . import lexicon
 
-JA = "\\u3040-\\u309f\\u30a0-\\u30ff\\u4e00-\\u9fff"
+# Neighbouring ranges are written as one: each range of a class costs a test for every character.
+JA = "\\u3040-\\u30ff\\u4e00-\\u9fff"
 
 
 def words(c: Column) -> Column:
@@ -37,16 +38,16 @@ def clean(c: Column) -> Column:
     return strip(F.array_join(F.transform(F.split(c, "\n"), strip), "\n"))
 
 
-_JP_CHAR = "\\u3000-\\u303f\\u3040-\\u309f\\u30a0-\\u30ff\\u4e00-\\u9fff\\uff00-\\uffef"
+_JP_CHAR = "\\u3000-\\u30ff\\u4e00-\\u9fff\\uff00-\\uffef"
 
 
 def language(c: Column) -> Column:
     """ja, en or mixed by the share of Japanese characters (over a twentieth) and the number of Latin words (over five). Null and blank: en."""
-    total = F.length(F.regexp_replace(c, "[ \\n]", ""))
-    jp = F.length(F.regexp_replace(c, f"[^{_JP_CHAR}]", ""))
+    total = F.length(F.translate(c, " \n", ""))
+    jp = F.length(F.regexp_replace(c, f"[^{_JP_CHAR}]+", ""))
     en = F.regexp_count(c, F.lit("[a-zA-Z]{3,}"))
     ja = jp / F.greatest(total, F.lit(1)) > 0.05
-    return F.when(c.isNull() | (strip(c) == ""), "en").when(ja & (en > 5), "mixed").when(ja, "ja").otherwise("en")
+    return F.when(c.rlike(r"(?U)\S") & ja, F.when(en > 5, "mixed").otherwise("ja")).otherwise("en")
 
 
 def language_name(c: Column) -> Column:
@@ -149,10 +150,14 @@ def bullets(c: Column, fallback: Column) -> Column:
 def ja_tokens(c: Column) -> Column:
     """Lower case; each kana or kanji is a token, other runs split at blanks; then pairs of neighbouring Japanese characters."""
     low = F.lower(c)
-    units = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(f"([{JA}]|[^{JA} \\t\\n]+)")), words))
+    units = words(F.regexp_replace(low, f"([{JA}])", " $1 "))
     cjk = F.regexp_extract_all(low, F.lit(f"([{JA}])"))
-    pairs = F.zip_with(cjk, F.slice(cjk, 2, F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.concat(units, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.concat(units, _with_next(cjk, lambda a, b: F.concat(a, b)))
+
+
+def _with_next(items: Column, f) -> Column:
+    """f of each item and the next. An array of one binds the items, so that they are made once."""
+    return F.transform(F.array(items), lambda a: F.filter(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), f), lambda x: x.isNotNull()))[0]
 
 
 def word_set(c: Column) -> Column:
@@ -183,9 +188,8 @@ def code_switches(c: Column) -> Column:
     """Changes between Japanese and other tokens, without stamps, labels and numbers."""
     t = F.regexp_replace(F.regexp_replace(c, r"\[\d{2}:\d{2}(?::\d{2})?\]", ""), r"(?mU)^[\w　-鿿]+[:：]\s*", "")
     tokens = F.filter(F.transform(words(t), lambda w: F.regexp_replace(w, r"(?U)[^\w぀-鿿]", "")), lambda w: (w != "") & ~w.rlike(r"^\d+$"))
-    ja = F.transform(tokens, lambda w: w.rlike("[\\u3040-\\u309f\\u30a0-\\u30ff\\u4e00-\\u9fff\\u3400-\\u4dbf]"))
-    change = F.zip_with(ja, F.slice(ja, 2, F.greatest(F.size(ja) - 1, F.lit(0))), lambda a, b: a != b)
-    return F.size(F.filter(change, lambda x: F.coalesce(x, F.lit(False))))
+    ja = F.transform(tokens, lambda w: w.rlike("[\\u3040-\\u30ff\\u4e00-\\u9fff\\u3400-\\u4dbf]"))
+    return F.size(F.filter(_with_next(ja, lambda a, b: a != b), lambda x: x))
 
 
 def match_name(c: Column) -> Column:

@@ -6,49 +6,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import ja_tokens, list_overlap, word_list, word_overlap
+from ..functions.text import JA, ja_tokens, list_overlap, word_list
 from ..sources.seed import text as lit
 
 #: Under these overlaps a claim is flagged.
 TASK, BULLET, SPEAKER = 0.20, 0.15, 0.05
-_STOPS = F.array  # built per session
 
 
 def _content(c: Column) -> Column:
     return F.array_except(F.array_distinct(ja_tokens(c)), F.array(*map(F.lit, lexicon.GROUNDING_STOPS)))
 
 
-def source_tokens(c: Column) -> Column:
-    """The distinct tokens of a transcript and of the words before its colons, without stop words."""
-    names = F.filter(F.regexp_extract_all(c, F.lit(r"(?U)([^\s\[\]:：]+)\s*[:：]")), lambda n: ~n.rlike(r"^\d+$"))
-    return _content(F.concat_ws(" ", c, F.array_join(names, " ")))
+# A run is taken from its first character only and never given back, so a long line without a colon is read once.
+_NAMES = r"(?U)(?<![^\s\[\]:：])([^\s\[\]:：]++)\s*[:：]"
+_STOPS_LATIN = "|".join(w for w in lexicon.GROUNDING_STOPS if w.isascii())
+_STOPS_JA = "".join(w for w in lexicon.GROUNDING_STOPS if len(w) == 1 and not w.isascii())
 
 
-def overlap(claim: Column, source: Column) -> Column:
+def source(c: Column) -> Column:
+    """A transcript, and the words before its colons, made ready for overlap: `latin`, its words in lower case between blanks, `ja`, its Japanese characters, and whether there is `any` token but stop words.
+
+    A token stands in the transcript just if it stands between blanks in the one or within the other, so no list of tokens is built or shuffled.
+    """
+    names = F.filter(F.regexp_extract_all(c, F.lit(_NAMES)), lambda n: ~n.rlike(r"^\d+$"))
+    low = F.lower(F.concat_ws(" ", c, F.array_join(names, " ")))
+    latin, ja = F.concat(F.lit(" "), F.regexp_replace(low, rf"(?U)[{JA}\s]+", " "), F.lit(" ")), F.regexp_replace(low, f"[^{JA}]+", "")
+    # Two Japanese characters make a pair, and no pair of stop words of one character is a stop word.
+    some = latin.rlike(f" (?!(?:{_STOPS_LATIN}) )[^ ]") | (F.length(ja) >= 2) | ja.rlike(f"[^{_STOPS_JA}]")
+    return F.when(c.isNotNull(), F.struct(latin.alias("latin"), ja.alias("ja"), some.alias("any")))
+
+
+def overlap(claim: Column, src: Column) -> Column:
     """Share of the claim's tokens in the source, to three places. 0 for an empty claim or source, .5 where only stop words are claimed."""
-    tokens = _content(claim)
-    n = F.size(tokens)
-    return F.when(claim.isNull() | (claim == "") | source.isNull() | (F.size(source) == 0), 0.0).when(n == 0, 0.5).otherwise(F.bround(F.size(F.array_intersect(tokens, source)) / n, 3))
+    held = lambda t: F.contains(src["ja"], t) | F.contains(src["latin"], F.concat(F.lit(" "), t, F.lit(" ")))
+    # An array of one, so that the claim's tokens are made once.
+    share = F.transform(F.array(_content(claim)), lambda a: F.when(F.size(a) == 0, 0.5).otherwise(F.bround(F.size(F.filter(a, held)) / F.size(a), 3)))[0]
+    return F.when(claim.isNull() | (claim == "") | src.isNull() | ~src["any"], 0.0).otherwise(share)
 
 
-def meeting_tokens(meetings: DataFrame) -> DataFrame:
-    """meeting_id, source: tokens once per meeting, hash-partitioned by meeting so that the joins that follow don't shuffle them again."""
-    return meetings.repartition("meeting_id").select("meeting_id", source_tokens(F.col("transcript")).alias("source"))
+def sources(meetings: DataFrame) -> DataFrame:
+    """meeting_id, source: once per meeting, before the join with its claims."""
+    return meetings.select("meeting_id", source(F.col("transcript")).alias("source"))
 
 
 def verify_actions(items: DataFrame, meetings: DataFrame) -> DataFrame:
     """items (meeting_id, item_id, task, owner, deadline) with scores, confidence and hallucination_flag. Items whose meeting is unknown score 0 but for a missing deadline, which counts 1."""
-    j = items.join(meeting_tokens(meetings), "meeting_id", "left")
+    j = items.join(sources(meetings), "meeting_id", "left")
     none = F.lower(F.coalesce("deadline", F.lit(""))).isin("not specified", "tbd", "—", "")
-    j = j.withColumn("task_score", overlap(F.col("task"), F.col("source"))).withColumn("owner_score", overlap(F.col("owner"), F.col("source"))).withColumn("deadline_score", F.when(none, 1.0).otherwise(overlap(F.col("deadline"), F.col("source"))))
+    src = F.col("source")
+    j = j.withColumn("task_score", overlap(F.col("task"), src)).withColumn("owner_score", overlap(F.col("owner"), src)).withColumn("deadline_score", F.when(none, 1.0).otherwise(overlap(F.col("deadline"), src)))
     j = j.withColumn("confidence", F.bround(0.6 * F.col("task_score") + 0.3 * F.col("owner_score") + 0.1 * F.col("deadline_score"), 3))
     return j.withColumn("hallucination_flag", F.col("task_score") < TASK).drop("source")
 
 
-def verify_claims(claims: DataFrame, meetings: DataFrame, least: float = BULLET) -> DataFrame:
-    """claims (meeting_id, claim_id, claim) with grounding_score and hallucination_flag: summary bullets, or speakers with least=SPEAKER."""
-    j = claims.join(meeting_tokens(meetings), "meeting_id", "left").withColumn("grounding_score", overlap(F.col("claim"), F.col("source")))
-    return j.withColumn("hallucination_flag", F.col("grounding_score") < least).drop("source")
+def verify_claims(claims: DataFrame, meetings: DataFrame, least: float | None = BULLET) -> DataFrame:
+    """claims (meeting_id, claim_id, claim) with grounding_score and hallucination_flag: summary bullets, or speakers with least=SPEAKER. With least=None each claim's own column `least` holds."""
+    j = claims.join(sources(meetings), "meeting_id", "left").withColumn("grounding_score", overlap(F.col("claim"), F.col("source")))
+    return j.withColumn("hallucination_flag", F.col("grounding_score") < (F.col("least") if least is None else F.lit(least))).drop("source")
 
 
 def risk(*checked: DataFrame) -> DataFrame:
@@ -70,8 +84,8 @@ def verify(r: Column, transcript: Column) -> Column:
     """Struct of task_low (by action item), flagged_total, total_claims of a result struct over its own transcript: verify_actions and verify_claims within the row, for action items, bullets and the speakers of the moods. An empty transcript flags nothing."""
     low = lambda claims, least: lambda source: F.transform(claims, lambda c: (transcript != "") & (overlap(c, source) < least))
     tasks, points, moods = low(F.transform(r["action_items"], lambda i: i["task"]), TASK), low(r["summary"], BULLET), low(F.transform(r["sentiment"], lambda i: i["speaker"]), SPEAKER)
-    # An array of one, so that the tokens of a transcript are made once.
-    f = F.transform(F.array(source_tokens(transcript)), lambda s: F.struct(tasks(s).alias("tasks"), points(s).alias("points"), moods(s).alias("moods")))
+    # An array of one, so that the transcript is made ready once.
+    f = F.transform(F.array(source(F.coalesce(transcript, F.lit("")))), lambda s: F.struct(tasks(s).alias("tasks"), points(s).alias("points"), moods(s).alias("moods")))
     yes = lambda a: F.size(F.filter(a, lambda x: x))
     return F.transform(f, lambda x: F.struct(x["tasks"].alias("task_low"), (yes(x["tasks"]) + yes(x["points"]) + yes(x["moods"])).alias("flagged_total"), (F.size(x["tasks"]) + F.size(x["points"]) + F.size(x["moods"])).alias("total_claims")))[0]
 
@@ -85,32 +99,44 @@ def rescued(task: Column, transcript: Column, least: float = 0.35) -> Column:
 
 
 def rescue(items: DataFrame, meetings: DataFrame, least: float = 0.35) -> DataFrame:
-    """Flagged items (meeting_id, item_id, task) with the best similarity to a sentence of the meeting; from `least` on the flag is cleared. Similarity is word overlap where no embedding is supplied."""
-    s = meetings.repartition("meeting_id").select("meeting_id", F.explode(F.filter(F.split("transcript", "[.!?。！？\\n]+"), lambda x: F.trim(x) != "")).alias("sentence"))
-    j = items.join(s, "meeting_id", "left").withColumn("sim", F.coalesce(word_overlap(F.col("task"), F.col("sentence")), F.lit(0.0)))
+    """Flagged items (meeting_id, item_id, task) with the best similarity to a sentence of the meeting; from `least` on the flag is cleared. Similarity is word overlap where no embedding is supplied.
+
+    An item meets its meeting's sentences within one row, so no pairs are shuffled. Without a meeting, a task or a sentence the similarity is 0.
+    """
+    s = meetings.select("meeting_id", F.transform(F.filter(F.split("transcript", "[.!?。！？\\n]+"), lambda x: F.trim(x) != ""), word_list).alias("sentences"))
+    like = F.array_max(F.flatten(F.transform(F.array(word_list(F.col("task"))), lambda x: F.transform("sentences", lambda y: list_overlap(x, y)))))
+    j = items.join(s, "meeting_id", "left").select("meeting_id", "item_id", F.coalesce(like, F.lit(0.0)).alias("sim"))
     g = j.groupBy("meeting_id", "item_id").agg(F.max("sim").alias("semantic_grounding"))
     return g.withColumn("rescued", F.col("semantic_grounding") >= least)
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests with a transcript, the least of several."""
     r = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "transcript")
-    return r.dropDuplicates(["meeting_id"])
+    return r.groupBy("meeting_id").agg(F.min("transcript").alias("transcript"))
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "item_id", "task", "owner", "deadline").distinct()
 
 
+def _claims(spark: SparkSession, folder: str) -> DataFrame:
+    """meeting_id, claim, least: tasks, commitments and speakers as claims, each with its limit."""
+    a = _items(spark, folder).select("meeting_id", F.col("task").alias("claim"), F.lit(TASK).alias("least"))
+    for table, column, least in (("commitment_items", "text", BULLET), ("said_vs_meant_items", "speaker", SPEAKER)):
+        d = spark.read.parquet(f"{folder}/{table}.parquet").where("request_id IS NOT NULL").select("request_id", "item_id", column).distinct()
+        a = a.union(d.select(F.col("request_id").alias("meeting_id"), F.col(column).alias("claim"), F.lit(least).alias("least")))
+    return a
+
+
 def q_actions(spark: SparkSession, folder: str) -> DataFrame:
     v = verify_actions(_items(spark, folder), _requests(spark, folder))
     return v.select("meeting_id", "item_id", "hallucination_flag", *((F.round(F.col(c) * 1000)).cast("int").alias(c) for c in ("task_score", "owner_score", "deadline_score")))
 
 
 def q_risk(spark: SparkSession, folder: str) -> DataFrame:
-    m = _requests(spark, folder)
-    c = spark.read.parquet(f"{folder}/commitment_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), F.col("item_id").alias("claim_id"), F.col("text").alias("claim")).distinct()
-    s = spark.read.parquet(f"{folder}/said_vs_meant_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), F.col("item_id").alias("claim_id"), F.col("speaker").alias("claim")).distinct()
-    r = risk(verify_actions(_items(spark, folder), m), verify_claims(c, m), verify_claims(s, m, SPEAKER))
+    """Risk of every request from its tasks, commitments and speakers, which meet its transcript in one join."""
+    r = risk(verify_claims(_claims(spark, folder), _requests(spark, folder), None))
     return r.select("meeting_id", "total_claims", "flagged_total", "risk_label")
 
 
@@ -136,10 +162,21 @@ def _score(c: str) -> str:
 
 _SRC = f"""src AS (SELECT meeting_id, {_tok("full_text")} AS source FROM (SELECT meeting_id, transcript || ' ' || array_to_string(list_filter(regexp_extract_all(transcript, '([^\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\[\\]:：]+){_WS}*[:：]', 1), lambda n: NOT regexp_matches(n, '^[0-9]+$')), ' ') AS full_text
   FROM (SELECT request_id AS meeting_id, min(transcript) AS transcript FROM analyze_requests WHERE transcript IS NOT NULL GROUP BY 1)))"""
+_IT = "it AS (SELECT DISTINCT request_id AS meeting_id, item_id, task, owner, deadline FROM action_items WHERE request_id IS NOT NULL)"
+_W = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]+"
+_wl = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '{_W}'))"
+#: total_claims, flagged_total of every request; also for the health of a request.
+RISK_SQL = f"""WITH {_SRC}, {_IT}, cl AS (SELECT meeting_id, task AS claim, 200 AS least FROM it UNION ALL SELECT meeting_id, claim, 150 FROM (SELECT DISTINCT request_id AS meeting_id, item_id, text AS claim FROM commitment_items WHERE request_id IS NOT NULL)
+ UNION ALL SELECT meeting_id, claim, 50 FROM (SELECT DISTINCT request_id AS meeting_id, item_id, speaker AS claim FROM said_vs_meant_items WHERE request_id IS NOT NULL)),
+ j AS (SELECT cl.*, source, {_tok("claim")} AS t_claim FROM cl LEFT JOIN src USING (meeting_id))
+ SELECT meeting_id, count(*) AS total_claims, count(*) FILTER (WHERE {_score("claim")} < least) AS flagged_total FROM j GROUP BY meeting_id"""
 QUERIES = {"claim_grounding": q_actions, "hallucination_risk": q_risk, "semantic_rescue": q_rescue}
 SQL = {
-    "claim_grounding": f"""WITH {_SRC}, it AS (SELECT DISTINCT request_id AS meeting_id, item_id, task, owner, deadline FROM action_items WHERE request_id IS NOT NULL),
- j AS (SELECT it.*, src.source, {_tok("task")} AS t_task, {_tok("owner")} AS t_owner, {_tok("deadline")} AS t_deadline FROM it LEFT JOIN src USING (meeting_id))
+    "claim_grounding": f"""WITH {_SRC}, {_IT}, j AS (SELECT it.*, src.source, {_tok("task")} AS t_task, {_tok("owner")} AS t_owner, {_tok("deadline")} AS t_deadline FROM it LEFT JOIN src USING (meeting_id))
  SELECT meeting_id, item_id, {_score("task")} < 200 AS hallucination_flag, {_score("task")} AS task_score, {_score("owner")} AS owner_score, CASE WHEN lower(coalesce(deadline, '')) IN ('not specified', 'tbd', '—', '') THEN 1000 ELSE {_score("deadline")} END AS deadline_score FROM j""",
+    "hallucination_risk": f"SELECT * EXCLUDE (r), CASE WHEN r < 0.15 THEN 'LOW' WHEN r < 0.35 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_label FROM (SELECT *, round_even(flagged_total * 1.0 / total_claims, 3) AS r FROM ({RISK_SQL}))",
+    "semantic_rescue": f"""WITH {_SRC}, {_IT}, j AS (SELECT it.*, source, {_tok("task")} AS t_task FROM it LEFT JOIN src USING (meeting_id)), f AS (SELECT meeting_id, item_id, {_wl("task")} AS x FROM j WHERE {_score("task")} < 200),
+ s AS (SELECT meeting_id, {_wl("s")} AS y FROM (SELECT meeting_id, unnest(regexp_split_to_array(transcript, '[.!?。！？\n]+')) AS s FROM (SELECT request_id AS meeting_id, min(transcript) AS transcript FROM analyze_requests WHERE transcript IS NOT NULL GROUP BY 1))),
+ b AS (SELECT f.meeting_id, f.item_id, coalesce(max(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / greatest(len(x), len(y)) END), 0) >= 0.35 AS rescued FROM f LEFT JOIN s USING (meeting_id) GROUP BY 1, 2)
+ SELECT rescued, count(*) AS items FROM b GROUP BY rescued""",
 }
-del _STOPS

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
 from ..sources.seed import rows
+from . import grounding, signals
 
 #: What a model's answer holds; unknown keys are ignored.
 RESULT = (
@@ -136,8 +137,6 @@ def q_health(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_request_health(spark: SparkSession, folder: str) -> DataFrame:
     """Health of every request from its transcript's risk, its items and the grounding of its claims; the tables hold no moods, so these count as missing. Items are counted, not collected."""
-    from . import grounding, signals
-
     m = grounding._requests(spark, folder)
     a = spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "item_id", "task", "owner", "deadline", "flag").distinct()
     good = lambda c: F.sum((c & ~F.coalesce("flag", F.lit(False))).cast("int"))
@@ -168,9 +167,16 @@ def q_mock(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("meeting_id", "r.meeting_title", F.size("r.speakers").alias("speakers"), F.size("r.summary").alias("bullets"))
 
 
+_LEAST = "(SELECT request_id AS meeting_id, min(transcript) AS transcript FROM analyze_requests WHERE transcript IS NOT NULL GROUP BY 1)"
 _SEV = "CASE upper(severity) WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END"
 QUERIES = {"health_score": q_health, "request_health": q_request_health, "top_signals": q_top, "result_defaults": q_answers, "mock_extraction": q_mock}
 SQL = {
+    "request_health": f"""SELECT meeting_id, score AS health_score, CASE WHEN terminated THEN 'Contract Terminated' WHEN score >= 80 THEN 'Productive Meeting' WHEN score >= 60 THEN 'Mostly Aligned' WHEN score >= 40 THEN 'Needs Follow-up' ELSE 'High Risk' END AS health_label FROM (
+ SELECT meeting_id, termination_n > 0 AS terminated, CAST(CASE WHEN termination_n > 0 THEN least(s, 22) ELSE least(s, 100) END AS INT) AS score FROM (SELECT r.meeting_id, termination_n, 15 + CASE WHEN coalesce(n, 0) = 0 THEN 10 ELSE round_even((owned + dated) * 25.0 / (2 * n), 0) END
+ + CASE risk_level WHEN 'NONE' THEN 25 WHEN 'MINIMAL' THEN 20 WHEN 'LOW' THEN 15 WHEN 'MEDIUM' THEN 8 ELSE 0 END + round_even((1 - coalesce(round_even(flagged_total * 1.0 / total_claims, 3), 0)) * 20, 0) AS s
+ FROM (SELECT *, {signals._LEVEL} AS risk_level FROM ({signals._RISK.replace(signals.MEETINGS, _LEAST)})) r LEFT JOIN ({grounding.RISK_SQL}) h USING (meeting_id) LEFT JOIN (SELECT request_id AS meeting_id, count(*) AS n,
+ count(*) FILTER (WHERE NOT coalesce(flag, FALSE) AND coalesce(owner, 'TBD') NOT IN ('TBD', 'Unknown', '')) AS owned, count(*) FILTER (WHERE NOT coalesce(flag, FALSE) AND coalesce(deadline, 'TBD') NOT IN ('TBD', 'N/A', '')) AS dated
+ FROM (SELECT DISTINCT request_id, item_id, task, owner, deadline, flag FROM action_items WHERE request_id IS NOT NULL) GROUP BY 1) i USING (meeting_id)))""",
     "top_signals": f"SELECT request_id, item_id, place FROM (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY {_SEV} DESC, item_id) AS place FROM (SELECT DISTINCT request_id, item_id, severity FROM said_vs_meant_items WHERE request_id IS NOT NULL)) WHERE place <= 4",
     "result_defaults": """SELECT job_id, coalesce(nullif(trim(result ->> '$.meeting_title'), ''), 'Meeting Analysis') AS meeting_title, 1 AS bullets, 0 AS actions, 'unknown' AS keigo_level FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)""",
     "health_score": f"""SELECT id, score AS health_score, CASE WHEN terminated THEN 'Contract Terminated' WHEN score >= 80 THEN 'Productive Meeting' WHEN score >= 60 THEN 'Mostly Aligned' WHEN score >= 40 THEN 'Needs Follow-up' ELSE 'High Risk' END AS health_label FROM (

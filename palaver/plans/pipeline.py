@@ -19,18 +19,19 @@ def analyze(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     are held against the transcript. Scans and grounding are within the row; turns, hints, events, weights and names are one shuffle by meeting
     each, joined to the meetings from the left.
     """
-    c = cut(m.withColumn("transcript", text.joined_labels(text.clean(F.col("transcript")))))
-    base = privacy.counts(signals.outcome(c)).withColumn("language", text.language(F.col("transcript"))).withColumn("keigo", text.keigo(F.col("transcript"))).withColumn("code_switches", text.code_switches(F.col("transcript")))
+    c = m.withColumn("transcript", text.joined_labels(text.clean(F.col("transcript"))))
     if answers is None:
-        base = base.withColumn("s", results.stand_in(F.col("transcript"))).withColumn("r", results.filled("s")).drop("s")
+        c = cut(c.withColumn("s", results.stand_in(F.col("transcript"))).withColumn("r", results.filled("s")).drop("s"))
     else:
+        c = cut(c)
         a = answers.join(c, "meeting_id").withColumn("m", privacy.mask("transcript")["mapping"])
         a = a.select("meeting_id", results.parse(privacy.restore_json("raw_json", "m")).alias("a"))
-        base = base.join(a, "meeting_id", "left").withColumn("s", results.stand_in(F.col("transcript")))
-        base = base.withColumn("r", F.when(F.col("a").isNotNull(), results.filled("a")).otherwise(results.filled("s"))).drop("a", "s")
+        c = c.join(a, "meeting_id", "left").withColumn("s", results.stand_in(F.col("transcript")))
+        c = cut(c.withColumn("r", F.when(F.col("a").isNotNull(), results.filled("a")).otherwise(results.filled("s"))).drop("a", "s"))
+    base = privacy.counts(signals.outcome(c)).withColumn("language", text.language(F.col("transcript"))).withColumn("keigo", text.keigo(F.col("transcript"))).withColumn("code_switches", text.code_switches(F.col("transcript")))
     r = F.col("r")
     weights = dynamics.talk_weights(c).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "weight"))).alias("weights"))
-    said = base.select("meeting_id", F.explode(people.result_names(r)).alias("name"))
+    said = c.select("meeting_id", F.explode(people.result_names(r)).alias("name"))
     names = people.best_match(said, people.speakers(c)).groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "matched"))).alias("names"))
     base = base.join(weights, "meeting_id", "left").join(names, "meeting_id", "left")
     base = base.withColumn("r", r.withField("speakers", dynamics.weighed(r["speakers"], F.coalesce("weights", F.array().cast("array<struct<pos:int,name:string,weight:double>>"))))).withColumn("r", people.unified(r, F.coalesce("names", F.create_map().cast("map<string,string>"))))
