@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..stage import cut
+from .schema_drift import LOG_ROWS_SQL, log_rows
+
 #: Layout of a log row.
 SCHEMA = (
     "timestamp string, session_id string, transcript_chars int, language string, provider string, duration_ms double, summary_bullets int, action_items_total int, action_items_flagged int, hallucination_rate double, "
@@ -47,16 +50,37 @@ def risk_score(c: Column, strict: bool = False) -> Column:
     return F.greatest(F.array_position(F.array(*map(F.lit, words)), F.upper(F.coalesce(c, F.lit("NONE")))) - 1, F.lit(0))
 
 
-def direction(rows: DataFrame, group: list[str], order: list[str], value: Column) -> DataFrame:
-    """group, n, recent, older, trend: the mean of the last three against the three before (with four or five values, against the first three); 15 % either way counts."""
-    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    d = rows.select(*group, *order, value.cast("double").alias("v")).where("v IS NOT NULL")
-    d = d.withColumn("back", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order)))).withColumn("fore", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+#: Parts that a group's rows are dealt to before its ends are known.
+PARTS = 16
+
+
+def directions(rows: DataFrame, group: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """group, metric, n, recent, older, trend of each named value: the mean of the last three against the three before (with four or five values, against the first three); 15 % either way counts.
+
+    Nulls don't count; a group without values has no row. Each part of a group keeps its own ends, and only those meet, so a group with a
+    third of all rows, or all of them, is shared by many tasks.
+    """
+    one = F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("v")) for k, v in values.items()))
+    d = rows.select(*group, F.struct(*order).alias("_at"), F.inline(F.filter(one, lambda x: x["v"].isNotNull())))
+    keys = [*group, "metric"]
+
+    def ends(df: DataFrame, *by: str) -> DataFrame:
+        w = W.partitionBy(*by)
+        return df.withColumn("back", F.row_number().over(w.orderBy(F.col("_at").desc(), "v"))).withColumn("fore", F.row_number().over(w.orderBy("_at", F.col("v").desc())))
+
+    kept = ends(d.withColumn("_part", F.pmod(F.xxhash64("_at"), F.lit(PARTS))), *keys, "_part").where("back <= 6 OR fore <= 3").select(*keys, "_at", "v")
+    n = d.groupBy(*keys).agg(F.count("*").alias("n"))
+    e = ends(kept, *keys).join(n, keys)
     older = F.when(F.col("n") >= 6, F.col("back").between(4, 6)).otherwise(F.col("fore") <= 3)
-    g = d.groupBy(*group, "n").agg(F.avg(F.when(F.col("back") <= 3, F.col("v"))).alias("recent"), F.avg(F.when(older, F.col("v"))).alias("older"))
+    g = e.groupBy(*keys, "n").agg(F.avg(F.when(F.col("back") <= 3, F.col("v"))).alias("recent"), F.avg(F.when(older, F.col("v"))).alias("older"))
     return g.withColumn("trend", F.when(F.col("n") < 4, "stable").when(F.col("recent") > F.col("older") * 1.15, "up").when(F.col("recent") < F.col("older") * 0.85, "down").otherwise("stable"))
 
 
+def direction(rows: DataFrame, group: list[str], order: list[str], value: Column) -> DataFrame:
+    """directions of one value: group, n, recent, older, trend."""
+    return directions(rows, group, order, {"value": value}).drop("metric")
+
+
 #: Columns whose values are counted, and what stands for none.
 COUNTED = (("keigo_level", "unknown"), ("provider", "unknown"), ("language", "unknown"), ("hallucination_risk", "UNKNOWN"), ("soft_rejection_risk", "NONE"))
 
@@ -81,10 +105,8 @@ def distributions(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
 
 def trends(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """group with directions of risk, hallucination rate and duration, averages, percentage of HIGH, the most used provider and language (of equal ones the first seen), and alerts as flags."""
-    out = None
-    for name, value in (("soft_rejection", risk_score(F.col("soft_rejection_risk"))), ("hallucination", F.col("hallucination_rate") * 100), ("duration", F.col("duration_ms") / 1000)):
-        t = direction(rows, group, order, value).select(*group, F.col("trend").alias(f"{name}_trend"))
-        out = t if out is None else out.join(t, group, "full")
+    values = {"soft_rejection": risk_score(F.col("soft_rejection_risk")), "hallucination": F.col("hallucination_rate") * 100, "duration": F.col("duration_ms") / 1000}
+    out = directions(rows, group, order, values).groupBy(*group).agg(*(F.max(F.when(F.col("metric") == k, F.col("trend"))).alias(f"{k}_trend") for k in values))
     a = rows.groupBy(*group).agg(
         F.count("*").alias("total"), F.avg(F.col("duration_ms") / 1000).alias("avg_duration_sec"), F.avg(F.col("hallucination_rate") * 100).alias("avg_hallucination_pct"), F.avg("action_items_total").alias("avg_action_items"),
         F.avg("code_switches").alias("avg_code_switches"), F.sum((F.col("soft_rejection_risk") == "HIGH").cast("int")).alias("high_n"), F.sum(F.contains("provider", F.lit("mock")).cast("int")).alias("mock_n"),
@@ -103,9 +125,8 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, folder: str) -> DataFrame:
-    from .schema_drift import log_rows
-
-    return log_rows(spark.read.parquet(f"{folder}/audit_log_lines.parquet").select("stream_id", "file_seq", "line_no", "line"))
+    """The log rows of every layout, read once and kept as a stage table."""
+    return cut(log_rows(spark.read.parquet(f"{folder}/audit_log_lines.parquet").select("stream_id", "file_seq", "line_no", "line")))
 
 
 def q_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,13 +150,18 @@ def q_last(spark: SparkSession, folder: str) -> DataFrame:
     return last(_events(spark, folder), 50, "ts", "event_id").select("event_id", "event_type")
 
 
+def _rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """df with its doubles to so many places, so that the order of summation doesn't show."""
+    return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
 def q_audit_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics of each deployment's audit log over all its layouts."""
-    return _audit(spark, folder).groupBy("stream_id").agg(*stats_columns())
+    return _rounded(_audit(spark, folder).groupBy("stream_id").agg(*stats_columns()))
 
 
 def q_audit_trends(spark: SparkSession, folder: str) -> DataFrame:
-    return trends(_audit(spark, folder), ["stream_id"], ["timestamp", "file_seq", "line_no"])
+    return _rounded(trends(_audit(spark, folder), ["stream_id"], ["timestamp", "file_seq", "line_no"]))
 
 
 def q_audit_series(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +179,33 @@ def q_jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"log_stats": q_stats, "log_breakdown": q_breakdown, "trend_direction": q_direction, "daily_distribution": q_daily, "recent_entries": q_last, "audit_log_stats": q_audit_stats, "audit_log_trends": q_audit_trends, "audit_log_series": q_audit_series, "audit_log_distributions": q_audit_distributions, "queue_stats": q_jobs}
+_SCORE = "CASE upper(coalesce(soft_rejection_risk, 'NONE')) WHEN 'MINIMAL' THEN 1 WHEN 'LOW' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'HIGH' THEN 4 ELSE 0 END"
+_ORDER = "timestamp NULLS FIRST, file_seq NULLS FIRST, line_no NULLS FIRST"
+_BACK = "timestamp DESC NULLS LAST, file_seq DESC NULLS LAST, line_no DESC NULLS LAST"
+_COUNTED = " UNION ALL ".join(f"SELECT stream_id, timestamp, file_seq, line_no, '{c}' AS name, coalesce({c}, '{none}') AS value FROM r" for c, none in COUNTED)
+
+
+def _trend_sql(name: str, value: str) -> str:
+    return f"""{name} AS (SELECT stream_id, CASE WHEN n < 4 THEN 'stable' WHEN recent > older * 1.15 THEN 'up' WHEN recent < older * 0.85 THEN 'down' ELSE 'stable' END AS trend FROM (SELECT stream_id, n, avg(v) FILTER (WHERE back <= 3) AS recent,
+ avg(v) FILTER (WHERE CASE WHEN n >= 6 THEN back BETWEEN 4 AND 6 ELSE fore <= 3 END) AS older FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY {_BACK}, v) AS back, row_number() OVER (PARTITION BY stream_id ORDER BY {_ORDER}, v DESC) AS fore, count(*) OVER (PARTITION BY stream_id) AS n
+ FROM (SELECT stream_id, timestamp, file_seq, line_no, CAST({value} AS DOUBLE) AS v FROM r) WHERE v IS NOT NULL) GROUP BY stream_id, n))"""
+
+
 SQL = {
+    "audit_log_stats": f"""SELECT stream_id, count(*) AS total_analyses, round(avg(duration_ms), 4) AS avg_duration_ms, round(min(duration_ms), 4) AS min_duration_ms, round(max(duration_ms), 4) AS max_duration_ms, round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END), 4) AS error_rate,
+ round(avg(hallucination_rate), 4) AS avg_hallucination_rate, CAST(sum(CASE WHEN hallucination_risk IN ('HIGH', 'MEDIUM') THEN 1 WHEN hallucination_risk IS NOT NULL THEN 0 END) AS BIGINT) AS high_risk_analyses FROM ({LOG_ROWS_SQL}) GROUP BY stream_id""",
+    "audit_log_series": f"""SELECT stream_id, timestamp, file_seq, line_no, row_number() OVER (PARTITION BY stream_id ORDER BY {_ORDER}) AS place, strftime(timestamp, '%m/%d %H:%M') AS label, {_SCORE} AS soft_rejection_score, round_even(coalesce(hallucination_rate, 0) * 100, 1) AS hallucination_pct,
+ round_even(coalesce(duration_ms, 0) / 1000, 1) AS duration_sec, coalesce(action_items_total, 0) AS action_items, coalesce(code_switches, 0) AS code_switches, coalesce(speakers_detected, 0) AS speakers FROM ({LOG_ROWS_SQL})""",
+    "audit_log_distributions": f"WITH r AS ({LOG_ROWS_SQL}) SELECT stream_id, name, value, count(*) AS n FROM ({_COUNTED}) GROUP BY ALL",
+    "audit_log_trends": f"""WITH r AS ({LOG_ROWS_SQL}), {_trend_sql("t1", _SCORE)}, {_trend_sql("t2", "hallucination_rate * 100")}, {_trend_sql("t3", "duration_ms / 1000")},
+ a AS (SELECT stream_id, count(*) AS total, avg(duration_ms / 1000) AS avg_duration_sec, avg(hallucination_rate * 100) AS avg_hallucination_pct, avg(action_items_total) AS avg_action_items, avg(code_switches) AS avg_code_switches,
+ CAST(sum(CASE WHEN soft_rejection_risk = 'HIGH' THEN 1 WHEN soft_rejection_risk IS NOT NULL THEN 0 END) AS BIGINT) AS high_n, CAST(sum(CASE WHEN contains(provider, 'mock') THEN 1 WHEN provider IS NOT NULL THEN 0 END) AS BIGINT) AS mock_n, min(timestamp) AS first_date, max(timestamp) AS last_date FROM r GROUP BY stream_id),
+ d AS (SELECT stream_id, name, value, count(*) AS n, min((timestamp, file_seq, line_no)) AS first FROM ({_COUNTED}) WHERE name IN ('provider', 'language') GROUP BY ALL),
+ top AS (SELECT stream_id, max(CASE WHEN name = 'provider' THEN value END) AS most_used_provider, max(CASE WHEN name = 'language' THEN value END) AS most_common_language FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, name ORDER BY n DESC, first) AS p FROM d) WHERE p = 1 GROUP BY stream_id)
+ SELECT stream_id, total, round(avg_duration_sec, 4) AS avg_duration_sec, round(avg_hallucination_pct, 4) AS avg_hallucination_pct, round(avg_action_items, 4) AS avg_action_items, round(avg_code_switches, 4) AS avg_code_switches, high_n, mock_n, first_date, last_date,
+ round(round_even(coalesce(high_n, 0) * 100.0 / total, 1), 4) AS high_soft_rejection_pct, t1.trend AS soft_rejection_trend, t2.trend AS hallucination_trend, t3.trend AS duration_trend, most_used_provider, most_common_language,
+ t1.trend = 'up' OR high_n >= 2 AS soft_rejection_alert, avg_hallucination_pct > 30 OR t2.trend = 'up' AS hallucination_alert, mock_n / total > 0.5 AS mock_alert
+ FROM a LEFT JOIN t1 USING (stream_id) LEFT JOIN t2 USING (stream_id) LEFT JOIN t3 USING (stream_id) LEFT JOIN top USING (stream_id)""",
     "log_stats": "SELECT count(*) AS total, round(avg(value), 4) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events",
     "log_breakdown": "SELECT coalesce(event_type, 'unknown') AS value, count(*) AS n FROM events GROUP BY 1",
     "trend_direction": """SELECT user_id, n, CASE WHEN n < 4 THEN 'stable' WHEN recent > older * 1.15 THEN 'up' WHEN recent < older * 0.85 THEN 'down' ELSE 'stable' END AS trend FROM (SELECT user_id, n, avg(value) FILTER (WHERE back <= 3) AS recent,

@@ -198,5 +198,31 @@ UNION ALL SELECT stream_id, file_seq, field, 'renamed' FROM renamed
 UNION ALL SELECT stream_id, file_seq, field, 'retyped' FROM retyped"""
 
 
+def _cast_sql(field: str) -> str:
+    kind = FIELDS[field]
+    found = []
+    for path in (field, *ALIASES.get(field, ())):
+        at = "$" + "".join(f'."{p}"' for p in path.split("."))
+        inner = "coalesce(" + ", ".join(f"json_extract_string(line, '{at}.{k}')" for k in VALUE_KEYS) + ")"
+        text, of = f"json_extract_string(line, '{at}')", f"json_type(line, '{at}')"
+        if kind == "string":
+            found.append(f"CASE {of} WHEN 'ARRAY' THEN array_to_string(json_extract_string(line, '{at}[*]'), ',') WHEN 'OBJECT' THEN {inner} ELSE {text} END")
+        elif kind == "int":
+            found.append(f"CASE {of} WHEN 'ARRAY' THEN CAST(json_array_length(line, '{at}') AS VARCHAR) WHEN 'OBJECT' THEN {inner} ELSE {text} END")
+        else:
+            found.append(text)
+    c = "coalesce(" + ", ".join(found) + ")"
+    if field in LEVELS:
+        words, low = LEVELS[field]
+        listed = ", ".join(f"'{w}'" for w in words)
+        fold = "upper" if words[0].isupper() else "lower"
+        c = f"CASE WHEN regexp_full_match({c}, '[0-9]+') AND try_cast({c} AS INT) BETWEEN {low} AND {low + len(words) - 1} THEN [{listed}][try_cast({c} AS INT) - {low} + 1] ELSE {fold}({c}) END"
+    if kind == "int":
+        return f"CASE WHEN regexp_full_match({c}, '[+-]?[0-9]+') THEN try_cast({c} AS INT) END AS {field}"
+    return f"{c} AS {field}" if kind == "string" else f"try_cast({c} AS {kind}) AS {field}"
+
+
+LOG_ROWS_SQL = f"""SELECT DISTINCT stream_id, file_seq, line_no, {", ".join(map(_cast_sql, FIELDS))} FROM audit_log_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'
+  AND coalesce(json_extract_string(line, '$.status'), '') <> 'error' AND json_extract_string(line, '$.error_type') IS NULL"""
 QUERIES = {"p2_found": p2_found, "p2_log_rows": p2_log_rows}
-SQL = {"p2_found": _sql()}
+SQL = {"p2_found": _sql(), "p2_log_rows": LOG_ROWS_SQL}
