@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import code_switches, grade, ja_tokens, keigo_expected, names_match, rouge1
 from .signals import REJECTIONS, nemawashi, scan
+from .signals import SQL as SIGNAL_SQL
+from .texts import SQL as TEXT_SQL
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -181,6 +183,7 @@ def _tok(c: str) -> str:
 
 QUERIES = {"evaluation_scores": q_scores, "request_scores": q_request_scores, "rouge1_counts": q_rouge, "japan_check": q_japan}
 SQL = {
+    "japan_check": f"SELECT meeting_id, k.expected AS keigo_expected, c.switches AS code_switch_count, n.keywords AS nemawashi_found FROM ({TEXT_SQL['keigo_levels']}) k JOIN ({TEXT_SQL['code_switches']}) c USING (meeting_id) JOIN ({SIGNAL_SQL['nemawashi_signals']}) n USING (meeting_id)",
     "rouge1_counts": f"""SELECT item_id, ref_id, len(x) AS n_pred, len(y) AS n_ref, len(list_intersect(x, y)) AS common FROM (SELECT a.item_id, c.ref_id, {_tok("a.task")} AS x, {_tok("c.ref")} AS y
  FROM (SELECT DISTINCT request_id, item_id, task FROM action_items WHERE request_id IS NOT NULL AND task IS NOT NULL) a JOIN (SELECT DISTINCT request_id, item_id AS ref_id, text AS ref FROM commitment_items WHERE request_id IS NOT NULL AND text IS NOT NULL) c USING (request_id))""",
 }

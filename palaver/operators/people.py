@@ -108,7 +108,7 @@ def _owned(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_unified(spark: SparkSession, folder: str) -> DataFrame:
     """Owners of action items as their transcripts name them: how many by kind of match."""
-    m = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "transcript").dropDuplicates(["meeting_id"])
+    m = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").groupBy(F.col("request_id").alias("meeting_id")).agg(F.min("transcript").alias("transcript"))
     return best_match(_owned(spark, folder), speakers(m)).groupBy("how").agg(F.count("*").alias("names"))
 
 
@@ -142,9 +142,35 @@ def name_sql(c: str) -> str:
 
 
 _RANK = "greatest(" + ", ".join([f"CASE WHEN contains(job_title, '{w}') THEN {r} ELSE 0 END" for w, r in lexicon.RANK_JA] + [rf"CASE WHEN regexp_matches(lower(job_title), '\b{w}\b') THEN {r} ELSE 0 END" for w, r in lexicon.RANK_EN]) + ")"
+
+
+def role_sql(c: str) -> str:
+    """role in SQL: a struct of role and rank."""
+    inside = f"regexp_extract({c}, '[\\(（【]([^\\)）】]*)[\\)）】]', 1)"
+
+    def candidates(t: str, bracket: bool) -> str:
+        one = lambda has, w, r: f"CASE WHEN {has} THEN struct_pack(role := {f'trim({t})' if bracket else repr(w)}, rank := {r}) END"
+        return "[" + ", ".join([one(f"contains({t}, '{w}')", w, r) for w, r in lexicon.RANK_JA] + [one(f"regexp_matches(lower({t}), '\\b{w}\\b')", w, r) for w, r in lexicon.RANK_EN]) + "]"
+
+    every = f"list_filter(list_concat({candidates(inside, True)}, {candidates(c, False)}), lambda x: x IS NOT NULL)"
+    return f"list_reduce(list_prepend(struct_pack(role := '', rank := 0), {every}), lambda best, x: CASE WHEN x.rank > best.rank THEN x ELSE best END)"
+
+
+def speakers_sql(table: str) -> str:
+    """speakers in SQL: meeting_id, speaker, raw_label, first_pos, turns."""
+    return f"""SELECT meeting_id, speaker, max_by(raw, pos) AS raw_label, min(pos) AS first_pos, count(*) AS turns FROM (SELECT meeting_id, pos, raw, {name_sql("raw")} AS speaker FROM (SELECT meeting_id, pos, {strip_sql("raw")} AS raw FROM (
+ SELECT meeting_id, unnest(r) AS raw, generate_subscripts(r, 1) AS pos FROM (SELECT meeting_id, regexp_extract_all(transcript, '(?:\\[\\d{{2}}:\\d{{2}}(?::\\d{{2}})?\\]\\s*)?([^\\n:：\\[\\]]+)[:：]', 1) AS r FROM {table}))) WHERE NOT regexp_matches(raw, '^[0-9]+$')) WHERE length(speaker) >= 2 GROUP BY meeting_id, speaker"""
+
+
+HINTS_SQL = f"SELECT meeting_id, speaker, h.role AS role, h.rank AS rank FROM (SELECT meeting_id, speaker, {role_sql('raw_label')} AS h FROM ({speakers_sql(MEETINGS)}))"
+_LEAST = "(SELECT request_id AS meeting_id, min(transcript) AS transcript FROM analyze_requests WHERE transcript IS NOT NULL GROUP BY 1)"
 SQL = {
-    "speaker_names": f"""SELECT meeting_id, speaker, max_by(raw, pos) AS raw_label, count(*) AS turns FROM (SELECT meeting_id, pos, raw, {name_sql("raw")} AS speaker FROM (SELECT meeting_id, pos, {strip_sql("raw")} AS raw FROM (
- SELECT meeting_id, unnest(r) AS raw, generate_subscripts(r, 1) AS pos FROM (SELECT meeting_id, regexp_extract_all(transcript, '(?:\\[\\d{{2}}:\\d{{2}}(?::\\d{{2}})?\\]\\s*)?([^\\n:：\\[\\]]+)[:：]', 1) AS r FROM {MEETINGS}))) WHERE NOT regexp_matches(raw, '^[0-9]+$')) WHERE length(speaker) >= 2 GROUP BY meeting_id, speaker""",
+    "speaker_names": f"SELECT meeting_id, speaker, raw_label, turns FROM ({speakers_sql(MEETINGS)})",
+    "role_hints": f"SELECT * FROM ({HINTS_SQL}) WHERE rank > 0",
+    "unified_owners": f"""WITH sn AS (SELECT * FROM {rows(lexicon.SURNAMES, 'v(roman, kanji)')}), k AS ({speakers_sql(_LEAST)}), n AS (SELECT DISTINCT request_id AS meeting_id, owner AS name, {name_sql("owner")} AS n FROM action_items
+ WHERE request_id IS NOT NULL AND owner IS NOT NULL AND lower(owner) NOT IN ({", ".join(f"'{w}'" for w in NOBODY)})),
+ j AS (SELECT n.meeting_id, n.name, min(CASE WHEN k.speaker IS NULL OR n.n = '' THEN NULL WHEN n.n = k.speaker THEN 1 WHEN lower(n.n) = lower(k.speaker) THEN 2 WHEN (SELECT max(kanji) FROM sn WHERE roman = lower(n.n)) = k.speaker THEN 3
+ WHEN (SELECT max(roman) FROM sn WHERE kanji = n.n) = lower(k.speaker) THEN 3 WHEN contains(k.speaker, n.n) OR contains(n.n, k.speaker) THEN 4 END) AS how FROM n LEFT JOIN k USING (meeting_id) GROUP BY 1, 2) SELECT coalesce(how, 0) AS how, count(*) AS names FROM j GROUP BY 1""",
     "surname_dictionary": f"SELECT length(kanji) AS characters, count(*) AS names, min(romaji) AS first FROM {rows(lexicon.SURNAMES, 's(romaji, kanji)')} GROUP BY 1",
     "senior_by_account": f"SELECT account_id, person_id, rank FROM (SELECT account_id, person_id, {_RANK} AS rank, row_number() OVER (PARTITION BY account_id ORDER BY {_RANK} DESC, person_id) AS n FROM people WHERE job_title IS NOT NULL) WHERE n = 1",
 }

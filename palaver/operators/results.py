@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, words
-from ..sources.seed import rows
+from ..sources.seed import MEETINGS, rows
 from . import grounding, signals
+from .people import strip_sql
+from .texts import _WORDS
 
 #: What a model's answer holds; unknown keys are ignored.
 RESULT = (
@@ -177,6 +179,9 @@ SQL = {
  FROM (SELECT *, {signals._LEVEL} AS risk_level FROM ({signals._RISK.replace(signals.MEETINGS, _LEAST)})) r LEFT JOIN ({grounding.RISK_SQL}) h USING (meeting_id) LEFT JOIN (SELECT request_id AS meeting_id, count(*) AS n,
  count(*) FILTER (WHERE NOT coalesce(flag, FALSE) AND coalesce(owner, 'TBD') NOT IN ('TBD', 'Unknown', '')) AS owned, count(*) FILTER (WHERE NOT coalesce(flag, FALSE) AND coalesce(deadline, 'TBD') NOT IN ('TBD', 'N/A', '')) AS dated
  FROM (SELECT DISTINCT request_id, item_id, task, owner, deadline, flag FROM action_items WHERE request_id IS NOT NULL) GROUP BY 1) i USING (meeting_id)))""",
+    "mock_extraction": f"""SELECT meeting_id, 'Demo Analysis — ' || n || CASE WHEN n > 1 THEN ' Speakers' ELSE ' Speaker' END AS meeting_title, n AS speakers, 1 + CASE WHEN w < 200 THEN 2 WHEN w < 600 THEN 4 ELSE 6 END AS bullets FROM (
+ SELECT meeting_id, CASE WHEN len(g) > 0 THEN len(g) ELSE 2 END AS n, w FROM (SELECT meeting_id, len({_WORDS}) AS w, list_filter(list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})),
+ lambda x: length(x) >= 2 AND lower(x) NOT IN ('http', 'https', 'view', 'sorry', 'would', 'could')) AS g FROM {MEETINGS}))""",
     "top_signals": f"SELECT request_id, item_id, place FROM (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY {_SEV} DESC, item_id) AS place FROM (SELECT DISTINCT request_id, item_id, severity FROM said_vs_meant_items WHERE request_id IS NOT NULL)) WHERE place <= 4",
     "result_defaults": """SELECT job_id, coalesce(nullif(trim(result ->> '$.meeting_title'), ''), 'Meeting Analysis') AS meeting_title, 1 AS bullets, 0 AS actions, 'unknown' AS keigo_level FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)""",
     "health_score": f"""SELECT id, score AS health_score, CASE WHEN terminated THEN 'Contract Terminated' WHEN score >= 80 THEN 'Productive Meeting' WHEN score >= 60 THEN 'Mostly Aligned' WHEN score >= 40 THEN 'Needs Follow-up' ELSE 'High Risk' END AS health_label FROM (

@@ -237,6 +237,8 @@ def _sum(phrases, what: str) -> str:
     return " + ".join(f"CAST(contains({what}, {text(p)}) AS INT)" for p in phrases)
 
 
+_BL = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_strip = lambda c: f"regexp_replace({c}, '^{_BL}+|{_BL}+$', '', 'g')"
 QUERIES = {
     "signal_rows": q_signal_rows, "deal_signals": q_deal_signals, "risk_tiers": q_risk, "meeting_verdict": q_verdict, "english_friction": q_english, "hindi_signals": q_hindi,
     "phrase_contexts": q_contexts, "lexicon_listing": q_lexicon, "nemawashi_signals": q_nemawashi,
@@ -256,6 +258,9 @@ SQL = {
   count(*) FILTER (WHERE l.tier = 'HIGH') AS hi, count(*) FILTER (WHERE l.tier = 'MEDIUM') AS me, {_sum(x.HINDI_FORMAL, 'm.transcript')} AS formal_n,
   {_sum([p for p, i, _, _ in x.HINDI_INTENTS if i in ('REJECTION', 'LIKELY_REJECTION')], 'm.transcript')} AS rejection_n, {_sum([p for p, i, _, _ in x.HINDI_INTENTS if i in ('UNCERTAIN', 'DEFERRAL')], 'm.transcript')} AS uncertain_n
   FROM {MEETINGS} m LEFT JOIN {rows([(p, d, c, s) for p, d, c, s, _ in HINDI], 'l(p, d, kind, tier)')} ON contains(lower(m.transcript), l.p) OR contains(m.transcript, l.d) GROUP BY m.meeting_id, m.transcript)""",
+    "phrase_contexts": f"""WITH m AS (SELECT meeting_id, transcript, l.phrase, strpos(lower(transcript), l.phrase) AS hit FROM {MEETINGS} m JOIN {_table(ENGLISH)} ON contains(lower(m.transcript), l.phrase)),
+ c AS (SELECT meeting_id, phrase, substr(transcript, greatest(hit - 100, 1), hit + length(phrase) + 100 - greatest(hit - 100, 1)) AS around, list_filter(regexp_extract_all(left(transcript, hit - 1), '([^\\s\\[\\]:：\\n]{{2,30}})\\s*[:：]', 1), lambda n: NOT regexp_matches(n, '^[0-9]+$')) AS names FROM m)
+ SELECT meeting_id, phrase, least(120, length({_strip("around")})) AS context_chars, CASE WHEN len(names) > 0 THEN names[len(names)] ELSE 'Unknown' END AS speaker FROM c""",
     "lexicon_listing": f"SELECT kind, tier, count(*) AS phrases, CAST(max(confidence) AS DOUBLE) AS top_confidence FROM {_table(REJECTIONS + DEALS + ENGLISH)} GROUP BY kind, tier",
     "nemawashi_signals": f"""SELECT meeting_id, {_sum(x.NEMAWASHI, 'transcript')} AS keywords, {_sum([b[:-2] if b.endswith('する') else b.rstrip('い') for b, _, _ in x.NEMAWASHI_ROOTS], 'transcript')} AS roots FROM {MEETINGS}""",
 }
