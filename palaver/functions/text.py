@@ -63,11 +63,15 @@ def features(c: Column) -> Column:
     return out.otherwise(F.struct(*(F.lit(v).alias(n) for n, v in zip(lexicon.FEATURE_NAMES, lexicon.FEATURES["en"], strict=True))))
 
 
+#: Stands where a transcript was cut; seven words, which count.
+NOTICE = "[... the middle part left out ...]"
+
+
 def truncated(c: Column, most: int = 1200) -> Column:
     """Over `most` words: the first three fifths, a notice, the last two fifths."""
     w = words(c)
     a, b = int(most * 0.6), int(most * 0.4)
-    cut = F.concat(F.array_join(F.slice(w, 1, a), " "), F.lit("\n\n[...middle section omitted — transcript too long...]\n\n"), F.array_join(F.slice(w, -b, b), " "))
+    cut = F.concat(F.array_join(F.slice(w, 1, a), " "), F.lit(f"\n\n{NOTICE}\n\n"), F.array_join(F.slice(w, -b, b), " "))
     return F.when(F.size(w) > most, cut).otherwise(c)
 
 

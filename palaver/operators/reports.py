@@ -7,9 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bullets
-from .people import role
+from ..sources.seed import text as lit
+from .people import role, role_sql
+from .results import top_signals
 
 
+# The customary words of minutes where something is missing, and the heads of its parts.
+NO_NAME, NO_PEOPLE, NO_TOPIC, NO_DECISION, NO_ACTION, NO_DATE = "会議議事録", "出席者情報なし / Not identified", "議題情報なし / Agenda not extracted", "明示的な決定事項なし / No explicit decisions recorded", "アクションアイテムなし / No action items recorded", "未定"
+HEADS = ("## 出席者", "## 議題", "## 決定事項", "## アクションアイテム")
 #: Items of one kind on a page of a report; a meeting has as many pages as its items need.
 SHOWN = 200
 
@@ -72,12 +77,12 @@ def minutes(c: str, at: Column, more_decisions: Column | None = None, more_actio
     r = F.col(c)
     who = F.transform(r["speakers"], lambda s: F.concat(_or(s["name"], "不明"), F.when(s["talk_time_pct"] > 0, F.concat(F.lit(" — 発言比率 "), s["talk_time_pct"].cast("string"), F.lit("%"))).otherwise("")))
     topics = F.filter(r["summary"], lambda b: F.length(F.trim(b)) > 4)
-    fallback = F.when(_or(r["full_summary"], "") != "", F.concat(F.substring(r["full_summary"], 1, 120), F.when(F.length(r["full_summary"]) > 120, "...").otherwise(""))).otherwise("議題情報なし / Agenda not extracted")
-    acts = F.transform(F.filter(r["action_items"], lambda i: _or(i["task"], "") != ""), lambda i: F.struct(i["task"].alias("task"), _or(i["owner"], "TBD").alias("owner"), _or(i["deadline"], "未定").alias("deadline")))
-    none = F.array(F.struct(F.lit("アクションアイテムなし / No action items recorded").alias("task"), F.lit("—").alias("owner"), F.lit("—").alias("deadline")))
+    fallback = F.when(_or(r["full_summary"], "") != "", F.concat(F.substring(r["full_summary"], 1, 120), F.when(F.length(r["full_summary"]) > 120, "...").otherwise(""))).otherwise(NO_TOPIC)
+    acts = F.transform(F.filter(r["action_items"], lambda i: _or(i["task"], "") != ""), lambda i: F.struct(i["task"].alias("task"), _or(i["owner"], "TBD").alias("owner"), _or(i["deadline"], NO_DATE).alias("deadline")))
+    none = F.array(F.struct(F.lit(NO_ACTION).alias("task"), F.lit("—").alias("owner"), F.lit("—").alias("deadline")))
     return F.struct(
-        _or(F.nullif(r["meeting_title"], F.lit("")), "会議議事録").alias("title"), F.date_format(at, "yyyy年MM月dd日 HH:mm").alias("held_at"), F.when(F.size(who) > 0, who).otherwise(F.array(F.lit("出席者情報なし / Not identified"))).alias("attendees"),
-        F.when(F.size(topics) > 0, topics).otherwise(F.array(fallback)).alias("topics"), F.when(F.size(r["key_decisions"]) > 0, r["key_decisions"]).otherwise(here(more_decisions, F.array(F.lit("明示的な決定事項なし / No explicit decisions recorded")))).alias("decisions"),
+        _or(F.nullif(r["meeting_title"], F.lit("")), NO_NAME).alias("title"), F.date_format(at, "yyyy年MM月dd日 HH:mm").alias("held_at"), F.when(F.size(who) > 0, who).otherwise(F.array(F.lit(NO_PEOPLE))).alias("attendees"),
+        F.when(F.size(topics) > 0, topics).otherwise(F.array(fallback)).alias("topics"), F.when(F.size(r["key_decisions"]) > 0, r["key_decisions"]).otherwise(here(more_decisions, F.array(F.lit(NO_DECISION)))).alias("decisions"),
         F.when(F.size(acts) > 0, acts).otherwise(here(more_actions, none)).alias("actions"),
     )
 
@@ -87,7 +92,7 @@ def minutes_text(m: str, before: Column | None = None) -> Column:
     p, start = F.col(m), F.lit(0) if before is None else before
     acts = F.transform(p["actions"], lambda a, i: F.concat(F.lit("| "), (start + i + 1).cast("string"), F.lit(" | "), a["task"], F.lit(" | "), a["owner"], F.lit(" | "), a["deadline"], F.lit(" |")))
     item = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- "), x)), "\n")
-    return _lines(F.concat(F.lit("# "), p["title"]), F.concat(F.lit("日時: "), p["held_at"]), F.lit("## 出席者"), item(p["attendees"]), F.lit("## 議題"), item(p["topics"]), F.lit("## 決定事項"), item(p["decisions"]), F.lit("## アクションアイテム"), F.array_join(acts, "\n"))
+    return _lines(F.concat(F.lit("# "), p["title"]), F.concat(F.lit("日時: "), p["held_at"]), F.lit(HEADS[0]), item(p["attendees"]), F.lit(HEADS[1]), item(p["topics"]), F.lit(HEADS[2]), item(p["decisions"]), F.lit(HEADS[3]), F.array_join(acts, "\n"))
 
 
 def cultural_report(df: DataFrame) -> DataFrame:
@@ -105,14 +110,14 @@ def cultural_report(df: DataFrame) -> DataFrame:
 def slide_plan(df: DataFrame) -> DataFrame:
     """meeting_id, slide_number, slide_type, title, bullets of rows (meeting_id, summary, decisions, actions as text, signals as text, watch as text); slides without content are left out and the rest numbered."""
     empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    first = F.when(F.size(empty("summary")) > 0, F.slice(empty("summary"), 1, 3)).otherwise(F.array(F.lit("Meeting analysis is complete.")))
-    decided = F.when(F.size(empty("decisions")) > 0, F.transform(F.slice(empty("decisions"), 1, 4), lambda d: F.concat(F.lit("Decided: "), d))).otherwise(F.array(F.lit("No formal decisions were recorded in this transcript.")))
-    steps = F.when(F.size(empty("actions")) > 0, F.slice(empty("actions"), 1, 5)).otherwise(F.array(F.lit("No specific action items were identified for this meeting.")))
+    first = F.when(F.size(empty("summary")) > 0, F.slice(empty("summary"), 1, 3)).otherwise(F.array(F.lit("The analysis has nothing to summarise.")))
+    decided = F.when(F.size(empty("decisions")) > 0, F.transform(F.slice(empty("decisions"), 1, 4), lambda d: F.concat(F.lit("Decided: "), d))).otherwise(F.array(F.lit("The transcript holds no explicit decision.")))
+    steps = F.when(F.size(empty("actions")) > 0, F.slice(empty("actions"), 1, 5)).otherwise(F.array(F.lit("The meeting left nobody with a task.")))
     s = lambda kind, title, b, show: F.struct(F.lit(kind).alias("slide_type"), F.lit(title).alias("title"), b.alias("bullets"), show.alias("show"))
     yes = F.lit(True)
     all_ = F.array(
-        s("cover", "Meeting Summary", F.array().cast("array<string>"), yes), s("bottom_line", "Bottom Line", bullets(first, F.slice(first, 1, 1)), yes), s("said_vs_meant", "What They Said vs. What It Meant", F.slice(empty("signals"), 1, 3), F.size(empty("signals")) > 0),
-        s("decisions", "Decisions & Commitments", decided, yes), s("risk_watch", "Risk & Watch Items", F.slice(empty("watch"), 1, 4), F.size(empty("watch")) > 0), s("closing", "Next Steps", bullets(steps, F.slice(steps, 1, 1)), yes),
+        s("cover", "Meeting Summary", F.array().cast("array<string>"), yes), s("bottom_line", "In short", bullets(first, F.slice(first, 1, 1)), yes), s("said_vs_meant", "Said and meant", F.slice(empty("signals"), 1, 3), F.size(empty("signals")) > 0),
+        s("decisions", "Decisions", decided, yes), s("risk_watch", "To watch", F.slice(empty("watch"), 1, 4), F.size(empty("watch")) > 0), s("closing", "Next", bullets(steps, F.slice(steps, 1, 1)), yes),
     )
     d = df.select("meeting_id", F.posexplode(F.filter(all_, lambda x: x["show"])).alias("n", "s"))
     return d.select("meeting_id", (F.col("n") + 1).alias("slide_number"), "s.slide_type", "s.title", "s.bullets")
@@ -163,16 +168,23 @@ def q_minutes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_slides(spark: SparkSession, folder: str) -> DataFrame:
+    """The slides of every request: decisions and steps of its items, the gravest said-versus-meant items as signals, those of HIGH or MEDIUM severity to watch."""
     acts = F.transform("r.action_items", lambda i: F.concat(_or(i["task"], ""), F.lit(" (Owner: "), _or(i["owner"], "TBD"), F.lit(", Due: "), _or(i["deadline"], "TBD"), F.lit(")")))
-    none = F.array().cast("array<string>")
-    d = _results(spark, folder).where("page = 1").select("meeting_id", F.col("r.summary").alias("summary"), F.col("r.key_decisions").alias("decisions"), acts.alias("actions"), none.alias("signals"), none.alias("watch"))
-    return slide_plan(d).select("meeting_id", "slide_number", "slide_type", F.size("bullets").alias("bullets"))
+    v = spark.read.parquet(f"{folder}/said_vs_meant_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "item_id", "said", "meant", "severity").distinct()
+    line = F.struct("place", F.concat(_or(F.col("said"), ""), F.lit(" → "), _or(F.col("meant"), "")).alias("t"))
+    texts = lambda c: F.transform(F.array_sort(c), lambda x: x["t"])
+    top = top_signals(v, "meeting_id", 4, "item_id").groupBy("meeting_id").agg(texts(F.collect_list(line)).alias("signals"), texts(F.collect_list(F.when(F.upper("severity").isin("HIGH", "MEDIUM"), line))).alias("watch"))
+    d = _results(spark, folder).where("page = 1").select("meeting_id", F.col("r.summary").alias("summary"), F.col("r.key_decisions").alias("decisions"), acts.alias("actions"))
+    return slide_plan(d.join(top, "meeting_id", "left")).select("meeting_id", "slide_number", "slide_type", F.size("bullets").alias("bullets"))
 
 
 def q_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """What the bundle of each finished job holds, read back from its JSON."""
     j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("result IS NOT NULL").select("job_id", "language", "transcript", "result").distinct()
     b = export_bundle(F.struct(F.col("job_id"), F.col("language")), F.col("transcript"), F.col("result"))
-    return j.select("job_id", F.size(F.json_object_keys(b)).alias("keys"))
+    at = lambda path: F.get_json_object("b", path)
+    d = j.select("job_id", b.alias("b"))
+    return d.select("job_id", F.size(F.json_object_keys("b")).alias("keys"), at("$.metadata.job_id").alias("held_id"), at("$.metadata.language").alias("language"), F.length(at("$.transcript")).alias("chars"), F.get_json_object(at("$.analysis"), "$.meeting_title").alias("title"))
 
 
 def q_chain(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,4 +208,35 @@ def q_cultural(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"cultural_report": q_cultural, "text_notes": q_notes, "markdown_notes": q_markdown, "formal_minutes": q_minutes, "slide_plan": q_slides, "export_bundle": q_bundle, "approval_chain": q_chain}
-SQL = {"export_bundle": "SELECT job_id, 3 AS keys FROM (SELECT DISTINCT job_id, language, transcript, result FROM analysis_jobs WHERE result IS NOT NULL)"}
+_A = f"""a AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY item_id) - 1) // {SHOWN} + 1 AS page, sum(CASE WHEN coalesce(task, '') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY item_id) AS k,
+ sum(CASE WHEN coalesce(task, '') <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY request_id) AS tasks_n FROM (SELECT DISTINCT request_id, item_id, task, owner, deadline, flag FROM action_items WHERE request_id IS NOT NULL)),
+ c AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY item_id) - 1) // {SHOWN} + 1 AS page FROM (SELECT DISTINCT request_id, item_id, text FROM commitment_items WHERE request_id IS NOT NULL)),
+ p AS (SELECT request_id, page FROM a UNION SELECT request_id, page FROM c), n AS (SELECT request_id, max(page) AS pages FROM p GROUP BY 1), na AS (SELECT request_id, count(*) AS n, max(tasks_n) AS t FROM a GROUP BY 1), nc AS (SELECT request_id, count(*) AS n FROM c GROUP BY 1),
+ m AS (SELECT request_id, page, pages, coalesce(na.n, 0) AS actions_n, coalesce(nc.n, 0) AS decisions_n, coalesce(na.t, 0) AS tasks_n FROM p JOIN n USING (request_id) LEFT JOIN na USING (request_id) LEFT JOIN nc USING (request_id))"""
+_NL = "chr(10)"
+
+
+def _paged(items: str, notes: str) -> str:
+    return f"WITH {_A}, i AS ({items}) SELECT m.request_id AS meeting_id, CAST(page AS INT) AS page, CAST(pages AS INT) AS pages, actions_n, decisions_n, {notes} FROM m LEFT JOIN i USING (request_id, page)"
+
+
+_ACT = "coalesce(task, '')"
+_TEXT_ITEMS = f"""SELECT request_id, page, string_agg('- ' || {_ACT} || CASE WHEN flag THEN ' [FLAGGED]' ELSE '' END || {_NL} || '    Owner: ' || coalesce(owner, 'TBD') || '   Deadline: ' || coalesce(deadline, 'TBD'), {_NL} ORDER BY item_id) AS body FROM a GROUP BY 1, 2"""
+_MD_ITEMS = f"""SELECT request_id, page, string_agg('- **' || {_ACT} || '**' || CASE WHEN flag THEN ' ⚠' ELSE '' END || '  ' || {_NL} || '  Owner: ' || coalesce(owner, 'TBD') || '  Deadline: ' || coalesce(deadline, 'TBD') || {_NL}, '' ORDER BY item_id) AS body FROM a GROUP BY 1, 2"""
+_MINUTE_ITEMS = f"""SELECT request_id, page, acts, decided, before FROM p LEFT JOIN (SELECT request_id, page, string_agg('| ' || k || ' | ' || task || ' | ' || coalesce(owner, 'TBD') || ' | ' || coalesce(deadline, {lit(NO_DATE)}) || ' |', {_NL} ORDER BY item_id) FILTER (WHERE {_ACT} <> '') AS acts,
+ min(k - CASE WHEN {_ACT} <> '' THEN 1 ELSE 0 END) AS before FROM a GROUP BY 1, 2) USING (request_id, page) LEFT JOIN (SELECT request_id, page, string_agg('- ' || text, {_NL} ORDER BY item_id) AS decided FROM c GROUP BY 1, 2) USING (request_id, page)"""
+_MINUTES = f"""concat_ws({_NL}, '# ' || {lit(NO_NAME)}, '日時: 1970年01月01日 00:00', {lit(HEADS[0])}, '- ' || {lit(NO_PEOPLE)}, {lit(HEADS[1])}, '- ' || {lit(NO_TOPIC)}, {lit(HEADS[2])}, coalesce(decided, CASE WHEN decisions_n > 0 OR page > 1 THEN '' ELSE '- ' || {lit(NO_DECISION)} END),
+ {lit(HEADS[3])}, coalesce(acts, CASE WHEN tasks_n > 0 OR page > 1 THEN '' ELSE '| ' || (coalesce(before, 0) + 1) || ' | ' || {lit(NO_ACTION)} || ' | — | — |' END)) AS minutes"""
+SQL = {
+    "text_notes": _paged(_TEXT_ITEMS, f"'MEETING ANALYSIS' || {_NL} || repeat('=', 40) || {_NL} || CASE WHEN body IS NOT NULL THEN {_NL} || 'ACTION ITEMS' || {_NL} || repeat('-', 20) || {_NL} || body || {_NL} ELSE '' END AS notes"),
+    "markdown_notes": _paged(_MD_ITEMS, f"'# Meeting Analysis' || {_NL} || CASE WHEN body IS NOT NULL THEN {_NL} || '## Action Items' || {_NL} || body ELSE '' END AS notes"),
+    "formal_minutes": _paged(_MINUTE_ITEMS, _MINUTES),
+    "slide_plan": f"""WITH {_A}, s AS (SELECT request_id, count(*) AS n, count(*) FILTER (WHERE upper(severity) IN ('HIGH', 'MEDIUM')) AS w FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE upper(severity) WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, item_id) AS k
+ FROM (SELECT DISTINCT request_id, item_id, said, meant, severity FROM said_vs_meant_items WHERE request_id IS NOT NULL)) WHERE k <= 4 GROUP BY 1),
+ q AS (SELECT m.*, coalesce(s.n, 0) AS sn, coalesce(s.w, 0) AS sw FROM m LEFT JOIN s USING (request_id) WHERE page = 1),
+ x AS (SELECT request_id, 1 AS o, 'cover' AS slide_type, 0 AS bullets FROM q UNION ALL SELECT request_id, 2, 'bottom_line', 1 FROM q UNION ALL SELECT request_id, 3, 'said_vs_meant', least(3, sn) FROM q WHERE sn > 0
+ UNION ALL SELECT request_id, 4, 'decisions', CASE WHEN decisions_n > 0 THEN least(4, decisions_n) ELSE 1 END FROM q UNION ALL SELECT request_id, 5, 'risk_watch', least(4, sw) FROM q WHERE sw > 0 UNION ALL SELECT request_id, 6, 'closing', CASE WHEN actions_n > 0 THEN least(5, actions_n) ELSE 1 END FROM q)
+ SELECT request_id AS meeting_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY o) AS INT) AS slide_number, slide_type, CAST(bullets AS INT) AS bullets FROM x""",
+    "approval_chain": f"""SELECT CAST(account_id AS VARCHAR) AS meeting_id, count(*) AS steps, first(full_name ORDER BY h.rank DESC, full_name) AS top FROM (SELECT account_id, full_name, {role_sql("job_title")} AS h FROM people WHERE job_title IS NOT NULL) WHERE h.rank > 0 GROUP BY 1""",
+    "export_bundle": "SELECT job_id, 3 AS keys, job_id AS held_id, language, length(transcript) AS chars, result ->> '$.meeting_title' AS title FROM (SELECT DISTINCT job_id, language, transcript, result FROM analysis_jobs WHERE result IS NOT NULL)",
+}

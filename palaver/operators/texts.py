@@ -94,7 +94,23 @@ def _fuzzy(c: str) -> str:
 _FUZZY = f"""SELECT a.account_id, a.owner, count(p.full_name) AS matches FROM (SELECT DISTINCT account_id, owner, {_fuzzy("owner")} AS x FROM action_items WHERE owner IS NOT NULL AND account_id IS NOT NULL) a
  LEFT JOIN (SELECT account_id, full_name, {_fuzzy("full_name")} AS y FROM people) p ON p.account_id = a.account_id AND x <> '' AND y <> '' AND (x = y OR contains(x, y) OR contains(y, x) OR length(x) >= 3 AND length(y) >= 3 AND left(x, 3) = left(y, 3)) GROUP BY a.account_id, a.owner"""
 _JC = "[\\x{3040}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{4e00}-\\x{9fff}]"
+_strip = lambda c: f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+_BLANK = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_CJK = "\\x{3040}-\\x{9fff}"
+_NAMES = f"list_filter(list_transform(regexp_extract_all(transcript, '(?m)^\\s*(\\[[A-Z]+_\\d+\\]|[A-Za-z{_CJK}][^\\n:：\\[\\]]{{0,30}}?)\\s*[:：]', 1), lambda n: {_strip("regexp_replace(n, '\\s*\\([^)]*\\)', '', 'g')")}), lambda n: n <> '' AND NOT regexp_matches(n, '^[0-9]+$'))"
+_FIRST = "list_filter(names, lambda n, i: list_position(list_transform(names, lambda x: lower(x)), lower(n)) = i)"
+_LABEL = f"[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s\\x{{0b}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}-\\x{{9fff}}]{{1,40}}"
+_HAS = lambda c: f"len(list_filter(list_filter(list_transform(string_split({c}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')[:40], lambda x: regexp_matches(x, '^\\*?\\*?{_LABEL}\\*?\\*?{_BLANK}*[：:]{_BLANK}*[^\\s]') OR regexp_matches(x, '^\\[{_LABEL}\\]{_BLANK}*[：:]{_BLANK}*[^\\s]') OR regexp_matches(x, '^【{_LABEL}】{_BLANK}*[：:]{_BLANK}*[^\\s]'))) >= 2"
+_keep = lambda c: f"list_filter(list_transform({c}, lambda x: {_strip('x')}), lambda x: x <> '')"
+#: meeting_id, transcript, names, hint, degenerate: what the label and prompt queries draw from.
+HINT_SQL = f"""SELECT *, coalesce(list_aggregate({_FIRST}[:10], 'string_agg', ', '), 'Not detected') AS hint, n > 0 AND n <= 40 AND turns < 2 AND len({_FIRST}[:10]) < 2 AS degenerate FROM (SELECT meeting_id, transcript, {_NAMES} AS names, len({_WORDS}) AS n,
+ len(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*(?:\\[[A-Z]+_\\d+\\]|[A-Za-z{_CJK}][^\\n:：]{{0,30}}?)[:：]')) AS turns FROM {MEETINGS})"""
 SQL = {
+    "clean_text_lengths": f"""SELECT job_id, length(transcript) AS chars, length(c) AS clean_chars, len(string_split(c, chr(10))) AS lines FROM (SELECT job_id, transcript, {_strip("array_to_string(list_transform(string_split(regexp_replace(regexp_replace(nfc_normalize(transcript), '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: " + _strip("x") + "), chr(10))")} AS c
+  FROM (SELECT DISTINCT job_id, transcript FROM analysis_jobs WHERE transcript IS NOT NULL))""",
+    "speaker_labels": f"""SELECT meeting_id, {_HAS("transcript")} AS has_labels, hint, degenerate, length(regexp_replace(transcript, '(?m)^([A-Za-z][A-Za-z\\s.''\\-]{{1,38}}?)\\s*:\\s*\\n([ \\t]*[^\\s])', '\\1: \\2', 'g')) AS joined_chars,
+  length(CASE WHEN {_HAS("plain")} THEN plain ELSE array_to_string(list_transform(CASE WHEN len(paras) > 0 THEN paras ELSE ls END, lambda p, i: 'Speaker ' || i || ': ' || p), chr(10)) END) AS labelled_chars
+  FROM (SELECT *, {_keep("regexp_split_to_array(plain, '\\n{2,}')")} AS paras, {_keep("string_split(plain, chr(10))")} AS ls FROM (SELECT *, replace(transcript, '**', '') AS plain FROM ({HINT_SQL})))""",
     "failure_classes": """SELECT kind, count(*) AS jobs FROM (SELECT CASE WHEN coalesce(error, '') = '' THEN 'none' WHEN regexp_matches(lower(error), 'rate|limit|quota|429') THEN 'rate_limit' WHEN regexp_matches(lower(error), 'time ?out|timed') THEN 'timeout'
  WHEN regexp_matches(lower(error), 'auth|key|401|403') THEN 'auth' ELSE 'other' END AS kind FROM (SELECT DISTINCT job_id, error FROM analysis_jobs)) GROUP BY kind""",
     "fuzzy_name_matches": _FUZZY,
