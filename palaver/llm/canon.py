@@ -89,12 +89,13 @@ def _may_join(ch: str) -> bool:
 
 
 KEY_MAP, READ_MAP, _U, _M = _tables()
-# Classes stay within the basic plane, where they compile to a bit map; a text with wider code points is one unstable segment.
+# Classes stay within the basic plane, where they compile to a bit map. A text with wider code points takes a pattern of its own, to which
+# each of these is unstable.
 _BMP = re.compile(r"\\U000[1-9a-f][0-9a-f]{4}(?:-\\U000[1-9a-f][0-9a-f]{4})?")
 _U, _M = _BMP.sub("", _U), _BMP.sub("", _M)
 _WIDE = re.compile("[\U00010000-\U0010ffff]")
 # A starter as context, then marks and unstable code points; or two marks in a row, whose order may be off.
-_SEGMENT = re.compile(f"[^{_U}{_M}]?(?:[{_M}]*[{_U}][{_U}{_M}]*|[{_M}]{{2,}})")
+_SEGMENT, _SEGMENT_WIDE = (re.compile(f"[^{u}{_M}]?(?:[{_M}]*[{u}][{u}{_M}]*|[{_M}]{{2,}})") for u in (_U, _U + "\U00010000-\U0010ffff"))
 _NFC = unicodedata.normalize
 
 
@@ -106,9 +107,11 @@ def visual_key(text: str | None) -> str | None:
     """The form in which texts that show the same characters in the same places are equal. Case, digits, words, marks and line breaks stay. None stays None."""
     if text is None or text.isascii():
         return text
-    if _WIDE.search(text):
-        return _NFC("NFC", text.translate(KEY_MAP))
-    return _SEGMENT.sub(_key, text)
+    return _segments(text).sub(_key, text)
+
+
+def _segments(text: str) -> re.Pattern:
+    return _SEGMENT_WIDE if _WIDE.search(text) else _SEGMENT
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -139,7 +142,7 @@ def canonical(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii():
-        text = _NFC("NFC", text.translate(READ_MAP)) if _WIDE.search(text) else _SEGMENT.sub(lambda m: _NFC("NFC", m.group().translate(READ_MAP)), text)
+        text = _segments(text).sub(lambda m: _NFC("NFC", m.group().translate(READ_MAP)), text)
     return _WORD.sub(_readable_word, text)
 
 

@@ -43,6 +43,22 @@ def _pack(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
+#: Members of a group that meet in one task when its pairs are listed, about.
+BLOCK = 1_000
+
+
+def block_pairs(members: DataFrame, keys: list[str], extra: list[str], most: int | None = None) -> DataFrame:
+    """Pairs of the members of each group: keys, and each column of extra as NAME_a and NAME_b; each pair in both orders, and each member with itself.
+
+    members has the keys, their number n, and extra, whose first column deals the members to blocks of about `most` (BLOCK). A pair of
+    blocks is a task's unit, so no task holds all pairs of a hot group.
+    """
+    c = members.withColumn("_blocks", F.ceil(F.col("n") / (most or BLOCK)).cast("int"))
+    c = c.withColumn("_own", F.pmod(F.xxhash64(extra[0]), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    side = lambda x, first, second: c.select(*keys, F.col(first).alias("_block_a"), F.col(second).alias("_block_b"), *(F.col(e).alias(f"{e}_{x}") for e in extra))
+    return side("a", "_own", "_other").join(side("b", "_other", "_own"), [*keys, "_block_a", "_block_b"]).drop("_block_a", "_block_b")
+
+
 def distinct_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """df without nulls and without repeated rows of one key and text. Repeats within a task are dropped before the shuffle, which carries the texts."""
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).dropDuplicates([key, text])

@@ -81,7 +81,7 @@ def parts(cell: str | None) -> list[tuple[int, str]]:
             a, b = s.split(",", 1)
             s = f"{b} {a}"
         words = _WORD.findall(s)
-        if not words or any(w.lower() in NOBODY for w in words) or len(words) > 4:
+        if not words or any(w.lower() in NOBODY for w in words):
             continue
         if all(len(w) == 1 and is_latin(w) for w in words) and len(words) > 1:
             out.append((i, "." + "".join(words).lower()))

@@ -26,47 +26,63 @@ PER_PACKER, CLOSED = 40_000, 0.97
 KINDS = 100
 
 
-def best_fit(items: list[tuple[int, int, int, str | None]], capacity: int) -> list[list[tuple[int, int, int, str | None]]]:
-    """Bins of (size, id, cluster, source) items, none larger than capacity. The largest come first; ties by id, so the result is the same in any order of input."""
+def best_fit(items: list[tuple[int, int, int, str | None]], capacity: int, sources_apart: bool = False) -> list[list[tuple[int, int, int, str | None]]]:
+    """Bins of (size, id, cluster, source) items, none larger than capacity. The largest come first; ties by id, so the result is the same in any order of input.
+
+    Two items of one cluster never share a bin; with sources_apart two of one source neither. Of equally tight bins that can take an item
+    the first that holds its source is chosen, else the first: all of them are looked at, by their bitmaps.
+    """
     names: dict[str | None, int] = {}
     marks: dict[int, int] = {}
     shared = {c for c, n in _counts(x[2] for x in items).items() if n > 1}
-    residuals: list[tuple[int, int]] = []
+    residuals: list[int] = []  # in order, each once
+    at: dict[int, dict[int, None]] = {}  # bins by residual, in the order they came to it
+    own: dict[tuple[int, int], dict[int, None]] = {}  # the same by residual and source
     bins: list[list] = []
     clusters: list[int] = []
     sources: list[int] = []
+
+    def place(b: int, left: int) -> None:
+        if left not in at:
+            insort(residuals, left)
+        at.setdefault(left, {})[b] = None
+        for x in dict.fromkeys(names[i[3]] for i in bins[b]):
+            own.setdefault((left, x), {})[b] = None
+
+    def take(b: int, left: int) -> None:
+        del at[left][b]
+        if not at[left]:
+            del at[left], residuals[bisect_left(residuals, left)]
+        for x in dict.fromkeys(names[i[3]] for i in bins[b]):
+            del own[left, x][b]
+            if not own[left, x]:
+                del own[left, x]
+
     for item in sorted(items, key=lambda x: (-x[0], x[1])):
         size, _, cluster, source = item
         bit = 1 << marks.setdefault(cluster, len(marks)) if cluster in shared else 0
-        sbit = 1 << names.setdefault(source, len(names))
-        i = bisect_left(residuals, (size, -1))
+        name = names.setdefault(source, len(names))
+        sbit = 1 << name
         best = None
-        while i < len(residuals):
-            left, b = residuals[i]
-            if not clusters[b] & bit:
-                # of equally tight bins the one that holds the source already
-                if best is None or left == residuals[best][0] and sources[b] & sbit and not sources[residuals[best][1]] & sbit:
-                    best = i
-                elif left > residuals[best][0]:
-                    break
-                if sources[b] & sbit or left == size and i - best > 8:
-                    break
-            i += 1
-            if best is not None and i - best > 8:
+        for i in range(bisect_left(residuals, size), len(residuals)):
+            left = residuals[i]
+            groups = (at[left],) if sources_apart else (own.get((left, name), ()), at[left])
+            best = next((b for g in groups for b in g if not clusters[b] & bit and not (sources_apart and sources[b] & sbit)), None)
+            if best is not None:
                 break
         if best is None:
-            b = len(bins)
             bins.append([item])
             clusters.append(bit)
             sources.append(sbit)
-            insort(residuals, (capacity - size, b))
+            if capacity > size:
+                place(len(bins) - 1, capacity - size)
             continue
-        left, b = residuals.pop(best)
-        bins[b].append(item)
-        clusters[b] |= bit
-        sources[b] |= sbit
+        take(best, left)
+        bins[best].append(item)
+        clusters[best] |= bit
+        sources[best] |= sbit
         if left > size:
-            insort(residuals, (left - size, b))
+            place(best, left - size)
     return bins
 
 
@@ -80,7 +96,7 @@ def _counts(xs) -> dict:
 _SCHEMA = "container_kind string, capacity bigint, packer int, bin int, doc_id bigint, piece int, cluster bigint, source string, tokens bigint, used bigint"
 
 
-def _packer(keys, pdf):
+def _packer(apart: bool, keys, pdf):
     import pandas as pd
 
     kind, capacity, packer = keys[0], int(keys[1]), keys[2]
@@ -89,18 +105,22 @@ def _packer(keys, pdf):
     src = [None if pd.isna(s) else s for s in pdf["source"]]
     items = [(int(t), where[d, p], int(c), s) for d, p, c, s, t in zip(pdf["doc_id"], pdf["piece"], pdf["cluster"], src, pdf["tokens"], strict=True)]
     rows = []
-    for b, held in enumerate(best_fit(items, capacity)):
+    for b, held in enumerate(best_fit(items, capacity, apart)):
         used = sum(x[0] for x in held)
         rows += [(kind, capacity, packer, b, *pieces[i], c, s, t, used) for t, i, c, s in held]
     return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in _SCHEMA.split(", ")])
 
 
-def containers(docs: DataFrame, kinds: DataFrame, packers: int | None = None) -> DataFrame:
+def containers(docs: DataFrame, kinds: DataFrame, packers: int | None = None, sources_apart: bool = False) -> DataFrame:
     """container_kind, container_id, doc_id, piece_no, source, tokens, used, capacity: where each document, or each piece of a larger one, lies.
 
     kinds has container_kind and capacity_tokens. A document larger than the capacity is split into full pieces and a rest; no other is
-    split. Empty and null texts have no tokens and take no container. Without documents or kinds there is no row.
+    split. sources_apart: no container has two documents of one source. Empty and null texts have no tokens and take no container. Without documents or kinds there is no row.
     """
+
+    def pack(keys, pdf):
+        return _packer(sources_apart, keys, pdf)
+
     k = kinds.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").limit(KINDS + 1).collect()
     if len(k) > KINDS:
         raise ValueError(f"more than {KINDS} kinds of container")
@@ -112,12 +132,12 @@ def containers(docs: DataFrame, kinds: DataFrame, packers: int | None = None) ->
     size = F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity"))
     p = p.select("container_kind", "capacity", "doc_id", "piece", "source", "cluster", size.alias("tokens"))
     full, rest = p.where("tokens = capacity"), p.where("tokens < capacity")
-    first = cut(rest.withColumn("packer", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).groupBy("container_kind", "capacity", "packer").applyInPandas(_packer, _SCHEMA))
+    first = cut(rest.withColumn("packer", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).groupBy("container_kind", "capacity", "packer").applyInPandas(pack, _SCHEMA))
     closed = F.col("used") >= F.col("capacity") * CLOSED
     again = first.where(~closed).select("container_kind", "capacity", "doc_id", "piece", "source", "cluster", "tokens")
     # Slack bins hold little: their items are packed by fewer packers, again with a bounded number each.
     fewer = max(1, -(-again.count() // (3 * PER_PACKER)))
-    second = again.withColumn("packer", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(fewer)).cast("int")).groupBy("container_kind", "capacity", "packer").applyInPandas(_packer, _SCHEMA)
+    second = again.withColumn("packer", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(fewer)).cast("int")).groupBy("container_kind", "capacity", "packer").applyInPandas(pack, _SCHEMA)
     a = first.where(closed).select("*", F.format_string("a%d-%d", "packer", "bin").alias("c"))
     b = second.select("*", F.format_string("b%d-%d", "packer", "bin").alias("c"))
     c = full.select("*", F.col("tokens").alias("used"), F.format_string("f%d-%d", "doc_id", "piece").alias("c"))

@@ -44,15 +44,15 @@ def same_text_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs of keys (smaller first) whose texts show the same but differ as strings. Nulls take no part; equal strings are no pair.
 
     Only digests are shuffled. Groups of one text only are dropped by an aggregation with partial sums, so a hot group of equal copies
-    costs one row per task; within a group only different strings are joined.
+    costs one row per task; the rest of a group meets in blocks, and only different strings are a pair.
     """
     d = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     base = cut(frames.rows_out(d, _digests, "k string, v string, h string", [("k", pa.string()), ("v", pa.string()), ("h", pa.string())]))
     mixed = base.groupBy("v").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v")
     rows = base.join(mixed, "v", "left_semi").distinct()
-    a, b = (rows.select(F.col("v"), F.col("k").alias(f"k{i}"), F.col("h").alias(f"h{i}")) for i in (1, 2))
-    pairs = a.join(b, "v").where("k1 < k2 AND h1 <> h2")
-    return pairs.select(F.col("k1").alias(f"{key}_a"), F.col("k2").alias(f"{key}_b")).distinct()
+    n = rows.groupBy("v").agg(F.count("*").alias("n"))
+    pairs = frames.block_pairs(rows.join(n, "v"), ["v"], ["k", "h"]).where("k_a < k_b AND h_a <> h_b")
+    return pairs.select(F.col("k_a").alias(f"{key}_a"), F.col("k_b").alias(f"{key}_b")).distinct()
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

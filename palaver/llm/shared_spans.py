@@ -10,7 +10,7 @@ One plan serves every size. What no other document shares is dropped before the
 can't grow with the data; the joins behind it are exact, so a bit that is set by chance costs time only.
 
 A gram kept by more than MANY documents isn't paired: its occurrences form classes on the exact window of LEAST characters. Windows with
-the same documents are one class, and pairs, where they must be listed, come from its blocks of at most about BLOCK documents.
+the same documents are one class, and pairs, where they must be listed, come from its blocks (frames.block_pairs).
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ LEAST, GRAM, MANY = 200, 80, 48
 PIECE = 8_000
 #: Bits of the set that stands for the keys of a join: 2**20 words of 64, so 16 MB at most are broadcast whatever the data.
 BITS = 1 << 26
-#: Documents of a class that meet in one task when its pairs are listed, about.
-BLOCK = 1_000
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -289,11 +287,7 @@ class Shared:
 
     def pairs(self) -> DataFrame:
         """doc_a, doc_b (smaller first): the pairs that share a span. A class is dealt to blocks, so that no task holds all its pairs."""
-        c = self.classes().withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        c = c.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        a = c.select("h", "h2", F.col("own").alias("block_a"), F.col("other").alias("block_b"), F.col("doc_id").alias("doc_a"))
-        b = c.select("h", "h2", F.col("other").alias("block_a"), F.col("own").alias("block_b"), F.col("doc_id").alias("doc_b"))
-        hot = a.join(b, ["h", "h2", "block_a", "block_b"]).where("doc_a < doc_b").select("doc_a", "doc_b")
+        hot = frames.block_pairs(self.classes().withColumnRenamed("doc_id", "doc"), ["h", "h2"], ["doc"]).where("doc_a < doc_b").select("doc_a", "doc_b")
         return self.spans().select("doc_a", "doc_b").union(hot).distinct()
 
 

@@ -10,7 +10,7 @@ from palaver.llm import canon, same_text
 
 SAME = [("ＡＢ１：", "AB1:"), ("café", "café"), ("a​b﻿c­", "abc"), ("a b", "a b"), ("Ѕаmе", "Same"), ("ガ", "ｶﾞ"), ("ペッパ一ミル", "ペッパーミル"), ("ﬁne", "fine"), ("क़", "क़"), ("x‑y", "x-y"), ("⽇", "日")]
 OTHER = [("a", "A"), ("1", "2"), ("a b", "ab"), ("a.", "a"), ("a\nb", "a b"), ("x²", "x2"), ("…", "..."), ("を", "も"), ("①", "1")]
-TEXTS = st.text(alphabet="aé́Ａ１ｶﾞガ一ー力カ​  кkेक़q\n…²😀", max_size=30)
+TEXTS = st.text(alphabet="aé́Ａ１ｶﾞガ一ー力カ​  кkेक़q\n…²😀𝐀\U0001d165\U0001d16d", max_size=30)
 
 
 def test_pairs():

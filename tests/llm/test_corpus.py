@@ -84,7 +84,7 @@ def test_shared_pairs_brute_force(spark, monkeypatch):
 
 def test_hot_footer(spark, monkeypatch):
     """A footer in most documents: one class for all its windows, its pairs from blocks; every link is kept."""
-    monkeypatch.setattr(ss, "BLOCK", 50)
+    monkeypatch.setattr(ss.frames, "BLOCK", 50)
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     footer = word(320)
@@ -158,7 +158,29 @@ def test_prefixes_and_mix(spark):
     assert mixing.mix(d.limit(0), targets).count() == 0
 
 
-def test_token_counts():
+def test_best_fit_prefers_the_source_among_all_equal_bins():
+    rows = [(6, i, i, f"s{i}") for i in range(40)] + [(4, 100, 100, "s37")]
+    held = next(b for b in packing.best_fit(rows, 10) if any(x[1] == 100 for x in b))
+    assert {x[3] for x in held} == {"s37"}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 6), st.integers(0, 3)), max_size=40))
+def test_best_fit_with_sources_apart(items):
+    rows = [(size, i, c, f"s{s}") for i, (size, c, s) in enumerate(items)]
+    bins = packing.best_fit(rows, 20, sources_apart=True)
+    assert sorted(x[1] for b in bins for x in b) == list(range(len(items)))
+    for b in bins:
+        assert sum(x[0] for x in b) <= 20 and len({x[2] for x in b}) == len(b) == len({x[3] for x in b})
+
+
+def test_token_counts(monkeypatch):
     count = tokens.counter()
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word", " ", "\n", "  ", "…", "漢字", "\n\n", "12", "\t", "\u3000"]) for _ in range(4000)), "x" * 5000, "あ" * 3000, "a " * 3000]
+    whole = [count(t) for t in texts]
+    monkeypatch.setattr(tokens, "PIECE", 700)  # cut as very long texts are: the number is the same, with or without blanks
+    assert [count(t) for t in texts] == whole
+    monkeypatch.undo()
     assert count(None) == 0 and count("") == 0 and count("hello world") >= 2
     assert abs(count("word " * 100_000) - 100_000) < 20
