@@ -10,10 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..functions.text import pseudo_embedding, safe_id
-
-#: Query vectors that one pass over the store carries to its tasks, about; they are dealt to passes by hash.
-BLOCK = 4096
+from ..sources.seed import MEETINGS, rows
+from ..stage import cut
+from .signals import _LEVEL, _RISK
+from .texts import SQL as TEXT_SQL
+
+#: Query vectors that one pass over the store carries to its tasks, about (16 MB of 64 doubles); they are dealt to passes by hash.
+BLOCK = 32_768
+#: Places of a cosine; equal vectors are equally near, wherever they stand in a block.
+PLACES = 9
 #: Cosine from which a semantic cache answers.
 SEMANTIC = 0.92
 
@@ -21,9 +28,10 @@ SEMANTIC = 0.92
 def topk(store: DataFrame, queries: DataFrame, k: int, least: float | None = None, same: str | None = None) -> DataFrame:
     """query_id, vec_id, similarity, place: for each query (query_id, embedding[, same]) the k rows of the store (vec_id, embedding[, same]) of the highest cosine.
 
-    Queries go through the store in blocks of BLOCK vectors, so what reaches the driver and the tasks is bounded; each task keeps its k best,
-    and only those are shuffled. same: a column that must be equal, applied before the cosine. least is applied after the cut at k. Ties go
-    to the lower vec_id; null, empty and zero vectors match nothing, and vectors meet only those of their own length.
+    Exact, so the recall is 1. Queries go through the store in blocks of BLOCK vectors; each block's rows are written before the next is read,
+    so the driver holds one block at a time. Each task keeps its k best, and only those are shuffled. same: a column that must be equal (null
+    equals null), applied before the cosine. least is applied after the cut at k. Cosines count to PLACES places, and ties go to the lower
+    vec_id; null, empty and zero vectors match nothing, and vectors meet only those of their own length.
     """
     cols = ["query_id", "embedding", *([same] if same else [])]
     q = queries.where("query_id IS NOT NULL AND size(embedding) > 0").select(*cols)
@@ -33,6 +41,7 @@ def topk(store: DataFrame, queries: DataFrame, k: int, least: float | None = Non
         rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         if rows:
             found = _block(store, rows, k, same)
+            found = cut(found) if blocks > 1 else found
             out = found if out is None else out.union(found)
     if out is None:
         return store.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, place int")
@@ -59,12 +68,13 @@ def _block(store: DataFrame, rows: list, k: int, same: str | None) -> DataFrame:
             return
         x = np.array([emb[i] for i in ok], dtype=float)
         n = np.linalg.norm(x, axis=1)
-        s = (x / np.where(n > 0, n, 1)[:, None]) @ unit.T
+        s = np.round((x / np.where(n > 0, n, 1)[:, None]) @ unit.T, PLACES)
         s[n == 0, :] = -2
         s[:, norm == 0] = -2
         if keys is not None:
             have = b.column(2).to_pylist()
-            s[np.array([[have[i] != key for key in keys] for i in ok])] = -2
+            codes = {v: i for i, v in enumerate(dict.fromkeys([*keys, *have]))}
+            s[np.array([codes[have[i]] for i in ok])[:, None] != np.array([codes[key] for key in keys])[None, :]] = -2
         # all that reach the k-th value, so that ties are cut by id
         for j in range(s.shape[1]):
             col = s[:, j]
@@ -87,11 +97,11 @@ def _block(store: DataFrame, rows: list, k: int, same: str | None) -> DataFrame:
     return store.select("vec_id", "embedding", *([same] if same else [])).mapInArrow(run, "query_id bigint, vec_id bigint, similarity double")
 
 
-def nearest_other(store: DataFrame, queries: DataFrame, least: float = SEMANTIC) -> DataFrame:
-    """query_id, vec_id, similarity of the nearest row of the whole store other than the query's own, where its cosine reaches least."""
+def nearest_other(store: DataFrame, queries: DataFrame, least: float = SEMANTIC, same: str | None = None) -> DataFrame:
+    """query_id, vec_id, similarity of the nearest row of the whole store other than the query's own, where its cosine reaches least; same: a column that must be equal, such as the language."""
     w = W.partitionBy("query_id").orderBy("place")
     # Of equal cosines the own row may come second, so two are enough.
-    other = topk(store, queries, 2).where("query_id <> vec_id").withColumn("n", F.row_number().over(w))
+    other = topk(store, queries, 2, same=same).where("query_id <> vec_id").withColumn("n", F.row_number().over(w))
     return other.where((F.col("n") == 1) & (F.col("similarity") >= least)).select("query_id", "vec_id", "similarity")
 
 
@@ -137,14 +147,58 @@ def vector_rows(results: DataFrame, at) -> DataFrame:
     return results.select(F.substring(F.regexp_replace("user_id", "[^a-zA-Z0-9_-]", "_"), 1, 40).alias("user_id"), "language", F.md5("masked").alias("doc_id"), F.substring("masked", 1, 2000).alias("document"), pseudo_embedding(F.substring("masked", 1, 2000)).alias("embedding"), "result", at.alias("stored_at"))
 
 
-def purge(entries: DataFrame, user: str | None = None) -> DataFrame:
-    """What is left of a cache after clearing one user's entries, or all."""
-    return entries.limit(0) if user is None else entries.where(F.col("user_id") != user)
+def purge(entries: DataFrame, user: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left of a cache after clearing one user's entries, or all, and how many entries are cleared (one row, `cleared`). Entries without a user are nobody's, so only clearing all takes them."""
+    gone = F.lit(True) if user is None else F.coalesce(F.col("user_id") == user, F.lit(False))
+    return entries.where(~gone), entries.agg(F.coalesce(F.sum(gone.cast("int")), F.lit(0)).alias("cleared"))
 
 
 def users(seen: DataFrame) -> DataFrame:
-    """user_id, first_seen, last_seen, visits of visits (user_id, seen_at): what is known of a user stays as first seen, only the last visit moves."""
-    return seen.where("user_id IS NOT NULL").groupBy("user_id").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("visits"))
+    """user_id, email, name, first_seen, last_seen, visits of visits (user_id, seen_at, email, name): what is known of a user stays as first seen, only the last visit moves. Of several first visits at one time the least email and name count."""
+    first = F.min(F.struct("seen_at", "email", "name"))
+    g = seen.where("user_id IS NOT NULL").groupBy("user_id").agg(first.alias("f"), F.max("seen_at").alias("last_seen"), F.count("*").alias("visits"))
+    return g.select("user_id", "f.email", "f.name", F.col("f.seen_at").alias("first_seen"), "last_seen", "visits")
+
+
+def meeting_count(store: DataFrame) -> DataFrame:
+    """meetings, languages, chars of a meeting store (meeting_id, language, char_length): its size, each meeting once."""
+    return store.groupBy("meeting_id", "language").agg(F.max("char_length").alias("c")).agg(F.countDistinct("meeting_id").alias("meetings"), F.countDistinct("language").alias("languages"), F.coalesce(F.sum("c"), F.lit(0)).alias("chars"))
+
+
+def patterns(spark: SparkSession) -> DataFrame:
+    """pattern_id, category, attribute, sentence, embedding: the library of sentences that show roles, phases, deadlines, commitments and escalation, with stand-in vectors."""
+    d = spark.createDataFrame([*lexicon.PATTERNS], "pattern_id string, category string, attribute string, sentence string")
+    return d.withColumn("embedding", pseudo_embedding(F.col("sentence")))
+
+
+def match_patterns(texts: DataFrame, library: DataFrame, k: int = 3, least: float = 0.65, category: str | None = None) -> DataFrame:
+    """text_id, pattern_id, place, similarity: for each text (text_id, embedding) the k nearest sentences of the library, if asked for of one category, then those that reach least.
+
+    The library is a table of fixed size and goes to every task; the texts stay where they are, and their cosines are one matrix product a batch.
+    """
+    own = library if category is None else library.where(F.col("category") == category)
+    held = own.select("pattern_id", "embedding").orderBy("pattern_id").collect()
+    ids = [r.pattern_id for r in held]
+    m = np.array([r.embedding for r in held], dtype=float).reshape(len(held), -1)
+    unit = m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            key, emb = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ok = [i for i, e in enumerate(emb) if e is not None and len(e) == unit.shape[1]]
+            x = np.array([emb[i] for i in ok], dtype=float).reshape(len(ok), unit.shape[1])
+            n = np.linalg.norm(x, axis=1)
+            s = np.round((x / np.where(n > 0, n, 1)[:, None]) @ unit.T, PLACES)
+            for j, i in enumerate(ok):
+                if n[j] > 0:
+                    best = np.argsort(-s[j], kind="stable")[:k]
+                    out += [(key[i], ids[p], place, float(s[j, p])) for place, p in enumerate(best, 1) if s[j, p] >= least]
+            if out:
+                t, p, place, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(p), pa.array(place, pa.int32()), pa.array(v, pa.float64())], names=["text_id", "pattern_id", "place", "similarity"])
+
+    return texts.select("text_id", "embedding").mapInArrow(run, "text_id string, pattern_id string, place int, similarity double")
 
 
 def history(entries: DataFrame, user: str, at: str, most: int = 5) -> DataFrame:
@@ -179,7 +233,9 @@ def q_exact_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_users(spark: SparkSession, folder: str) -> DataFrame:
-    return users(spark.read.parquet(f"{folder}/events.parquet").select("user_id", F.col("ts").alias("seen_at")))
+    """Visitors: the kind of event by which each came first stands for what was known at the first visit."""
+    e = spark.read.parquet(f"{folder}/events.parquet").select("user_id", F.col("ts").alias("seen_at"), F.lit(None).cast("string").alias("email"), F.col("event_type").alias("name"))
+    return users(e)
 
 
 def q_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,28 +251,75 @@ def q_cache_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the meeting store of every request: sizes and metadata."""
-    r = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "transcript", "language").distinct()
-    n = F.lit(None).cast("string")
-    m = meeting_rows(r.withColumn("summary", F.array(F.lit("none"))).withColumn("risk_level", n).withColumn("risk_label", n).withColumn("keigo", n).withColumn("speakers", F.lit(None).cast("int")).withColumn("actions", F.lit(None).cast("int")), F.timestamp_seconds(F.lit(0)))
-    return m.select("meeting_id", "char_length", "soft_risk", "halluc_risk", F.length("document").alias("doc_chars"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("embedding_sum"), F.length(excerpt(F.col("document"))).alias("excerpt_chars"))
+    """Rows of the meeting store of every request: sizes, and what the scans say of its language, risk and register."""
+    from ..functions.text import keigo, language
+    from . import grounding, signals
+
+    m = signals.risk(grounding._requests(spark, folder))
+    a = spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL").select(F.col("request_id").alias("meeting_id"), "item_id").distinct().groupBy("meeting_id").agg(F.count("*").cast("int").alias("actions"))
+    t = F.col("transcript")
+    d = m.join(a, "meeting_id", "left").withColumn("language", language(t)).withColumn("keigo", keigo(t)).withColumn("summary", F.array(F.lit("none"))).withColumn("risk_label", F.lit(None).cast("string")).withColumn("speakers", F.lit(None).cast("int"))
+    s = meeting_rows(d, F.timestamp_seconds(F.lit(0)))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3)
+    return s.select("meeting_id", "char_length", "language", "soft_risk", "halluc_risk", "keigo_level", "action_count", F.length("document").alias("doc_chars"), total.alias("embedding_sum"), F.length(excerpt(F.col("document"))).alias("excerpt_chars"))
+
+
+def q_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of the store of all requests."""
+    r = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL")
+    return meeting_count(r.select(F.col("request_id").alias("meeting_id"), "language", F.length("transcript").alias("char_length")))
+
+
+def q_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """The library's sentences nearest to what was said, by stand-in vectors."""
+    s = spark.read.parquet(f"{folder}/said_vs_meant_items.parquet").where("item_id IS NOT NULL AND said IS NOT NULL").groupBy(F.col("item_id").alias("text_id")).agg(F.min("said").alias("said"))
+    d = s.select("text_id", pseudo_embedding(F.col("said")).alias("embedding"))
+    return match_patterns(d, patterns(spark)).select("text_id", "pattern_id", "place", F.round("similarity", 6).alias("similarity"))
+
+
+def q_cached_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """What the semantic cache would answer for each document: the nearest other text of its language, at the cache's own .92, by stand-in vectors of the first 2000 characters."""
+    d = spark.read.parquet(f"{folder}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("vec_id"), "lang", pseudo_embedding(F.substring("text", 1, 2000)).alias("embedding"))
+    q = d.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return nearest_other(d, q, same="lang").select("query_id", "vec_id")
+
+
+def q_ask(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions to the store: the three nearest documents of each query vector and the prompt made of their excerpts; a model's answer is a column to come."""
+    from .reports import rag_prompt
+
+    found = topk(*_vectors(spark, folder), 3)
+    d = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 300).alias("excerpt"))
+    q = found.join(d, "vec_id").select("query_id", "place", F.lit("What was decided?").alias("question"), F.col("vec_id").cast("string").alias("meeting_id"), "excerpt")
+    return rag_prompt(q).select("query_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
-QUERIES = {"meeting_store_rows": q_store, "cosine_topk": q_topk, "cosine_topk_filtered": q_topk_label, "semantic_cache_hits": q_semantic_cache, "exact_cache_hits": q_exact_cache, "user_upserts": q_users, "session_history": q_history, "cache_stats": q_cache_stats}
-_D = "CAST(embedding AS DOUBLE[])"
-_RANK = f"""SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) DESC, e.vec_id) AS place
+QUERIES = {"meeting_store_rows": q_store, "cosine_topk": q_topk, "cosine_topk_filtered": q_topk_label, "semantic_cache_hits": q_semantic_cache, "semantic_cache_documents": q_cached_documents, "meeting_count": q_count, "pattern_matches": q_patterns, "ask_prompts": q_ask, "exact_cache_hits": q_exact_cache, "user_upserts": q_users, "session_history": q_history, "cache_stats": q_cache_stats}
+_COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9)"
+_RANK = f"""SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS place
  FROM embeddings q JOIN embeddings e ON"""
+_PSEUDO = lambda c: f"list_resize(list_transform(string_split({c}, ''), lambda x: unicode(x) / 1000.0), 384, 0.0)"
+_LEAST = "(SELECT request_id AS meeting_id, min(transcript) AS transcript FROM analyze_requests WHERE transcript IS NOT NULL GROUP BY 1)"
 SQL = {
-    "meeting_store_rows": """SELECT meeting_id, length(transcript) AS char_length, 'NONE' AS soft_risk, 'UNKNOWN' AS halluc_risk, length(transcript) + 15 AS doc_chars,
- round(list_sum(list_transform(string_split(left(transcript || chr(10) || chr(10) || 'SUMMARY: none', 384), ''), lambda c: unicode(c) / 1000.0)), 3) AS embedding_sum, least(300, length(string_split(transcript, chr(10) || chr(10) || 'SUMMARY:')[1])) AS excerpt_chars
- FROM (SELECT DISTINCT request_id AS meeting_id, transcript, language FROM analyze_requests WHERE transcript IS NOT NULL)""",
+    "meeting_store_rows": f"""SELECT r.meeting_id, length(r.transcript) AS char_length, l.language, r.risk_level AS soft_risk, 'UNKNOWN' AS halluc_risk, k.keigo AS keigo_level, coalesce(a.n, 0) AS action_count, length(r.transcript) + 15 AS doc_chars,
+ round(list_sum(list_transform(string_split(left(r.transcript || chr(10) || chr(10) || 'SUMMARY: none', 384), ''), lambda c: unicode(c) / 1000.0)), 3) AS embedding_sum, least(300, length(string_split(r.transcript, chr(10) || chr(10) || 'SUMMARY:')[1])) AS excerpt_chars
+ FROM (SELECT *, {_LEVEL} AS risk_level FROM ({_RISK.replace('SELECT m.meeting_id,', 'SELECT m.meeting_id, m.transcript,').replace(MEETINGS, _LEAST)})) r JOIN ({TEXT_SQL["language_detect"].replace(MEETINGS, _LEAST)}) l USING (meeting_id)
+ JOIN ({TEXT_SQL["keigo_levels"].replace(MEETINGS, _LEAST)}) k USING (meeting_id) LEFT JOIN (SELECT request_id AS meeting_id, count(DISTINCT item_id) AS n FROM action_items GROUP BY 1) a ON a.meeting_id = r.meeting_id""",
+    "meeting_count": "SELECT count(DISTINCT meeting_id) AS meetings, count(DISTINCT language) AS languages, sum(c) AS chars FROM (SELECT request_id AS meeting_id, language, max(length(transcript)) AS c FROM analyze_requests WHERE transcript IS NOT NULL GROUP BY 1, 2)",
+    "pattern_matches": f"""WITH e AS (SELECT pattern_id, {_PSEUDO("sentence")} AS embedding FROM {rows([(p, s) for p, _, _, s in lexicon.PATTERNS], "p(pattern_id, sentence)")}),
+ q AS (SELECT item_id AS text_id, {_PSEUDO("left(min(said), 384)")} AS embedding FROM said_vs_meant_items WHERE item_id IS NOT NULL AND said IS NOT NULL GROUP BY 1 HAVING min(said) <> '')
+ SELECT text_id, pattern_id, place, round(s, 6) AS similarity FROM (SELECT text_id, pattern_id, {_COS} AS s, CAST(row_number() OVER (PARTITION BY text_id ORDER BY {_COS} DESC, pattern_id) AS INT) AS place FROM q CROSS JOIN e) WHERE place <= 3 AND s >= 0.65""",
+    "semantic_cache_documents": f"""WITH e AS (SELECT doc_id AS vec_id, lang, {_PSEUDO("left(text, 384)")} AS embedding FROM documents WHERE text <> '')
+ SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS place FROM e q JOIN e ON q.lang IS NOT DISTINCT FROM e.lang AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE place = 1 AND s >= 0.92""",
+    "ask_prompts": f"""WITH f AS (SELECT query_id, place, vec_id, left(text, 300) AS excerpt FROM ({_RANK} TRUE WHERE q.vec_id % 20 = 0) JOIN documents ON doc_id = vec_id WHERE place <= 3),
+ p AS (SELECT query_id, 'Meetings:' || chr(10) || coalesce(string_agg('[' || place || '] ' || vec_id || ': ' || excerpt, chr(10) ORDER BY place), '') || chr(10) || chr(10) || 'Question: What was decided?' AS prompt FROM f GROUP BY 1) SELECT query_id, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5 FROM p""",
     "cosine_topk": f"SELECT query_id, vec_id, place, round(s, 6) AS similarity FROM ({_RANK} TRUE WHERE q.vec_id % 20 = 0) WHERE place <= 5",
     "cosine_topk_filtered": f"SELECT query_id, vec_id, place FROM ({_RANK} q.label = e.label WHERE q.vec_id % 20 = 0) WHERE place <= 3",
-    "semantic_cache_hits": f"SELECT query_id, vec_id FROM ({_RANK} e.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0) WHERE place = 1 AND s >= 0.2",
+    "semantic_cache_hits": f"SELECT query_id, vec_id FROM ({_RANK} e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE place = 1 AND s >= 0.2",
     "exact_cache_hits": """WITH r AS (SELECT DISTINCT request_id, md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, received_at FROM analyze_requests WHERE transcript IS NOT NULL),
  j AS (SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, max(CAST(finished_at AS TIMESTAMP)) AS cached_at FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL GROUP BY 1)
  SELECT cached_at IS NOT NULL AS known, coalesce(cached_at > CAST(received_at AS TIMESTAMP) - INTERVAL 24 HOURS AND cached_at <= CAST(received_at AS TIMESTAMP), FALSE) AS hit, count(*) AS requests FROM r LEFT JOIN j USING (k) GROUP BY 1, 2""",
-    "user_upserts": "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS visits FROM events WHERE user_id IS NOT NULL GROUP BY 1",
+    "user_upserts": "SELECT user_id, CAST(NULL AS VARCHAR) AS email, arg_min(event_type, (ts, event_type)) AS name, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS visits FROM events WHERE user_id IS NOT NULL GROUP BY 1",
     "session_history": "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events) WHERE place <= 5",
     "cache_stats": "SELECT CAST(account_id AS VARCHAR) AS user_dir, count(*) AS entries, sum(length(result)) AS chars FROM (SELECT DISTINCT job_id, account_id, result FROM analysis_jobs WHERE result IS NOT NULL) GROUP BY 1",
 }

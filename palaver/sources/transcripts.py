@@ -38,11 +38,21 @@ def json_text(c: Column) -> Column:
     return F.when(v.isNull(), c).when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("OBJECT"), F.coalesce(field, c)).when(kind.startswith("ARRAY"), F.array_join(lines, "\n")).otherwise(c)
 
 
-def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of uploaded text, WebVTT and JSON files of at most MOST_BYTES; bad bytes are replaced."""
-    f = spark.read.format("binaryFile").load(path).where(F.col("length") <= MOST_BYTES)
+def uploads(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """path, length, status, text of the files of a folder: text, WebVTT and JSON as text, bad bytes replaced.
+
+    Every file has a row. Its status is `read`; `audio` for formats that speech recognition takes; `too_large` beyond `most` bytes, whose
+    content isn't loaded. Only files that are read have a text.
+    """
+    f = spark.read.format("binaryFile").load(path)
+    ending = F.lower(F.substring_index("path", ".", -1))
+    status = F.when(F.col("length") > most, "too_large").when(ending.isin(*AUDIO), "audio").otherwise("read")
     t = F.decode("content", "UTF-8")
-    return f.select("path", F.when(F.lower("path").endswith(".vtt"), vtt_text(t)).when(F.lower("path").endswith(".json"), json_text(t)).otherwise(t).alias("text"))
+    text = F.when(ending == "vtt", vtt_text(t)).when(ending == "json", json_text(t)).otherwise(t)
+    read = f.where((F.col("length") <= most) & ~ending.isin(*AUDIO)).select("path", "length", F.lit("read").alias("status"), text.alias("text"))
+    # The rest is scanned without its content.
+    rest = f.select("path", "length", status.alias("status")).where("status <> 'read'")
+    return read.unionByName(rest.withColumn("text", F.lit(None).cast("string")))
 
 
 def segment_turns(segments: DataFrame, gap: float = 1.5, speakers: int = 5) -> DataFrame:

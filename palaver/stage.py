@@ -12,23 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: spark.checkpoint.dir of the session; only where that is unset (tests), a local folder."""
+    """The shared folder for checkpoints: spark.checkpoint.dir of the session. Only where that is unset and one machine is all there is (tests), a local folder; on a cluster its lack is an error."""
     sc = spark.sparkContext
     here = sc._jsc.sc().getCheckpointDir()
     if here.isDefined():
         return here.get()
-    path = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palaver-checkpoint-")
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: stage tables are written there")
+        path = tempfile.mkdtemp(prefix="palaver-checkpoint-")
     sc.setCheckpointDir(path)
     return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a Parquet table in the shared checkpoint folder, so that later steps read it instead of computing it again. The tables go when the session's Python process ends."""
+    """df, computed once and written as a Parquet table in the shared checkpoint folder, so that later steps read it instead of computing it again. The tables go by clear(), or when the session's Python process ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/palaver-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_remove, spark)
+        atexit.register(clear, spark)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,14 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
-def _remove(spark: SparkSession) -> None:
+def clear(spark: SparkSession) -> None:
+    """Removes the stage tables written so far: for callers that are done with the results of their queries, as between two queries of a bench."""
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
-            p = jvm.org.apache.hadoop.fs.Path(path)
+        while _written:
+            p = jvm.org.apache.hadoop.fs.Path(_written.pop())
             p.getFileSystem(conf).delete(p, True)
     except Exception:  # the session is gone already; the folder is the cluster's to clear
-        return
+        _written.clear()
 
 
 def few(df: DataFrame, most: int) -> bool:
