@@ -3,7 +3,7 @@
 Method: metric-space partitioning. A few pivots are drawn from the registered forms; each form lies in the cell of its nearest pivot; a
 typed form q goes to every cell c with d(q, p_c) <= min_i d(q, p_i) + 2r, which by the triangle inequality is every cell that can hold a
 form within r of it. Within (account, cell) the radius join is exact, with the Levenshtein metric (r = 2, as a transposition counts two
-there); then one edit with transposition decides.
+there); then one edit with transposition decides. Forms that are typed as registered are matches at distance 0 of the same join.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from . import frames
 from .names import levenshtein
 
 #: Radius in the metric, number of pivots, and most registered forms of which pivots are drawn.
-RADIUS, PIVOTS, PIVOT_SAMPLE, SHORTEST = 2, 12, 400, 5
+RADIUS, PIVOTS, PIVOT_SAMPLE = 2, 12, 400
+#: A shorter form is no misspelling of another, as one edit makes a different name of it; it means who is registered under it.
+SHORTEST = 5
 
 
 def _forms():
@@ -110,24 +112,23 @@ def resolve(names: DataFrame, people: DataFrame) -> DataFrame:
         distinct, _parts, "account_id bigint, name string, part int, q string",
         [("account_id", pa.int64()), ("name", pa.string()), ("part", pa.int32()), ("q", pa.string())],
     ))
-    exact = typed.join(refs.select("account_id", F.col("form").alias("q"), "kind", "person_id"), ["account_id", "q"]).select("account_id", "name", "part", F.lit(0).alias("d"), "kind", "person_id")
-    forms = refs.where("radius > 0")
-    far = pivots(forms)
-    found = exact
-    if far:
-        rest = typed.join(exact.select("account_id", "name", "part").distinct(), ["account_id", "name", "part"], "left_anti").where(F.length("q") >= SHORTEST)
-        words = refs.where("words IS NOT NULL").select(F.explode("words").alias("w")).distinct()
-        qs = rest.select("q").distinct()
-        known = qs.select("q", F.explode(F.split("q", " ")).alias("w")).join(words, "w").groupBy("q").agg(F.collect_set("w").alias("known"))
-        near = F.array_min("ds")
-        cells = F.filter(F.transform("ds", lambda x, i: F.when(x <= near + 2 * RADIUS, i)), lambda i: i.isNotNull())
-        placed = qs.join(known, "q", "left").withColumn("ds", _distances("q", far)).select("q", "known", F.explode(cells).alias("cell"))
-        held = forms.select("account_id", "form", "kind", "person_id").withColumn("ds", _distances("form", far)).select("account_id", "form", "kind", "person_id", (F.array_position("ds", near) - 1).cast("int").alias("cell"))
-        pairs = rest.join(placed, "q").join(held, ["account_id", "cell"]).where(F.levenshtein("q", "form", RADIUS).between(0, RADIUS))
-        found = found.union(frames.rows_out(
-            pairs.select("account_id", "name", "part", "q", "form", "kind", "person_id", "known"), _close, "account_id bigint, name string, part int, d int, kind int, person_id bigint",
-            [("account_id", pa.int64()), ("name", pa.string()), ("part", pa.int32()), ("d", pa.int32()), ("kind", pa.int32()), ("person_id", pa.int64())],
-        ))
+    far = pivots(refs)
+    if not far:
+        return names.sparkSession.createDataFrame([], "account_id bigint, name string, part int, persons array<bigint>")
+    words = refs.where("words IS NOT NULL").select(F.explode("words").alias("w")).distinct()
+    qs = typed.select("q").distinct()
+    known = qs.select("q", F.explode(F.split("q", " ")).alias("w")).join(words, "w").groupBy("q").agg(F.collect_set("w").alias("known"))
+    near = F.array_min("ds")
+    cells = F.filter(F.transform("ds", lambda x, i: F.when(x <= near + 2 * RADIUS, i)), lambda i: i.isNotNull())
+    placed = qs.join(known, "q", "left").withColumn("ds", _distances("q", far)).select("q", "known", F.explode(cells).alias("cell"))
+    held = refs.select("account_id", "form", "kind", "radius", "person_id").withColumn("ds", _distances("form", far)).select("account_id", "form", "kind", "radius", "person_id", (F.array_position("ds", near) - 1).cast("int").alias("cell"))
+    within = (F.col("q") == F.col("form")) | ((F.col("radius") > 0) & (F.length("q") >= SHORTEST) & F.levenshtein("q", "form", RADIUS).between(0, RADIUS))
+    pairs = cut(typed.join(placed, "q").join(held, ["account_id", "cell"]).where(within).select("account_id", "name", "part", "q", "form", "kind", "person_id", "known"))
+    same = pairs.where("q = form").select("account_id", "name", "part", F.lit(0).alias("d"), "kind", "person_id")
+    found = same.union(frames.rows_out(
+        pairs.where("q <> form"), _close, "account_id bigint, name string, part int, d int, kind int, person_id bigint",
+        [("account_id", pa.int64()), ("name", pa.string()), ("part", pa.int32()), ("d", pa.int32()), ("kind", pa.int32()), ("person_id", pa.int64())],
+    ))
     by = found.groupBy("account_id", "name", "part", "d", "kind").agg(F.array_sort(F.collect_set("person_id")).alias("persons"))
     best = F.min(F.struct("d", "kind", "persons")).alias("b")
     return by.groupBy("account_id", "name", "part").agg(best).select("account_id", "name", "part", "b.persons")
