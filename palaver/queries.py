@@ -12,7 +12,7 @@ from .stage import ship
 
 MODULES = [
     "plans.pipeline", "operators.signals", "operators.texts", "sources.transcripts", "operators.privacy", "operators.people", "operators.dynamics", "operators.grounding", "operators.evaluation",
-    "operators.retrieval", "operators.logs", "operators.results", "operators.reports", "operators.schema_drift", "plans.prompts",
+    "operators.retrieval", "operators.logs", "operators.results", "operators.reports", "operators.records", "operators.schema_drift", "plans.prompts",
 ]
 
 

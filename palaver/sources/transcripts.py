@@ -41,13 +41,13 @@ def json_text(c: Column) -> Column:
 def uploads(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     """path, length, status, text of the files of a folder: text, WebVTT and JSON as text, bad bytes replaced.
 
-    Every file has a row. Its status is `read`; `audio` for formats that speech recognition takes; `too_large` beyond `most` bytes, whose
+    Every file has a row, but for empty ones, which the file source skips. Its status is `read`; `audio` for formats that speech recognition takes; `too_large` beyond `most` bytes, whose
     content isn't loaded. Only files that are read have a text.
     """
     f = spark.read.format("binaryFile").load(path)
     ending = F.lower(F.substring_index("path", ".", -1))
     status = F.when(F.col("length") > most, "too_large").when(ending.isin(*AUDIO), "audio").otherwise("read")
-    t = F.decode("content", "UTF-8")
+    t = F.make_valid_utf8(F.col("content").cast("string"))
     text = F.when(ending == "vtt", vtt_text(t)).when(ending == "json", json_text(t)).otherwise(t)
     read = f.where((F.col("length") <= most) & ~ending.isin(*AUDIO)).select("path", "length", F.lit("read").alias("status"), text.alias("text"))
     # The rest is scanned without its content.
