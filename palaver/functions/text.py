@@ -97,6 +97,7 @@ def large_model(c: Column, lang: Column) -> Column:
     return c.rlike("[\\u3040-\\u9fff]") | lang.isin("ja", "mixed") | hinglish(c) | (F.size(words(c)) > 600)
 
 
+# Labels that count as speakers, and lines that count as turns.
 _HINT = r"(?m)^\s*(\[[A-Z]+_\d+\]|[A-Za-z぀-鿿][^\n:：\[\]]{0,30}?)\s*[:：]"
 
 
@@ -120,12 +121,12 @@ def degenerate(c: Column) -> Column:
 
 
 def joined_labels(c: Column) -> Column:
-    """A label alone on its line is put before the next line."""
+    """A label alone on its line is put before the next line. The pattern is a fixed value."""
     return F.regexp_replace(c, r"(?m)^(?!https?:)([A-Za-z][A-Za-z\s.'\-]{1,38}?)\s*:\s*\n(?=[ \t]*\S)", "$1: ")
 
 
 def has_labels(c: Column) -> Column:
-    """At least two of the first 40 lines that aren't blank begin with a label."""
+    """At least two of the first 40 lines that aren't blank begin with a label. The patterns are fixed values."""
     name = r"[\w\s　-鿿]{1,40}"
     pats = [rf"(?U)^\*?\*?{name}\*?\*?\s*[：:]\s*\S", rf"(?U)^\[{name}\]\s*[：:]\s*\S", rf"(?U)^【{name}】\s*[：:]\s*\S"]
     lines = F.slice(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""), 1, 40)

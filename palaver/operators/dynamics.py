@@ -12,6 +12,7 @@ from ..sources.seed import MEETINGS, meetings
 from ..sources.seed import text as lit
 from .people import HINTS_SQL, name_sql, normal_name, role_hints, strip_sql
 
+# A labelled line, a label with a clock stamp, and the head of a message in an exported chat.
 _LINE = r"^(?:\[\d{2}:\d{2}(?::\d{2})?\]\s*)?([^\n:：\[\]]+)\s*[:：]\s*(.*)$"
 
 
@@ -31,7 +32,7 @@ def turns(df: DataFrame) -> DataFrame:
 
 
 def hedged(c: Column) -> Column:
-    return F.exists(F.array(*(F.lit(p) for p, _, _ in lexicon.SOFT)), lambda p: F.contains(c, p))
+    return F.exists(F.array(*(F.lit(p) for p, _ in lexicon.SOFT)), lambda p: F.contains(c, p))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -155,7 +156,7 @@ _part = lambda i: f"regexp_extract(stamp, '^(\\d{{1,2}}):(\\d{{2}})(?::(\\d{{2}}
 _RC, _RE = (p.replace("'", "''").replace("぀-鿿", "\\x{3040}-\\x{9fff}") for p in (_CLOCKED, _EXPORT))
 SQL = {
     "topic_stalls": f"""WITH {_T} SELECT t.meeting_id, t.turn_idx AS stalled_turn, t.speaker AS stalled_speaker, t.turn_idx + 1 AS pivot_turn, l.turn_idx AS circled_back_turn, l.speaker AS circled_back_speaker
- FROM t JOIN t n ON n.meeting_id = t.meeting_id AND n.turn_idx = t.turn_idx + 1 JOIN t l ON l.meeting_id = t.meeting_id AND l.turn_idx BETWEEN t.turn_idx + 2 AND t.turn_idx + 6 WHERE {_any([p for p, _, _ in lexicon.SOFT])} AND len(t.terms) > 0
+ FROM t JOIN t n ON n.meeting_id = t.meeting_id AND n.turn_idx = t.turn_idx + 1 JOIN t l ON l.meeting_id = t.meeting_id AND l.turn_idx BETWEEN t.turn_idx + 2 AND t.turn_idx + 6 WHERE {_any([p for p, _ in lexicon.SOFT])} AND len(t.terms) > 0
  AND len(list_intersect(t.terms, n.terms)) / len(t.terms) <= 0.25 AND len(l.terms) > 0 AND len(list_intersect(t.terms, l.terms)) / len(t.terms) >= 0.34 QUALIFY row_number() OVER (PARTITION BY t.meeting_id, t.turn_idx ORDER BY l.turn_idx) = 1""",
     "senior_silence": f"""WITH {_T}, e AS (SELECT *, coalesce(lead(turn_idx) OVER (PARTITION BY meeting_id, speaker ORDER BY turn_idx), count(*) OVER (PARTITION BY meeting_id)) AS stop FROM r)
  SELECT e.meeting_id, e.speaker AS senior_speaker, e.role AS senior_role, e.turn_idx AS silence_starts_turn, e.stop - e.turn_idx AS silence_length_turns, l.speaker AS junior_speaker, l.turn_idx AS pivot_turn FROM e JOIN r l ON l.meeting_id = e.meeting_id AND l.turn_idx BETWEEN e.turn_idx + 1 AND e.turn_idx + 4

@@ -18,7 +18,8 @@ RESULT = (
     "sentiment array<struct<speaker:string,score:string,label:string>>, speakers array<struct<name:string,talk_time_pct:double,tone:string,tone_label:string,tone_intensity:int>>, "
     "japan_insights struct<keigo_level:string,nemawashi_signals:array<string>,code_switch_count:int>"
 )
-# Tones, and points by risk level.
+# Tones, their label where none is given, and points by risk level.
+TONE_LABEL = "Professional tone"
 TONES = ("aggressive", "assertive", "neutral", "cooperative", "deferential", "hesitant")
 RISK_POINTS = (("NONE", 25), ("MINIMAL", 20), ("LOW", 15), ("MEDIUM", 8), ("HIGH", 0), ("CRITICAL", 0))
 
@@ -43,7 +44,7 @@ def filled(r: str) -> Column:
     total = F.aggregate(sp, F.lit(0.0), lambda s, x: s + pct(x))
     share = lambda x: F.when(total == 0, F.bround(F.lit(100.0) / F.size(sp))).when(total == 100, pct(x)).otherwise(F.bround(pct(x) * 100 / total))
     tone = lambda x: F.when(F.lower(x["tone"]).isin(*TONES), x["tone"]).otherwise("neutral")
-    speakers = F.transform(sp, lambda x: F.struct(x["name"].alias("name"), share(x).cast("int").alias("talk_time_pct"), tone(x).alias("tone"), F.coalesce(x["tone_label"], F.lit("Professional tone")).alias("tone_label"), F.coalesce(x["tone_intensity"], F.lit(3)).alias("tone_intensity")))
+    speakers = F.transform(sp, lambda x: F.struct(x["name"].alias("name"), share(x).cast("int").alias("talk_time_pct"), tone(x).alias("tone"), F.coalesce(x["tone_label"], F.lit(TONE_LABEL)).alias("tone_label"), F.coalesce(x["tone_intensity"], F.lit(3)).alias("tone_intensity")))
     none = F.array().cast("array<string>")
     ji = F.struct(F.coalesce(c["japan_insights"]["keigo_level"], F.lit("unknown")).alias("keigo_level"), F.coalesce(c["japan_insights"]["nemawashi_signals"], none).alias("nemawashi_signals"), F.coalesce(c["japan_insights"]["code_switch_count"], F.lit(0)).alias("code_switch_count"))
     return F.struct(
@@ -68,7 +69,7 @@ def stand_in(c: Column) -> Column:
         F.concat(F.lit("Demo Analysis — "), n.cast("string"), F.when(n > 1, " Speakers").otherwise(" Speaker")).alias("meeting_title"), F.lit("").alias("full_summary"), bullets.alias("summary"), F.array().cast("array<string>").alias("key_decisions"),
         F.array(F.struct(F.lit("No action items without a model answer.").alias("task"), F.get(names, F.lit(0)).alias("owner"), F.lit("N/A").alias("deadline"))).alias("action_items"),
         F.transform(names, lambda x: F.struct(x.alias("speaker"), F.lit("neutral").alias("score"), F.lit("no model answer").alias("label"))).alias("sentiment"),
-        F.transform(names, lambda x: F.struct(x.alias("name"), pct.alias("talk_time_pct"), F.lit("neutral").alias("tone"), F.lit("Professional tone").alias("tone_label"), F.lit(3).alias("tone_intensity"))).alias("speakers"),
+        F.transform(names, lambda x: F.struct(x.alias("name"), pct.alias("talk_time_pct"), F.lit("neutral").alias("tone"), F.lit(TONE_LABEL).alias("tone_label"), F.lit(3).alias("tone_intensity"))).alias("speakers"),
         F.struct(F.lit("unknown").alias("keigo_level"), F.array().cast("array<string>").alias("nemawashi_signals"), F.lit(0).alias("code_switch_count")).alias("japan_insights"),
     )
 

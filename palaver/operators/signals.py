@@ -33,7 +33,7 @@ def _entries(groups) -> list[tuple[str, str, str, bool, float]]:
     return list(out.values())
 
 
-REJECTIONS = _entries(REJECTION) + [(p.lower() if any(c.isascii() and c.isalpha() for c in p) else p, "soft", "M" if c >= 0.8 else "L", any(ch.isascii() and ch.isalpha() for ch in p), c) for p, _, c in x.SOFT]
+REJECTIONS = _entries(REJECTION) + [(p.lower() if any(c.isascii() and c.isalpha() for c in p) else p, "soft", "M" if c >= 0.8 else "L", any(ch.isascii() and ch.isalpha() for ch in p), c) for p, c in x.SOFT]
 DEALS = _entries(DEAL)
 ENGLISH = [(p.lower(), kind, sev, True, conf) for kind, group in (("hedging", x.HEDGING_EN), ("power", x.POWER_EN), ("passive", x.PASSIVE_EN), ("escalation", x.ESCALATION_EN)) for p, conf, sev in group]
 HINDI = [(p.lower(), d, cat, sev, conf) for p, d, cat, conf, sev in x.HINDI]
@@ -70,6 +70,7 @@ def scan(c: Column, entries) -> Column:
     return _once(c, lambda t: F.filter(_literal(entries), lambda e: F.when(e["ci"], t["latin"] & F.contains(t["low"], e["phrase"])).otherwise(t["ja"] & F.contains(t["text"], e["phrase"]))))
 
 
+# Fixed value: a label at the start of a line.
 _LABEL = r"^\*?\*?([^:*\[\]【】\n]{1,50}?)\*?\*?\s*[：:]\s*"
 
 
@@ -142,7 +143,7 @@ def hindi(df: DataFrame) -> DataFrame:
     high, medium = _count("_s", "tier", "HIGH"), _count("_s", "tier", "MEDIUM")
     level = F.when((high >= 2) | ((F.col("indirect_no_n") > 0) & (F.col("face_saving_n") > 0)), "HIGH").when((high >= 1) | (medium >= 2), "MEDIUM").when(F.col("hindi_n") > 0, "LOW").otherwise("NONE")
     formal = F.size(F.filter(F.array(*map(F.lit, x.HINDI_FORMAL)), lambda e: F.contains(c, e)))
-    intents = F.filter(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i, _, _ in x.HINDI_INTENTS)), lambda e: F.contains(c, e["p"]))
+    intents = F.filter(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in x.HINDI_INTENTS)), lambda e: F.contains(c, e["p"]))
     d = d.withColumn("hindi_risk", level).withColumn("formal_n", formal).withColumn("intents", F.transform(intents, lambda e: e["i"]))
     d = d.withColumn("rejection_n", F.size(F.filter("intents", lambda i: i.isin("REJECTION", "LIKELY_REJECTION")))).withColumn("uncertain_n", F.size(F.filter("intents", lambda i: i.isin("UNCERTAIN", "DEFERRAL"))))
     return d.withColumn("formality", F.when(F.col("formal_n") >= 3, "high").when(F.col("formal_n") >= 1, "medium").otherwise("low")).drop("_s", "intents")
@@ -256,7 +257,7 @@ SQL = {
     "hindi_signals": f"""SELECT * EXCLUDE (hi, me), CASE WHEN hi >= 2 OR indirect_no_n > 0 AND face_saving_n > 0 THEN 'HIGH' WHEN hi >= 1 OR me >= 2 THEN 'MEDIUM' WHEN hindi_n > 0 THEN 'LOW' ELSE 'NONE' END AS hindi_risk,
   CASE WHEN formal_n >= 3 THEN 'high' WHEN formal_n >= 1 THEN 'medium' ELSE 'low' END AS formality FROM (SELECT m.meeting_id, count(l.p) AS hindi_n, {_tiers(_HK, 'l.kind')},
   count(*) FILTER (WHERE l.tier = 'HIGH') AS hi, count(*) FILTER (WHERE l.tier = 'MEDIUM') AS me, {_sum(x.HINDI_FORMAL, 'm.transcript')} AS formal_n,
-  {_sum([p for p, i, _, _ in x.HINDI_INTENTS if i in ('REJECTION', 'LIKELY_REJECTION')], 'm.transcript')} AS rejection_n, {_sum([p for p, i, _, _ in x.HINDI_INTENTS if i in ('UNCERTAIN', 'DEFERRAL')], 'm.transcript')} AS uncertain_n
+  {_sum([p for p, i in x.HINDI_INTENTS if i in ('REJECTION', 'LIKELY_REJECTION')], 'm.transcript')} AS rejection_n, {_sum([p for p, i in x.HINDI_INTENTS if i in ('UNCERTAIN', 'DEFERRAL')], 'm.transcript')} AS uncertain_n
   FROM {MEETINGS} m LEFT JOIN {rows([(p, d, c, s) for p, d, c, s, _ in HINDI], 'l(p, d, kind, tier)')} ON contains(lower(m.transcript), l.p) OR contains(m.transcript, l.d) GROUP BY m.meeting_id, m.transcript)""",
     "phrase_contexts": f"""WITH m AS (SELECT meeting_id, transcript, l.phrase, strpos(lower(transcript), l.phrase) AS hit FROM {MEETINGS} m JOIN {_table(ENGLISH)} ON contains(lower(m.transcript), l.phrase)),
  c AS (SELECT meeting_id, phrase, substr(transcript, greatest(hit - 100, 1), hit + length(phrase) + 100 - greatest(hit - 100, 1)) AS around, list_filter(regexp_extract_all(left(transcript, hit - 1), '([^\\s\\[\\]:：\\n]{{2,30}})\\s*[:：]', 1), lambda n: NOT regexp_matches(n, '^[0-9]+$')) AS names FROM m)

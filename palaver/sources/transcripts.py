@@ -19,11 +19,15 @@ MOST_BYTES = 25 * 1024 * 1024
 AUDIO = ("mp3", "mp4", "wav", "m4a", "ogg", "webm", "flac")
 
 
+# A timing line and a voice tag of WebVTT.
+_TIMING, _VOICE = r"\d{2}:\d{2}[\d:,.]+\s*-->\s*", "^<v ([^>]+)>(.*)</v>"
+
+
 def vtt_text(c: Column) -> Column:
     """WebVTT as text: heads, notes, timings and empty lines dropped, voice tags as labels."""
     lines = F.transform(F.split(c, r"\r\n|\n|\r"), strip)
-    keep = F.filter(lines, lambda x: (x != "") & ~x.startswith("WEBVTT") & ~x.startswith("NOTE") & ~x.rlike(r"\d{2}:\d{2}[\d:,.]+\s*-->\s*"))
-    said = F.transform(keep, lambda x: F.when(x.rlike("^<v ([^>]+)>(.*)</v>"), F.concat(F.regexp_extract(x, "^<v ([^>]+)>(.*)</v>", 1), F.lit(": "), strip(F.regexp_extract(x, "^<v ([^>]+)>(.*)</v>", 2)))).otherwise(x))
+    keep = F.filter(lines, lambda x: (x != "") & ~x.startswith("WEBVTT") & ~x.startswith("NOTE") & ~x.rlike(_TIMING))
+    said = F.transform(keep, lambda x: F.when(x.rlike(_VOICE), F.concat(F.regexp_extract(x, _VOICE, 1), F.lit(": "), strip(F.regexp_extract(x, _VOICE, 2)))).otherwise(x))
     return F.array_join(said, "\n")
 
 
