@@ -63,6 +63,8 @@ def restore_text(text: str | None, mapping: dict[str, str] | None) -> str | None
         return None
     for tag in sorted(mapping or {}, key=lambda t: (-len(t), t)):
         bare, original = tag.strip("[]"), mapping[tag]
+        if bare not in text:
+            continue
         for form in (tag, f"[{bare}", f"{bare}]"):
             text = text.replace(form, original)
         text = re.sub(rf"\b{re.escape(bare)}\b", lambda m, o=original: o, text)

@@ -156,11 +156,22 @@ def q_top(spark: SparkSession, folder: str) -> DataFrame:
     return top_signals(s, "request_id", 4, "item_id").select("request_id", "item_id", "place")
 
 
+#: Answers with and without what a result needs: (id, answer, then what comes out: title, bullets, actions, register, shares of talk time, tones).
+ANSWERS = (
+    ("R1", '{"summary": ["one two three four five six seven eight nine", "b"], "action_items": [{"task": "x"}], "japan_insights": {"keigo_level": "high"}}', "one two three four five six seven eight…", 2, 1, "high", "", ""),
+    ("R2", "{}", "Meeting Analysis", 1, 0, "unknown", "", ""), ("R3", "broken", "Meeting Analysis", 1, 0, "unknown", "", ""), ("R4", '{"meeting_title": "  ", "full_summary": "a b", "summary": []}', "a b", 0, 0, "unknown", "", ""),
+    ("R5", '{"meeting_title": "T", "speakers": [{"name": "A", "talk_time_pct": 30, "tone": "odd"}, {"name": "B", "talk_time_pct": 90, "tone": "Assertive"}]}', "T", 1, 0, "unknown", "25,75", "neutral,Assertive"),
+    ("R6", '{"meeting_title": "T", "speakers": [{"name": "A"}, {"name": "B"}, {"name": "C", "tone": "hesitant"}], "action_items": "none"}', "T", 1, 0, "unknown", "33,33,33", "neutral,neutral,hesitant"),
+)
+
+
 def q_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Job results with defaults filled."""
-    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("result IS NOT NULL").select("job_id", "result").distinct().withColumn("r", parse(F.col("result")))
-    f = j.select("job_id", filled("r").alias("f"))
-    return f.select("job_id", "f.meeting_title", F.size("f.summary").alias("bullets"), F.size("f.action_items").alias("actions"), F.col("f.japan_insights.keigo_level").alias("keigo_level"))
+    """Job results, and answers that lack this or that, with defaults filled."""
+    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("result IS NOT NULL").select("job_id", "result").distinct()
+    case = spark.createDataFrame([r[:2] for r in ANSWERS], "job_id string, result string")
+    f = j.union(case).withColumn("r", parse(F.col("result"))).select("job_id", filled("r").alias("f"))
+    each = lambda c: F.array_join(F.transform("f.speakers", lambda x: x[c].cast("string")), ",")
+    return f.select("job_id", "f.meeting_title", F.size("f.summary").alias("bullets"), F.size("f.action_items").alias("actions"), F.col("f.japan_insights.keigo_level").alias("keigo_level"), each("talk_time_pct").alias("talk"), each("tone").alias("tones"))
 
 
 def q_mock(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,7 +195,8 @@ SQL = {
  SELECT meeting_id, CASE WHEN len(g) > 0 THEN len(g) ELSE 2 END AS n, w FROM (SELECT meeting_id, len({_WORDS}) AS w, list_filter(list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})),
  lambda x: length(x) >= 2 AND lower(x) NOT IN ('http', 'https', 'view', 'sorry', 'would', 'could')) AS g FROM {MEETINGS}))""",
     "top_signals": f"SELECT request_id, item_id, place FROM (SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY {_SEV} DESC, item_id) AS place FROM (SELECT DISTINCT request_id, item_id, severity FROM said_vs_meant_items WHERE request_id IS NOT NULL)) WHERE place <= 4",
-    "result_defaults": """SELECT job_id, coalesce(nullif(trim(result ->> '$.meeting_title'), ''), 'Meeting Analysis') AS meeting_title, 1 AS bullets, 0 AS actions, 'unknown' AS keigo_level FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)""",
+    "result_defaults": f"""SELECT job_id, coalesce(nullif(trim(result ->> '$.meeting_title'), ''), 'Meeting Analysis') AS meeting_title, 1 AS bullets, 0 AS actions, 'unknown' AS keigo_level, '' AS talk, '' AS tones FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)
+ UNION ALL SELECT * FROM {rows([(r[0], *r[2:]) for r in ANSWERS], "a(job_id, meeting_title, bullets, actions, keigo_level, talk, tones)")}""",
     "health_score": f"""SELECT id, score AS health_score, CASE WHEN terminated THEN 'Contract Terminated' WHEN score >= 80 THEN 'Productive Meeting' WHEN score >= 60 THEN 'Mostly Aligned' WHEN score >= 40 THEN 'Needs Follow-up' ELSE 'High Risk' END AS health_label FROM (
  SELECT id, terminated, CASE WHEN terminated THEN least(s, 22) ELSE s END AS score FROM (SELECT id, terminated, CAST(least(100, round_even(avg(CASE mood WHEN 'positive' THEN 1.0 WHEN 'neutral' THEN 0.6 ELSE 0.1 END) * 30, 0) + round_even(sum(CASE WHEN flag THEN 0 ELSE CAST(owner NOT IN ('TBD', 'Unknown', '') AS INT) + CAST(deadline NOT IN ('TBD', 'N/A', '') AS INT) END) * 25.0 / (2 * count(*)), 0)
  + CASE risk_level WHEN 'NONE' THEN 25 WHEN 'MINIMAL' THEN 20 WHEN 'LOW' THEN 15 WHEN 'MEDIUM' THEN 8 ELSE 0 END + round_even((1 - max(hr)) * 20, 0)) AS INT) AS s FROM {rows(CASES, 'c(id, mood, risk_level, terminated, owner, deadline, flag, hr)')} GROUP BY id, terminated, risk_level))""",

@@ -226,10 +226,12 @@ def q_semantic_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_exact_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests whose text a finished job had, and whether its result was younger than a day."""
-    r = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select("request_id", cache_key(F.col("transcript")).alias("k"), F.col("received_at").alias("asked")).distinct()
-    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL AND finished_at IS NOT NULL").select(cache_key(F.col("transcript")).alias("k"), F.to_timestamp("finished_at").alias("cached_at")).distinct()
-    return cache_get(r, j, "k", "cached_at", F.col("asked")).groupBy(F.col("cached_at").isNotNull().alias("known"), "hit").agg(F.count("*").alias("requests"))
+    """Requests against a cache that holds each text's result from when it was last received, and the finished jobs': whether it was there and under a day old when the request was stored."""
+    r = spark.read.parquet(f"{folder}/analyze_requests.parquet").where("transcript IS NOT NULL").select("request_id", cache_key(F.col("transcript")).alias("k"), "received_at", "ingested_at").distinct()
+    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL AND finished_at IS NOT NULL").select(cache_key(F.col("transcript")).alias("k"), F.to_timestamp("finished_at").alias("cached_at"))
+    e = r.select("k", F.col("received_at").alias("cached_at")).union(j).distinct()
+    hit = cache_get(r.select("request_id", "k", F.col("ingested_at").alias("asked")), e, "k", "cached_at", F.col("asked"))
+    return hit.groupBy(F.col("cached_at").isNotNull().alias("known"), "hit").agg(F.count("*").alias("requests"))
 
 
 def q_users(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,9 +318,9 @@ SQL = {
     "cosine_topk": f"SELECT query_id, vec_id, place, round(s, 6) AS similarity FROM ({_RANK} TRUE WHERE q.vec_id % 20 = 0) WHERE place <= 5",
     "cosine_topk_filtered": f"SELECT query_id, vec_id, place FROM ({_RANK} q.label = e.label WHERE q.vec_id % 20 = 0) WHERE place <= 3",
     "semantic_cache_hits": f"SELECT query_id, vec_id FROM ({_RANK} e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE place = 1 AND s >= 0.2",
-    "exact_cache_hits": """WITH r AS (SELECT DISTINCT request_id, md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, received_at FROM analyze_requests WHERE transcript IS NOT NULL),
- j AS (SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, max(CAST(finished_at AS TIMESTAMP)) AS cached_at FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL GROUP BY 1)
- SELECT cached_at IS NOT NULL AS known, coalesce(cached_at > CAST(received_at AS TIMESTAMP) - INTERVAL 24 HOURS AND cached_at <= CAST(received_at AS TIMESTAMP), FALSE) AS hit, count(*) AS requests FROM r LEFT JOIN j USING (k) GROUP BY 1, 2""",
+    "exact_cache_hits": """WITH r AS (SELECT DISTINCT request_id, md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, received_at, ingested_at FROM analyze_requests WHERE transcript IS NOT NULL),
+ j AS (SELECT k, max(cached_at) AS cached_at FROM (SELECT k, CAST(received_at AS TIMESTAMP) AS cached_at FROM r UNION ALL SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))), CAST(finished_at AS TIMESTAMP) FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL) GROUP BY 1)
+ SELECT cached_at IS NOT NULL AS known, coalesce(cached_at > CAST(ingested_at AS TIMESTAMP) - INTERVAL 24 HOURS AND cached_at <= CAST(ingested_at AS TIMESTAMP), FALSE) AS hit, count(*) AS requests FROM r LEFT JOIN j USING (k) GROUP BY 1, 2""",
     "user_upserts": "SELECT user_id, CAST(NULL AS VARCHAR) AS email, arg_min(event_type, (ts, event_type)) AS name, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS visits FROM events WHERE user_id IS NOT NULL GROUP BY 1",
     "session_history": "SELECT user_id, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events) WHERE place <= 5",
     "cache_stats": "SELECT CAST(account_id AS VARCHAR) AS user_dir, count(*) AS entries, sum(length(result)) AS chars FROM (SELECT DISTINCT job_id, account_id, result FROM analysis_jobs WHERE result IS NOT NULL) GROUP BY 1",

@@ -116,8 +116,20 @@ FILES = (
 )
 
 
+#: Answers as models give them: (id, raw text, keys and title of what is read). Thoughts, fences, cut-off ends, more than one object, none.
+ANSWERS = (
+    ("A1", '<think>{"x": 1}</think>```json\n{"meeting_title": "T1", "summary": ["a"]}\n```', 2, "T1"), ("A2", 'Sure: {"meeting_title": "T2", "summary": ["a", "b', 2, "T2"), ("A3", "no object", None, None),
+    ("A4", '{"meeting_title": "T4"} and {"x": 2}', 1, "T4"), ("A5", '{bad} then {"meeting_title": "T5", "a": {"b": [1, 2', 2, "T5"), ("A6", "", None, None), ("A7", '{"meeting_title": "a \\"b\\" }", "k": [{"z": 1},', 2, 'a "b" }'),
+)
+
+
 def q_asr(spark: SparkSession, folder: str) -> DataFrame:
-    return segment_turns(spark.createDataFrame([*SEGMENTS], "meeting_id string, seq int, start double, end double, text string"))
+    """Segments as turns: the events of each user stand for segments, besides a small case."""
+    e = spark.read.parquet(f"{folder}/events.parquet").where("user_id IS NOT NULL AND ts IS NOT NULL")
+    start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 1e6
+    d = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("meeting_id"), F.col("event_id").alias("seq"), start.alias("start"), (start + F.abs("value") % 3).alias("end"), F.col("event_type").alias("text"))
+    case = spark.createDataFrame([*SEGMENTS], "meeting_id string, seq bigint, start double, end double, text string")
+    return segment_turns(d.unionByName(case))
 
 
 def q_vtt(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,25 +140,35 @@ def q_vtt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_json(spark: SparkSession, folder: str) -> DataFrame:
-    d = spark.createDataFrame([*FILES], "file_id string, format string, content string")
+    """Texts out of JSON: objects with a transcript, utterances with or without a speaker, and the odd shapes of a small case."""
+    case = spark.createDataFrame([*FILES], "file_id string, format string, content string")
+    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL").select("job_id", "transcript").distinct()
+    u = spark.read.parquet(f"{folder}/said_vs_meant_items.parquet").where("item_id IS NOT NULL").select("item_id", "speaker", "said").distinct()
+    d = case.union(j.select("job_id", F.lit("json"), F.to_json(F.struct(F.lit(1).alias("version"), F.col("transcript").alias("content")))))
+    d = d.union(u.select("item_id", F.lit("json"), F.to_json(F.array(F.struct("speaker", F.col("said").alias("message"))))))
     return d.select("file_id", F.when(F.col("format") == "vtt", vtt_text(F.col("content"))).otherwise(json_text(F.col("content"))).alias("text"))
 
 
 def q_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of jobs read as model answers: title-less fields counted; cut-off JSON is repaired."""
+    """Results of jobs read as model answers, and answers with thoughts, fences or a cut-off end: number of keys and title."""
     j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("result IS NOT NULL").select("job_id", "result").distinct()
-    a = answer_json(F.col("result"))
-    return j.select("job_id", F.size(F.json_object_keys(a)).alias("keys"))
+    case = spark.createDataFrame([(i, raw) for i, raw, _, _ in ANSWERS], "job_id string, result string")
+    a = j.union(case).select("job_id", answer_json(F.col("result")).alias("a"))
+    return a.select("job_id", F.size(F.json_object_keys("a")).alias("keys"), F.get_json_object("a", "$.meeting_title").alias("title"))
 
 
 QUERIES = {"asr_speaker_turns": q_asr, "vtt_to_text": q_vtt, "json_to_text": q_json, "llm_json_parse": q_answers}
+_SEGMENTS_SQL = f"""(SELECT * FROM {rows(SEGMENTS, "s(meeting_id, seq, start, stop, txt)")} UNION ALL SELECT 'u' || user_id, event_id, t, t + abs(value) % 3, event_type FROM (SELECT *, (epoch_us(CAST(ts AS TIMESTAMP)) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6 AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))"""
+_FILE_TEXTS = [("F1", "Mori: hi"), ("F2", "Abe: yes\nOno: no\nx"), ("F3", "plain"), ("F4", "not json"), ("F5", '{"a": 1}'), ("F6", "Mori: hello\nplain line")]
 SQL = {
     "asr_speaker_turns": f"""SELECT meeting_id, seq, printf('[%02d:%02d] Speaker %d: %s', CAST(floor(start / 60) AS INT), CAST(floor(start) AS INT) % 60, CAST(n % 5 + 1 AS INT), trim(txt)) AS line FROM (SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY seq) AS n
-  FROM (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY meeting_id ORDER BY seq) > 1.5 THEN 1 ELSE 0 END AS new FROM {rows(SEGMENTS, 's(meeting_id, seq, start, stop, txt)')})) WHERE trim(txt) <> ''""",
-    "json_to_text": "SELECT * FROM " + rows([("F1", "Mori: hi"), ("F2", "Abe: yes\nOno: no\nx"), ("F3", "plain"), ("F4", "not json"), ("F5", '{"a": 1}'), ("F6", "Mori: hello\nplain line")], "t(file_id, text)"),
+  FROM (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY meeting_id ORDER BY seq) > 1.5 THEN 1 ELSE 0 END AS new FROM {_SEGMENTS_SQL})) WHERE trim(txt) <> ''""",
+    "json_to_text": f"""SELECT * FROM {rows(_FILE_TEXTS, "t(file_id, text)")} UNION ALL SELECT DISTINCT job_id, transcript FROM analysis_jobs WHERE transcript IS NOT NULL
+  UNION ALL SELECT item_id, CASE WHEN coalesce(said, '') = '' THEN '' WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' || said ELSE said END FROM (SELECT DISTINCT item_id, speaker, said FROM said_vs_meant_items WHERE item_id IS NOT NULL)""",
     "vtt_to_text": r"""SELECT job_id, length(t) AS chars, len(string_split(t, chr(10))) AS lines FROM (SELECT job_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(transcript, '\r\n|\n|\r'), lambda x: trim(x, ' ' || chr(9) || chr(12288) || chr(160))),
   lambda x: x <> '' AND NOT starts_with(x, 'WEBVTT') AND NOT starts_with(x, 'NOTE') AND NOT regexp_matches(x, '\d{2}:\d{2}[\d:,.]+\s*-->\s*')),
   lambda x: CASE WHEN regexp_matches(x, '^<v ([^>]+)>(.*)</v>') THEN regexp_extract(x, '^<v ([^>]+)>(.*)</v>', 1) || ': ' || trim(regexp_extract(x, '^<v ([^>]+)>(.*)</v>', 2), ' ' || chr(9) || chr(12288) || chr(160)) ELSE x END), chr(10)) AS t
   FROM (SELECT DISTINCT job_id, transcript FROM analysis_jobs WHERE transcript LIKE 'WEBVTT%'))""",
-    "llm_json_parse": "SELECT job_id, len(json_keys(result)) AS keys FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)",
+    "llm_json_parse": f"""SELECT job_id, len(json_keys(result)) AS keys, result ->> '$.meeting_title' AS title FROM (SELECT DISTINCT job_id, result FROM analysis_jobs WHERE result IS NOT NULL)
+  UNION ALL SELECT * FROM {rows([(i, k, t) for i, _, k, t in ANSWERS], "a(job_id, keys, title)")}""",
 }
