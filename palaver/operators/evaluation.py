@@ -159,11 +159,13 @@ def q_request_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_rouge(spark: SparkSession, folder: str) -> DataFrame:
-    """Action items against commitments of the same request and owner: unigram overlap counts."""
+    """Each action item against the commitment at its place in the same request: unigram overlap counts and F1. Items beyond the other side's number have no counterpart and no row."""
+    line = W.partitionBy("request_id")
     a = spark.read.parquet(f"{folder}/action_items.parquet").where("request_id IS NOT NULL AND task IS NOT NULL").select("request_id", "item_id", "task").distinct()
     c = spark.read.parquet(f"{folder}/commitment_items.parquet").where("request_id IS NOT NULL AND text IS NOT NULL").select("request_id", F.col("item_id").alias("ref_id"), F.col("text").alias("ref")).distinct()
-    x, y = F.array_distinct(ja_tokens(F.col("task"))), F.array_distinct(ja_tokens(F.col("ref")))
-    return a.join(c, "request_id").select("item_id", "ref_id", F.size(x).alias("n_pred"), F.size(y).alias("n_ref"), F.size(F.array_intersect(x, y)).alias("common"))
+    a, c = a.withColumn("place", F.row_number().over(line.orderBy("item_id", "task"))), c.withColumn("place", F.row_number().over(line.orderBy("ref_id", "ref")))
+    j = a.join(c, ["request_id", "place"]).withColumn("x", F.array_distinct(ja_tokens(F.col("task")))).withColumn("y", F.array_distinct(ja_tokens(F.col("ref"))))
+    return j.select("item_id", "ref_id", F.size("x").alias("n_pred"), F.size("y").alias("n_ref"), F.size(F.array_intersect("x", "y")).alias("common"), rouge1(F.col("x"), F.col("y")).alias("f1"))
 
 
 def q_japan(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,6 +186,7 @@ def _tok(c: str) -> str:
 QUERIES = {"evaluation_scores": q_scores, "request_scores": q_request_scores, "rouge1_counts": q_rouge, "japan_check": q_japan}
 SQL = {
     "japan_check": f"SELECT meeting_id, k.expected AS keigo_expected, c.switches AS code_switch_count, n.keywords AS nemawashi_found FROM ({TEXT_SQL['keigo_levels']}) k JOIN ({TEXT_SQL['code_switches']}) c USING (meeting_id) JOIN ({SIGNAL_SQL['nemawashi_signals']}) n USING (meeting_id)",
-    "rouge1_counts": f"""SELECT item_id, ref_id, len(x) AS n_pred, len(y) AS n_ref, len(list_intersect(x, y)) AS common FROM (SELECT a.item_id, c.ref_id, {_tok("a.task")} AS x, {_tok("c.ref")} AS y
- FROM (SELECT DISTINCT request_id, item_id, task FROM action_items WHERE request_id IS NOT NULL AND task IS NOT NULL) a JOIN (SELECT DISTINCT request_id, item_id AS ref_id, text AS ref FROM commitment_items WHERE request_id IS NOT NULL AND text IS NOT NULL) c USING (request_id))""",
+    "rouge1_counts": f"""SELECT item_id, ref_id, len(x) AS n_pred, len(y) AS n_ref, len(list_intersect(x, y)) AS common, CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE round_even(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 3) END AS f1 FROM (SELECT a.item_id, c.ref_id, {_tok("a.task")} AS x, {_tok("c.ref")} AS y
+ FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY item_id, task) AS place FROM (SELECT DISTINCT request_id, item_id, task FROM action_items WHERE request_id IS NOT NULL AND task IS NOT NULL)) a
+ JOIN (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ref_id, ref) AS place FROM (SELECT DISTINCT request_id, item_id AS ref_id, text AS ref FROM commitment_items WHERE request_id IS NOT NULL AND text IS NOT NULL)) c USING (request_id, place))""",
 }

@@ -112,6 +112,16 @@ def q_unified(spark: SparkSession, folder: str) -> DataFrame:
     return best_match(_owned(spark, folder), speakers(m)).groupBy("how").agg(F.count("*").alias("names"))
 
 
+def q_unify(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-in's speakers under the names that the transcript has for them, talk time summed."""
+    from .results import stand_in
+
+    m = meetings(spark, folder)
+    sp = m.select("meeting_id", F.posexplode(F.transform(stand_in(F.col("transcript"))["speakers"], lambda x: F.struct(x["name"].alias("name"), x["talk_time_pct"].alias("pct")))).alias("pos", "s"))
+    u = unify(sp.select("meeting_id", "pos", "s.name", F.col("s.pct").alias("talk_time_pct")), speakers(m))
+    return u.select("meeting_id", "pos", "name", F.col("talk_time_pct").cast("bigint").alias("talk_time_pct"))
+
+
 def q_surnames(spark: SparkSession, folder: str) -> DataFrame:
     d = spark.createDataFrame([*lexicon.SURNAMES], "romaji string, kanji string")
     return d.groupBy(F.length("kanji").alias("characters")).agg(F.count("*").alias("names"), F.min("romaji").alias("first"))
@@ -125,7 +135,7 @@ def q_titles(spark: SparkSession, folder: str) -> DataFrame:
     return r.withColumn("place", F.row_number().over(w)).where("place = 1").select("account_id", "person_id", "rank")
 
 
-QUERIES = {"speaker_names": q_speakers, "role_hints": q_roles, "unified_owners": q_unified, "surname_dictionary": q_surnames, "senior_by_account": q_titles}
+QUERIES = {"speaker_names": q_speakers, "role_hints": q_roles, "unified_owners": q_unified, "unified_speakers": q_unify, "surname_dictionary": q_surnames, "senior_by_account": q_titles}
 _WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -171,6 +181,16 @@ SQL = {
  WHERE request_id IS NOT NULL AND owner IS NOT NULL AND lower(owner) NOT IN ({", ".join(f"'{w}'" for w in NOBODY)})),
  j AS (SELECT n.meeting_id, n.name, min(CASE WHEN k.speaker IS NULL OR n.n = '' THEN NULL WHEN n.n = k.speaker THEN 1 WHEN lower(n.n) = lower(k.speaker) THEN 2 WHEN (SELECT max(kanji) FROM sn WHERE roman = lower(n.n)) = k.speaker THEN 3
  WHEN (SELECT max(roman) FROM sn WHERE kanji = n.n) = lower(k.speaker) THEN 3 WHEN contains(k.speaker, n.n) OR contains(n.n, k.speaker) THEN 4 END) AS how FROM n LEFT JOIN k USING (meeting_id) GROUP BY 1, 2) SELECT coalesce(how, 0) AS how, count(*) AS names FROM j GROUP BY 1""",
+    "unified_speakers": f"""WITH sn AS (SELECT * FROM {rows(lexicon.SURNAMES, 'v(roman, kanji)')}), k AS ({speakers_sql(MEETINGS)}),
+ g AS (SELECT meeting_id, list_filter(list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})), lambda x: length(x) >= 2 AND lower(x) NOT IN ('http', 'https', 'view', 'sorry', 'would', 'could')) AS g,
+ list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})) AS every, regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1) AS raw FROM {MEETINGS}),
+ o AS (SELECT meeting_id, CASE WHEN len(g) > 0 THEN list_sort(g, 'ASC') ELSE ['Speaker A', 'Speaker B'] END AS names, list_transform(raw, lambda x: {strip_sql("x")}) AS raw FROM g),
+ u AS (SELECT meeting_id, unnest(names) AS name, len(names) AS cnt, raw FROM o), f AS (SELECT meeting_id, name, cnt, coalesce(list_position(raw, name), CASE WHEN name = 'Speaker A' THEN 1 ELSE 2 END) AS seen FROM u),
+ s AS (SELECT meeting_id, name, row_number() OVER (PARTITION BY meeting_id ORDER BY seen) - 1 AS pos, round_even(100.0 / cnt, 0) AS pct, {name_sql("name")} AS n FROM f),
+ h AS (SELECT s.*, k.speaker, k.first_pos, CASE WHEN k.speaker IS NULL OR s.n = '' THEN NULL WHEN s.n = k.speaker THEN 1 WHEN lower(s.n) = lower(k.speaker) THEN 2 WHEN (SELECT max(kanji) FROM sn WHERE roman = lower(s.n)) = k.speaker THEN 3
+ WHEN (SELECT max(roman) FROM sn WHERE kanji = s.n) = lower(k.speaker) THEN 3 WHEN contains(k.speaker, s.n) OR contains(s.n, k.speaker) THEN 4 END AS how FROM s LEFT JOIN k USING (meeting_id)),
+ b AS (SELECT meeting_id, name, pos, pct, n, arg_min(speaker, (how, first_pos, speaker)) FILTER (WHERE how IS NOT NULL) AS matched FROM h GROUP BY ALL)
+ SELECT meeting_id, min(pos) AS pos, coalesce(matched, n) AS name, CAST(sum(pct) AS BIGINT) AS talk_time_pct FROM b GROUP BY meeting_id, coalesce(matched, n)""",
     "surname_dictionary": f"SELECT length(kanji) AS characters, count(*) AS names, min(romaji) AS first FROM {rows(lexicon.SURNAMES, 's(romaji, kanji)')} GROUP BY 1",
     "senior_by_account": f"SELECT account_id, person_id, rank FROM (SELECT account_id, person_id, {_RANK} AS rank, row_number() OVER (PARTITION BY account_id ORDER BY {_RANK} DESC, person_id) AS n FROM people WHERE job_title IS NOT NULL) WHERE n = 1",
 }

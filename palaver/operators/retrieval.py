@@ -296,7 +296,33 @@ def q_ask(spark: SparkSession, folder: str) -> DataFrame:
     return rag_prompt(q).select("query_id", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
-QUERIES = {"meeting_store_rows": q_store, "cosine_topk": q_topk, "cosine_topk_filtered": q_topk_label, "semantic_cache_hits": q_semantic_cache, "semantic_cache_documents": q_cached_documents, "meeting_count": q_count, "pattern_matches": q_patterns, "ask_prompts": q_ask, "exact_cache_hits": q_exact_cache, "user_upserts": q_users, "session_history": q_history, "cache_stats": q_cache_stats}
+def q_vector_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the semantic cache of every job with a result."""
+    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL AND result IS NOT NULL")
+    j = j.select(F.col("account_id").cast("string").alias("user_id"), "language", F.col("transcript").alias("masked"), "result").distinct()
+    v = vector_rows(j, F.timestamp_seconds(F.lit(0)))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3)
+    return v.select("user_id", "language", "doc_id", F.length("document").alias("document_chars"), total.alias("embedding_sum"), F.length("result").alias("result_chars"))
+
+
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    j = spark.read.parquet(f"{folder}/analysis_jobs.parquet").where("transcript IS NOT NULL AND finished_at IS NOT NULL")
+    return j.select(cache_key(F.col("transcript")).alias("k"), F.to_timestamp("finished_at").alias("cached_at"), F.col("account_id").cast("string").alias("user_id"))
+
+
+def q_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of the exact cache once every finished job was written: the last write of each key."""
+    e = _entries(spark, folder)
+    return upsert(e, e.limit(0), "k", "cached_at").select("k", "cached_at")
+
+
+def q_purge(spark: SparkSession, folder: str) -> DataFrame:
+    """What clearing the cache of account 1 takes and leaves."""
+    left, gone = purge(_entries(spark, folder), "1")
+    return gone.select(F.lit("cleared").alias("what"), F.col("cleared").cast("bigint").alias("entries")).union(left.agg(F.count("*")).select(F.lit("left"), F.col("count(1)")))
+
+
+QUERIES = {"meeting_store_rows": q_store, "cosine_topk": q_topk, "cosine_topk_filtered": q_topk_label, "semantic_cache_hits": q_semantic_cache, "semantic_cache_documents": q_cached_documents, "meeting_count": q_count, "vector_cache_rows": q_vector_rows, "exact_cache_entries": q_entries, "cache_purge": q_purge, "pattern_matches": q_patterns, "ask_prompts": q_ask, "exact_cache_hits": q_exact_cache, "user_upserts": q_users, "session_history": q_history, "cache_stats": q_cache_stats}
 _COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9)"
 _RANK = f"""SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS place
  FROM embeddings q JOIN embeddings e ON"""
@@ -318,6 +344,10 @@ SQL = {
     "cosine_topk": f"SELECT query_id, vec_id, place, round(s, 6) AS similarity FROM ({_RANK} TRUE WHERE q.vec_id % 20 = 0) WHERE place <= 5",
     "cosine_topk_filtered": f"SELECT query_id, vec_id, place FROM ({_RANK} q.label = e.label WHERE q.vec_id % 20 = 0) WHERE place <= 3",
     "semantic_cache_hits": f"SELECT query_id, vec_id FROM ({_RANK} e.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) WHERE place = 1 AND s >= 0.2",
+    "vector_cache_rows": """SELECT CAST(account_id AS VARCHAR) AS user_id, language, md5(transcript) AS doc_id, least(2000, length(transcript)) AS document_chars, round(list_sum(list_transform(string_split(left(transcript, 384), ''), lambda c: unicode(c) / 1000.0)), 3) AS embedding_sum, length(result) AS result_chars
+ FROM (SELECT DISTINCT account_id, language, transcript, result FROM analysis_jobs WHERE transcript IS NOT NULL AND result IS NOT NULL)""",
+    "exact_cache_entries": "SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, max(CAST(finished_at AS TIMESTAMP)) AS cached_at FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL GROUP BY 1",
+    "cache_purge": "SELECT CASE WHEN coalesce(account_id = 1, FALSE) THEN 'cleared' ELSE 'left' END AS what, count(*) AS entries FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL GROUP BY 1",
     "exact_cache_hits": """WITH r AS (SELECT DISTINCT request_id, md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, received_at, ingested_at FROM analyze_requests WHERE transcript IS NOT NULL),
  j AS (SELECT k, max(cached_at) AS cached_at FROM (SELECT k, CAST(received_at AS TIMESTAMP) AS cached_at FROM r UNION ALL SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))), CAST(finished_at AS TIMESTAMP) FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL) GROUP BY 1)
  SELECT cached_at IS NOT NULL AS known, coalesce(cached_at > CAST(ingested_at AS TIMESTAMP) - INTERVAL 24 HOURS AND cached_at <= CAST(ingested_at AS TIMESTAMP), FALSE) AS hit, count(*) AS requests FROM r LEFT JOIN j USING (k) GROUP BY 1, 2""",
