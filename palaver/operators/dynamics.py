@@ -154,6 +154,14 @@ _any = lambda phrases: "(" + " OR ".join(f"contains(t.text, {lit(p)})" for p in
 _BL = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _part = lambda i: f"regexp_extract(stamp, '^(\\d{{1,2}}):(\\d{{2}})(?::(\\d{{2}}))?\\s?([AP]M)?$', {i})"
 _RC, _RE = (p.replace("'", "''").replace("぀-鿿", "\\x{3040}-\\x{9fff}") for p in (_CLOCKED, _EXPORT))
+#: Common table expressions up to w: meeting_id, name, weight, pos of talk_weights.
+WEIGHTS_SQL = f"""x AS (SELECT meeting_id, regexp_extract_all(transcript, '{_RE}', 1) AS en, regexp_extract_all(transcript, '{_RE}', 2) AS ea, regexp_extract_all(transcript, '{_RC}', 1) AS cn, regexp_extract_all(transcript, '{_RC}', 2) AS ca FROM {MEETINGS}),
+ p AS (SELECT meeting_id, CASE WHEN len(en) > 0 THEN list_filter(list_zip(en, ea), lambda z: NOT contains(lower(z[1]), 'view')) ELSE list_zip(cn, ca) END AS z FROM x),
+ u AS (SELECT meeting_id, generate_subscripts(z, 1) - 1 AS pos, unnest(z) AS z FROM p), v AS (SELECT meeting_id, pos, regexp_replace(regexp_replace(regexp_replace(z[1], '\\s+', ' ', 'g'), '(?i)\\s*sent the following.*', '', 'g'), '^{_BL}+|{_BL}+$', '', 'g') AS name, upper(trim(z[2])) AS stamp FROM u),
+ k AS (SELECT meeting_id, pos, name, try_cast({_part(1)} AS INT) AS h, try_cast({_part(2)} AS INT) AS mi, coalesce(try_cast({_part(3)} AS INT), 0) AS se, {_part(3)} AS sx, {_part(4)} AS half FROM v),
+ c AS (SELECT meeting_id, pos, name, CASE WHEN half <> '' THEN h % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END ELSE h END * 3600 + mi * 60 + se AS sec FROM k WHERE mi < 60 AND se < 60 AND CASE WHEN half <> '' THEN h BETWEEN 1 AND 12 AND sx = '' ELSE h < 24 END AND length(name) >= 2),
+ g AS (SELECT *, (((sec - lag(sec) OVER (PARTITION BY meeting_id ORDER BY pos)) % 86400) + 86400) % 86400 AS gap, count(*) OVER (PARTITION BY meeting_id) AS n FROM c),
+ w AS (SELECT meeting_id, name, sum(CASE WHEN gap IS NULL OR gap <= 60 THEN 1.0 WHEN gap <= 300 THEN 0.5 ELSE 0.01 END) AS weight, min(pos) AS pos FROM g WHERE n >= 2 GROUP BY 1, 2)"""
 SQL = {
     "topic_stalls": f"""WITH {_T} SELECT t.meeting_id, t.turn_idx AS stalled_turn, t.speaker AS stalled_speaker, t.turn_idx + 1 AS pivot_turn, l.turn_idx AS circled_back_turn, l.speaker AS circled_back_speaker
  FROM t JOIN t n ON n.meeting_id = t.meeting_id AND n.turn_idx = t.turn_idx + 1 JOIN t l ON l.meeting_id = t.meeting_id AND l.turn_idx BETWEEN t.turn_idx + 2 AND t.turn_idx + 6 WHERE {_any([p for p, _ in lexicon.SOFT])} AND len(t.terms) > 0
@@ -163,13 +171,7 @@ SQL = {
  WHERE e.rank >= 5 AND e.stop - e.turn_idx >= 3 AND len(e.terms) > 0 AND l.turn_idx < e.stop AND l.rank < e.rank AND len(l.terms) > 0 AND len(list_intersect(e.terms, l.terms)) / len(e.terms) < 0.2 QUALIFY row_number() OVER (PARTITION BY e.meeting_id, e.turn_idx ORDER BY l.turn_idx) = 1""",
     "closing_summarizer": f"""WITH {_T}, g AS (SELECT *, max(turn_idx) OVER (PARTITION BY meeting_id) AS last FROM r), e AS (SELECT *, sum(CASE WHEN turn_idx < last * 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY meeting_id, speaker) AS early, count(*) OVER (PARTITION BY meeting_id, speaker) AS own FROM g)
  SELECT meeting_id, speaker, role, turn_idx, own AS turns FROM e t WHERE turn_idx >= last - 2 AND {_any(lexicon.CLOSING)} AND rank >= 5 AND early <= 1 QUALIFY row_number() OVER (PARTITION BY meeting_id ORDER BY turn_idx DESC) = 1""",
-    "talk_time_from_clock": f"""WITH x AS (SELECT meeting_id, regexp_extract_all(transcript, '{_RE}', 1) AS en, regexp_extract_all(transcript, '{_RE}', 2) AS ea, regexp_extract_all(transcript, '{_RC}', 1) AS cn, regexp_extract_all(transcript, '{_RC}', 2) AS ca FROM {MEETINGS}),
- p AS (SELECT meeting_id, CASE WHEN len(en) > 0 THEN list_filter(list_zip(en, ea), lambda z: NOT contains(lower(z[1]), 'view')) ELSE list_zip(cn, ca) END AS z FROM x),
- u AS (SELECT meeting_id, generate_subscripts(z, 1) - 1 AS pos, unnest(z) AS z FROM p), v AS (SELECT meeting_id, pos, regexp_replace(regexp_replace(regexp_replace(z[1], '\\s+', ' ', 'g'), '(?i)\\s*sent the following.*', '', 'g'), '^{_BL}+|{_BL}+$', '', 'g') AS name, upper(trim(z[2])) AS stamp FROM u),
- k AS (SELECT meeting_id, pos, name, try_cast({_part(1)} AS INT) AS h, try_cast({_part(2)} AS INT) AS mi, coalesce(try_cast({_part(3)} AS INT), 0) AS se, {_part(3)} AS sx, {_part(4)} AS half FROM v),
- c AS (SELECT meeting_id, pos, name, CASE WHEN half <> '' THEN h % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END ELSE h END * 3600 + mi * 60 + se AS sec FROM k WHERE mi < 60 AND se < 60 AND CASE WHEN half <> '' THEN h BETWEEN 1 AND 12 AND sx = '' ELSE h < 24 END AND length(name) >= 2),
- g AS (SELECT *, (((sec - lag(sec) OVER (PARTITION BY meeting_id ORDER BY pos)) % 86400) + 86400) % 86400 AS gap, count(*) OVER (PARTITION BY meeting_id) AS n FROM c),
- w AS (SELECT meeting_id, name, sum(CASE WHEN gap IS NULL OR gap <= 60 THEN 1.0 WHEN gap <= 300 THEN 0.5 ELSE 0.01 END) AS weight, min(pos) AS pos FROM g WHERE n >= 2 GROUP BY 1, 2),
+    "talk_time_from_clock": f"""WITH {WEIGHTS_SQL},
  q AS (SELECT meeting_id, name, pos, CAST(round_even(CAST(weight AS DOUBLE) * 100 / sum(CAST(weight AS DOUBLE)) OVER (PARTITION BY meeting_id), 0) AS INT) AS pct FROM w)
  SELECT meeting_id, name, CAST(pct + CASE WHEN row_number() OVER (PARTITION BY meeting_id ORDER BY pos) = 1 THEN 100 - sum(pct) OVER (PARTITION BY meeting_id) ELSE 0 END AS INT) AS talk_time_pct FROM q""",
     "turns_parsed": f"SELECT meeting_id, count(*) AS turns, count(DISTINCT speaker) AS speakers, sum(length(text)) AS chars FROM {_TURNS} GROUP BY meeting_id",

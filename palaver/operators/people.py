@@ -182,8 +182,7 @@ SQL = {
  j AS (SELECT n.meeting_id, n.name, min(CASE WHEN k.speaker IS NULL OR n.n = '' THEN NULL WHEN n.n = k.speaker THEN 1 WHEN lower(n.n) = lower(k.speaker) THEN 2 WHEN (SELECT max(kanji) FROM sn WHERE roman = lower(n.n)) = k.speaker THEN 3
  WHEN (SELECT max(roman) FROM sn WHERE kanji = n.n) = lower(k.speaker) THEN 3 WHEN contains(k.speaker, n.n) OR contains(n.n, k.speaker) THEN 4 END) AS how FROM n LEFT JOIN k USING (meeting_id) GROUP BY 1, 2) SELECT coalesce(how, 0) AS how, count(*) AS names FROM j GROUP BY 1""",
     "unified_speakers": f"""WITH sn AS (SELECT * FROM {rows(lexicon.SURNAMES, 'v(roman, kanji)')}), k AS ({speakers_sql(MEETINGS)}),
- g AS (SELECT meeting_id, list_filter(list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})), lambda x: length(x) >= 2 AND lower(x) NOT IN ('http', 'https', 'view', 'sorry', 'would', 'could')) AS g,
- list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})) AS every, regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1) AS raw FROM {MEETINGS}),
+ g AS (SELECT meeting_id, list_filter(list_distinct(list_transform(regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1), lambda x: {strip_sql("x")})), lambda x: length(x) >= 2 AND lower(x) NOT IN ('http', 'https', 'view', 'sorry', 'would', 'could')) AS g, regexp_extract_all(transcript, '(?m)(?:^|\\n)\\s*([A-Za-z][A-Za-z\\s.'']{{1,35}}?)\\s*[:：]', 1) AS raw FROM {MEETINGS}),
  o AS (SELECT meeting_id, CASE WHEN len(g) > 0 THEN list_sort(g, 'ASC') ELSE ['Speaker A', 'Speaker B'] END AS names, list_transform(raw, lambda x: {strip_sql("x")}) AS raw FROM g),
  u AS (SELECT meeting_id, unnest(names) AS name, len(names) AS cnt, raw FROM o), f AS (SELECT meeting_id, name, cnt, coalesce(list_position(raw, name), CASE WHEN name = 'Speaker A' THEN 1 ELSE 2 END) AS seen FROM u),
  s AS (SELECT meeting_id, name, row_number() OVER (PARTITION BY meeting_id ORDER BY seen) - 1 AS pos, round_even(100.0 / cnt, 0) AS pct, {name_sql("name")} AS n FROM f),
