@@ -28,8 +28,8 @@ SURNAMES = tuple(k for _, k in lexicon.SURNAMES) + tuple(r.capitalize() for r, _
 
 def label_names(c: Column) -> Column:
     """Names before colons at the start of lines, without words of document structure."""
-    latin = F.filter(F.regexp_extract_all(c, F.lit(LATIN_LABEL)), lambda n: ~F.lower(n).isin(*lexicon.NOT_SPEAKERS))
-    return F.array_sort(F.filter(F.array_union(latin, F.regexp_extract_all(c, F.lit(CJK_LABEL))), lambda n: F.length(n) >= 2))
+    latin = F.filter(F.regexp_extract_all(c, F.lit("(?U)" + LATIN_LABEL)), lambda n: ~F.lower(n).isin(*lexicon.NOT_SPEAKERS))
+    return F.array_sort(F.filter(F.array_union(latin, F.regexp_extract_all(c, F.lit("(?U)" + CJK_LABEL))), lambda n: F.length(n) >= 2))
 
 
 def mask_text(text: str | None, companies: bool = False, times: bool = False, surnames: tuple[str, ...] = SURNAMES) -> tuple[str | None, dict[str, str]]:
@@ -102,9 +102,10 @@ def restore_json(s: pd.Series, mapping: pd.Series) -> pd.Series:
 
 def counts(df: DataFrame) -> DataFrame:
     """df with the number of addresses and numbers that mask would find, counted without a Python pass: each pattern sees what the ones before left."""
+    jp, intl = "(?U)" + PHONE_JP, "(?U)" + PHONE_INTL  # digits and blanks of any script, as mask has them
     a = F.regexp_replace("transcript", EMAIL, "[E]")
-    b = F.regexp_replace(a, PHONE_JP, "[P]")
-    d = df.withColumn("emails", F.regexp_count("transcript", F.lit(EMAIL))).withColumn("jp_phones", F.regexp_count(a, F.lit(PHONE_JP))).withColumn("intl_phones", F.regexp_count(b, F.lit(PHONE_INTL)))
+    b = F.regexp_replace(a, jp, "[P]")
+    d = df.withColumn("emails", F.regexp_count("transcript", F.lit(EMAIL))).withColumn("jp_phones", F.regexp_count(a, F.lit(jp))).withColumn("intl_phones", F.regexp_count(b, F.lit(intl)))
     return d.withColumn("label_names", F.size(label_names(F.col("transcript"))))
 
 
@@ -132,10 +133,30 @@ def q_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"pii_counts": q_counts, "pii_mask_restore": q_mask, "pii_mapping_report": q_mapping}
-_RE = {k: v.replace(r"\s", "[ \\t\\n\\r\\f\\v]") for k, v in (("e", EMAIL), ("j", PHONE_JP), ("i", PHONE_INTL))}
+_BL = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def _any_script(pattern: str) -> str:
+    """The pattern for SQL, with digits and blanks of any script."""
+    blanks = pattern.replace("[\\-\\s]", "[\\-\x00]").replace("\\s", "[\x00]").replace("\x00", _BL)
+    return blanks.replace("\\d", "\\p{Nd}").replace("぀-鿿", "\\x{3040}-\\x{9fff}")
+
+
+_RE = {"e": EMAIL, "j": _any_script(PHONE_JP), "i": _any_script(PHONE_INTL)}
+_LATIN, _CJK = _any_script(LATIN_LABEL), _any_script(CJK_LABEL)
+_first = lambda c, k: f"coalesce(list_distinct(regexp_extract_all({c}, '{_RE[k]}')), [])"
+# Distinct matches have one placeholder each; lengths and numbers don't depend on which is which.
+_tagged = lambda c, found, kind, base: f"list_reduce(list_prepend(struct_pack(s := {c}, k := {base}), list_transform({found}, lambda x: struct_pack(s := x, k := 0))), lambda acc, x: struct_pack(s := replace(acc.s, x.s, '[{kind}_' || (acc.k + 1) || ']'), k := acc.k + 1)).s"
 SQL = {
-    "pii_counts": f"""SELECT meeting_id, len(regexp_extract_all(transcript, '{EMAIL}')) AS emails, len(regexp_extract_all(a, '{PHONE_JP}')) AS jp_phones, len(regexp_extract_all(regexp_replace(a, '{PHONE_JP}', '[P]', 'g'), '{PHONE_INTL}')) AS intl_phones,
-  len(list_distinct(list_filter(list_concat(list_filter(regexp_extract_all(transcript, '{LATIN_LABEL}', 1), lambda n: lower(n) NOT IN ({", ".join("'" + w + "'" for w in lexicon.NOT_SPEAKERS)})),
-  regexp_extract_all(transcript, '{CJK_LABEL.replace("぀-鿿", "\\x{3040}-\\x{9fff}")}', 1)), lambda n: length(n) >= 2))) AS label_names FROM (SELECT *, regexp_replace(transcript, '{EMAIL}', '[E]', 'g') AS a FROM {MEETINGS})""",
+    "pii_counts": f"""SELECT meeting_id, len(regexp_extract_all(transcript, '{EMAIL}')) AS emails, len(regexp_extract_all(a, '{_RE["j"]}')) AS jp_phones, len(regexp_extract_all(regexp_replace(a, '{_RE["j"]}', '[P]', 'g'), '{_RE["i"]}')) AS intl_phones,
+  len(list_distinct(list_filter(list_concat(list_filter(regexp_extract_all(transcript, '{_LATIN}', 1), lambda n: lower(n) NOT IN ({", ".join("'" + w + "'" for w in lexicon.NOT_SPEAKERS)})),
+  regexp_extract_all(transcript, '{_CJK}', 1)), lambda n: length(n) >= 2))) AS label_names FROM (SELECT *, regexp_replace(transcript, '{EMAIL}', '[E]', 'g') AS a FROM {MEETINGS})""",
+    "pii_mask_restore": f"""WITH e AS (SELECT meeting_id, transcript AS t, {_first("transcript", "e")} AS em FROM {MEETINGS}), a AS (SELECT meeting_id, t, em, {_tagged("t", "em", "EMAIL", "0")} AS s1 FROM e),
+ b AS (SELECT *, {_first("s1", "j")} AS jp FROM a), c AS (SELECT *, {_tagged("s1", "jp", "PHONE", "0")} AS s2 FROM b), d AS (SELECT *, {_first("s2", "i")} AS ip FROM c), f AS (SELECT *, {_tagged("s2", "ip", "PHONE", "len(jp)")} AS s3 FROM d),
+ n AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(list_filter(list_concat(list_concat(list_filter(regexp_extract_all(t, '{_LATIN}', 1), lambda n: lower(n) NOT IN ({", ".join("'" + w + "'" for w in lexicon.NOT_SPEAKERS)})),
+ regexp_extract_all(t, '{_CJK}', 1)), [{", ".join("'" + w + "'" for w in SURNAMES)}]), lambda n: length(n) >= 2)), lambda n: struct_pack(k := -length(n), n := n))), lambda x: x.n) AS names FROM f),
+ m AS (SELECT meeting_id, len(em) AS email_n, len(jp) + len(ip) AS phone_n, list_reduce(list_prepend(struct_pack(s := s3, k := 0), list_transform(names, lambda x: struct_pack(s := x, k := 0))),
+ lambda acc, x: CASE WHEN contains(acc.s, x.s) THEN struct_pack(s := replace(acc.s, x.s, '[NAME_' || (acc.k + 1) || ']'), k := acc.k + 1) ELSE acc END) AS r FROM n)
+ SELECT meeting_id, length(r.s) AS masked_chars, r.k AS name_n, email_n, phone_n, 0 AS company_n, r.k + email_n + phone_n AS total_n, TRUE AS restored FROM m""",
     "pii_mapping_report": r"""SELECT category, count(*) AS entries, count(DISTINCT original) AS originals FROM (SELECT regexp_extract(e.key, '^\[([A-Z]+)_', 1) AS category, e.value AS original FROM (SELECT unnest(map_entries(mapping)) AS e FROM pii_masks WHERE mapping IS NOT NULL)) GROUP BY category""",
 }

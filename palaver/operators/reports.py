@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bullets
 from ..sources.seed import text as lit
+from ..stage import cut
+from . import dynamics, people, signals
 from .people import role, role_sql
 from .results import top_signals
 
@@ -195,11 +197,9 @@ def q_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_cultural(spark: SparkSession, folder: str) -> DataFrame:
     from ..sources.seed import meetings
-    from . import dynamics, signals
-    from .people import role_hints
 
     m = meetings(spark, folder)
-    t, h = dynamics.turns(m), role_hints(m)
+    t, h = cut(dynamics.turns(m)), cut(people.role_hints(m))
     s = signals.signals(m).groupBy("meeting_id").agg(F.array_sort(F.collect_set(F.concat("speaker", F.lit(": "), "phrase"))).alias("signals"))
     n = lambda d, c: d.groupBy("meeting_id").agg(F.count("*").alias(c))
     d = signals.risk(m).select("meeting_id", "risk_level").join(s, "meeting_id", "left").join(approval_chain(h), "meeting_id", "left")
@@ -227,7 +227,13 @@ _MINUTE_ITEMS = f"""SELECT request_id, page, acts, decided, before FROM p LEFT J
  min(k - CASE WHEN {_ACT} <> '' THEN 1 ELSE 0 END) AS before FROM a GROUP BY 1, 2) USING (request_id, page) LEFT JOIN (SELECT request_id, page, string_agg('- ' || text, {_NL} ORDER BY item_id) AS decided FROM c GROUP BY 1, 2) USING (request_id, page)"""
 _MINUTES = f"""concat_ws({_NL}, '# ' || {lit(NO_NAME)}, '日時: 1970年01月01日 00:00', {lit(HEADS[0])}, '- ' || {lit(NO_PEOPLE)}, {lit(HEADS[1])}, '- ' || {lit(NO_TOPIC)}, {lit(HEADS[2])}, coalesce(decided, CASE WHEN decisions_n > 0 OR page > 1 THEN '' ELSE '- ' || {lit(NO_DECISION)} END),
  {lit(HEADS[3])}, coalesce(acts, CASE WHEN tasks_n > 0 OR page > 1 THEN '' ELSE '| ' || (coalesce(before, 0) + 1) || ' | ' || {lit(NO_ACTION)} || ' | — | — |' END)) AS minutes"""
+_COUNT = lambda q: f"(SELECT meeting_id, count(*) AS n FROM ({q}) GROUP BY 1)"
 SQL = {
+    "cultural_report": f"""WITH s AS (SELECT meeting_id, string_agg('- ' || x, {_NL} ORDER BY x) AS body FROM (SELECT DISTINCT meeting_id, speaker || ': ' || phrase AS x FROM ({signals.SQL["signal_rows"]})) GROUP BY 1),
+ c AS (SELECT meeting_id, string_agg('- ' || speaker || CASE WHEN role <> '' THEN ' (' || role || ')' ELSE '' END, {_NL} ORDER BY rank DESC, speaker, role) AS body FROM ({people.HINTS_SQL}) WHERE rank > 0 GROUP BY 1)
+ SELECT r.meeting_id, concat_ws({_NL}, '# 会議', 'Soft rejection risk: ' || r.risk_level, '## Signals', coalesce(s.body, '- None detected'), '## Decisions', '- None recorded', '## Approval chain', coalesce(c.body, '- 未指定 / Unassigned'), '## Closing', coalesce('- ' || z.speaker, '- None detected'),
+ 'Silences: ' || coalesce(p.n, 0) || '; stalls: ' || coalesce(t.n, 0)) AS report FROM (SELECT *, {signals._LEVEL} AS risk_level FROM ({signals._RISK})) r LEFT JOIN s USING (meeting_id) LEFT JOIN c USING (meeting_id) LEFT JOIN ({dynamics.SQL["closing_summarizer"]}) z USING (meeting_id)
+ LEFT JOIN {_COUNT(dynamics.SQL["senior_silence"])} p USING (meeting_id) LEFT JOIN {_COUNT(dynamics.SQL["topic_stalls"])} t USING (meeting_id)""",
     "text_notes": _paged(_TEXT_ITEMS, f"'MEETING ANALYSIS' || {_NL} || repeat('=', 40) || {_NL} || CASE WHEN body IS NOT NULL THEN {_NL} || 'ACTION ITEMS' || {_NL} || repeat('-', 20) || {_NL} || body || {_NL} ELSE '' END AS notes"),
     "markdown_notes": _paged(_MD_ITEMS, f"'# Meeting Analysis' || {_NL} || CASE WHEN body IS NOT NULL THEN {_NL} || '## Action Items' || {_NL} || body ELSE '' END AS notes"),
     "formal_minutes": _paged(_MINUTE_ITEMS, _MINUTES),
