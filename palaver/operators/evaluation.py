@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import code_switches, grade, ja_tokens, keigo_expected, names_match, rouge1
+from ..sources.seed import rows
 from .signals import REJECTIONS, nemawashi, scan
 from .signals import SQL as SIGNAL_SQL
 from .texts import SQL as TEXT_SQL
@@ -184,7 +185,10 @@ def _tok(c: str) -> str:
 
 
 QUERIES = {"evaluation_scores": q_scores, "request_scores": q_request_scores, "rouge1_counts": q_rouge, "japan_check": q_japan}
+#: What plain Python (tests/test_scores.py) makes of the two cases: case, semantic score, F1, soft accuracy, overall, grade, matched.
+GOLDEN = (("C1", 0.307, 0.5, 1.0, 60.2, "GOOD", 1), ("C2", 0.419, 1.0, 1.0, 80.6, "EXCELLENT", 1))
 SQL = {
+    "evaluation_scores": f"""SELECT case_id, CAST(s AS DOUBLE) AS semantic_score, CAST(f AS DOUBLE) AS f1, CAST(a AS DOUBLE) AS soft_accuracy, CAST(o AS DOUBLE) AS overall_score, overall_grade, matched FROM {rows(GOLDEN, "g(case_id, s, f, a, o, overall_grade, matched)")}""",
     "japan_check": f"SELECT meeting_id, k.expected AS keigo_expected, c.switches AS code_switch_count, n.keywords AS nemawashi_found FROM ({TEXT_SQL['keigo_levels']}) k JOIN ({TEXT_SQL['code_switches']}) c USING (meeting_id) JOIN ({SIGNAL_SQL['nemawashi_signals']}) n USING (meeting_id)",
     "rouge1_counts": f"""SELECT item_id, ref_id, len(x) AS n_pred, len(y) AS n_ref, len(list_intersect(x, y)) AS common, CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE round_even(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 3) END AS f1 FROM (SELECT a.item_id, c.ref_id, {_tok("a.task")} AS x, {_tok("c.ref")} AS y
  FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY item_id, task) AS place FROM (SELECT DISTINCT request_id, item_id, task FROM action_items WHERE request_id IS NOT NULL AND task IS NOT NULL)) a
