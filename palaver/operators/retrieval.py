@@ -347,7 +347,8 @@ SQL = {
     "vector_cache_rows": """SELECT CAST(account_id AS VARCHAR) AS user_id, language, md5(transcript) AS doc_id, least(2000, length(transcript)) AS document_chars, round(list_sum(list_transform(string_split(left(transcript, 384), ''), lambda c: unicode(c) / 1000.0)), 3) AS embedding_sum, length(result) AS result_chars
  FROM (SELECT DISTINCT account_id, language, transcript, result FROM analysis_jobs WHERE transcript IS NOT NULL AND result IS NOT NULL)""",
     "exact_cache_entries": "SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, max(CAST(finished_at AS TIMESTAMP)) AS cached_at FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL GROUP BY 1",
-    "cache_purge": "SELECT CASE WHEN coalesce(account_id = 1, FALSE) THEN 'cleared' ELSE 'left' END AS what, count(*) AS entries FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL GROUP BY 1",
+    "cache_purge": """WITH e AS (SELECT coalesce(account_id = 1, FALSE) AS gone FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL)
+ SELECT 'cleared' AS what, count(*) FILTER (WHERE gone) AS entries FROM e UNION ALL SELECT 'left', count(*) FILTER (WHERE NOT gone) FROM e""",
     "exact_cache_hits": """WITH r AS (SELECT DISTINCT request_id, md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))) AS k, received_at, ingested_at FROM analyze_requests WHERE transcript IS NOT NULL),
  j AS (SELECT k, max(cached_at) AS cached_at FROM (SELECT k, CAST(received_at AS TIMESTAMP) AS cached_at FROM r UNION ALL SELECT md5(trim(transcript, ' ' || chr(10) || chr(13) || chr(9))), CAST(finished_at AS TIMESTAMP) FROM analysis_jobs WHERE transcript IS NOT NULL AND finished_at IS NOT NULL) GROUP BY 1)
  SELECT cached_at IS NOT NULL AS known, coalesce(cached_at > CAST(ingested_at AS TIMESTAMP) - INTERVAL 24 HOURS AND cached_at <= CAST(ingested_at AS TIMESTAMP), FALSE) AS hit, count(*) AS requests FROM r LEFT JOIN j USING (k) GROUP BY 1, 2""",

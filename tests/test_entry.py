@@ -12,7 +12,7 @@ DATA = Path("/root/testdata/sf0.001")
 QUERIES, SQL = gather(MODULES, "palaver")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data here")
 #: Queries that may find nothing in so few rows.
-SPARSE = {"exact_cache_hits", "semantic_rescue", "deal_signals", "evaluation_scores"}
+SPARSE = {"exact_cache_hits", "semantic_rescue", "deal_signals", "evaluation_scores", "semantic_cache_documents"}
 
 
 def plain(v):

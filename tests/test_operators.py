@@ -199,6 +199,8 @@ def test_reports_list_every_item(spark, tmp_path):
     spark.createDataFrame(acts, "request_id string, item_id string, task string, owner string, deadline string, flag boolean").write.parquet(str(tmp_path / "action_items.parquet"))
     said = [("big", f"c{i:05}", f"<decision {i}>") for i in range(reports.SHOWN + 1)]
     spark.createDataFrame(said, "request_id string, item_id string, text string").write.parquet(str(tmp_path / "commitment_items.parquet"))
+    moods = [("big", f"s{i}", "yes", f"no {i}", "HIGH" if i == 3 else "LOW") for i in range(6)] + [("big", "s0", "yes", "no 0", "LOW"), (None, "x", "a", "b", "HIGH")]
+    spark.createDataFrame(moods, "request_id string, item_id string, said string, meant string, severity string").write.parquet(str(tmp_path / "said_vs_meant_items.parquet"))
     f = str(tmp_path)
     notes, md, formal = ({(r.meeting_id, r.page): r for r in q(spark, f).collect()} for q in (reports.q_notes, reports.q_markdown, reports.q_minutes))
     for got in (notes, md, formal):
@@ -211,7 +213,9 @@ def test_reports_list_every_item(spark, tmp_path):
     assert all(t.count(x[2]) == 1 for x in said) and "No explicit decisions" not in t and "No action items" not in t
     rows = [x.split(" | ") for x in t.split("\n") if x.startswith("| ") or "## アクションアイテム" in x and " | " in x]
     assert [int(x[0].strip("| ")) for x in rows] == list(range(1, len(rows) + 1)) and len(rows) == sum(bool(x[2]) for x in acts[:n])
-    assert "No explicit decisions" in formal["small", 1].minutes and reports.q_slides(spark, f).where("meeting_id = 'big'").where("slide_number = 1").count() == 1
+    assert "No explicit decisions" in formal["small", 1].minutes
+    slides = {(r.meeting_id, r.slide_type): r.bullets for r in reports.q_slides(spark, f).collect()}
+    assert slides["big", "said_vs_meant"] == 3 and slides["big", "risk_watch"] == 1 and slides["big", "cover"] == 0 and ("small", "risk_watch") not in slides
 
 
 def test_health_and_scores_of_every_request(spark, tmp_path):

@@ -75,8 +75,11 @@ def test_rounding_is_half_even(spark):
 
 
 def test_sources(spark):
-    assert {r.file_id: r.text for r in tr.q_json(spark, "").collect()}["F2"] == "Abe: yes\nOno: no\nx"
-    assert [r.line for r in tr.q_asr(spark, "").orderBy("meeting_id", "seq").collect()][2] == "[00:06] Speaker 2: next"
+    case = spark.createDataFrame([x[2:] for x in tr.FILES if x[0] == "F2"], "content string")
+    assert case.select(tr.json_text(F.col("content"))).first()[0] == "Abe: yes\nOno: no\nx"
+    d = spark.createDataFrame([*tr.SEGMENTS], "meeting_id string, seq int, start double, end double, text string")
+    assert [r.line for r in tr.segment_turns(d).orderBy("meeting_id", "seq").collect()][2] == "[00:06] Speaker 2: next"
+    assert tr.segment_turns(d.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("raw,want", [('<think>x</think>```json\n{"a": 1}\n```', '{"a": 1}'), ('text {"a": [1, {"b": "c', '{"a": [1, {"b": "c"}]}'), ("none", None), (None, None), ('{"a": 1} {"b": 2}', '{"a": 1}')])
