@@ -39,3 +39,15 @@ def test_metric_join_misses_no_form_within_reach(spark):
 
 def test_edits():
     assert names.edits("abcd", "abdc", 1) == 1 and names.edits("abcd", "abxdc", 1) == 2 and names.edits("", "a", 1) == 1 and names.edits("same", "same", 1) == 0
+
+
+def test_short_and_long_names(spark):
+    """A form under five characters means who is registered under it and no neighbour; names have any number of words."""
+    rows = [(1, 1, "Ravi Oda", None), (2, 1, "Maria del Carmen Garcia Lopez", None), (3, 1, "Ito", "伊藤"), (4, 1, "Haruka Minamoto", None)]
+    people = spark.createDataFrame(rows, "person_id long, account_id long, full_name string, name_native string")
+    cases = {"Ravi": {1}, "Rami": set(), "Oda": {1}, "Ito": {3}, "Itu": set(), "MARIA DEL CARMEN GARCIA LOPEZ": {2}, "Maria del Carmen Garcia Lopes": {2}, "one of the new people over there": set(), "Harukq": {4}, "伊藤": {3}}
+    d = spark.createDataFrame([(1, c) for c in cases], "account_id long, name string")
+    got: dict = {}
+    for r in link_names.resolve(d, people).collect():
+        got.setdefault(r.name, set()).update(r.persons)
+    assert {c: got.get(c, set()) for c in cases} == cases
