@@ -66,9 +66,11 @@ def units_of(docs: DataFrame, text: bool = True) -> DataFrame:
 
     What is shuffled are labels, stamps and marks; the speech itself only if it is asked for.
     """
-    e = lines_of(docs).where("label IS NOT NULL OR cue OR spoken")
     rec = W.partitionBy("record_id")
-    e = e.select("record_id", "account_id", "version", "line_no", "label", "stamp", "cue", "spoken", *(["said"] if text else []))
+    row = F.struct("label", "stamp", "cue", "spoken", *(["said"] if text else []))
+    # As an array of one or none, so that the filter doesn't have the expressions of its columns made a second time.
+    keep = F.filter(F.array(row), lambda x: x["label"].isNotNull() | x["cue"] | x["spoken"])
+    e = lines_of(docs).select("record_id", "account_id", "version", "line_no", F.inline(keep))
     e = e.withColumn("first", F.min("version").over(rec)).where("version = first")
     run = rec.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     e = e.withColumn("unit", F.count("label").over(run)).withColumn("cue_at", F.last(F.when(F.col("cue"), F.col("stamp")), ignorenulls=True).over(run))
