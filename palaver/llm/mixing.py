@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from ..stage import cut
 from . import frames
-from .tokens import documents, sized
+from .tokens import documents
+
+
+#: Most rows of the table of targets, which goes to every task.
+MOST_TARGETS = 10_000
 
 
 def prefixes(items: DataFrame, seed: int) -> DataFrame:
@@ -44,8 +48,10 @@ def budgets(items: DataFrame, targets: DataFrame, total: int | None = None) -> D
 def mix(items: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11) -> DataFrame:
     """source, doc_id, epoch, tokens: the records of the mix. Each source stops before the record that would pass its budget; no record comes more than max_repeats times.
 
-    items has doc_id, source, tokens (see tokens.sized). Records without tokens, source or target take no part.
+    items has doc_id, source, tokens (see tokens.sized). Records without tokens, source or target take no part. More than MOST_TARGETS targets are an error.
     """
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     d = items.where("tokens > 0 AND source IS NOT NULL").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
     p = prefixes(d, seed)
     b = budgets(d, targets, total).where("budget > 0").select("source", "budget", "have", "max_repeats")
@@ -64,7 +70,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     targets = frames.read(spark, folder, "mix_targets", ["source", "target_share", "max_repeats"])
-    return cut(sized(documents(spark, folder)).select("doc_id", "source", "tokens")), targets
+    return cut(documents(spark, folder).select("doc_id", "source", "tokens")), targets
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..stage import cut
 from . import frames
-from .tokens import documents, sized
+from .tokens import documents
 
 #: Items that one packer holds in memory (sizes and ids only), and the fill from which a bin is closed in the first round.
 PER_PACKER, CLOSED = 40_000, 0.97
@@ -153,7 +153,7 @@ def fill(packed: DataFrame) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return containers(sized(documents(spark, folder)), frames.read(spark, folder, "container_sizes", ["container_kind", "capacity_tokens"]))
+    return containers(documents(spark, folder), frames.read(spark, folder, "container_sizes", ["container_kind", "capacity_tokens"]))
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import frames
 
-#: A ranks file of a public byte-level tokenizer, on every executor; a parameter of every operator here.
+#: A ranks file of a public byte-level tokenizer, on every executor; a parameter of every operator here, and of the queries by SETTING.
+SETTING = "spark.palaver.tokenizer"
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Its published split pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,4 +61,5 @@ def sized(docs: DataFrame, path: str = RANKS) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return frames.read(spark, folder, "documents", ["doc_id", "text", "source"])
+    """The documents with their sizes in tokens of the tokenizer that the session's SETTING names, else RANKS."""
+    return sized(frames.read(spark, folder, "documents", ["doc_id", "text", "source"]), spark.conf.get(SETTING, RANKS))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -156,6 +157,8 @@ def test_prefixes_and_mix(spark):
     assert rep["none"].tokens == 0 and abs(rep["a"].actual_share - 0.5 / 0.95) < 0.05
     assert sum(r.tokens for r in mixing.mix(d, targets, total=300).collect()) <= 300
     assert mixing.mix(d.limit(0), targets).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(d, spark.range(mixing.MOST_TARGETS + 1).selectExpr("string(id) AS source", "0.1 AS target_share", "1 AS max_repeats"))
 
 
 def test_best_fit_prefers_the_source_among_all_equal_bins():
