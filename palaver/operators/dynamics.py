@@ -82,7 +82,7 @@ def talk_weights(df: DataFrame) -> DataFrame:
     pick = lambda p, i: F.regexp_extract_all("transcript", F.lit(p), i)
     pairs = lambda p: F.arrays_zip(pick(p, F.lit(1)).alias("name"), pick(p, F.lit(2)).alias("at"))
     export = F.filter(pairs(_EXPORT), lambda x: ~F.contains(F.lower(x["name"]), F.lit("view")))
-    e = df.select("meeting_id", F.posexplode(F.when(F.size(pick(_EXPORT, F.lit(1))) > 0, export).otherwise(pairs(_CLOCKED))).alias("pos", "p"))
+    e = df.select("meeting_id", F.posexplode(F.when(F.col("transcript").rlike(_EXPORT), export).otherwise(pairs(_CLOCKED))).alias("pos", "p"))
     e = e.select("meeting_id", "pos", strip(F.regexp_replace(F.regexp_replace("p.name", r"\s+", " "), "(?i)\\s*sent the following.*", "")).alias("name"), clock(F.col("p.at")).alias("sec")).where("sec IS NOT NULL AND length(name) >= 2")
     w = W.partitionBy("meeting_id").orderBy("pos")
     gap = F.pmod(F.col("sec") - F.lag("sec").over(w), F.lit(86400))

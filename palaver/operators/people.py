@@ -50,8 +50,12 @@ def role(c: Column) -> Column:
 
 
 def role_hints(df: DataFrame) -> DataFrame:
-    """meeting_id, speaker, role, rank."""
-    s = speakers(df)
+    """meeting_id, speaker, role, rank of meetings (meeting_id, transcript)."""
+    return hints_of(speakers(df))
+
+
+def hints_of(s: DataFrame) -> DataFrame:
+    """role_hints of a table of speakers."""
     r = role(F.col("raw_label"))
     return s.select("meeting_id", "speaker", r["role"].alias("role"), r["rank"].alias("rank"))
 

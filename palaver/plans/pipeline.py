@@ -33,14 +33,15 @@ def analyze(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     r = F.col("r")
     weights = dynamics.talk_weights(c).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "weight"))).alias("weights"))
     said = c.select("meeting_id", F.explode(people.result_names(r)).alias("name"))
-    names = people.best_match(said, people.speakers(c)).groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "matched"))).alias("names"))
+    known = cut(people.speakers(c))
+    names = people.best_match(said, known).groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "matched"))).alias("names"))
     base = base.join(weights, "meeting_id", "left").join(names, "meeting_id", "left")
     base = base.withColumn("r", r.withField("speakers", dynamics.weighed(r["speakers"], F.coalesce("weights", F.array().cast("array<struct<pos:int,name:string,weight:double>>"))))).withColumn("r", people.unified(r, F.coalesce("names", F.create_map().cast("map<string,string>"))))
     base = base.withColumn("v", grounding.verify(r, F.col("transcript"))).withColumn("items", F.zip_with("r.action_items", "v.task_low", lambda i, low: F.struct(i["owner"].alias("owner"), i["deadline"].alias("deadline"), (low & ~grounding.rescued(i["task"], F.col("transcript"))).alias("flag"))))
     base = base.withColumn("hallucination_risk", F.bround(F.col("v.flagged_total") / F.greatest("v.total_claims", F.lit(1)), 3)).drop("weights", "names")
     # Read by several stages each, so written once.
     t = cut(dynamics.turns(c))
-    hints = cut(people.role_hints(c))
+    hints = cut(people.hints_of(known))
     n = t.groupBy("meeting_id").agg(F.count("*").alias("turns"), F.countDistinct("speaker").alias("speakers"))
     events = dynamics.topic_stalls(t).select("meeting_id").union(dynamics.senior_silence(t, hints).select("meeting_id")).groupBy("meeting_id").agg(F.count("*").alias("events"))
     close = dynamics.closing_summarizer(t, hints).select("meeting_id", F.col("speaker").alias("closing_speaker"))

@@ -51,11 +51,6 @@ def clear(spark: SparkSession) -> None:
         _written.clear()
 
 
-def few(df: DataFrame, most: int) -> bool:
-    """Whether df has at most that many rows: the check before a broadcast."""
-    return df.limit(most + 1).count() <= most
-
-
 def ship(spark: SparkSession) -> None:
     """Gives this package's source to the executors, once per context, so that Python workers can import it wherever they run."""
     sc = spark.sparkContext
