@@ -198,12 +198,21 @@ def _passages(most: int):
 
 
 def _matches():
-    last: list = [None, None]
+    place: tuple | None = None
+    hashes = np.empty(0, np.uint64)
+    automaton: Automaton | None = None
 
     def f(doc_a, at_a, text_a, doc_b, at_b, text_b):
-        if last[0] != (doc_a, at_a):
-            last[0], last[1] = (doc_a, at_a), Automaton(text_a)
-        return [(doc_a, at_a + x, doc_b, at_b + i, at_b + j) for i, j, x in last[1].spans(text_b, LEAST)]
+        nonlocal place, hashes, automaton
+        if place != (doc_a, at_a):
+            place, hashes, automaton = (doc_a, at_a), np.sort(gram_hashes(text_a, LEAST)), None
+        # Passages that share a gram but no window of LEAST characters need no automaton.
+        own = gram_hashes(text_b, LEAST)
+        at = np.searchsorted(hashes, own)
+        if not len(hashes) or not (hashes[np.minimum(at, len(hashes) - 1)] == own).any():
+            return []
+        automaton = automaton or Automaton(text_a)
+        return [(doc_a, at_a + x, doc_b, at_b + i, at_b + j) for i, j, x in automaton.spans(text_b, LEAST)]
 
     return f
 
