@@ -93,8 +93,11 @@ def verify(r: Column, transcript: Column) -> Column:
 def rescued(task: Column, transcript: Column, least: float = 0.35) -> Column:
     """Whether a sentence of the transcript is so like the task that its flag is cleared: rescue within the row. An empty task and one that begins with a warning sign aren't looked at."""
     sentences = F.transform(F.split(transcript, "[.!?。！？\\n]+"), word_list)
+    # Too few of the task's words anywhere in the transcript: no sentence can be like it, and none is taken apart.
+    enough = lambda x, low: F.size(F.filter(x, lambda w: F.contains(low, w))) >= least * F.size(x)
     # An array of one, so that the task's words are made once.
-    like = F.exists(F.array(word_list(task)), lambda x: F.exists(sentences, lambda y: list_overlap(x, y) >= least))
+    bound = F.array(F.struct(word_list(task).alias("x"), F.lower(transcript).alias("low")))
+    like = F.exists(bound, lambda b: enough(b["x"], b["low"]) & F.exists(sentences, lambda y: list_overlap(b["x"], y) >= least))
     return (F.coalesce(task, F.lit("")) != "") & ~task.startswith("⚠️") & like
 
 

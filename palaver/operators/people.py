@@ -30,9 +30,13 @@ _ANY_LABEL = r"(?<![^\n:：\[\]])([^\n:：\[\]]++)[:：]"
 
 def speakers(df: DataFrame) -> DataFrame:
     """meeting_id, speaker, raw_label, first_pos, turns: each normalised name before any colon with its last raw label."""
-    e = df.select("meeting_id", F.posexplode(F.regexp_extract_all("transcript", F.lit(_ANY_LABEL))).alias("pos", "raw"))
-    e = e.withColumn("raw", strip(F.col("raw"))).where(~F.col("raw").rlike("^[0-9]+$")).withColumn("speaker", normal_name(F.col("raw"))).where(F.length("speaker") >= 2)
-    return e.groupBy("meeting_id", "speaker").agg(F.max_by("raw", "pos").alias("raw_label"), F.min("pos").alias("first_pos"), F.count("*").alias("turns"))
+    # Each label once a meeting, with its first and last place and its number, so that few names are normalised and shuffled.
+    every = F.transform(F.regexp_extract_all("transcript", F.lit(_ANY_LABEL)), strip)
+    place = lambda a, r: F.array_position(a, r) - 1
+    one = lambda a: F.transform(F.array_distinct(a), lambda r: F.struct(r.alias("raw"), place(a, r).alias("pos"), (F.size(a) - 1 - place(F.reverse(a), r)).alias("last"), F.size(F.filter(a, lambda x: x == r)).alias("n")))
+    e = df.select("meeting_id", F.inline(F.flatten(F.transform(F.array(every), one))))
+    e = e.where(~F.col("raw").rlike("^[0-9]+$")).withColumn("speaker", normal_name(F.col("raw"))).where(F.length("speaker") >= 2)
+    return e.groupBy("meeting_id", "speaker").agg(F.max_by("raw", "last").alias("raw_label"), F.min("pos").alias("first_pos"), F.sum("n").alias("turns"))
 
 
 def role(c: Column) -> Column:
