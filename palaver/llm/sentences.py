@@ -191,7 +191,7 @@ def spans(text: str, model: Model) -> Iterator[tuple[int, int]]:
             deep = depth.after(end)
             if marked and s[nxt : nxt + 1].isalnum() and s[nxt].isascii() and s[end] == ".":
                 continue  # within a number, address or version
-            opened = bool(FILLER_LINE.match(s, start, end + 1)) if end - start < 24 else False
+            opened = bool(FILLER_LINE.match(s, start, end + 1))
             if model.boundary(features(s, end, nxt, marked, deep, opened)) > 0.5 and s[start : end + 1].strip() and not opened:
                 ends.append((start, end))
                 start = end + 1

@@ -71,6 +71,9 @@ SENTENCES = [
 ]
 
 
+SENTENCES.append(("Mori: " + "um, " * 12 + "um. We ship today. Fine.", ["um, " * 12 + "um. We ship today.", "Fine."]))  # however long the filler, it belongs to the sentence it opens
+
+
 @pytest.mark.parametrize("text,want", SENTENCES)
 def test_sentences(text, want):
     folded, at = canon.aligned(text)
