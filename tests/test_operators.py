@@ -2,12 +2,16 @@
 
 import json
 import math
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from palaver.functions.text import pseudo_embedding, pseudo_vectors
 from palaver.operators import dynamics, evaluation, grounding, logs, people, privacy, reports, results, retrieval, schema_drift
 from palaver.plans import pipeline
 from palaver.sources.seed import seed
@@ -135,6 +139,68 @@ def test_semantic_cache_searches_every_row(spark, tmp_path):
     assert {r.query_id for r in retrieval.nearest_other(store, q).collect()} == {i for i, (s, _) in want.items() if -s >= 0.92}
 
 
+def test_search_holds_tiles_only(spark, monkeypatch):
+    """The memory of a task doesn't grow with the queries of a block times the rows of a batch, and blocks count numbers, not vectors."""
+    store = spark.range(8_000).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 9))).alias("embedding"))
+    searches, real = [], type(store).mapInArrow
+    monkeypatch.setattr(type(store), "mapInArrow", lambda self, f, *a, **kw: searches.append(f) or real(self, f, *a, **kw))
+    retrieval.topk(store, store.withColumnRenamed("vec_id", "query_id"), 1)
+    batch = store.toArrow().combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    found = [r for b in searches[0](iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(searches) == 1 and len(found) == 7_999 and peak < 150e6
+    monkeypatch.setattr(retrieval, "BLOCK", 8_000)
+    searches.clear()
+    retrieval.topk(store, store.where("vec_id < 3000").withColumnRenamed("vec_id", "query_id"), 1)
+    assert len(searches) == 3
+
+
+def test_search_across_tiles_and_batches(spark):
+    """Near and equal cosines, several rows of one id, several tiles and batches: as counted in double precision, pair by pair."""
+    rng = np.random.default_rng(7)
+    x = 1 + 0.003 * rng.standard_normal((5_000, 6))  # all cosines lie within what single precision and the ninth place can tell
+    x[3_000:3_400] = x[:400] * rng.integers(1, 5, 400)[:, None]
+    ids = rng.permutation(5_000)
+    ids[4_000:4_050] = ids[:50]
+    store = spark.createDataFrame([(int(i), e.tolist()) for i, e in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").coalesce(2)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    at = np.flatnonzero(ids % 2 == 0)
+    c = np.round(u[at] @ u.T, retrieval.PLACES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2300")
+    try:
+        q = store.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "query_id")
+        for k, other in ((3, False), (2, True)):
+            got, want = {}, {}
+            for r in retrieval.topk(store, q, k, other=other).collect():
+                got.setdefault(r.query_id, []).append(r.similarity)
+                assert not (other and r.query_id == r.vec_id)
+            for a, row in zip(at, c, strict=True):
+                want.setdefault(int(ids[a]), []).extend(np.sort(row[ids != ids[a]] if other else row)[-k:])
+            assert got.keys() == want.keys()
+            assert all(np.allclose(sorted(got[i]), sorted(want[i])[-k:], atol=2e-9) for i in want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_texts_stand_for_their_vectors(spark):
+    """A search over texts finds what one over their pseudo-embeddings finds."""
+    texts = [None, "", "a", "abc", "b" * 500, "काम ठीक", "会議は三時😀", "会議は四時😀", "c" * 383 + "😀x", "\x00", "e\u0301\n", "é\n"]
+    d = spark.createDataFrame([*enumerate(texts)], "vec_id long, t string")
+    vectors, heads = d.select("vec_id", pseudo_embedding(F.col("t")).alias("embedding")), d.select("vec_id", F.col("t").alias("embedding"))
+    for r in vectors.join(d, "vec_id").where("t IS NOT NULL").collect():
+        assert pseudo_vectors(pa.array([r.t])).tolist() == [r.embedding]
+    found = [{tuple(r) for r in retrieval.topk(x, x.withColumnRenamed("vec_id", "query_id"), 4).collect()} for x in (vectors, heads)]
+    assert found[0] == found[1] and len({q for q, *_ in found[0]}) == len(texts) - 3
+
+
+def test_nearest_other_of_repeated_rows(spark):
+    """Rows of the query's own id don't take the places of others, however many there are."""
+    store = spark.createDataFrame([(20, [1.0, 2.0])] * 3 + [(7, [1.0, 2.1]), (5, [1.0, 9.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in retrieval.nearest_other(store, store.where("vec_id = 20").withColumnRenamed("vec_id", "query_id")).collect()] == [(20, 7)]
+
+
 def test_cache_ttl_and_last_write(spark):
     e = spark.createDataFrame([("k", "2025-01-01 00:00:00", "old"), ("k", "2025-01-02 00:00:00", "new"), ("z", "2024-01-01 00:00:00", "stale")], "k string, at string, v string").withColumn("at", F.to_timestamp("at"))
     a = spark.createDataFrame([("k",), ("z",), ("none",)], "k string")
